@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, mixing
+from . import langid, lengths, lm, mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_language": lambda s, d: langid.op2_language(table(s, d, "documents")),
         "op3_lengths": lambda s, d: lengths.op3_lengths(table(s, d, "documents")),
+        "op5_lattice": lambda s, d: lm.op5_lattice(table(s, d, "documents")),
         "op8_mix": lambda s, d: mixing.op8_mix(table(s, d, "documents")),
     }
 
