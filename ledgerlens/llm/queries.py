@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lengths, lm, mixing
+from . import dedup, encode, langid, lengths, lm, mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,12 +14,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": lambda s, d: dedup.op1_near_dedup(table(s, d, "documents")),
         "op2_language": lambda s, d: langid.op2_language(table(s, d, "documents")),
         "op3_lengths": lambda s, d: lengths.op3_lengths(table(s, d, "documents")),
         "op5_lattice": lambda s, d: lm.op5_lattice(table(s, d, "documents")),
+        "op6_encode": lambda s, d: encode.op6_encode(table(s, d, "documents")),
         "op8_mix": lambda s, d: mixing.op8_mix(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix": mixing.OP8_SQL}
+    return {"op1_near_dedup": dedup.OP1_SQL, "op8_mix": mixing.OP8_SQL}
