@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, encode, langid, lengths, lm, mixing
+from . import dedup, encode, fingerprint, langid, lengths, lm, mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op3_lengths": lambda s, d: lengths.op3_lengths(table(s, d, "documents")),
         "op5_lattice": lambda s, d: lm.op5_lattice(table(s, d, "documents")),
         "op6_encode": lambda s, d: encode.op6_encode(table(s, d, "documents")),
+        "op7_fingerprint": lambda s, d: fingerprint.op7_fingerprint(table(s, d, "documents")),
         "op8_mix": lambda s, d: mixing.op8_mix(table(s, d, "documents")),
     }
 
