@@ -65,3 +65,39 @@ def written(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/ledgerlens-{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def slices(batch, column: int, step: int = 1024):
+    """(start, values) of a column of an Arrow batch, a few at a time: the Python copies of long texts stay small."""
+    whole = batch.column(column)
+    for a in range(0, len(whole), step):
+        yield a, whole.slice(a, step).to_pylist()
+
+
+def gathered(batches, rows: int = 50_000):
+    """The same rows in larger Arrow batches, for work whose overhead is by batch; only for narrow rows."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
+    """(doc_id, text, label) of about `per_class` labelled documents a class, chosen by a hash of the doc_id.
+
+    The chosen labels number about twice `per_class` whatever the tables' sizes, so they are broadcast.
+    """
+    known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).distinct()
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(0.0)
+    for label, n in sorted(sizes.items()):
+        share = F.when(F.col("label") == label, min(1.0, per_class / n)).otherwise(share)
+    chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")

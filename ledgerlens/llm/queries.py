@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, encode, fingerprint, langid, lengths, lm, mixing
+from . import dedup, encode, fingerprint, langid, lengths, lm, mixing, quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
         "op6_encode": lambda s, d: encode.op6_encode(table(s, d, "documents")),
         "op7_fingerprint": lambda s, d: fingerprint.op7_fingerprint(table(s, d, "documents")),
         "op8_mix": lambda s, d: mixing.op8_mix(table(s, d, "documents")),
+        "op9_toxicity": lambda s, d: toxicity.op9_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+        "op10_quality": lambda s, d: quality.op10_quality(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
