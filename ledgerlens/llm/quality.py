@@ -3,8 +3,9 @@
 A small network with one hidden layer over features of the whole text (shares of byte classes, repetition and shape of
 words and lines, hashed byte pairs) is trained on trusted positives and on unlabelled web text with the non-negative
 unbiased risk: `prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])`. The class prior is estimated as the
-positives' share among the labelled training rows; negative labels have no other use. A score of 0.7 stands for the
-network's decision boundary.
+positives' share among the labelled training rows; negative labels have no other use. A score of 0.7 stands for a
+logit halfway between the network's own boundary and the level that 99.5 % of the trusted positives exceed (not below
+the boundary): the prior may be too high, and such an error shows as an empty band under the positives.
 
 Bounds on the samples the classifier is fitted to: about `positives` positives and `unlabelled` documents. Scoring
 covers whole texts of all rows.
@@ -69,10 +70,10 @@ def feature_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 class Network:
-    """One hidden layer; `center` and `scale` standardise the features."""
+    """One hidden layer; `center` and `scale` standardise the features, `level` is the logit of the score 0.7."""
 
     def __init__(self, center: np.ndarray, scale: np.ndarray, rng: np.random.Generator):
-        self.center, self.scale = center, scale
+        self.center, self.scale, self.level = center, scale, 0.0
         self.p = [rng.normal(0, 1 / np.sqrt(len(center)), (len(center), HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
@@ -125,14 +126,15 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS, se
     both = np.vstack([pos, unl])
     net = Network(both.mean(0), both.std(0) + 0.01, rng)
     state, step = [(np.zeros_like(p), np.zeros_like(p)) for p in net.p], 0
-    steps = max(20, len(unl) // 256)
+    steps, decay = max(20, len(unl) // 256), 1e-3 * max(1.0, 3000 / len(pos))
     for epoch in range(epochs):
         for _ in range(steps):
             step += 1
             a, b = rng.integers(0, len(pos), 256), rng.integers(0, len(unl), 512)
             _, g = risk_gradients(net, pos[a], unl[b], prior)
-            g[0] += 1e-3 * net.p[0]
+            g[0] += decay * net.p[0]
             adam(net.p, state, g, step, 0.01 / (1 + epoch / 10))
+    net.level = max(0.0, 0.5 * float(np.quantile(net.logits(pos), 0.005)))
     return net
 
 
@@ -159,7 +161,7 @@ def score_quality(docs: DataFrame, net: Network | None, keep: list[str]) -> Data
             out = []
             for _, texts in slices(batch, batch.num_columns - 1, 256):
                 x = np.stack([features(t) for t in texts]).astype(float)
-                out.append(sigmoid(sent.value.logits(x) + shift) if sent.value else np.zeros(len(x)))
+                out.append(sigmoid(sent.value.logits(x) - sent.value.level + shift) if sent.value else np.zeros(len(x)))
             z = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(z), pa.array((z >= LEVEL).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
 
