@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, encode, fingerprint, langid, lengths, lm, mixing, quality, toxicity
+from . import dedup, encode, fingerprint, langid, lengths, lm, mixing, quality, search, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_near_dedup": lambda s, d: dedup.op1_near_dedup(table(s, d, "documents")),
         "op2_language": lambda s, d: langid.op2_language(table(s, d, "documents")),
         "op3_lengths": lambda s, d: lengths.op3_lengths(table(s, d, "documents")),
+        "op4_search": lambda s, d: search.op4_search(table(s, d, "conversations")),
         "op5_lattice": lambda s, d: lm.op5_lattice(table(s, d, "documents")),
         "op6_encode": lambda s, d: encode.op6_encode(table(s, d, "documents")),
         "op7_fingerprint": lambda s, d: fingerprint.op7_fingerprint(table(s, d, "documents")),
@@ -27,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": dedup.OP1_SQL, "op8_mix": mixing.OP8_SQL}
+    return {"op1_near_dedup": dedup.OP1_SQL, "op4_search": search.OP4_SQL, "op8_mix": mixing.OP8_SQL}
