@@ -21,8 +21,7 @@ from .common import BYTE_BPE
 
 #: Fixed value: how the vocabulary's public definition cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A longer run without a cut is encoded in pieces of this many characters: merging costs the square of a run.
-RUN, BLOCK = 4096, 1024
+BLOCK = 1024
 
 
 def encoder(path: str):
