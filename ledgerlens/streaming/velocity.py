@@ -24,11 +24,11 @@ def burst_sessions(events: DataFrame, key: str, time: str, amount: str, gap: str
     return out.select(key, F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "n", "total")
 
 
-def prior_velocity(events: DataFrame, key: str, row_id: str, t: str, amount: str, window_us: int) -> DataFrame:
+def prior_velocity(events: DataFrame, key: str, row_id: str, t: str, amount: str, window_us: int, time: str = "ts", late: str = "10 minutes") -> DataFrame:
     """(key, row_id, t, n, total): count and sum of the entity's events in the window before each event, exactly.
 
-    The state of an entity holds the times and amounts of its last window and no more; it is dropped after a window
-    without events. Events of a batch are put in order; one that is older than what the state has seen counts what
+    The state of an entity holds the times and amounts of its last window and no more; it is dropped once the watermark
+    of `time` is a window past its last event. Events of a batch are put in order; one that is older than what the state has seen counts what
     the state still holds before it.
     """
     import pandas as pd
@@ -48,9 +48,9 @@ def prior_velocity(events: DataFrame, key: str, row_id: str, t: str, amount: str
         newest = max(times)
         kept = [(a, b) for a, b in zip(times, amounts, strict=True) if a >= newest - window_us]
         state.update(([a for a, _ in kept], [b for _, b in kept]))
-        state.setTimeoutDuration(max(1000, window_us // 1000))
+        state.setTimeoutTimestamp(max((newest + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "row_id", "t", "n", "total"])
 
     kind = events.schema[key].dataType.simpleString()
-    rows = events.select(F.col(key).alias("key"), F.col(row_id).cast("long").alias("row_id"), F.col(t).alias("t"), F.col(amount).cast("double").alias("amount"))
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, row_id long, t long, n long, total double", "times array<long>, amounts array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark(time, late).select(F.col(time).alias("ts"), F.col(key).alias("key"), F.col(row_id).cast("long").alias("row_id"), F.col(t).alias("t"), F.col(amount).cast("double").alias("amount"))
+    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, row_id long, t long, n long, total double", "times array<long>, amounts array<double>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -122,7 +122,7 @@ def test_scalar_nulls(spark):
 
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
-    rows = [(i, 1 + i % 2, i * HOUR // 4, 1.0) for i in range(20)]
+    rows = [(i, 1 + i % 2, DAY + i * HOUR // 4, 1.0) for i in range(20)]
     spark.createDataFrame(rows, "row_id long, card int, t_us long, amount double").withColumn("ts", F.timestamp_micros("t_us")).coalesce(1).write.parquet(str(src))
     events = spark.readStream.schema("row_id long, card int, t_us long, amount double, ts timestamp").parquet(str(src))
     for name, df, mode in (("w", stream.windowed_velocity(events, "card", "ts", "amount"), "complete"), ("s", stream.burst_sessions(events, "card", "ts", "amount", "40 minutes"), "complete"), ("p", stream.prior_velocity(events, "card", "row_id", "t_us", "amount", HOUR), "append")):
