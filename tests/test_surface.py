@@ -132,3 +132,18 @@ def test_streams(spark, tmp_path):
     prior = {r["row_id"]: r["n"] for r in spark.table("q_p").collect()}
     assert prior == {i: sum(1 for j in range(i) if j % 2 == i % 2 and i * HOUR // 4 - HOUR <= j * HOUR // 4) for i in range(20)}
     assert spark.table("q_s").count() == 2 and DAY == 24 * HOUR
+
+
+def test_snapshots(spark, tmp_path):
+    from ledgerlens.operators import snapshots
+
+    code = tmp_path / "features.py"
+    code.write_text("x = 1\n")
+    root = str(tmp_path / "runs")
+    a = snapshots.save(root, "d", "First: try/it", "keep", {"auprc": float("nan")}, [str(code)], {"a": 1.0, "b": 2.0}, top=1)
+    b = snapshots.save(root, "d", "Second", "discard", {"auprc": 0.5})
+    assert (a["id"], a["dir"], a["top_features"], a["metrics_summary"]) == ("exp_001", "exp_001_first__try_it", {"b": 2.0}, {"auprc": None})
+    assert b["parent_exp"] == "exp_001" == snapshots.best_kept(root) and len(snapshots.history(root)) == 2
+    (tmp_path / "out").mkdir()
+    assert snapshots.restore(root, "exp_001", str(tmp_path / "out")) == ["features.py"]
+    assert readers.read_log(spark, f"{root}/index.jsonl", experiments.LOG).where("status = 'keep'").first()["id"] == "exp_001"
