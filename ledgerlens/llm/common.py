@@ -18,8 +18,14 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it is not installed (local mode, shared file system)."""
+    """Lets Python workers import this package where it is not installed (local mode, shared file system), and hands
+    them fewer rows at once than Spark's default, which is meant for narrow rows: texts are long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     env = spark.sparkContext.environment
+    # workers live on between tasks: let them give freed memory back
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1"), ("MALLOC_MMAP_THRESHOLD_", "262144"), ("MALLOC_TRIM_THRESHOLD_", "262144")):
+        env.setdefault(name, value)
     known = env.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, known) if x)
@@ -67,9 +73,14 @@ def written(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def slices(batch, column: int, step: int = 1024):
-    """(start, values) of a column of an Arrow batch, a few at a time: the Python copies of long texts stay small."""
+def slices(batch, column: int, step: int = 512):
+    """(start, values) of a column of an Arrow batch, a few at a time: the Python copies of long texts stay small.
+    Strings come as their UTF-8 bytes."""
+    import pyarrow as pa
+
     whole = batch.column(column)
+    if pa.types.is_string(whole.type):
+        whole = whole.cast(pa.binary())
     for a in range(0, len(whole), step):
         yield a, whole.slice(a, step).to_pylist()
 
