@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, slices, written
 from .components import components
 from .lattice import Cache
 
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         known = word_hashes()
         for batch in batches:
             n, fp, bands, sig = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (t for _, texts in slices(batch, 1, 256) for t in texts):
                 h = shingles(text, known)
                 n.append(len(h))
                 fp.append(xxhash.xxh3_128_digest(h.tobytes()))
