@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE_MODEL, written
+from .common import PIECE_MODEL, slices, written
 from .lattice import Cache, Vocabulary, best_segmentations, vocabulary
 
-CHUNK, FAN = 32_768, 16
+CHUNK, FAN, SHORT, TOGETHER = 32_768, 16, 2048, 64
 SEGMENT = re.compile(rb"\n| *[^ \n]+| +")
 CUT = re.compile(rb"(?<=[^ ])(?= )|(?=\n)|(?<=\n)")
 
@@ -43,7 +43,13 @@ def encode_batch(texts: list[bytes | None], known: Cache) -> list[bytes | None]:
 def edges(v: Vocabulary, data: bytes) -> list[list[tuple[int, int, float]]]:
     """For each end position: (start, id, score) of the pieces that end there, longest first."""
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(data) + 1)]
-    if data:
+    if len(data) < SHORT:
+        for end in range(1, len(data) + 1):
+            for start in range(max(0, end - v.longest), end):
+                piece = v.ids.get(data[start:end])
+                if piece is not None:
+                    out[end].append((start, piece, float(v.score[piece])))
+    else:
         spans = v.spans(np.frombuffer(data, np.uint8)[None, :])
         for k in range(len(spans), 0, -1):
             row = spans[k - 1][0]
@@ -75,19 +81,23 @@ def best_path(v: Vocabulary, data: bytes, size: int) -> list[int]:
     return ids[::-1]
 
 
-def transfer_matrix(v: Vocabulary, data: bytes, ahead: bytes, score_of: Cache) -> np.ndarray:
-    """Greatest scores from each start state to each end state of a chunk followed by the bytes `ahead`."""
+def parted(data: bytes, longest: int) -> tuple[tuple[int, int] | None, list[bytes]]:
+    """The outer cuts of a chunk and the strings between them."""
+    place = cuts(data, longest)
+    return place, SEGMENT.findall(data[place[0] : place[1]]) if place else []
+
+
+def transfer_matrix(v: Vocabulary, data: bytes, ahead: bytes, place: tuple[int, int] | None, middle: float) -> np.ndarray:
+    """Greatest scores from each start state to each end state of a chunk followed by the bytes `ahead`.
+
+    Between its outer cuts (`place`, with the score `middle`) a chunk has one state; without cuts all are carried.
+    """
     k, size = v.longest, len(data)
-    place = cuts(data, k)
-    if place is None:
-        first, last, states = 0, 0, k
-    else:
-        first, last, states = *place, 1
+    first, last, states = (*place, 1) if place else (0, 0, k)
     # from `last` (or the start) to the end, and beyond it by each end state
     into = edges(v, data[last:] + ahead[: k - 1])
     rest = size - last
     front = np.full((rest + 1, states), -np.inf)
-    front[0, 0] = 0
     for s in range(min(states, rest + 1)):
         front[s, s] = 0
     for p in range(1, rest + 1):
@@ -107,9 +117,7 @@ def transfer_matrix(v: Vocabulary, data: bytes, ahead: bytes, score_of: Cache) -
     for p in range(first, 0, -1):
         for start, _, score in into[p]:
             head[start] = max(head[start], score + head[p])
-    middle = SEGMENT.findall(data[first:last])
-    of = score_of.add(middle)
-    return head[:k, None] + sum(of[w] for w in middle) + tail[0][None, :]
+    return head[:k, None] + middle + tail[0][None, :]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,7 +152,11 @@ def encode_giant(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         v = vocabulary(path)
         score_of = Cache(lambda words: [float(v.score[np.frombuffer(x, "<i4")].sum()) for x in best_segmentations(v, words)])
         for batch in batches:
-            out = [transfer_matrix(v, d, a, score_of).tobytes() for d, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            out, ahead = [], batch.column(3).to_pylist()
+            for a, data in slices(batch, 2, TOGETHER):
+                parts = [parted(d, v.longest) for d in data]
+                of = score_of.add(w for _, middle in parts for w in middle)
+                out += [transfer_matrix(v, d, x, place, sum(of[w] for w in middle)).tobytes() for d, x, (place, middle) in zip(data, ahead[a:], parts, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["t_key", "idx", "m"])
 
     def combine(group: pd.DataFrame) -> pd.DataFrame:
@@ -177,17 +189,17 @@ def encode_giant(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         v = vocabulary(path)
         known = Cache(lambda words: best_segmentations(v, words))
         for batch in batches:
-            out = []
-            for data, ahead, s_in, s_out in zip(*(batch.column(x).to_pylist() for x in ("data", "ahead", "s_in", "s_out")), strict=True):
-                place = cuts(data, v.longest)
-                if place is None:
-                    out.append(best_path(v, data[s_in:] + ahead[:s_out], len(data) - s_in))
-                    continue
-                first, last = place
-                middle = SEGMENT.findall(data[first:last])
-                of = known.add(middle)
-                ids = np.frombuffer(b"".join([of[w] for w in middle]), "<i4").tolist()
-                out.append(best_path(v, data[s_in:first], first - s_in) + ids + best_path(v, data[last:] + ahead[:s_out], len(data) - last))
+            out, (ahead, s_in, s_out) = [], (batch.column(x).to_pylist() for x in ("ahead", "s_in", "s_out"))
+            for a, some in slices(batch, batch.schema.get_field_index("data"), TOGETHER):
+                parts = [parted(d, v.longest) for d in some]
+                of = known.add(w for _, middle in parts for w in middle)
+                for i, (data, (place, middle)) in enumerate(zip(some, parts, strict=True), a):
+                    if place is None:
+                        out.append(best_path(v, data[s_in[i] :] + ahead[i][: s_out[i]], len(data) - s_in[i]))
+                        continue
+                    ids = np.frombuffer(b"".join([of[w] for w in middle]), "<i4").tolist()
+                    first, last = place
+                    out.append(best_path(v, data[s_in[i] : first], first - s_in[i]) + ids + best_path(v, data[last:] + ahead[i][: s_out[i]], len(data) - last))
             yield pa.RecordBatch.from_arrays([batch.column("t_key"), batch.column("idx"), pa.array(out, pa.list_(pa.int32()))], ["t_key", "idx", "ids"])
 
     chunks = written(spark, texts.select("t_key", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "t_key string, idx long, data binary, ahead binary"), "chunks")
@@ -214,16 +226,17 @@ def encode(docs: DataFrame, path: str = PIECE_MODEL, chunk: int = CHUNK) -> Data
         v = vocabulary(path)
         known = Cache(lambda words: best_segmentations(v, words))
         for batch in batches:
-            texts, out = batch.column(batch.num_columns - 1).to_pylist(), []
-            for a in range(0, len(texts), 512):
-                out += encode_batch(texts[a : a + 512], known)
+            out = []
+            for _, texts in slices(batch, at, 1000):
+                out += encode_batch(texts, known)
             ends = np.cumsum([0, *(len(x) // 4 if x else 0 for x in out)])
             flat = pa.array(np.frombuffer(b"".join([x for x in out if x]), "<i4"))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([x is None for x in out]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), ids], [*batch.schema.names[:-1], "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
+    at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    few = docs.where(~giant).withColumn("ids", F.col("text").cast("binary")).mapInArrow(small, schema)
+    few = docs.where(~giant).mapInArrow(small, schema)
     keyed = docs.where(giant).withColumn("t_key", F.sha2("text", 256))
     texts = keyed.groupBy("t_key").agg(F.first("text").alias("text"))
     many = keyed.join(encode_giant(texts, path, chunk), "t_key").select(*docs.columns, "ids")
@@ -238,7 +251,7 @@ def decode(encoded: DataFrame, path: str = PIECE_MODEL, into: str = "text") -> D
         pieces = vocabulary(path).pieces
         for batch in batches:
             rows = batch.column("ids").to_pylist()
-            out = [None if x is None else b"".join([pieces[i] for i in x])[1:].decode("utf-8", "replace") for x in rows]
+            out = [None if x is None else b"".join(map(pieces.__getitem__, x))[1:].decode("utf-8", "replace") for x in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, into])
 
     return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SLOTS, GAIN, LONG, BATCH = 20, 12.0, 48, 4096
+SLOTS, GAIN, LONG, BATCH = 18, 12.0, 48, 4096
 
 
 class Vocabulary:
@@ -55,16 +55,19 @@ class Vocabulary:
         own = np.array(list(self.ids.values()), np.int32)
         self.key = np.zeros(n + 1, np.uint64)
         self.key[own] = keys
+        # ids by the top bits of a hash; slots that several pieces share are marked, and their other pieces are in further
+        # tables with other multipliers
         self.tables = []
         left, salt = np.arange(len(own)), MIX
         while len(left):
             with np.errstate(over="ignore"):
                 slot = (keys[left] * salt) >> np.uint64(64 - SLOTS)
-            table = np.full(1 << SLOTS, n, np.int32)
+            table, shared = np.full(1 << SLOTS, n, np.int32), np.zeros(1 << SLOTS, bool)
             _, first = np.unique(slot, return_index=True)
             table[slot[first]] = own[left[first]]
-            self.tables.append((salt, table))
-            left = np.delete(left, first)
+            left, slot = np.delete(left, first), np.delete(slot, first)
+            shared[slot] = True
+            self.tables.append((salt, table, shared))
             salt = np.uint64(int(salt) * int(BASE) % 2**64 | 1)
 
     @staticmethod
@@ -76,11 +79,20 @@ class Vocabulary:
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of substrings by their hash; n where there is none."""
-        out = None
-        for salt, table in self.tables:
-            found = table[(hashes * salt) >> np.uint64(64 - SLOTS)]
-            found = np.where(self.key[found] == hashes, found, self.n)
-            out = found if out is None else np.where(out == self.n, found, out)
+        out = np.full(hashes.shape, self.n, np.int32)
+        rest, todo = hashes.ravel(), None
+        for salt, table, shared in self.tables:
+            slot = (rest * salt) >> np.uint64(64 - SLOTS)
+            found = table[slot]
+            found[self.key[found] != rest] = self.n
+            if todo is None:
+                out = found.reshape(hashes.shape)
+            else:
+                out.ravel()[todo] = found
+            again = np.flatnonzero(shared[slot] & (found == self.n))
+            if not len(again):
+                break
+            todo, rest = again if todo is None else todo[again], rest[again]
         return out
 
     def spans(self, codes: np.ndarray) -> list[np.ndarray]:
@@ -238,7 +250,7 @@ def _viterbi(v: Vocabulary, ids: list[np.ndarray], size: int) -> tuple[np.ndarra
 class Cache:
     """Value of each distinct string, made for many at once and forgotten beyond `most` strings; no effect on results."""
 
-    def __init__(self, make: Callable[[list[bytes]], list], most: int = 400_000):
+    def __init__(self, make: Callable[[list[bytes]], list], most: int = 200_000):
         self.make, self.most, self.known = make, most, {}
 
     def add(self, words: Iterable[bytes]) -> dict:
