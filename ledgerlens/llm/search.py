@@ -3,7 +3,7 @@
 Rows are dealt to shards of about `SHARD` rows by a hash. Each shard's postings meet the global document frequencies in
 a join by term and become an index: the weight of every posting, and the greatest weight of every term in every block
 of 128 rows. Queries come in blocks; for a block, one product of query weights and block maxima bounds the score of any
-row of a block of rows for all its queries at once. Rows are scored group by group (eight blocks), and a query leaves
+row of a block of rows for all its queries at once. Rows are scored group by group (32 blocks; terms in many of a group's rows by one matrix product), and a query leaves
 out each group in which no block's bound reaches its k-th best score so far. The shards' best k are merged by score.
 
 Scores are rounded to 6 digits and ties go to the lower (conv_id, turn), nulls last, so results are exact and repeatable.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 20
-SHARD, BLOCK, GROUP, QUERIES, BLOCKS_A_TASK = 8192, 128, 1024, 256, 16
+SHARD, BLOCK, GROUP, QUERIES, BLOCKS_A_TASK = 12_288, 128, 4096, 256, 16
+#: Terms in at least this share of a group's rows are scored by a matrix product.
+FREQUENT = 1 / 16
 SLACK = 1e-5
 
 
@@ -70,6 +72,7 @@ class ShardIndex:
         self.place = {p[0]: i for i, p in enumerate(terms)}
         self.maxima = np.zeros((len(terms), -(-self.n // BLOCK)), np.float32)
         self.groups: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(-(-self.n // GROUP))]
+        self.frequent: list[tuple[list[int], list[np.ndarray]]] = [([], []) for _ in self.groups]
         for i, (_, df, docs, tf) in enumerate(terms):
             docs, tf = np.frombuffer(docs, np.int32), np.frombuffer(tf, np.int32)
             weight = math.log(1 + (total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm[docs])
@@ -77,7 +80,13 @@ class ShardIndex:
             edges = np.searchsorted(docs, np.arange(0, self.n + GROUP, GROUP))
             for g in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[g], edges[g + 1])
-                self.groups[g][i] = (docs[part] - g * GROUP, weight[part])
+                if edges[g + 1] - edges[g] >= FREQUENT * GROUP:
+                    row = np.zeros(GROUP)
+                    row[docs[part] - g * GROUP] = weight[part]
+                    self.frequent[g][0].append(i)
+                    self.frequent[g][1].append(row)
+                else:
+                    self.groups[g][i] = (docs[part] - g * GROUP, weight[part])
 
     def search(self, queries: list[dict[bytes, int]], top: int) -> list[list[tuple[float, int]]]:
         """(score, row) of the best rows of each query, best first."""
@@ -91,6 +100,7 @@ class ShardIndex:
         for c, t in enumerate(terms):
             for q, k in asked[t]:
                 weights[q, c] = k
+        column = {t: c for c, t in enumerate(terms)}
         bounds = weights @ self.maxima[terms] * np.float32(1 + 1e-5)
         best: list[list[tuple[float, int]]] = [[] for _ in queries]
         least = np.full(len(queries), 0.0)
@@ -99,7 +109,12 @@ class ShardIndex:
             active = (bounds[:, g * per : (g + 1) * per].max(1) + SLACK >= least) & (bounds[:, g * per : (g + 1) * per].max(1) > 0)
             if not active.any():
                 continue
+            some, rows = self.frequent[g]
             scores = np.zeros((len(queries), GROUP))
+            here = [i for i, t in enumerate(some) if t in column]
+            if here:
+                uses = weights[np.ix_(active, [column[some[i]] for i in here])].astype(float)
+                scores[active] = uses @ np.stack([rows[i] for i in here])
             for t in terms:
                 if t in postings:
                     docs, weight = postings[t]
