@@ -18,6 +18,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,9 +133,11 @@ class Windows:
     def project(self, words: list[bytes]) -> np.ndarray:
         """Gate inputs of both directions by word; a last row of zeros pads windows."""
         out = np.zeros((len(words) + 1, 6 * HIDDEN), np.float32)
-        for a in range(0, len(words), 4096):
-            part = cores(words[a : a + 4096])
-            out[a : a + len(part)] = self.inputs(*hashed(part)) @ self.p["wx"] + self.p["bx"]
+        # words of one length together: their n-grams need no padding
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+        for a in range(0, len(words), 2048):
+            some = order[a : a + 2048]
+            out[some] = self.inputs(*hashed(cores([words[i] for i in some]))) @ self.p["wx"] + self.p["bx"]
         return out
 
     def forward(self, x: np.ndarray, mask: np.ndarray, tape: dict | None = None) -> np.ndarray:
@@ -287,7 +290,9 @@ class Scorer:
     """Scores texts with a trained network; keeps the gate inputs of the words of a task, forgotten beyond a bound."""
 
     def __init__(self, net: Windows, most: int = 150_000):
-        self.net, self.most = net, most
+        self.net, self.most = copy.copy(net), most
+        self.net.p = {k: p.astype(np.float32) for k, p in net.p.items()}
+        self.net.word_odds, self.net.gram_odds = net.word_odds.astype(np.float32), net.gram_odds.astype(np.float32)
         self.known: dict[bytes, int] = {}
         self.table = net.project([])
 
