@@ -70,23 +70,22 @@ class ShardIndex:
         norm = K1 * (1 - B + B * sizes / mean) if mean else np.full(self.n, K1)
         terms = sorted(p for p in postings if p[0])
         self.place = {p[0]: i for i, p in enumerate(terms)}
-        self.maxima = np.zeros((len(terms), -(-self.n // BLOCK)), np.float32)
-        self.groups: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(-(-self.n // GROUP))]
-        self.frequent: list[tuple[list[int], list[np.ndarray]]] = [([], []) for _ in self.groups]
-        for i, (_, df, docs, tf) in enumerate(terms):
-            docs, tf = np.frombuffer(docs, np.int32), np.frombuffer(tf, np.int32)
-            weight = math.log(1 + (total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm[docs])
-            np.maximum.at(self.maxima[i], docs // BLOCK, weight.astype(np.float32))
-            edges = np.searchsorted(docs, np.arange(0, self.n + GROUP, GROUP))
-            for g in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[g], edges[g + 1])
-                if edges[g + 1] - edges[g] >= FREQUENT * GROUP:
-                    row = np.zeros(GROUP)
-                    row[docs[part] - g * GROUP] = weight[part]
-                    self.frequent[g][0].append(i)
-                    self.frequent[g][1].append(row)
-                else:
-                    self.groups[g][i] = (docs[part] - g * GROUP, weight[part])
+        # all postings in one piece, by term and then by row
+        n = np.array([len(p[2]) // 4 for p in terms], np.int64)
+        df = np.repeat(np.array([p[1] for p in terms], float), n)
+        self.rows = np.frombuffer(b"".join([p[2] for p in terms]), np.int32).astype(np.int64)
+        tf = np.frombuffer(b"".join([p[3] for p in terms]), np.int32)
+        self.weight = np.log(1 + (total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm[self.rows])
+        term, blocks, groups = np.repeat(np.arange(len(terms)), n), -(-self.n // BLOCK), -(-self.n // GROUP)
+        self.maxima = np.zeros((len(terms), blocks), np.float32)
+        if len(term):
+            cell = term * blocks + self.rows // BLOCK
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            self.maxima.ravel()[cell[first]] = np.maximum.reduceat(self.weight, first)
+        # where the postings of a term in a group begin: bounds[term, group] to bounds[term, group + 1]
+        cells = np.searchsorted(term * groups + self.rows // GROUP, np.arange(len(terms) * groups + 1))
+        self.bounds = np.stack([cells[g : g + len(terms) * groups : groups] for g in range(groups)] + [cells[groups::groups]], 1) if groups else np.zeros((len(terms), 1), np.int64)
+        self.groups = groups
 
     def search(self, queries: list[dict[bytes, int]], top: int) -> list[list[tuple[float, int]]]:
         """(score, row) of the best rows of each query, best first."""
@@ -100,27 +99,33 @@ class ShardIndex:
         for c, t in enumerate(terms):
             for q, k in asked[t]:
                 weights[q, c] = k
-        column = {t: c for c, t in enumerate(terms)}
         bounds = weights @ self.maxima[terms] * np.float32(1 + 1e-5)
         best: list[list[tuple[float, int]]] = [[] for _ in queries]
         least = np.full(len(queries), 0.0)
         per = GROUP // BLOCK
-        for g, postings in enumerate(self.groups):
+        asked_list = [(t, asked[t]) for t in terms]
+        for g in range(self.groups):
             active = (bounds[:, g * per : (g + 1) * per].max(1) + SLACK >= least) & (bounds[:, g * per : (g + 1) * per].max(1) > 0)
             if not active.any():
                 continue
-            some, rows = self.frequent[g]
             scores = np.zeros((len(queries), GROUP))
-            here = [i for i, t in enumerate(some) if t in column]
-            if here:
-                uses = weights[np.ix_(active, [column[some[i]] for i in here])].astype(float)
-                scores[active] = uses @ np.stack([rows[i] for i in here])
-            for t in terms:
-                if t in postings:
-                    docs, weight = postings[t]
-                    for q, k in asked[t]:
-                        if active[q]:
-                            scores[q, docs] += weight * k
+            sizes = self.bounds[terms, g + 1] - self.bounds[terms, g]
+            often = np.flatnonzero(sizes >= FREQUENT * GROUP)
+            if len(often):
+                dense = np.zeros((len(often), GROUP))
+                for i, c in enumerate(often.tolist()):
+                    part = slice(self.bounds[terms[c], g], self.bounds[terms[c], g + 1])
+                    dense[i, self.rows[part] - g * GROUP] = self.weight[part]
+                scores[active] = weights[np.ix_(active, often)].astype(float) @ dense
+            lines = [scores[q] if active[q] else None for q in range(len(queries))]
+            for c in np.flatnonzero((sizes > 0) & (sizes < FREQUENT * GROUP)).tolist():
+                t, who = asked_list[c]
+                part = slice(self.bounds[t, g], self.bounds[t, g + 1])
+                docs, weight = self.rows[part] - g * GROUP, self.weight[part]
+                for q, k in who:
+                    line = lines[q]
+                    if line is not None:
+                        line[docs] += weight if k == 1 else weight * k
             for q in np.flatnonzero(active):
                 row = scores[q].round(6)
                 found = np.flatnonzero((row >= least[q]) & (row > 0))
