@@ -131,7 +131,8 @@ class ShardIndex:
                 found = np.flatnonzero((row >= least[q]) & (row > 0))
                 if len(found) > top:
                     floor = np.partition(row[found], -top)[-top]
-                    found = found[row[found] >= floor][: top + int((row[found] > floor).sum()) + top]
+                    # of the rows that tie at the k-th score, the first come first; better ones all stay
+                    found = np.concatenate([found[row[found] > floor], found[row[found] == floor][:top]])
                 both = best[q] + [(float(row[d]), g * GROUP + int(d)) for d in found]
                 best[q] = sorted(both, key=lambda x: (-x[0], x[1]))[:top]
                 if len(best[q]) == top:

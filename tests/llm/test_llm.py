@@ -190,6 +190,15 @@ def test_search_matches_brute_force(spark):
     assert search.op4_search(turns.limit(0)).count() == 0
 
 
+def test_search_keeps_better_rows_after_ties(spark):
+    data = [(i, 0, "ok thanks") for i in range(1, 101)] + [(1000, 0, "ok thanks really")]
+    got = {}
+    for r in search.op4_search(spark.createDataFrame(data, "conv_id long, turn long, text string")).collect():
+        got.setdefault(r["conv_id"], {})[r["rank"]] = r["hit_conv_id"]
+    assert [got[1000][k] for k in range(1, 11)] == [1000, *range(1, 10)]
+    assert [got[20][k] for k in range(1, 11)] == list(range(1, 11))
+
+
 # --- op5 ---
 
 
