@@ -28,6 +28,11 @@ def shared_links(df: DataFrame, entity: str, attribute: str) -> DataFrame:
     return pairs.join(least, "x").where("a <> b").select("a", "b").distinct()
 
 
+def memberships(df: DataFrame, entity: str, attribute: str) -> DataFrame:
+    """(node, x): the entities and their attribute values, once each: the edges of the graph of both."""
+    return df.where(F.col(entity).isNotNull() & F.col(attribute).isNotNull()).select(F.col(entity).alias("node"), F.col(attribute).alias("x")).distinct()
+
+
 def degree_neighbours(df: DataFrame, entity: str, attribute: str) -> DataFrame:
     """(entity, links): over the entity's values, how many other holders they have, without making the pairs."""
     pairs = df.where(F.col(entity).isNotNull() & F.col(attribute).isNotNull()).select(entity, attribute).distinct()
@@ -69,12 +74,52 @@ def pagerank(links: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return ranks
 
 
-def distance_to(links: DataFrame, sources: DataFrame, most: int = 3) -> DataFrame:
-    """(node, hops) of the nodes within `most` links of a source (node)."""
+def shared_pagerank(df: DataFrame, entity: str, attribute: str, damping: float = 0.85, close: float = 1e-6) -> DataFrame:
+    """(node, rank) of the entities in the graph of entities and attribute values; ranks of both add up to their number.
+    Values take the ranks of entities and then entities those of values, until four such rounds change no entity's rank
+    by over `close` times its number of values. Rank by number of values contracts, so this ends."""
+    spark, pairs = df.sparkSession, memberships(df, entity, attribute)
+    of_nodes, of_values = (pairs.groupBy(c).agg(F.count(F.lit(1)).alias(n)) for c, n in (("node", "n"), ("x", "m")))
+    of_nodes = written(spark, of_nodes, "degrees")
+    edges = written(spark, pairs.join(of_nodes, "node").join(of_values, "x"), "ranked-edges")
+    taken = lambda share: F.lit(1 - damping) + damping * F.sum(share)
+    ranks = written(spark, edges.select("node").distinct().withColumn("rank", F.lit(1.0)), "ranks")
+    moved = close + 1
+    while moved > close:
+        new = ranks
+        for _ in range(4):
+            values = edges.join(new, "node").groupBy("x").agg(taken(F.col("rank") / F.col("n")).alias("value_rank"))
+            new = edges.join(values, "x").groupBy("node").agg(taken(F.col("value_rank") / F.col("m")).alias("rank"))
+        both = written(spark, new.join(ranks.withColumnRenamed("rank", "was"), "node").join(of_nodes, "node"), "ranks")
+        moved = both.agg(F.max(F.abs(F.col("rank") - F.col("was")) / F.col("n"))).first()[0] or 0.0
+        ranks = both.select("node", "rank")
+    return ranks
+
+
+def distance_by_shared(df: DataFrame, entity: str, attribute: str, sources: DataFrame) -> DataFrame:
+    """(node, hops): over how many shared values each entity reaches its nearest source (node), without a limit; entities
+    that reach none are left out. A round takes the last entities found to their values and on to the values' holders,
+    which can only be among the last two rounds' or new."""
+    spark, name = df.sparkSession, f"hops-{uuid.uuid4().hex}"
+    pairs = written(spark, memberships(df, entity, attribute), "members")
+    last = written(spark, sources.select("node").where("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)), f"{name}/round")
+    before, hop = last, 0
+    while last.limit(1).count():
+        hop += 1
+        values = last.select("node").join(pairs, "node").select("x").distinct()
+        step = values.join(pairs, "x").select("node").distinct().join(last.unionAll(before).select("node"), "node", "left_anti")
+        before, last = last, written(spark, step.withColumn("hops", F.lit(hop)), f"{name}/round")
+    return spark.read.schema(last.schema).parquet(f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}/*")
+
+
+def distance_to(links: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, hops) of the nodes that reach a source (node), within `most` links if given."""
     spark = links.sparkSession
     both = written(spark, links.select(F.col("a").alias("s"), F.col("b").alias("d")).unionAll(links.select(F.col("b").alias("s"), F.col("a").alias("d"))).distinct(), "edges")
-    found = sources.select("node").distinct().withColumn("hops", F.lit(0))
-    for hop in range(1, most + 1):
+    found, hop, new = sources.select("node").distinct().withColumn("hops", F.lit(0)), 0, 1
+    while new and (most is None or hop < most):
+        hop += 1
         step = found.where(F.col("hops") == hop - 1).join(both, F.col("node") == F.col("s")).select(F.col("d").alias("node")).distinct()
         found = written(spark, found.unionAll(step.join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))), "hops")
+        new = found.where(F.col("hops") == hop).limit(1).count()
     return found

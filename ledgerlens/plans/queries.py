@@ -632,13 +632,13 @@ def _f43(s: SparkSession, d: str) -> DataFrame:
 
 @query("f43_pagerank")
 def _f43p(s: SparkSession, d: str) -> DataFrame:
-    return rounded(graph.pagerank(graph.shared_links(order_prices(s, d), "o_custkey", "price")))
+    return rounded(graph.shared_pagerank(order_prices(s, d), "o_custkey", "price"))
 
 
 @query("f43_distance")
 def _f43d(s: SparkSession, d: str) -> DataFrame:
-    links = graph.shared_links(order_prices(s, d), "o_custkey", "price")
-    return graph.distance_to(links, links.agg(F.min("a").alias("node")))
+    prices = order_prices(s, d)
+    return graph.distance_by_shared(prices, "o_custkey", "price", graph.shared_links(prices, "o_custkey", "price").agg(F.min("a").alias("node")))
 
 
 @query("u5_jaccard", "WITH s AS (SELECT user_id, list_distinct(list(event_type || CAST(CAST(regexp_extract(props, '[0-9]+') AS INT) % 10 AS VARCHAR))) AS a FROM events GROUP BY user_id), b AS (SELECT a AS b FROM s WHERE user_id = (SELECT min(user_id) FROM s)) SELECT user_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM s, b")

@@ -96,6 +96,30 @@ def test_components(spark):
     assert hops == {1: 0, 2: 1, 3: 2}
 
 
+def test_ranks_and_distances_over_shared_values(spark, monkeypatch):
+    import numpy as np
+
+    from ledgerlens.plans import queries
+
+    # four holders of one value, then a chain of eight more values; 90 and 91 share a value apart, 95 shares none
+    pairs = [(k, 100) for k in (1, 2, 3, 4)] + [(k + j, 100 + k) for k in range(4, 12) for j in (0, 1)] + [(90, 500), (91, 500), (95, 600), (2, None), (None, 100), (1, 100)]
+    monkeypatch.setattr(queries, "order_prices", lambda s, d: spark.createDataFrame(pairs, "o_custkey long, price long"))
+    edges = sorted({p for p in pairs if None not in p})
+    nodes = sorted({("e", e) for e, _ in edges} | {("x", x) for _, x in edges})
+    m = np.zeros((len(nodes), len(nodes)))
+    for e, x in edges:
+        i, j = nodes.index(("e", e)), nodes.index(("x", x))
+        m[i, j] = m[j, i] = 1
+    rank = np.linalg.solve(np.eye(len(nodes)) - 0.85 * m / m.sum(0), np.full(len(nodes), 0.15))
+    got = {r["node"]: r["rank"] for r in queries.QUERIES["f43_pagerank"](spark, "").collect()}
+    assert got == pytest.approx({k: r for (kind, k), r in zip(nodes, rank, strict=True) if kind == "e"}, abs=1e-4)
+    hops = sorted((r["node"], r["hops"]) for r in queries.QUERIES["f43_distance"](spark, "").collect())
+    assert hops == [(1, 0), (2, 1), (3, 1), (4, 1)] + [(4 + i, 1 + i) for i in range(1, 9)]
+    assert graph.shared_pagerank(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    links = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
+    assert graph.distance_to(links, spark.createDataFrame([(0,)], "node long")).count() == 7
+
+
 def test_validation(spark):
     good = spark.createDataFrame([(1.0, 0), (2.0, 1)], "x double, label int")
     assert validate.validate({"train": good, "val": good}, "label") == (True, [])
