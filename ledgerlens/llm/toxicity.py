@@ -2,9 +2,10 @@
 
 A word's input joins a learned word vector, the mean of learned vectors of its character n-grams (3 to 8 bytes, with word
 marks), and three statistics of the training labels: the log odds of the word and the largest and mean log odds of its
-n-grams. Two gated recurrent layers read a window of 32 words in either direction, attention pools their states, and a
-linear layer scores the window. Windows start every 24 words, so they overlap, and all windows of a text are scored.
-A logistic layer over the highest, second highest and mean window score and the text's length gives the document's.
+n-grams. A word of over 40 bytes stands as several overlapping pieces, so that all its bytes count. Two gated
+recurrent layers read a window of 32 words in either direction, attention pools their states, and a linear layer
+scores the window. Windows start every 24 words, so they overlap, and all windows of a text are scored. A logistic
+layer over the highest, second highest and mean window score and the text's length gives the document's.
 
 Training: counts of hashed words and n-grams by label over a sample of labelled rows (about `per_class` documents a
 class), then windows of those documents: the most telling ones by the counts and one more. A fifth of the documents is
@@ -31,15 +32,31 @@ from .quality import adam, sigmoid
 
 PER_CLASS, WINDOW, STRIDE, HIDDEN, SEED = 2500, 32, 24, 8, 11
 BITS, GRAMS, VECTOR, STEPS = 16, (3, 4, 5, 6, 8), 8, 600
-STATS, LONGEST, CHUNK = 3, 40, 1024
+STATS, LONGEST, OVERLAP, CHUNK, AT_ONCE = 3, 40, max(GRAMS) - 1, 1024, 16_384
 EDGE = b".,;:!?#$%&*|\"'()[]{}<>-_~^+=/\\"
 BUCKETS = 1 << BITS
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def units(text: bytes) -> list[bytes]:
+    """Words in lower case (A-Z). One over LONGEST bytes becomes, without marks at its edges, overlapping pieces that hold
+    all its n-grams; a piece begins with a blank and has word marks only where the word begins and ends."""
+    words = text.lower().split()
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) > LONGEST:
+            core, step = b"\x02" + w.strip(EDGE) + b"\x03", LONGEST + 2 - OVERLAP
+            out += [b" " + core[a : a + LONGEST + 2] for a in range(0, max(1, len(core) - OVERLAP), step)]
+        else:
+            out.append(w)
+    return out
+
+
 def cores(words: list[bytes]) -> list[bytes]:
-    """Words in lower case (A-Z) without marks at their edges, at most 40 bytes, between word marks."""
-    return [b"\x02" + w.strip(EDGE)[:LONGEST] + b"\x03" for w in words]
+    """Units without marks at their edges, between word marks; pieces of long words as they are."""
+    return [w[1:] if w[:1] == b" " else b"\x02" + w.strip(EDGE) + b"\x03" for w in words]
 
 
 def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,10 +95,10 @@ def label_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
             for a, texts in slices(batch, 0, 256):
                 for text, label in zip(texts, labels[a : a + 256], strict=True):
                     docs[label] += 1
-                    if words := cores(sorted(set(text.lower().split()))):
-                        own, grams, _ = hashed(words)
-                        table[0, label, np.unique(own)] += 1
-                        used = np.unique(grams)
+                    if words := cores(sorted(set(units(text)))):
+                        parts = [[np.unique(x) for x in hashed(words[b : b + AT_ONCE])[:2]] for b in range(0, len(words), AT_ONCE)]
+                        own, used = (np.unique(np.concatenate(x)) for x in zip(*parts, strict=True))
+                        table[0, label, own] += 1
                         table[1, label, used[used < BUCKETS]] += 1
         kind, label, bucket = np.nonzero(table)
         value = table[kind, label, bucket]
@@ -215,16 +232,17 @@ def training_windows(sample: DataFrame, net: Windows) -> list[tuple[int, int, li
             for a, texts in slices(batch, 1, 256):
                 out = []
                 for i, text in enumerate(texts, a):
-                    words = text.lower().split()
+                    words = units(text)
                     if not words:
                         continue
                     kinds = sorted(set(words))
-                    level = dict(zip(kinds, net.stats(*hashed(cores(kinds))).max(1).tolist(), strict=True))
+                    parts = [net.stats(*hashed(cores(kinds[b : b + AT_ONCE]))).max(1) for b in range(0, len(kinds), AT_ONCE)]
+                    level = dict(zip(kinds, np.concatenate(parts).tolist(), strict=True))
                     telling = np.array([level[w] for w in words])
                     at = list(starts(len(words)))
                     best = sorted(at, key=lambda s: -np.sort(telling[s : s + WINDOW])[-3:].sum())[:2]
                     for s in dict.fromkeys([*best, at[(ids[i] or 0) * 7919 % len(at)]]):
-                        out.append((ids[i], labels[i], [w[:64] for w in words[s : s + WINDOW]]))
+                        out.append((ids[i], labels[i], words[s : s + WINDOW]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.binary()))], ["doc_id", "label", "words"])
 
@@ -297,7 +315,7 @@ class Scorer:
         self.table = net.project([])
 
     def summaries(self, texts: list[bytes | None]) -> np.ndarray:
-        split = [(t or b"").lower().split() for t in texts]
+        split = [units(t or b"") for t in texts]
         if len(self.known) > self.most:
             self.known, self.table = {}, self.net.project([])
         new = sorted({w for x in split for w in x} - self.known.keys())

@@ -330,6 +330,20 @@ def test_toxicity(spark, odd, none):
     assert toxicity.op9_toxicity(docs_, labels.where("toxic = 0")).where("predicted = 1").count() == 0
 
 
+def test_toxicity_reads_long_words_to_their_end(spark):
+    for n in (39, 40, 41, 73, 74, 75, 300):
+        word = bytes(97 + i * i % 23 for i in range(n))
+        whole, parts = b"\x02" + word + b"\x03", toxicity.cores(toxicity.units(b"..." + word + b"#" * 90))
+        for k in toxicity.GRAMS:
+            grams = lambda x: {x[i : i + k] for i in range(len(x) - k + 1)}
+            assert set().union(*map(grams, parts)) == grams(whole)
+        assert max(map(len, parts)) <= toxicity.LONGEST + 2
+    docs_, labels = planted(spark)
+    joined = docs_.withColumn("text", F.concat(F.lit("x" * 45), F.translate("text", " ", "_")))
+    got = toxicity.op9_toxicity(joined, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.9 * len(got)
+
+
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Windows(np.zeros(toxicity.BUCKETS + 1), np.zeros(toxicity.BUCKETS + 1))
