@@ -129,17 +129,33 @@ class GaussianHmm:
         d = (x[:, None, :] - self.mean) ** 2 / self.var + np.log(2 * np.pi * self.var)
         return -0.5 * d.sum(2)
 
-    def posteriors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State probabilities by row, and summed transition probabilities: scaled forward and backward passes."""
+    def likelihoods(self, x: np.ndarray) -> np.ndarray:
+        """Densities of rows by state, up to a factor by row."""
         log_b = self.log_density(x)
-        b = np.exp(log_b - log_b.max(1, keepdims=True)) + 1e-300
+        return np.exp(log_b - log_b.max(1, keepdims=True)) + 1e-300
+
+    def passage(self, x: np.ndarray, first: bool) -> np.ndarray:
+        """(k, k) what rows make of the forward vector before them, up to a factor; of the start distribution if `first`,
+        then in each line."""
+        b = self.likelihoods(x)
+        m = np.tile(self.start * b[0], (len(self.start), 1)) if first else self.move * b[0]
+        for row in b[1:]:
+            m = m / m.sum() @ self.move * row
+        return m / m.sum()
+
+    def posteriors(self, x: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """State probabilities by row, and summed transition probabilities: scaled forward and backward passes, from the
+        forward vector of the row before and the backward vector of the last row if x is a part of a sequence."""
+        b = self.likelihoods(x)
         n, k = b.shape
         a, scale, beta = np.zeros((n, k)), np.zeros(n), np.ones((n, k))
         for i in range(n):
-            a[i] = (self.start if i == 0 else a[i - 1] @ self.move) * b[i]
+            a[i] = (a[i - 1] @ self.move if i else self.start if before is None else before @ self.move) * b[i]
             scale[i] = a[i].sum()
             a[i] /= scale[i]
         pairs = np.zeros((k, k))
+        if after is not None:
+            beta[-1] = after
         for i in range(n - 2, -1, -1):
             beta[i] = self.move @ (b[i + 1] * beta[i + 1]) / scale[i + 1]
             pairs += a[i][:, None] * self.move * (b[i + 1] * beta[i + 1]) / scale[i + 1]
@@ -188,19 +204,50 @@ def fit_hmm(df: DataFrame, key: str, t: str, row_id: str, amount: str, states: i
 
 def hmm_features(df: DataFrame, model: GaussianHmm, key: str, t: str, row_id: str, amount: str) -> DataFrame:
     """(row_id, hmm_state, hmm_p0.., hmm_entropy): posteriors along each entity's rows. Entities are cut into chunks of 512
-    rows, each started from the model's own distribution, so a hot entity isn't one group."""
+    rows, so a hot entity isn't one group; each chunk of a longer entity passes on a small matrix, and from those of the
+    others come the vectors that its forward and backward passes begin with, so results are those of the whole entity."""
     from pyspark.sql import Window as W
 
+    from .graph import written
+
     k = len(model.start)
-    rows = hmm_rows(df, amount, t).withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(key).orderBy(t, row_id)) - 1) / 512))
-
-    def run(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("t_us", "ascending"), ("row_id", "ascending")])
-        x = np.stack([order.column(c).to_numpy().astype(float) for c in HMM_COLUMNS], 1)
-        x = np.nan_to_num(x)
-        g = model.posteriors(x)[0] if len(x) >= 2 else np.tile(model.start, (len(x), 1))
-        cols = {"row_id": order.column("row_id"), "hmm_state": pa.array(g.argmax(1).astype(np.int32)), "hmm_entropy": pa.array(-(g * np.log(g + 1e-12)).sum(1))}
+    order = W.partitionBy(key).orderBy(F.col(t).asc_nulls_last(), F.col(row_id).asc_nulls_last())
+    rows = hmm_rows(df, amount, t).withColumn("rn", F.row_number().over(order)).withColumn("chunk", F.floor((F.col("rn") - 1) / 512))
+    narrow = written(df.sparkSession, rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(key).alias("key"), "chunk", "rn", *HMM_COLUMNS), "hmm-rows")
+
+    def values(table: pa.Table) -> np.ndarray:
+        return np.nan_to_num(np.stack([table.column(c).to_numpy().astype(float) for c in HMM_COLUMNS], 1))
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        own = table.sort_by("rn")
+        m = model.passage(values(own), own.column("chunk")[0].as_py() == 0)
+        return pa.table({"key": own.column("key").slice(0, 1), "chunk": own.column("chunk").slice(0, 1), "m": pa.array([m.ravel().tolist()], pa.list_(pa.float64()))})
+
+    def meet(table: pa.Table) -> pa.Table:
+        own = table.sort_by("chunk")
+        m = [np.array(x).reshape(k, k) for x in own.column("m").to_pylist()]
+        before, after = [model.start], [np.ones(k)]
+        for x in m[:-1]:
+            before.append(before[-1] @ x / (before[-1] @ x).sum())
+        for x in m[:0:-1]:
+            after.append(x @ after[-1] / (x @ after[-1]).max())
+        kind = pa.list_(pa.float64())
+        return pa.table({"key": own.column("key"), "chunk": own.column("chunk"), "before": pa.array([x.tolist() for x in before], kind), "after": pa.array([x.tolist() for x in after[::-1]], kind)})
+
+    def run(table: pa.Table, ends: pa.Table) -> pa.Table:
+        own = table.sort_by("rn")
+        x = values(own)
+        if ends.num_rows:
+            before, after = (np.array(ends.column(c)[0].as_py()) for c in ("before", "after"))
+            g = model.posteriors(x, None if own.column("chunk")[0].as_py() == 0 else before, after)[0]
+        else:
+            g = model.posteriors(x)[0] if len(x) >= 2 else np.tile(model.start, (len(x), 1))
+        cols = {"row_id": own.column("row_id"), "hmm_state": pa.array(g.argmax(1).astype(np.int32)), "hmm_entropy": pa.array(-(g * np.log(g + 1e-12)).sum(1))}
         return pa.table(cols | {f"hmm_p{i}": pa.array(g[:, i].copy()) for i in range(k)})
 
-    narrow = rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(key).alias("key"), "chunk", F.col(t).alias("t_us"), *HMM_COLUMNS)
-    return narrow.groupBy("key", "chunk").applyInArrow(run, "row_id long, hmm_state int, hmm_entropy double, " + ", ".join(f"hmm_p{i} double" for i in range(k)))
+    name = narrow.schema["key"].dataType.simpleString()
+    longer = narrow.where("chunk = 1").select(F.col("key").alias("longer")).distinct()
+    parts = narrow.join(longer, F.col("key").eqNullSafe(F.col("longer")), "left_semi")
+    passed = parts.groupBy("key", "chunk").applyInArrow(pass_on, f"key {name}, chunk long, m array<double>")
+    ends = passed.groupBy("key").applyInArrow(meet, f"key {name}, chunk long, before array<double>, after array<double>")
+    return narrow.groupBy("key", "chunk").cogroup(ends.groupBy("key", "chunk")).applyInArrow(run, "row_id long, hmm_state int, hmm_entropy double, " + ", ".join(f"hmm_p{i} double" for i in range(k)))

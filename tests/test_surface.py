@@ -104,6 +104,24 @@ def test_hmm_and_autoencoder(spark):
     assert ae.errors(np.full((1, 3), 50.0)).mean() > ae.errors(np.zeros((1, 3))).mean()
 
 
+def test_hmm_of_long_entities(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = {1: 1100, 2: 513, 3: 1, 4: 40, None: 1030}
+    rows = [(100_000 * (e or 9) + i, e, i * HOUR // 7, float(rng.gamma(1 + (i // 37) % 3 * 4))) for e, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, card long, t_us long, amount double")
+    model = anomaly.GaussianHmm(3, 3)
+    model.mean, model.var, model.start = np.array([[0.5, 0.5, 0.5], [1.5, 0.5, 0.5], [2.2, 0.5, 0.5]]), np.full((3, 3), 0.4), np.array([0.7, 0.2, 0.1])
+    got = {r["row_id"]: [r["hmm_p0"], r["hmm_p1"], r["hmm_p2"]] for r in anomaly.hmm_features(df, model, "card", "t_us", "row_id", "amount").collect()}
+    assert len(got) == len(rows)
+    for e, n in sizes.items():
+        own = [r for r in rows if r[1] == e]
+        x = np.array([[np.log1p(v), t // 3_600_000_000 % 24 / 24, (t // 86_400_000_000 + 3) % 7 / 7] for _, _, t, v in own])
+        expected = model.posteriors(x)[0] if n > 1 else model.start[None]
+        assert np.allclose([got[r[0]] for r in own], expected, atol=1e-9)
+
+
 def test_log_decisions_and_report(spark, tmp_path):
     log = spark.createDataFrame([("d", i, f"exp_{i}", s, "Velocity campaign step 1/2", st, 10 + i, {"f": 1.0 * i}) for i, s, st in ((1, 0.5, "keep"), (2, 0.5005, "discard"), (3, 0.6, "keep"), (4, None, "crash"))], "dataset string, seq int, id string, score double, hypothesis string, status string, n_features int, top_features map<string,double>")
     got = {r["id"]: r["decided"] for r in experiments.decisions(log, "score", F.lit(False)).collect()}
