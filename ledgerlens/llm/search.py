@@ -1,21 +1,32 @@
-"""Exact top-k search by BM25 over an inverted index with block-max pruning, run per shard and merged exactly.
+"""Exact top-k search by BM25 over an inverted index with block-max WAND pruning, run per shard and merged exactly.
 
-Rows are dealt to shards of about `SHARD` rows by a hash. Each shard's postings meet the global document frequencies in
-a join by term and become an index: the weight of every posting, and the greatest weight of every term in every block
-of 128 rows. Queries come in blocks; for a block, one product of query weights and block maxima bounds the score of any
-row of a block of rows for all its queries at once. Rows are scored group by group (32 blocks; terms in many of a group's rows by one matrix product), and a query leaves
-out each group in which no block's bound reaches its k-th best score so far. The shards' best k are merged by score.
+Distinct rows are dealt to shards by a hash. Each shard's postings meet the global document frequencies in a join by
+term and become an index: the weight of every posting, by term and then by row, and for every term the greatest weight
+in each block of 128 rows that holds it. A shard's index and the queries reach one task as one sorted stream, index
+first, so a task holds one shard and a block of queries, however many queries there are.
+
+Queries run together over stretches of 32 blocks, in order of the rows. For each query:
+
+1. A block whose sum of the query's block maxima is under the threshold (the k-th best score so far; at first the k-th
+   greatest weight of any one of its terms) is skipped with all its postings.
+2. The query's terms stand in order of their bounds. Those before the pivot, whose bounds together stay under the
+   threshold, can't lift a row to it alone: only rows with a term at or behind the pivot are candidates, and their
+   scores from those terms are summed from the postings of the blocks left.
+3. A candidate whose score plus the block maxima of the terms before the pivot is under the threshold is dropped. Only
+   for the rest are the postings of those terms looked up.
+
+Every step compares bounds that no score exceeds, so nothing is lost. The shards' best k are merged by score.
 
 Scores are rounded to 6 digits and ties go to the lower (conv_id, turn), nulls last, so results are exact and repeatable.
 
 Cases: texts without words are found by no query and find nothing; words of a query that occur nowhere else count for
-the row itself; repeated rows are all found, and each distinct query is answered once; rows without a conv_id can be
-found but don't ask; extra columns are left out; an empty table gives an empty result.
+the row itself; repeated rows are indexed once with their number and are all found, and each distinct query is answered
+once; rows without a conv_id can be found but don't ask; extra columns are left out; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,152 +40,251 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 20
-SHARD, BLOCK, GROUP, QUERIES, BLOCKS_A_TASK = 12_288, 128, 4096, 256, 16
-#: Terms in at least this share of a group's rows are scored by a matrix product.
-FREQUENT = 1 / 16
-SLACK = 1e-5
+#: A shard holds about so many rows and bytes; a task answers about so many queries with one copy of a shard's index.
+SHARD, SHARD_BYTES, TASK_QUERIES = 16_384, 16 << 20, 65_536
+BLOCK, BLOCKS, QUERIES = 128, 32, 256
+#: Terms in at least this share of a stretch's rows are scored by a matrix product.
+FREQUENT = 1 / 32
+#: Bounds are sums in another order than scores, and scores are rounded.
+SLACK, OVER = 1e-5, 1 + 1e-9
 
 
 def shard_postings(rows: DataFrame) -> DataFrame:
-    """(shard, term, docs, tf): places and uses of each term in a shard; the empty term holds the rows' ids and lengths."""
+    """(shard, term, n, docs, tf) of `rows` (shard, conv_id, turn, text, copies): places and uses of each term in a shard,
+    and the number of rows it is in. The empty term holds the rows' ids, numbers and lengths."""
 
     def build(table: pa.Table) -> pa.Table:
-        got = table.to_pydict()
-        order = sorted(range(table.num_rows), key=lambda i: (got["conv_id"][i] is None, got["conv_id"][i] or 0, got["turn"][i] is None, got["turn"][i] or 0))
+        shard, conv, turn, copies = (table.column(c).to_pylist() for c in ("shard", "conv_id", "turn", "copies"))
+        order = sorted(range(table.num_rows), key=lambda i: (conv[i] is None, conv[i] or 0, turn[i] is None, turn[i] or 0))
         found: dict[bytes, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
-        sizes = []
+        sizes, text = [], table.column("text")
         for place, i in enumerate(order):
-            words = (got["text"][i] or b"").lower().split()
+            words = (text[i].as_py() or b"").lower().split()
             sizes.append(len(words))
             for w, k in Counter(words).items():
                 found[w][0].append(place)
                 found[w][1].append(k)
         pack = lambda x: np.array(x, np.int32).tobytes()
-        ids = pickle.dumps(([got["conv_id"][i] for i in order], [got["turn"][i] for i in order]))
+        many = np.array([copies[i] for i in order], np.int64)
+        ids = pickle.dumps(([conv[i] for i in order], [turn[i] for i in order], many.tolist()))
         terms = [b"", *found]
         docs, tf = [ids, *(pack(found[w][0]) for w in terms[1:])], [pack(sizes), *(pack(found[w][1]) for w in terms[1:])]
-        n = [0, *(len(found[w][0]) for w in terms[1:])]
-        return pa.table({"shard": pa.array([got["shard"][0]] * len(terms), pa.int64()), "term": pa.array(terms, pa.binary()), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.binary()), "tf": pa.array(tf, pa.binary())})
+        n = [0, *(int(many[found[w][0]].sum()) for w in terms[1:])]
+        return pa.table({"shard": pa.array([shard[0]] * len(terms), pa.int64()), "term": pa.array(terms, pa.binary()), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.binary()), "tf": pa.array(tf, pa.binary())})
 
     return rows.groupBy("shard").applyInArrow(build, "shard long, term binary, n long, docs binary, tf binary")
 
 
+def expanded(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which piece, place) of every element of the pieces that begin at `starts` and hold `sizes` elements."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 class ShardIndex:
-    """Postings with weights by group of rows, block maxima by term."""
+    """Postings with weights in one piece, cut into runs of one term and one block of rows with their greatest weight.
+
+    `all_postings` counts those of the terms asked for, `scored` those whose weight was read."""
 
     def __init__(self, postings: list[tuple[bytes, int, bytes, bytes]], total: int, mean: float):
         first = next(p for p in postings if p[0] == b"")
-        self.conv, self.turn = pickle.loads(first[2])
+        self.conv, self.turn, self.copies = pickle.loads(first[2])
         sizes = np.frombuffer(first[3], np.int32)
         self.n = len(sizes)
         norm = K1 * (1 - B + B * sizes / mean) if mean else np.full(self.n, K1)
         terms = sorted(p for p in postings if p[0])
         self.place = {p[0]: i for i, p in enumerate(terms)}
-        # all postings in one piece, by term and then by row
         n = np.array([len(p[2]) // 4 for p in terms], np.int64)
         df = np.repeat(np.array([p[1] for p in terms], float), n)
-        self.rows = np.frombuffer(b"".join([p[2] for p in terms]), np.int32).astype(np.int64)
+        self.rows = np.frombuffer(b"".join([p[2] for p in terms]), np.int32)
         tf = np.frombuffer(b"".join([p[3] for p in terms]), np.int32)
         self.weight = np.log(1 + (total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm[self.rows])
-        term, blocks, groups = np.repeat(np.arange(len(terms)), n), -(-self.n // BLOCK), -(-self.n // GROUP)
-        self.maxima = np.zeros((len(terms), blocks), np.float32)
-        if len(term):
-            cell = term * blocks + self.rows // BLOCK
-            first = np.flatnonzero(np.diff(cell, prepend=-1))
-            self.maxima.ravel()[cell[first]] = np.maximum.reduceat(self.weight, first)
-        # where the postings of a term in a group begin: bounds[term, group] to bounds[term, group + 1]
-        cells = np.searchsorted(term * groups + self.rows // GROUP, np.arange(len(terms) * groups + 1))
-        self.bounds = np.stack([cells[g : g + len(terms) * groups : groups] for g in range(groups)] + [cells[groups::groups]], 1) if groups else np.zeros((len(terms), 1), np.int64)
-        self.groups = groups
+        self.starts = np.append(0, np.cumsum(n))
+        blocks = -(-self.n // BLOCK)
+        cell = np.repeat(np.arange(len(terms)), n) * blocks + self.rows // BLOCK
+        begin = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.run_block = (cell[begin] % max(1, blocks)).astype(np.int64)
+        self.run_start = np.append(begin, len(self.rows))
+        self.run_max = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.run_of = np.searchsorted(begin, self.starts)
+        self.blocks = blocks
+        self.seed: dict[tuple[int, int], float] = {}
+        self.cuts: dict[int, np.ndarray] = {}
+        self.all_postings = self.scored = 0
+
+    def kth(self, term: int, top: int) -> float:
+        """The `top`-th greatest weight of a term: a query with it has that many rows of at least this score."""
+        if (term, top) not in self.seed:
+            w = self.weight[self.starts[term] : self.starts[term + 1]]
+            self.seed[term, top] = float(np.partition(w, -top)[-top]) if len(w) >= top else 0.0
+        return self.seed[term, top]
 
     def search(self, queries: list[dict[bytes, int]], top: int) -> list[list[tuple[float, int]]]:
         """(score, row) of the best rows of each query, best first."""
-        asked: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for q, words in enumerate(queries):
-            for w, k in words.items():
-                if w in self.place:
-                    asked[self.place[w]].append((q, k))
-        terms = sorted(asked)
-        weights = np.zeros((len(queries), len(terms)), np.float32)
-        for c, t in enumerate(terms):
-            for q, k in asked[t]:
-                weights[q, c] = k
-        bounds = weights @ self.maxima[terms] * np.float32(1 + 1e-5)
+        n_q, per = len(queries), BLOCKS * BLOCK
+        pairs = [(q, self.place[w], k) for q, words in enumerate(queries) for w, k in words.items() if w in self.place]
+        q_of, term, uses = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        least = np.zeros(n_q)
+        np.maximum.at(least, q_of, np.array([k * self.kth(t, top) for _, t, k in pairs]))
+        least -= SLACK
         best: list[list[tuple[float, int]]] = [[] for _ in queries]
-        least = np.full(len(queries), 0.0)
-        per = GROUP // BLOCK
-        asked_list = [(t, asked[t]) for t in terms]
-        for g in range(self.groups):
-            active = (bounds[:, g * per : (g + 1) * per].max(1) + SLACK >= least) & (bounds[:, g * per : (g + 1) * per].max(1) > 0)
-            if not active.any():
+        for a in range(0, self.blocks, BLOCKS):
+            # the runs of each (query, term) in this stretch
+            lo, hi = self.runs(term, a), self.runs(term, a + BLOCKS)
+            size = self.run_start[hi] - self.run_start[lo]
+            pair, run = expanded(lo, hi - lo)
+            self.all_postings += int(size.sum())
+            q, block, bound = q_of[pair], self.run_block[run] - a, self.run_max[run] * uses[pair]
+            whole = np.bincount(q * BLOCKS + block, bound, n_q * BLOCKS).reshape(n_q, BLOCKS)
+            live = (whole > 0) & (whole * OVER >= least[:, None])
+            if not live.any():
                 continue
-            scores = np.zeros((len(queries), GROUP))
-            sizes = self.bounds[terms, g + 1] - self.bounds[terms, g]
-            often = np.flatnonzero(sizes >= FREQUENT * GROUP)
-            if len(often):
-                dense = np.zeros((len(often), GROUP))
-                for i, c in enumerate(often.tolist()):
-                    part = slice(self.bounds[terms[c], g], self.bounds[terms[c], g + 1])
-                    dense[i, self.rows[part] - g * GROUP] = self.weight[part]
-                scores[active] = weights[np.ix_(active, often)].astype(float) @ dense
-            lines = [scores[q] if active[q] else None for q in range(len(queries))]
-            for c in np.flatnonzero((sizes > 0) & (sizes < FREQUENT * GROUP)).tolist():
-                t, who = asked_list[c]
-                part = slice(self.bounds[t, g], self.bounds[t, g + 1])
-                docs, weight = self.rows[part] - g * GROUP, self.weight[part]
-                for q, k in who:
-                    line = lines[q]
-                    if line is not None:
-                        line[docs] += weight if k == 1 else weight * k
-            for q in np.flatnonzero(active):
-                row = scores[q].round(6)
-                found = np.flatnonzero((row >= least[q]) & (row > 0))
-                if len(found) > top:
-                    floor = np.partition(row[found], -top)[-top]
-                    # of the rows that tie at the k-th score, the first come first; better ones all stay
-                    found = np.concatenate([found[row[found] > floor], found[row[found] == floor][:top]])
-                both = best[q] + [(float(row[d]), g * GROUP + int(d)) for d in found]
-                best[q] = sorted(both, key=lambda x: (-x[0], x[1]))[:top]
-                if len(best[q]) == top:
-                    least[q] = best[q][-1][0]
+            often = size >= FREQUENT * per
+            before = self.before_pivot(q_of, pair, bound, often, least)
+            live_run = live[q, block]
+            # rows of few terms: postings of the blocks left, one by one
+            few = np.flatnonzero(live_run & ~often[pair])
+            piece, at = expanded(self.run_start[run[few]], self.run_start[run[few] + 1] - self.run_start[run[few]])
+            self.scored += len(at)
+            cell = (q[few] * per)[piece] + (self.rows[at] - a * BLOCK)
+            score = np.bincount(cell, self.weight[at] * uses[pair[few]][piece], n_q * per).reshape(n_q, per)
+            # frequent terms: a product of weights, first of those behind the pivot
+            kinds, own = np.unique(term[often], return_inverse=True)
+            dense = self.dense(kinds, a, per)
+            weights = np.zeros((n_q, len(kinds)))
+            weights[q_of[often], own] = uses[often]
+            late = weights.copy()
+            late[q_of[often & before], np.searchsorted(kinds, term[often & before])] = 0
+            some = np.flatnonzero(late.any(1))
+            if len(some):
+                score[some] += late[some] @ dense
+                self.scored += int(size[often & ~before].sum())
+            low = np.flatnonzero(before[pair] & live_run)
+            rest = np.bincount(q[low] * BLOCKS + block[low], bound[low], n_q * BLOCKS).reshape(n_q, BLOCKS, 1)
+            by_block = score.reshape(n_q, BLOCKS, BLOCK)
+            alive = (live[:, :, None] & (by_block > 0) & ((by_block + rest) * OVER >= least[:, None, None])).reshape(n_q, per)
+            early = weights - late
+            for i in np.flatnonzero(alive.any(1)):
+                found = np.flatnonzero(alive[i])
+                row, used = score[i, found], np.flatnonzero(early[i])
+                if len(used):
+                    part = dense[np.ix_(used, found)]
+                    row = row + early[i, used] @ part
+                    self.scored += int(np.count_nonzero(part))
+                row = row.round(6)
+                keep = row >= least[i]
+                best[i] = self.merged(best[i], found[keep] + a * BLOCK, row[keep], top)
+                if len(best[i]) == top:
+                    least[i] = max(least[i], best[i][-1][0] - SLACK)
         return best
 
+    @staticmethod
+    def merged(best: list[tuple[float, int]], found: np.ndarray, row: np.ndarray, top: int) -> list[tuple[float, int]]:
+        if len(found) > top:
+            floor = np.partition(row, -top)[-top]
+            # of the rows that tie at the k-th score, the first come first; better ones all stay
+            pick = np.concatenate([np.flatnonzero(row > floor), np.flatnonzero(row == floor)[:top]])
+            found, row = found[pick], row[pick]
+        return sorted(best + list(zip(row.tolist(), found.tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:top]
+
+    @staticmethod
+    def before_pivot(q_of: np.ndarray, pair: np.ndarray, bound: np.ndarray, often: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether a (query, term) stands before its query's pivot: frequent terms from the lowest bound up, as long as
+        their sum is under the threshold."""
+        high = np.zeros(len(q_of))
+        np.maximum.at(high, pair, bound)
+        order = np.lexsort((np.where(often, high, np.inf), q_of))
+        total = np.append(0, np.cumsum(high[order]))
+        start = np.searchsorted(q_of[order], q_of[order])
+        before = np.zeros(len(q_of), bool)
+        before[order] = often[order] & ((total[1:] - total[start]) * OVER + 1e-6 < least[q_of[order]])
+        return before
+
+    def runs(self, term: np.ndarray, block: int) -> np.ndarray:
+        """The first run of each term at or after a block."""
+        if block not in self.cuts:
+            owner = np.repeat(np.arange(len(self.run_of) - 1), np.diff(self.run_of))
+            step = self.blocks + 1
+            self.cuts[block] = np.searchsorted(owner * step + self.run_block, np.arange(len(self.run_of) - 1) * step + min(block, self.blocks))
+        return self.cuts[block][term]
+
+    def dense(self, terms: np.ndarray, a: int, rows: int) -> np.ndarray:
+        """Weights of terms (rows) in a stretch of rows (columns); terms in a share FREQUENT of them are at most 32 a row."""
+        first = self.run_start[self.runs(terms, a)]
+        which, at = expanded(first, self.run_start[self.runs(terms, a + BLOCKS)] - first)
+        out = np.zeros((len(terms), rows))
+        out[which, self.rows[at] - a * BLOCK] = self.weight[at]
+        return out
+
 
 def search(rows: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """(conv_id, turn, rank, hit_conv_id, hit_turn, score): the best `top` of `rows` for each row of `queries`."""
     spark = rows.sparkSession
+    ids = [F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")]
+    text = F.col("text").cast("binary").alias("text")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(words).alias("words")).first()
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(words).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
     total, mean = stats["n"], (stats["words"] or 0) / max(1, stats["n"])
-    shards, blocks = max(1, -(-total // SHARD)), max(1, -(-queries.count() // QUERIES))
-    ids = [F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")]
-    dealt = rows.select(F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(shards)).cast("long").alias("shard"), *ids, F.col("text").cast("binary").alias("text"))
+    shards = max(1, -(-total // SHARD), -(-(stats["bytes"] or 0) // SHARD_BYTES))
+    parts = max(1, -(-queries.count() // TASK_QUERIES))
+    distinct = rows.select(*ids, text).groupBy("conv_id", "turn", "text").agg(F.count(F.lit(1)).alias("copies"))
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(shards)).cast("long"))
     postings = written(spark, shard_postings(dealt), "postings")
     df = postings.groupBy("term").agg(F.sum("n").alias("df"))
-    weighed = postings.join(df, "term").select("shard", "term", "df", "docs", "tf")
-    asks = queries.select(*ids, F.col("text").cast("binary").alias("text")).distinct()
-    asks = asks.withColumn("block", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(blocks))).withColumn("part", F.floor(F.col("block") / BLOCKS_A_TASK))
-    asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    parts = -(-blocks // BLOCKS_A_TASK)
-    spread = weighed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def answer(index: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if index.num_rows and asked.num_rows:
-            own = ShardIndex(list(zip(*(index.column(c).to_pylist() for c in ("term", "df", "docs", "tf")), strict=True)), total, mean)
-            got = asked.to_pydict()
-            order = sorted(range(asked.num_rows), key=lambda i: (got["block"][i], got["conv_id"][i], got["turn"][i] or 0))
-            for a in range(0, len(order), QUERIES):
-                some = order[a : a + QUERIES]
-                hits = own.search([Counter((got["text"][i] or b"").lower().split()) for i in some], top)
-                out += [(got["conv_id"][i], got["turn"][i], own.conv[d], own.turn[d], s) for i, found in zip(some, hits, strict=True) for s, d in found]
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int64()] * 4 + [pa.float64()]
-        return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("conv_id", "turn", "hit_conv_id", "hit_turn", "score"), cols, kinds, strict=True)})
-
-    hits = spread.groupBy("shard", "part").cogroup(asks.groupBy("shard", "part")).applyInArrow(answer, "conv_id long, turn long, hit_conv_id long, hit_turn long, score double")
-    best = W.partitionBy("conv_id", "turn").orderBy(F.desc("score"), F.col("hit_conv_id").asc_nulls_last(), F.col("hit_turn").asc_nulls_last())
-    ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    no = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    index = postings.join(df, "term").select("shard", "term", "df", "docs", "tf", *no("long", "conv_id", "turn"), *no("binary", "text"), every(parts, "part"))
+    asks = queries.select(*ids, text).where(F.col("conv_id").isNotNull()).distinct()
+    asks = asks.withColumn("part", F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(parts)))
+    asks = asks.select(every(shards, "shard"), *no("binary", "term"), *no("long", "df"), *no("binary", "docs", "tf"), "conv_id", "turn", "text", "part")
+    both = index.unionByName(asks).repartitionById(shards * parts, (F.col("shard") * parts + F.col("part")).cast("int"))
+    # an index comes before its queries, in any order of its terms
+    stream = both.sortWithinPartitions("shard", "part", F.col("term").isNull(), "conv_id", "turn")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        postings: list[tuple] = []
+        own: ShardIndex | None = None
+        held: list[tuple] = []
+
+        def hits() -> pa.RecordBatch:
+            found = own.search([Counter((t or b"").lower().split()) for *_, t in held], top)
+            out = [(c, n, xxhash.xxh3_64_intdigest(t or b"") >> 1, own.conv[d], own.turn[d], own.copies[d], s) for (c, n, t), some in zip(held, found, strict=True) for s, d in some]
+            held.clear()
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 6 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "turn", "asked", "hit_conv_id", "hit_turn", "copies", "score"])
+
+        import xxhash
+
+        for batch in batches:
+            keys = list(zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            cols = [batch.column(c) for c in ("term", "df", "docs", "tf", "conv_id", "turn", "text")]
+            for i, key in enumerate(keys):
+                if key != now:
+                    if held:
+                        yield hits()
+                    now, postings, own = key, [], None
+                term, df, docs, tf, conv, turn, text = (c[i].as_py() for c in cols)
+                if term is not None:
+                    postings.append((term, df, docs, tf))
+                    continue
+                if own is None:
+                    if not postings:
+                        continue
+                    own, postings = ShardIndex(postings, total, mean), []
+                held.append((conv, turn, text))
+                if len(held) == QUERIES:
+                    yield hits()
+        if held:
+            yield hits()
+
+    found = stream.mapInArrow(answer, "conv_id long, turn long, asked long, hit_conv_id long, hit_turn long, copies long, score double")
+    best = W.partitionBy("conv_id", "turn", "asked").orderBy(F.desc("score"), F.col("hit_conv_id").asc_nulls_last(), F.col("hit_turn").asc_nulls_last())
+    first = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # repeated rows are all found
+    copies = first.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(top)))))
+    ranked = copies.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.select("conv_id", "turn", "rank", "hit_conv_id", "hit_turn", "score")
 
 
@@ -184,15 +294,16 @@ def op4_search(turns: DataFrame) -> DataFrame:
 
 
 OP4_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, conv_id, turn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM conversations),
+WITH d AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM conversations),
 n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
 t AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
 f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
 p AS (SELECT t.r, t.w, t.tf, ln(1 + (n.n - df + 0.5) / (df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len(d.w) / n.mean)) AS weight
       FROM t JOIN f USING (w) JOIN d USING (r), n),
-s AS (SELECT q.r AS q, p.r AS d, round(sum(q.tf * p.weight), 6) AS score FROM t q JOIN d ON d.r = q.r AND d.conv_id % 20 = 0 JOIN p ON p.w = q.w GROUP BY ALL),
+a AS (SELECT min(r) AS r FROM d WHERE conv_id % 20 = 0 GROUP BY conv_id, turn, t),
+s AS (SELECT q.r AS q, p.r AS d, round(sum(q.tf * p.weight), 6) AS score FROM a JOIN t q USING (r) JOIN p ON p.w = q.w GROUP BY ALL),
 k AS (SELECT x.conv_id, x.turn, y.conv_id AS hit_conv_id, y.turn AS hit_turn, score,
-        row_number() OVER (PARTITION BY x.conv_id, x.turn ORDER BY score DESC, y.conv_id NULLS LAST, y.turn NULLS LAST) AS rank
+        row_number() OVER (PARTITION BY s.q ORDER BY score DESC, y.conv_id NULLS LAST, y.turn NULLS LAST) AS rank
       FROM s JOIN d x ON x.r = s.q JOIN d y ON y.r = s.d)
 SELECT conv_id, turn, CAST(rank AS INT) AS rank, hit_conv_id, hit_turn, score FROM k WHERE rank <= 10
 """

@@ -164,17 +164,14 @@ def test_length_histogram(docs, odd, none):
 # --- op4 ---
 
 
-def test_search_matches_brute_force(spark):
-    rng = random.Random(2)
-    data = [(i // 3, i % 3, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(12)))) for i in range(120)] + [(None, 0, "a b"), (7, 1, None), (20, 0, "a b c")]
-    turns = spark.createDataFrame(data, "conv_id long, turn long, text string")
-    got = {(r["conv_id"], r["turn"], r["rank"]): (r["hit_conv_id"], r["hit_turn"], r["score"]) for r in search.op4_search(turns).collect()}
+def brute_search(data, top=10):
+    """Sorted (conv_id, turn, rank, hit_conv_id, hit_turn, score) by each distinct asking row."""
     docs_ = [collections.Counter(words(t)) for *_, t in data]
     size = [sum(c.values()) for c in docs_]
     mean, n = sum(size) / len(size), len(data)
     df = collections.Counter(w for c in docs_ for w in c)
-    expected = {}
-    for (a, b, _), q in {(x[0], x[1], x[2]): c for x, c in zip(data, docs_, strict=True)}.items():
+    out = []
+    for (a, b, _), q in {x: c for x, c in zip(data, docs_, strict=True)}.items():
         if a is None or a % 20:
             continue
         found = []
@@ -182,21 +179,64 @@ def test_search_matches_brute_force(spark):
             s = sum(k * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * own[w] * 2.2 / (own[w] + 1.2 * (0.25 + 0.75 * z / mean)) for w, k in q.items() if own[w])
             if s > 0:
                 found.append((-round(s, 6), c is None, c or 0, d, c))
-        expected.setdefault((a, b), []).extend((x[4], x[3], -x[0]) for x in sorted(found)[:10])
-    for (a, b), found in expected.items():
-        found = sorted(found, key=lambda x: (-x[2], x[0] is None, x[0] or 0, x[1]))[:10]
-        for i, x in enumerate(found, 1):
-            assert got[a, b, i][:2] == x[:2] and got[a, b, i][2] == pytest.approx(x[2], abs=2e-6)
-    assert search.op4_search(turns.limit(0)).count() == 0
+        out += [(a, b, i, x[4], x[3], round(-x[0], 5)) for i, x in enumerate(sorted(found)[:top], 1)]
+    return sorted(out, key=str)
+
+
+def searched(spark, data):
+    rows = search.op4_search(spark.createDataFrame(data, "conv_id long, turn long, text string")).collect()
+    return sorted(((r["conv_id"], r["turn"], r["rank"], r["hit_conv_id"], r["hit_turn"], round(r["score"], 5)) for r in rows), key=str)
+
+
+def close(got, expected):
+    assert len(got) == len(expected)
+    for x, y in zip(got, expected, strict=True):
+        assert x[:5] == y[:5] and x[5] == pytest.approx(y[5], abs=3e-5)
+
+
+def test_search_matches_brute_force(spark):
+    rng = random.Random(2)
+    data = [(i // 3, i % 3, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(12)))) for i in range(120)] + [(None, 0, "a b"), (7, 1, None), (20, 0, "a b c")]
+    close(searched(spark, data), brute_search(data))
+    assert search.op4_search(spark.createDataFrame(data, "conv_id long, turn long, text string").limit(0)).count() == 0
 
 
 def test_search_keeps_better_rows_after_ties(spark):
-    data = [(i, 0, "ok thanks") for i in range(1, 101)] + [(1000, 0, "ok thanks really")]
-    got = {}
-    for r in search.op4_search(spark.createDataFrame(data, "conv_id long, turn long, text string")).collect():
-        got.setdefault(r["conv_id"], {})[r["rank"]] = r["hit_conv_id"]
-    assert [got[1000][k] for k in range(1, 11)] == [1000, *range(1, 10)]
-    assert [got[20][k] for k in range(1, 11)] == list(range(1, 11))
+    """A thousand rows that tie, better ones after them, and one row many times over."""
+    data = [(i, 0, "ok thanks") for i in range(1, 1001)] + [(2000 + i, 0, "ok thanks really") for i in range(3)] + [(5000, 0, "ok then")] * 30
+    close(searched(spark, data), brute_search(data))
+
+
+def test_search_skips_postings_but_no_row():
+    """Short queries over many rows, in several stretches and shards: the same as scoring everything, with less read."""
+    rng = np.random.default_rng(4)
+    kinds = [f"w{i}".encode() for i in range(400)]
+    share = 1 / (np.arange(400) + 3)
+    texts = [[kinds[i] for i in rng.choice(400, rng.integers(3, 40), p=share / share.sum())] for _ in range(9000)]
+    texts[8000:8200] = [texts[3]] * 200
+    counts = [collections.Counter(t) for t in texts]
+    df = collections.Counter(w for c in counts for w in c)
+    mean = sum(map(len, texts)) / len(texts)
+    found = collections.defaultdict(lambda: ([], []))
+    for i, c in enumerate(counts):
+        for w, k in c.items():
+            found[w][0].append(i)
+            found[w][1].append(k)
+    pack = lambda x: np.array(x, np.int32).tobytes()
+    ids = __import__("pickle").dumps((list(range(9000)), [0] * 9000, [1] * 9000))
+    index = search.ShardIndex([(b"", 0, ids, pack([len(t) for t in texts]))] + [(w, df[w], pack(a), pack(b)) for w, (a, b) in found.items()], 9000, mean)
+    queries = [collections.Counter(t[:3]) for t in texts[::60]] + [collections.Counter([b"w0"]), collections.Counter([b"none"])]
+    got = index.search(queries, 10)
+    for q, hits in zip(queries, got, strict=True):
+        score = np.zeros(9000)
+        for w, k in q.items():
+            if w in index.place:
+                part = slice(*index.starts[[index.place[w], index.place[w] + 1]])
+                score[index.rows[part]] += k * index.weight[part]
+        score = score.round(6)
+        best = np.lexsort((np.arange(9000), -score))[:10]
+        assert [d for _, d in hits] == [d for d in best.tolist() if score[d] > 0]
+    assert index.scored < 0.6 * index.all_postings
 
 
 # --- op5 ---
