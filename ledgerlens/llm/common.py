@@ -56,9 +56,11 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set (tests, local runs)."""
+    """The shared folder of the cluster; a folder of our own only in local mode where none is set (tests, local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="spark-ledgerlens-")
@@ -67,9 +69,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them again."""
+    """Cuts the lineage: writes the rows to the shared folder and reads them again. Results are read lazily, so the table
+    stays as long as the application and is deleted at its end."""
     path = f"{shared_dir(spark).rstrip('/')}/ledgerlens-{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -1,18 +1,21 @@
 """Near duplicates by MinHash with sequential Bayesian verification.
 
 1. One pass hashes every text's distinct five-word shingles (64 bits), and takes 250 minima, of which 50 bands of 5
-   make the candidates: a pair at the threshold of 0.75 shares no band with probability 1.3e-6. Equal sets become one node.
+   make the candidates: a pair at the threshold of 0.75 shares no band with probability 1.3e-6. Equal sets are one node,
+   named by the set's fingerprint (128 bits), however many rows have that set.
 2. Nodes that share a band meet in the band's bucket. In each bucket all nodes are first compared with one leader (the
    smallest set, then another): a number of pairs linear in the bucket's size. A bucket whose nodes are then all in one
    component is done, whatever its size: its other pairs can't change the result.
 3. What is left of small buckets is compared in full. What is left of large ones (many texts with one long passage in
    common) goes through an exact prefix filter: any two sets at the threshold share one of the rarest quarter of their
-   shingles at positions that leave enough room for the overlap, so common passages make no candidates.
+   shingles at positions that leave enough room for the overlap, so common passages make no candidates. Sets meet
+   only within a class of sizes and its neighbour, and a shingle that many prefixes share is dealt over many tasks.
 4. Each candidate is verified in sequence: signatures are compared 50 minima at a time, and a pair is dropped as soon
    as the posterior probability (uniform prior) that its similarity reaches the threshold is under `miss`; the rest are
    confirmed on the full sets.
 
-Only texts of candidates are read again. The broadcast of their ids is behind a check of their number.
+Only texts of candidates are read again, each once: their sets are kept for later steps. The broadcast of their ids is
+behind a check of their number.
 
 Cases: texts without words have an empty set, are linked with nothing and are their own component; texts of fewer than
 five words are one shingle; rows that share a doc_id are one document, with the links of all its texts; rows without
@@ -37,7 +40,7 @@ from .lattice import Cache
 
 WIDTH, BANDS, BAND_ROWS, BLOCK = 5, 50, 5, 50
 NEED, OF, MISS = 75, 100, 1e-6
-SMALL, MOST_BROADCAST = 24, 1_000_000
+SMALL, MOST_BROADCAST, SPLIT = 24, 1_000_000, 2000
 K = BANDS * BAND_ROWS
 _RANDOM = np.random.default_rng(20240607)
 MULT = _RANDOM.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,6 +79,12 @@ def shingles(text: bytes | None, known: Cache, width: int = WIDTH) -> np.ndarray
     return np.unique(mixed(total))
 
 
+def name_of(h: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
 def minima(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.full(K, 2**64 - 1, np.uint64)
@@ -101,26 +110,29 @@ def least_matches(miss: float = MISS, share: float = NEED / OF) -> list[int]:
     return out
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, th and text (bytes): a document's rows are told apart by the hash of the text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, fp, bands, sig): size and fingerprint of each text's set, band keys and 16 bits of each minimum."""
+    """(doc_id, th, n, fp, bands, sig): size and fingerprint of each text's set, band keys and 16 bits of each minimum."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         known = word_hashes()
         for batch in batches:
             n, fp, bands, sig = [], [], [], []
-            for text in (t for _, texts in slices(batch, 1, 256) for t in texts):
+            for text in (t for _, texts in slices(batch, 2, 256) for t in texts):
                 h = shingles(text, known)
                 n.append(len(h))
-                fp.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fp.append(name_of(h))
                 low = minima(h) if len(h) else None
                 bands.append(band_keys(low) if len(h) else [])
                 sig.append(low.astype(np.uint16).tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n", "fp", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "th", "n", "fp", "bands", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(make, f"doc_id {kind}, n long, fp binary, bands array<long>, sig binary")
+    return rows_of(docs).mapInArrow(make, f"doc_id {kind}, th long, n long, fp binary, bands array<long>, sig binary")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, miss: float = MISS) -> DataFrame:
@@ -140,34 +152,51 @@ def likely(pairs: DataFrame, nodes: DataFrame, miss: float = MISS) -> DataFrame:
 
     sig = nodes.select("node", "sig")
     both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    kind = nodes.schema["node"].dataType.simpleString()
-    return both.mapInArrow(test, f"a {kind}, b {kind}")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, h): the shingle hashes of the documents in `ids` (node)."""
-    if ids.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_hashes()
-        for batch in batches:
-            h = [shingles(t, known).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "h"])
-
-    rows = docs.join(ids, docs["doc_id"] == ids["node"]).select("node", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(make, f"node {docs.schema['doc_id'].dataType.simpleString()}, h array<long>")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) at the threshold, first by signatures in sequence, then on the full sets."""
-    spark = docs.sparkSession
+    return both.mapInArrow(test, "a binary, b binary")
+
+
+class Sets:
+    """Shingle hashes of nodes, made from their texts when first asked for and kept in the shared folder."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
+        self.docs, self.nodes, self.made = docs, nodes, None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(node, h), one row a node, for at least the distinct nodes of `ids` (node)."""
+        spark = self.docs.sparkSession
+        new = ids if self.made is None else ids.join(self.made.select("node"), "node", "left_anti")
+        new = written(spark, new.join(self.nodes.select("node", "doc_id", "th"), "node"), "set-ids")
+        count = new.count()
+        if count or self.made is None:
+            made = written(spark, self.read(F.broadcast(new) if count <= MOST_BROADCAST else new), "sets")
+            if made.count() > count:  # repeated rows
+                made = written(spark, made.dropDuplicates(["node"]), "sets")
+            self.made = made if self.made is None else self.made.unionAll(made)
+        return self.made
+
+    def read(self, ids: DataFrame) -> DataFrame:
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = word_hashes()
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                for a, texts in slices(batch, 1, 256):
+                    h = [shingles(t, known) for t in texts]
+                    own = [i for i, x in enumerate(h) if name_of(x) == names[a + i]]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[a + i] for i in own], pa.binary()), pa.array([h[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["node", "h"])
+
+        rows = rows_of(self.docs).join(ids, ["doc_id", "th"]).select("node", "text")
+        return rows.mapInArrow(make, "node binary, h array<long>")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: Sets) -> DataFrame:
+    """The distinct pairs (a, b) at the threshold, first by signatures in sequence, then on the full sets."""
+    spark = pairs.sparkSession
     left = written(spark, likely(pairs, nodes), "likely")
     ids = left.select(F.col("a").alias("node")).unionAll(left.select(F.col("b").alias("node"))).distinct()
-    sets = written(spark, sets_of(docs, ids), "sets")
-    both = left.join(sets.toDF("a", "h_a"), "a").join(sets.toDF("b", "h_b"), "b")
+    known = sets.of(ids)
+    both = left.join(known.toDF("a", "h_a"), "a").join(known.toDF("b", "h_b"), "b")
     both = both.select("a", "b", F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"), F.size(F.array_intersect("h_a", "h_b")).alias("o"))
-    return written(spark, both.where(OF * F.col("o") >= NEED * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b").distinct(), "links")
+    return written(spark, both.where(OF * F.col("o") >= NEED * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b"), "links")
 
 
 def ordered(frame: DataFrame, x: str, y: str) -> DataFrame:
@@ -185,22 +214,31 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(several, "key")
 
 
-def prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
+def prefix_pairs(sets: Sets, members: DataFrame) -> DataFrame:
     """Candidates (a, b) among `members` (node, label) of different labels: every pair at the threshold is among them."""
-    spark = docs.sparkSession
-    sets = written(spark, sets_of(docs, members.select("node")), "prefix-sets")
-    flat = sets.select("node", F.size("h").alias("n"), F.explode("h").alias("s"))
+    spark = members.sparkSession
+    known = sets.of(members.select("node")).join(members.select("node"), "node", "left_semi")
+    flat = known.select("node", F.size("h").alias("n"), F.explode("h").alias("s"))
     often = flat.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # rare shingles first; those of one set alone take the first places but pair with nothing
     ranks = flat.join(often, "s", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     first = ranks.withColumn("pos", F.row_number().over(W.partitionBy("node").orderBy("df", "s")))
     first = first.where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * NEED / OF) + 1) & (F.col("df") > 1)).join(members, "node")
-    first = written(spark, first.select("s", "node", "n", "pos", "label"), "prefix")
-    x, y = (first.select("s", *(F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "pos", "label"))) for i in ("x", "y"))
+    # sizes of a pair differ by a class at most
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(OF / NEED)).cast("int")
+    first = written(spark, first.select("s", "node", "n", "pos", "label", size_class.alias("c")), "prefix")
+    parts = first.groupBy("s", "c").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("parts")).where("parts > 1")
+    parts = parts.select("s", F.explode(F.array("c", F.col("c") + 1)).alias("c"), "parts").groupBy("s", "c").agg(F.max("parts").alias("parts"))
+    cut = first.join(parts, ["s", "c"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = cut.select("s", "c", F.pmod(F.xxhash64("node"), "parts").alias("part"), *(F.col(i).alias(f"{i}_x") for i in ("node", "n", "pos", "label")))
+    # each set stands in its own class and in the one below it, in all parts of that class
+    y = first.select("s", F.explode(F.array("c", F.col("c") - 1)).alias("c"), F.col("c").alias("c_y"), *(F.col(i).alias(f"{i}_y") for i in ("node", "n", "pos", "label")))
+    y = y.join(parts, ["s", "c"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) + 1
     # overlap >= 75/175 of both sizes together; a first common shingle at these places allows `room` at most
-    near = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (room * (NEED + OF) >= NEED * (F.col("n_x") + F.col("n_y")))
-    return x.join(y, (x["s"] == y["s"]) & near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    near = ((F.col("c_y") > F.col("c")) | (F.col("node_x") < F.col("node_y"))) & (F.col("label_x") != F.col("label_y")) & (room * (NEED + OF) >= NEED * (F.col("n_x") + F.col("n_y")))
+    found = x.join(y, ["s", "c", "part"]).where(near)
+    return ordered(found, "node_x", "node_y")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,35 +247,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     base = written(spark, signatures(docs), "signatures")
     known = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = written(spark, known.groupBy("fp").agg(F.min("doc_id").alias("node")), "sets")
-    nodes = known.alias("k").join(reps.alias("r"), (F.col("k.fp") == F.col("r.fp")) & (F.col("doc_id") == F.col("node")))
-    nodes = written(spark, nodes.select("node", "n", "bands", "sig"), "nodes")
+    # rows of one set agree in n, bands and sig; its text is found by its least doc_id
+    nodes = known.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = written(spark, nodes.select("node", "r.doc_id", "r.th", "n", "bands", "sig"), "nodes")
+    sets = Sets(docs, nodes)
     flat = nodes.select(F.explode("bands").alias("key"), "node", "n")
     buckets = flat.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("node", "n").alias("lead"), F.min("n").alias("lead_n")).where("members > 1")
     rows = written(spark, flat.join(buckets, "key"), "buckets")
-    links = verified(ordered(rows.where(fits("n", "lead_n")), "node", "lead"), nodes, docs)
+    links = verified(ordered(rows.where(fits("n", "lead_n")), "node", "lead"), nodes, sets)
     # rows of one doc_id with different texts are one document
-    same = known.join(reps, "fp").where("doc_id <> node").join(nodes.select(F.col("node").alias("b")), F.col("doc_id") == F.col("b"), "left_semi")
-    links = links.unionAll(ordered(same, "node", "doc_id"))
+    several = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
+    links = links.unionAll(ordered(known.select("doc_id", "fp").join(several, "doc_id"), "a", "fp"))
     labels = components(links)
     # another leader for the large buckets that aren't one component yet
     open_rows = labelled(rows.select("key", "node", "n", "members"), labels)
     large = written(spark, open_rows.where(F.col("members") > SMALL), "large")
     second = large.groupBy("key").agg(F.max_by(F.struct("node", "n", "label"), F.xxhash64("node", "key")).alias("l"))
     again = large.join(second, "key").where((F.col("l.label") != F.col("label")) & fits("n", "l.n"))
-    tried = verified(ordered(again.select("node", F.col("l.node").alias("lead")), "node", "lead"), nodes, docs)
+    tried = verified(ordered(again.select("node", F.col("l.node").alias("lead")), "node", "lead"), nodes, sets)
     links = links.unionAll(tried)
     labels = components(links)
     open_rows = written(spark, labelled(rows.select("key", "node", "n", "members"), labels), "open")
     small = open_rows.where(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n", "label"))).alias("m"))
     pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (y["label"] != x["label"]) & (OF * F.least(x["n"], y["n"]) >= NEED * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))).alias("p")).select("p.a", "p.b")
     members = open_rows.where(F.col("members") > SMALL).select("node", "label").distinct()
-    rest = pairs.unionAll(prefix_pairs(docs, members)).distinct()
-    links = links.unionAll(verified(rest, nodes, docs))
+    rest = pairs.unionAll(prefix_pairs(sets, members)).distinct()
+    links = links.unionAll(verified(rest, nodes, sets))
     labels = components(links)
-    mine = base.select("doc_id", "n", "fp").join(reps, "fp", "left").join(labels, "node", "left")
-    found = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "node"))
-    component = F.when(F.col("doc_id").isNotNull(), found)
+    # a component's id is the least doc_id of its nodes
+    linked = nodes.select("node", "doc_id").join(labels, "node")
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("least"))
+    ids = nodes.select("node", "doc_id").join(labels, "node", "left").join(least, "label", "left").select(F.col("node").alias("fp"), F.coalesce("least", "doc_id").alias("least"))
+    mine = base.select("doc_id", "n", "fp").join(ids, "fp", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")))
     return mine.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

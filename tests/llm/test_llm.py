@@ -114,6 +114,16 @@ def test_near_duplicates_match_brute_force(spark, odd):
     assert all(r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Two linked documents a thousand times each, one doc_id with many texts, and null ids: rows count, links don't grow."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30", "other")
+    made = [(1, text)] * 1000 + [(2, near)] * 1000 + [(3, f"{text} tail{i}") for i in range(40)] + [(4, " ".join(f"u{i} of" for i in range(9)))] * 3 + [(None, text)] * 2
+    made += [(5, " ".join(f"x{i}" for i in range(20))), (5, " ".join(f"y{i}" for i in range(20))), (6, " ".join(f"y{i}" for i in range(20)))]
+    got = collections.Counter(tuple(r) for r in dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect())
+    assert got == collections.Counter({(1, 56, 1, True): 1000, (2, 56, 1, False): 1000, (3, 57, 1, False): 40, (4, 14, 4, True): 3, (None, 56, None, False): 2, (5, 16, 5, True): 2, (6, 16, 5, False): 1})
+
+
 def test_near_duplicates_of_nothing(none):
     assert dedup.op1_near_dedup(none).count() == 0
 
