@@ -8,10 +8,14 @@ chunk yields a transfer matrix: entry (a, b) is the greatest score of any cuttin
 is associative, so they are combined in a tree, 16 at a time; going down the tree again gives each chunk the states
 at its ends, and each chunk is then traced back on its own.
 
+Scores are whole numbers, and of cuttings that tie the one with the longest last piece is taken, then the longest piece
+before it, and so on. A matrix therefore comes with the order of its cuttings by that rule (for one end state, over the
+start states), which products carry along. So the ids don't depend on where, or whether, a text is chunked.
+
 Bytes without a piece become byte pieces; a literal word mark does so too. Decoding gives the very text back.
 
 Cases: null text has null ids; empty text has no ids; equal texts have equal ids, so repeated giant texts are encoded
-once; extra columns pass through (a column `ids` is replaced); an empty table gives an empty result.
+once; extra columns pass through, whatever their names (a column `ids` is replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import PIECE_MODEL, slices, written
-from .lattice import Cache, Vocabulary, best_segmentations, vocabulary
+from .lattice import NONE, Cache, Vocabulary, best_segmentations, vocabulary
 
 CHUNK, FAN, SHORT, TOGETHER = 32_768, 16, 2048, 64
 SEGMENT = re.compile(rb"\n| *[^ \n]+| +")
@@ -40,21 +44,21 @@ def encode_batch(texts: list[bytes | None], known: Cache) -> list[bytes | None]:
     return [None if x is None else b"".join([of[w] for w in x]) for x in split]
 
 
-def edges(v: Vocabulary, data: bytes) -> list[list[tuple[int, int, float]]]:
+def edges(v: Vocabulary, data: bytes) -> list[list[tuple[int, int, int]]]:
     """For each end position: (start, id, score) of the pieces that end there, longest first."""
-    out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(data) + 1)]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(data) + 1)]
     if len(data) < SHORT:
         for end in range(1, len(data) + 1):
             for start in range(max(0, end - v.longest), end):
                 piece = v.ids.get(data[start:end])
                 if piece is not None:
-                    out[end].append((start, piece, float(v.score[piece])))
+                    out[end].append((start, piece, int(v.points[piece])))
     else:
         spans = v.spans(np.frombuffer(data, np.uint8)[None, :])
         for k in range(len(spans), 0, -1):
             row = spans[k - 1][0]
             for start in np.flatnonzero(row < v.n).tolist():
-                out[start + k].append((start, int(row[start]), float(v.score[row[start]])))
+                out[start + k].append((start, int(row[start]), int(v.points[row[start]])))
     return out
 
 
@@ -68,8 +72,8 @@ def cuts(data: bytes, longest: int) -> tuple[int, int] | None:
 def best_path(v: Vocabulary, data: bytes, size: int) -> list[int]:
     """Ids of the best cutting of `data` whose last piece starts before `size`."""
     into, end = edges(v, data), len(data)
-    best, back = [-np.inf] * (end + 1), [(0, 0)] * (end + 1)
-    best[0] = 0.0
+    best, back = [NONE] * (end + 1), [(0, 0)] * (end + 1)
+    best[0] = 0
     for p in [*range(1, min(size, end) + 1), *([end] if end > size else [])]:
         for start, piece, score in into[p]:
             if start < size and best[start] + score > best[p]:
@@ -87,41 +91,66 @@ def parted(data: bytes, longest: int) -> tuple[tuple[int, int] | None, list[byte
     return place, SEGMENT.findall(data[place[0] : place[1]]) if place else []
 
 
-def transfer_matrix(v: Vocabulary, data: bytes, ahead: bytes, place: tuple[int, int] | None, middle: float) -> np.ndarray:
-    """Greatest scores from each start state to each end state of a chunk followed by the bytes `ahead`.
+def ranks(key: np.ndarray) -> np.ndarray:
+    """Places of the keys in their order, by column."""
+    return key.argsort(0, kind="stable").argsort(0, kind="stable")
+
+
+def reach(v: Vocabulary, data: bytes, size: int, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest scores from each start state to each position, by pieces that start before `size`, and the order of their
+    cuttings by the rule for ties (the longest last piece first)."""
+    into, end = edges(v, data), len(data)
+    score, order = np.full((end + 1, states), NONE), np.zeros((end + 1, states), np.int64)
+    for p in range(end + 1):
+        last, before = np.zeros(states, np.int64), np.zeros(states, np.int64)
+        for start, _, points in into[p]:
+            if start < size:
+                made = score[start] + points
+                better = made > score[p]
+                if better.any():
+                    score[p][better], last[better], before[better] = made[better], p - start, order[start][better]
+        if p < min(states, size + 1):
+            # the piece from before that ends here is longer than any that starts in the chunk
+            score[p, p], last[p] = 0, v.longest + 1
+        if states > 1:
+            order[p] = ranks(last * states + before)
+    return np.maximum(score, NONE), order
+
+
+def transfer(v: Vocabulary, data: bytes, ahead: bytes, place: tuple[int, int] | None, middle: int) -> np.ndarray:
+    """Greatest scores from each start state to each end state of a chunk followed by the bytes `ahead`, and the order of
+    the start states: an array of shape (2, k, k).
 
     Between its outer cuts (`place`, with the score `middle`) a chunk has one state; without cuts all are carried.
     """
     k, size = v.longest, len(data)
     first, last, states = (*place, 1) if place else (0, 0, k)
     # from `last` (or the start) to the end, and beyond it by each end state
-    into = edges(v, data[last:] + ahead[: k - 1])
-    rest = size - last
-    front = np.full((rest + 1, states), -np.inf)
-    for s in range(min(states, rest + 1)):
-        front[s, s] = 0
-    for p in range(1, rest + 1):
-        for start, _, score in into[p]:
-            np.maximum(front[p], front[start] + score, out=front[p])
-    tail = np.full((states, k), -np.inf)
-    tail[:, 0] = front[rest]
-    for p in range(rest + 1, len(into)):
-        for start, _, score in into[p]:
-            if start < rest:
-                np.maximum(tail[:, p - rest], front[start] + score, out=tail[:, p - rest])
+    score, order = reach(v, data[last:] + ahead[: k - 1], size - last, states)
+    out = np.full((2, k, k), NONE)
+    out[1] = 0
+    ends = score[size - last :].T
+    out[0, :states, : ends.shape[1]], out[1, :states, : ends.shape[1]] = ends, order[size - last :].T
     if place is None:
-        return tail
-    into = edges(v, data[:first])
-    head = np.full(first + 1, -np.inf)
-    head[first] = 0
-    for p in range(first, 0, -1):
-        for start, _, score in into[p]:
-            head[start] = max(head[start], score + head[p])
-    return head[:k, None] + middle + tail[0][None, :]
+        return out
+    head, order = reach(v, data[:first], first, k)
+    out[0] = np.maximum(head[first][:, None] + middle + out[0, 0][None, :], NONE)
+    out[1] = order[first][:, None]
+    return out
+
+
+def best_before(score: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The states (first axis) of greatest score, by column; of those that tie, the first by the rule for ties."""
+    return np.where(score == score.max(0), order, -1).argmax(0)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, :, None] + b[None, :, :]).max(1)
+    """The transfer of two chunks in a row."""
+    k = len(a[0])
+    total = np.maximum(a[0].T[:, :, None] + b[0][:, None, :], NONE)  # by state between, start and end
+    via = best_before(total, np.broadcast_to(b[1][:, None, :], total.shape))
+    start, end = np.arange(k)[:, None], np.arange(k)[None, :]
+    return np.stack([total.max(0), ranks(b[1][via, end] * k + a[1][start, via])])
 
 
 def chunked(data: bytes, chunk: int, longest: int) -> list[tuple[bytes, bytes]]:
@@ -150,13 +179,13 @@ def encode_giant(texts: DataFrame, path: str, chunk: int) -> DataFrame:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        score_of = Cache(lambda words: [float(v.score[np.frombuffer(x, "<i4")].sum()) for x in best_segmentations(v, words)])
+        score_of = Cache(lambda words: [int(v.points[np.frombuffer(x, "<i4")].sum()) for x in best_segmentations(v, words)])
         for batch in batches:
             out, ahead = [], batch.column(3).to_pylist()
             for a, data in slices(batch, 2, TOGETHER):
                 parts = [parted(d, v.longest) for d in data]
                 of = score_of.add(w for _, middle in parts for w in middle)
-                out += [transfer_matrix(v, d, x, place, sum(of[w] for w in middle)).tobytes() for d, x, (place, middle) in zip(data, ahead[a:], parts, strict=False)]
+                out += [transfer(v, d, x, place, sum(of[w] for w in middle)).tobytes() for d, x, (place, middle) in zip(data, ahead[a:], parts, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["t_key", "idx", "m"])
 
     def combine(group: pd.DataFrame) -> pd.DataFrame:
@@ -164,7 +193,7 @@ def encode_giant(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         group = group.sort_values("idx")
         m = None
         for x in group["m"]:
-            x = np.frombuffer(x).reshape(-1, k)
+            x = np.frombuffer(x, np.int64).reshape(2, k, k)
             m = x if m is None else product(m, x)
         return pd.DataFrame({"t_key": [group["t_key"].iloc[0]], "idx": [int(group["idx"].iloc[0]) // FAN], "m": [m.tobytes()]})
 
@@ -172,14 +201,14 @@ def encode_giant(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         """From a group's states to those of its members: best scores forward, then back from the end."""
         k = vocabulary(path).longest
         group = group.sort_values("idx").reset_index(drop=True)
-        mats = [np.frombuffer(x).reshape(-1, k) for x in group["m"]]
-        reach = [np.full(k, -np.inf)]
-        reach[0][int(group["g_in"].iloc[0])] = 0
+        mats = [np.frombuffer(x, np.int64).reshape(2, k, k) for x in group["m"]]
+        best = [np.full(k, NONE)]
+        best[0][int(group["g_in"].iloc[0])] = 0
         for m in mats:
-            reach.append((reach[-1][:, None] + m).max(0))
+            best.append(np.maximum((best[-1][:, None] + m[0]).max(0), NONE))
         state, out = int(group["g_out"].iloc[0]), []
         for i in range(len(mats) - 1, -1, -1):
-            before = int((reach[i] + mats[i][:, state]).argmax())
+            before = int(best_before((best[i] + mats[i][0][:, state])[:, None], mats[i][1][:, state, None])[0])
             out.append((before, state))
             state = before
         group["s_in"], group["s_out"] = zip(*out[::-1], strict=True)
@@ -237,9 +266,9 @@ def encode(docs: DataFrame, path: str = PIECE_MODEL, chunk: int = CHUNK) -> Data
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     few = docs.where(~giant).mapInArrow(small, schema)
-    keyed = docs.where(giant).withColumn("t_key", F.sha2("text", 256))
-    texts = keyed.groupBy("t_key").agg(F.first("text").alias("text"))
-    many = keyed.join(encode_giant(texts, path, chunk), "t_key").select(*docs.columns, "ids")
+    keyed = docs.where(giant).select(F.sha2("text", 256).alias("t_key"), F.struct(*docs.columns).alias("row"))
+    texts = keyed.groupBy("t_key").agg(F.first("row.text").alias("text"))
+    many = keyed.join(encode_giant(texts, path, chunk), "t_key").select("row.*", "ids")
     return few.unionAll(many)
 
 

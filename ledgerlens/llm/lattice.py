@@ -15,6 +15,8 @@ import numpy as np
 
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SLOTS, GAIN, LONG, BATCH = 18, 12.0, 48, 4096
+#: Scores of encodings are whole numbers of this part of a natural log unit; NONE is lower than any text's score.
+POINT, NONE = 1 << 20, -(1 << 57)
 
 
 class Vocabulary:
@@ -37,6 +39,8 @@ class Vocabulary:
         least = weight[weight > 1e-9].min() * np.exp(-10)
         weight[self.byte_ids] = least
         self.score = np.append(np.where(weight >= least, np.log(weight / weight[weight >= least].sum()), -np.inf), -np.inf)
+        # whole numbers add up to the same sum in any order, so ties are ties wherever a text is cut
+        self.points = np.rint(np.where(np.isfinite(self.score), self.score, 0) * POINT).astype(np.int64)
         # a byte that is also a piece as a character keeps that piece alone; its byte piece stays for decoding
         self.ids: dict[bytes, int] = {}
         for i, piece in enumerate(self.pieces):
@@ -204,7 +208,8 @@ def expected_counts(v: Vocabulary, words: list[bytes], weights: np.ndarray, p: n
 
 
 def best_segmentations(v: Vocabulary, words: list[bytes]) -> list[bytes]:
-    """The segmentation of highest score of each word, as little-endian 32-bit ids; a longer piece wins a tie."""
+    """The segmentation of highest score of each word, as little-endian 32-bit ids; of those that tie, the one with the
+    longest last piece, then the longest piece before it, and so on."""
     out: list[bytes] = [b""] * len(words)
     for part, codes in batches(words):
         ids, size = v.spans(codes), codes.shape[1]
@@ -233,14 +238,14 @@ def best_segmentations(v: Vocabulary, words: list[bytes]) -> list[bytes]:
 
 def _viterbi(v: Vocabulary, ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     rows = ids[0].shape[0]
-    best, back = np.full((size + 1, rows), -np.inf), np.zeros((size + 1, rows), np.int16)
+    best, back = np.full((size + 1, rows), NONE), np.zeros((size + 1, rows), np.int16)
     best[0] = 0
     for i in range(1, size + 1):
         for k in range(min(i, len(ids)), 0, -1):
             own = ids[k - 1][:, i - k]
             sel = np.flatnonzero(own < v.n)
             if len(sel):
-                score = best[i - k, sel] + v.score[own[sel]]
+                score = best[i - k, sel] + v.points[own[sel]]
                 better = score > best[i, sel]
                 sel = sel[better]
                 best[i, sel], back[i, sel] = score[better], k
