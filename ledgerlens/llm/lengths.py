@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE_BPE
+from .common import BYTE_BPE, written
 
 #: Fixed value: how the vocabulary's public definition cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,7 +49,9 @@ def token_lengths(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
 def histogram(lengths: DataFrame) -> DataFrame:
     """(length, docs) with, for the limit `length`: documents and tokens at or above it, the total if every document is
     cut there, the total of those that fit whole, and the share of documents that fit."""
-    h = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("docs")).withColumn("h_block", F.floor(F.col("length") / BLOCK))
+    # two branches read the counts, so they are written: texts are encoded once
+    counts = written(lengths.sparkSession, lengths.groupBy("length").agg(F.count(F.lit(1)).alias("docs")), "lengths")
+    h = counts.withColumn("h_block", F.floor(F.col("length") / BLOCK))
     h = h.withColumn("h_tokens", F.col("length") * F.col("docs"))
     later = W.orderBy(F.desc("h_block")).rowsBetween(W.unboundedPreceding, -1)
     blocks = h.groupBy("h_block").agg(F.sum("docs").alias("b_docs"), F.sum("h_tokens").alias("b_tokens"))

@@ -6,7 +6,8 @@ key cut each source into `4096` even ranges, a window sums inside one range, and
 number of rows a source) give each range its start. A source with a third of all rows is so spread over all tasks.
 
 Cases: null text has size 0 and is never taken; a null source is a source of its own, after all others; repeated
-rows are separate documents; an empty table gives no rows; extra columns pass `mix()` untouched.
+rows are separate documents; an empty table gives no rows; extra columns pass, whatever their names, but that `mix()`
+replaces those it adds.
 """
 
 from __future__ import annotations
@@ -51,13 +52,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("m_source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """Adds m_size, source_size, target and taken (words the mix takes, repeats counted) to each row of `docs`.
+def planned(docs: DataFrame, keep: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """(m_row, m_size, source_size, target, taken) of each row of `docs`; m_row is `keep`, in which no name can clash.
 
     A whole epoch takes all documents; what is left of the budget goes to the front of the key order, where the
     document at the cut gives only the words that still fit.
     """
-    keyed = docs.withColumn("m_size", word_count(F.col("text"))).withColumn("m_key", mix_key(seed)).withColumn("m_range", F.substring("m_key", 1, DIGITS)).withColumn("m_source", F.col("source"))
+    keyed = docs.select(keep.alias("m_row"), F.col("source").alias("m_source"), word_count(F.col("text")).alias("m_size"), mix_key(seed).alias("m_key")).withColumn("m_range", F.substring("m_key", 1, DIGITS))
     narrow = docs.select(F.col("source").alias("m_source"), word_count(F.col("text")).alias("m_size"), F.substring(mix_key(seed), 1, DIGITS).alias("m_range"))
     ranges = narrow.groupBy("m_source", "m_range").agg(F.sum("m_size").alias("m_size"))
     starts = F.coalesce(F.sum("m_size").over(W.partitionBy("m_source").orderBy("m_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -72,25 +73,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size") - F.col("m_start") - F.col("m_before")
     taken = epochs * F.col("m_size") + F.greatest(F.lit(0), F.least(F.col("m_size"), rest))
-    return joined.withColumn("taken", taken.cast("long")).drop("m_key", "m_range", "m_source", "m_before", "m_start", "p_source", "p_range")
+    return joined.select("m_row", "m_size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """Adds m_size, source_size, target and taken (words the mix takes, repeats counted) to each row of `docs`; columns of
+    these names are replaced, all others pass untouched."""
+    own = ["m_size", "source_size", "target", "taken"]
+    rest = [c for c in docs.columns if c not in own]
+    return planned(docs, F.struct(*rest), **how).select("m_row.*", *own)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: rows of `docs`, repeated as the budgets say; the document at a cut keeps its first words."""
-    plan = mix(docs, **how)
-    copies = F.when(F.col("m_size") > 0, F.ceil(F.col("taken") / F.col("m_size"))).otherwise(F.lit(0)).cast("int")
-    rows = plan.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where((F.col("taken") > 0))
+    """The mix itself: rows of `docs`, with all their columns, repeated as the budgets say; the document at a cut keeps its
+    first words."""
+    plan = planned(docs, F.struct(*docs.columns), **how).where("taken > 0")
+    rows = plan.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("m_size")).cast("int"))))
     fits = F.least(F.col("m_size"), F.col("taken") - (F.col("m_copy") - 1) * F.col("m_size"))
-    head = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, fits.cast("int")), "")
-    text = F.when(fits >= F.col("m_size"), F.col("text")).otherwise(head)
-    out = rows.withColumn("text", text)
+    whole = F.col("m_row.text")
+    head = F.array_join(F.slice(F.split(whole, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, fits.cast("int")), "")
+    text = F.when(fits >= F.col("m_size"), whole).otherwise(head)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col("m_row")[c]).alias(c) for c in docs.columns))
 
 
 def op8_mix(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", F.col("m_size").alias("size"), "source_size", "target", "taken")
+    return planned(docs.select("doc_id", "text", "source"), F.col("doc_id")).select(F.col("m_row").alias("doc_id"), F.col("m_size").alias("size"), "source_size", "target", "taken")
 
 
 OP8_SQL = rf"""

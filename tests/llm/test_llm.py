@@ -385,6 +385,18 @@ def test_mix(spark, odd, none):
     assert mixing.op8_mix(none).count() == 0
 
 
+def test_mix_with_clashing_names(odd):
+    names = {"target": F.lit("t"), "source_size": F.lit("s"), "taken": F.lit(-1), "m_size": F.lit("m"), "m_key": F.lit("k"), "m_row": F.lit(2), "m_copy": F.lit(3), "m_source": F.lit("x"), "size": F.lit(9)}
+    rows = odd.withColumns(names)
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["taken"])
+    plain, clash = (sorted(mixing.op8_mix(x).collect(), key=key) for x in (odd, rows))
+    assert plain == clash
+    mixed = mixing.mixed_documents(rows)
+    assert mixed.columns == rows.columns and mixed.where("taken <> -1 OR target <> 't' OR source_size <> 's' OR m_size <> 'm' OR m_row <> 2").count() == 0
+    added = mixing.mix(rows)
+    assert set(added.columns) == set(rows.columns) and added.where("m_key <> 'k' OR size <> 9").count() == 0 and added.where("taken < 0").count() == 0
+
+
 def test_mix_targets_reshare(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "m_source string, m_size long")
     got = {r["m_source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
