@@ -3,7 +3,8 @@
 The vocabulary file gives ranks, not probabilities: Zipf's law turns them into weights (`1 / (rank + 10)`, normalised).
 A space stands for the vocabulary's word mark. Each byte is a piece of its own too, so every byte string has at least
 one segmentation. All functions take byte strings; a batch is grouped by length, then a few array operations look up
-all its substrings and one recursion runs over positions for all of them at once.
+all its substrings and one recursion runs over positions for all of them at once. Strings of over LONG bytes go through
+the same recursions in log space, a stretch of STEP positions at a time, so their look-ups take bounded memory.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SLOTS, GAIN, LONG, BATCH = 18, 12.0, 48, 4096
+SLOTS, GAIN, LONG, BATCH, STEP, ROOM = 18, 12.0, 48, 4096, 16_384, 1 << 19
 #: Scores of encodings are whole numbers of this part of a natural log unit; NONE is lower than any text's score.
 POINT, NONE = 1 << 20, -(1 << 57)
 
@@ -116,8 +117,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 def batches(words: list[bytes]) -> Iterable[tuple[np.ndarray, np.ndarray]]:
     """(positions in `words`, their bytes as a matrix) in groups of one length and at most BATCH rows, empty ones left out."""
+    return alike(words, np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable"))
+
+
+def alike(words: list[bytes], order: np.ndarray) -> Iterable[tuple[np.ndarray, np.ndarray]]:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    order = np.argsort(sizes, kind="stable")
     edges = np.flatnonzero(np.diff(sizes[order])) + 1
     for group in np.split(order, edges):
         size = sizes[group[0]] if len(group) else 0
@@ -127,6 +131,26 @@ def batches(words: list[bytes]) -> Iterable[tuple[np.ndarray, np.ndarray]]:
             yield part, np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), size)
 
 
+def short_and_long(words: list[bytes]) -> tuple[Iterable, Iterable]:
+    """Batches of the words of up to LONG bytes; of the others (positions, bytes padded to one length, lengths)."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    return alike(words, order[sizes[order] <= LONG]), padded(words, order[sizes[order] > LONG])
+
+
+def padded(words: list[bytes], order: np.ndarray) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words in order of their lengths, together as long as none is twice as long as another and all are within ROOM bytes."""
+    a = 0
+    while a < len(order):
+        least, b = len(words[order[a]]), a + 1
+        while b < len(order) and len(words[order[b]]) <= 2 * least and (b - a + 1) * len(words[order[b]]) <= ROOM:
+            b += 1
+        part = order[a:b]
+        sizes = np.array([len(words[i]) for i in part])
+        yield part, np.frombuffer(b"".join([words[i].ljust(sizes[-1], b"\0") for i in part]), np.uint8).reshape(len(part), sizes[-1]), sizes
+        a = b
+
+
 def scaled(v: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Probabilities by id (and column) times GAIN per byte, so that a product along a word stays in range."""
     gain = GAIN ** v.sizes.astype(float)
@@ -140,12 +164,12 @@ def log_marginals(v: Vocabulary, words: list[bytes], p: np.ndarray) -> np.ndarra
     """Natural log of the sum over all segmentations of each word, for each column of `p` (ids by columns)."""
     q = scaled(v, p)
     out = np.zeros((len(words), p.shape[1]))
-    for part, codes in batches(words):
+    short, long = short_and_long(words)
+    for part, codes, sizes in long:
+        out[part] = _long(v, codes, sizes, p)
+    for part, codes in short:
         size = codes.shape[1]
         ids = v.spans(codes)
-        if size > LONG:
-            out[part] = _long(v, ids, size, p)
-            continue
         alpha = np.zeros((size + 1, len(part), p.shape[1]))
         alpha[0] = 1
         for i in range(1, size + 1):
@@ -158,32 +182,86 @@ def log_marginals(v: Vocabulary, words: list[bytes], p: np.ndarray) -> np.ndarra
         with np.errstate(divide="ignore"):
             out[part] = np.log(alpha[size]) - size * np.log(GAIN)
         if len(low := np.flatnonzero(~(alpha[size] > 1e-280).all(1))):
-            out[part[low]] = _long(v, [x[low] for x in ids], size, p)
+            out[part[low]] = _long(v, codes[low], np.full(len(low), size), p)
     return out
 
 
-def _long(v: Vocabulary, ids: list[np.ndarray], size: int, p: np.ndarray) -> np.ndarray:
-    """The same in log space with the scale of each position kept apart: for long strings."""
-    q = np.vstack([p, np.zeros((v.n + 1 - len(p), p.shape[1]))])
+def stretches(v: Vocabulary, codes: np.ndarray) -> Iterable[tuple[int, int, list[np.ndarray]]]:
+    """(first, end, ids) for stretches of start positions: ids[k - 1][:, i] names the substring of k bytes at first + i."""
+    size = codes.shape[1]
+    for a in range(0, size, STEP):
+        yield a, min(size, a + STEP), v.spans(codes[:, a : a + STEP + v.longest - 1])
+
+
+def log_weights(v: Vocabulary, p: np.ndarray) -> np.ndarray:
+    q = np.zeros((v.n + 1, *p.shape[1:]))
+    q[: len(p)] = p
     q[~v.used] = 0
-    rows, keep = ids[0].shape[0], len(ids)
-    recent, scale = [np.ones((rows, p.shape[1]))], [np.zeros((rows, p.shape[1]))]
-    for i in range(1, size + 1):
-        top = scale[-1]
-        now = sum(recent[-k] * np.exp(scale[-k] - top) * q[ids[k - 1][:, i - k]] for k in range(1, min(i, keep) + 1))
-        unit = np.where(now > 0, now, 1)
-        recent, scale = [*recent[-keep:], now / unit], [*scale[-keep:], top + np.log(unit)]
-    return scale[-1]
+    with np.errstate(divide="ignore"):
+        return np.log(q)
+
+
+def log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    x = np.stack(terms)
+    top = x.max(0)
+    base = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return base + np.log(np.exp(x - base).sum(0))
+
+
+def forward(v: Vocabulary, codes: np.ndarray, q: np.ndarray) -> Iterable[np.ndarray]:
+    """For positions 0, 1, ..., size: log of the sum over all segmentations up to there, by row (and class)."""
+    ahead: list[list[np.ndarray]] = [[] for _ in range(v.longest + 1)]  # what reaches the next positions
+    now = np.zeros((len(codes), *q.shape[1:]))
+    yield now
+    for a, b, ids in stretches(v, codes):
+        for i in range(b - a):
+            for k in range(1, len(ids) + 1):
+                if i < ids[k - 1].shape[1]:
+                    ahead[k - 1].append(now + q[ids[k - 1][:, i]])
+            now = log_sum(ahead.pop(0))
+            ahead.append([])
+            yield now
+
+
+def _long(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log marginals in log space, with what a piece can still reach as the only state; bytes from `sizes` on don't count."""
+    out = np.zeros((len(codes), p.shape[1]))
+    for i, now in enumerate(forward(v, codes, log_weights(v, p))):
+        done = np.flatnonzero(sizes == i)
+        out[done] = now[done]
+    return out
+
+
+def _long_counts(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece (forward-backward in log space)."""
+    q, out, size = log_weights(v, p), np.zeros(v.n + 1), codes.shape[1]
+    alpha = np.stack(list(forward(v, codes, q)))
+    rows = np.arange(len(codes))
+    total, beta = alpha[sizes, rows], np.full((size + 1, len(codes)), -np.inf)
+    for a in reversed(range(0, size, STEP)):
+        b, ids = min(size, a + STEP), v.spans(codes[:, a : a + STEP + v.longest - 1])
+        beta[sizes, rows] = 0
+        for i in range(b - 1, a - 1, -1):
+            made = log_sum([q[x[:, i - a]] + beta[i + k] for k, x in enumerate(ids, 1) if i - a < x.shape[1]])
+            beta[i] = np.where(i < sizes, made, beta[i])
+        for k, x in enumerate(ids, 1):
+            n = min(b - a, x.shape[1])
+            own = x[:, :n].T
+            with np.errstate(invalid="ignore"):
+                gain = np.exp(alpha[a : a + n] + q[own] + beta[a + k : a + k + n] - total) * weights
+            out += np.bincount(own.ravel(), np.nan_to_num(gain).ravel(), v.n + 1)
+    return out
 
 
 def expected_counts(v: Vocabulary, words: list[bytes], weights: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all segmentations (forward-backward), words weighted; strings over LONG bytes
-    give nothing to the estimate."""
+    """Expected uses of each piece over all segmentations (forward-backward), words weighted."""
     q, out = scaled(v, p), np.zeros(v.n + 1)
-    for part, codes in batches(words):
+    short, long = short_and_long(words)
+    for part, codes, sizes in long:
+        out += _long_counts(v, codes, sizes, p, weights[part])
+    for part, codes in short:
         size = codes.shape[1]
-        if size > LONG:
-            continue
         ids = v.spans(codes)
         use: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         alpha, beta = np.zeros((size + 1, len(part))), np.zeros((size + 1, len(part)))
@@ -198,12 +276,15 @@ def expected_counts(v: Vocabulary, words: list[bytes], weights: np.ndarray, p: n
                     alpha[i, rows] += alpha[i - k, rows] * w
                     use.append((i - k, i, rows, own, w))
         total = alpha[size]
+        low = np.flatnonzero(~(total > 1e-280))
         share = np.where(total > 1e-280, weights[part] / np.where(total > 1e-280, total, 1), 0)
         for a, b, rows, _, w in reversed(use):
             beta[a, rows] += w * beta[b, rows]
         own = np.concatenate([x[3] for x in use])
         gain = np.concatenate([alpha[a, rows] * w * beta[b, rows] * share[rows] for a, b, rows, _, w in use])
         out += np.bincount(own, gain, v.n + 1)
+        if len(low):
+            out += _long_counts(v, codes[low], np.full(len(low), size), p, weights[part[low]])
     return out[:-1]
 
 

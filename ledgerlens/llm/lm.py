@@ -12,9 +12,13 @@ The training documents' languages with at least a hundredth of them are latent c
 one class): each has its own weights, and a text's probability is the mixture of its probabilities under the classes.
 A scored text's own language is not used.
 
-Word counts, which grow with the corpus, stay distributed. Words with at least a millionth of all tokens (so a million
-words of at most 64 bytes, in practice a tenth) are sent to every task; the others meet their counts in a join, after
-which each distinct word is spelled out once a task.
+Beside this score stands `lattice_score`: the vocabulary's own weights alone over all segmentations, with no whole-word
+edge, no counts and no classes (after each piece a word goes on or stops with a half each, and so does a text after each
+word).
+
+Word counts, which grow with the corpus, stay distributed. The most frequent words are sent to every task: those above a
+count at which their tables and their bytes can't exceed HEAD_BYTES, however many words and classes there are. The others
+meet their counts in a join, after which each distinct word is spelled out once a task.
 
 Cases: null and empty texts hold the end alone; with no training rows, known counts are zero and the vocabulary's
 scores are the model; repeated rows each get their result; rows of one doc_id and different texts are apart; extra
@@ -36,7 +40,7 @@ from .common import PIECE_MODEL, gathered, remainder, slices, written
 from .langid import expected_pieces, start_model, word_counts
 from .lattice import Cache, log_marginals, vocabulary
 
-ROUNDS, PRIOR, HEAD, LEAST_CLASS = 2, 2000.0, 1_000_000, 0.01
+ROUNDS, PRIOR, HEAD_BYTES, LEAST_CLASS = 2, 2000.0, 128 << 20, 0.01
 OTHERS = ""
 
 
@@ -47,12 +51,19 @@ class LatticeModel:
     def __init__(self, counts, classes, docs, tokens, distinct, discount, pieces, stop):
         self.counts, self.classes, self.docs, self.tokens, self.distinct = counts, classes, docs, tokens, distinct
         self.discount, self.pieces, self.stop = discount, pieces, stop
-        self.total, self.types = 0, 0
+        self.total, self.types, self.bytes = 0, 0, 0
 
     def base(self, count: float) -> float:
         return math.log10((count + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
 
+def least_head_count(model: LatticeModel) -> int:
+    """The words of at least this count have tables and bytes of at most HEAD_BYTES together: there are at most `total / count`
+    of them, which hold at most `bytes / count` bytes."""
+    row = 8 * (2 * len(model.classes) + 4) + 128
+    return max(1, math.ceil((model.total * row + model.bytes) / HEAD_BYTES))
+
+
 def word_scores(model: LatticeModel, by: np.ndarray, spelled: np.ndarray) -> np.ndarray:
     """log10 probability of words by class from their counts and natural-log lattice sums (both words by classes)."""
     n = np.maximum(model.tokens, 1)
@@ -90,35 +101,38 @@ def fit(train: DataFrame, path: str = PIECE_MODEL, rounds: int = ROUNDS) -> Latt
     by_word = long.groupBy("word").agg(*(F.coalesce(F.sum(F.when(F.col("part") == c, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, c in enumerate(classes)))
     counts = written(spark, by_word, "lm-counts")
     model = LatticeModel(counts, classes, docs, of("n") + docs, of("v"), discount, np.stack([models[c] for c in classes], 1), np.array([stop[c] for c in classes]))
-    model.total, model.types = int(of("n").sum() + docs_all), counts.count() + (docs_all > 0)
+    sums = counts.agg(F.count(F.lit(1)).alias("types"), F.sum(F.octet_length("word") * sum((F.col(f"n{i}") for i in range(1, len(classes))), F.col("n0"))).alias("bytes")).first()
+    model.total, model.types, model.bytes = int(of("n").sum() + docs_all), sums["types"] + (docs_all > 0), sums["bytes"] or 0
     return model
 
 
 
 def score(docs: DataFrame, model: LatticeModel, path: str = PIECE_MODEL) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of `docs`."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of each row of `docs`."""
     spark, size = docs.sparkSession, len(model.classes)
     each = [f"n{i}" for i in range(size)]
     counts = model.counts.withColumn("c", sum((F.col(x) for x in each[1:]), F.col(each[0])))
-    floor = max(1, math.ceil(model.total / HEAD))
-    top = counts.where((F.col("c") >= floor) & (F.length("word") <= 64)).select("word", *each).collect()
+    top = counts.where(F.col("c") >= least_head_count(model)).select("word", *each).collect()
     words, by = [bytes(r[0]) for r in top], np.array([r[1:] for r in top], float).reshape(-1, size)
-    spelled = log_marginals(vocabulary(path), [b" " + w for w in words], model.pieces) if words else np.zeros((0, size))
+    # a last column: the vocabulary's own weights
+    tables = np.hstack([model.pieces, start_model(path)[:, None] / 2])
+    spelled = log_marginals(vocabulary(path), [b" " + w for w in words], tables) if words else np.zeros((0, size + 1))
     head = {w: i for i, w in enumerate(words)}
     bases = np.array([model.base(n) for n in by.sum(1)])
+    own = (spelled[:, size:] - 2 * math.log(2)) / math.log(10)  # the word stops, and the text goes on
     plain = LatticeModel(None, model.classes, model.docs, model.tokens, model.distinct, model.discount, model.pieces, model.stop)
-    sent = spark.sparkContext.broadcast((head, bases, word_scores(model, by, spelled), plain))
+    sent = spark.sparkContext.broadcast((head, bases, np.hstack([word_scores(model, by, spelled[:, :size]), own]), tables, plain))
     docs_all = int(model.docs.sum())
     end_base, end_known = model.base(docs_all), int(docs_all > 0)
-    end_score = np.log10(np.where(model.tokens > 0, np.maximum(model.docs, 0.5) / np.maximum(model.tokens, 1), 0.5))
+    end_score = np.append(np.log10(np.where(model.tokens > 0, np.maximum(model.docs, 0.5) / np.maximum(model.tokens, 1), 0.5)), math.log10(0.5))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sums = [f"s{i}" for i in range(size)]
+    sums = [f"s{i}" for i in range(size + 1)]
     schema = f"doc_id {kind}, held_out boolean, mark binary, word binary, uses long, is_doc long, n_tokens long, n_known long, base double, {', '.join(f'{x} double' for x in sums)}"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        head, bases, scores, _ = sent.value
+        head, bases, scores, *_ = sent.value
         for batch in batches:
             ids, held = batch.column(0), batch.column(1)
             for a, texts in slices(batch, 2, 128):
@@ -139,18 +153,18 @@ def score(docs: DataFrame, model: LatticeModel, path: str = PIECE_MODEL) -> Data
                     known += [int(uses.sum()) + end_known] + [0] * len(tail)
                     base += [uses @ bases[places] + end_base] + [0.0] * len(tail)
                     by.append(uses @ scores[places] + end_score)
-                    by.append(np.zeros((len(tail), size)))
+                    by.append(np.zeros((len(tail), size + 1)))
                 take, by = pa.array(at, pa.int64()), np.vstack(by)
                 is_doc = pa.array([int(x > 0) for x in total], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), held.take(take), pa.array(mark, pa.binary()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), is_doc, pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), *(pa.array(by[:, k]) for k in range(size))],
+                    [ids.take(take), held.take(take), pa.array(mark, pa.binary()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), is_doc, pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), *(pa.array(by[:, k]) for k in range(size + 1))],
                     ["doc_id", "held_out", "mark", "word", "uses", "is_doc", "n_tokens", "n_known", "base", *sums],
                 )
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the scores of the words outside the head; a join's rows come by word, so each is spelled about once."""
-        v, (*_, m) = vocabulary(path), sent.value
-        known = Cache(lambda words: list(log_marginals(v, [b" " + w for w in words], m.pieces)), 100_000)
+        v, (*_, tables, m) = vocabulary(path), sent.value
+        known = Cache(lambda words: list(log_marginals(v, [b" " + w for w in words], tables)), 100_000)
         for batch in gathered(batches):
             tail = np.flatnonzero(batch.column("is_doc").to_numpy(zero_copy_only=False) == 0)
             out = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in sums], 1)
@@ -159,9 +173,11 @@ def score(docs: DataFrame, model: LatticeModel, path: str = PIECE_MODEL) -> Data
                 of = known.add(words)
                 by = np.stack([batch.column(x).to_numpy(zero_copy_only=False)[tail] for x in each], 1).astype(float)
                 uses = batch.column("uses").to_numpy(zero_copy_only=False)[tail]
-                out[tail] = uses[:, None] * word_scores(m, by, np.stack([of[w] for w in words]))
+                spelled = np.stack([of[w] for w in words])
+                out[tail, :size] = uses[:, None] * word_scores(m, by, spelled[:, :size])
+                out[tail, size] = uses * (spelled[:, size] - 2 * math.log(2)) / math.log(10)
             kept = [batch.column(x) for x in ("doc_id", "held_out", "mark", "is_doc", "n_tokens", "n_known", "base")]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(size))], ["doc_id", "held_out", "mark", "is_doc", "n_tokens", "n_known", "base", *sums])
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(size + 1))], ["doc_id", "held_out", "mark", "is_doc", "n_tokens", "n_known", "base", *sums])
 
     narrow = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text"))
     parts = narrow.mapInArrow(rows, schema)
@@ -180,10 +196,11 @@ def score(docs: DataFrame, model: LatticeModel, path: str = PIECE_MODEL) -> Data
         F.lit(model.total).cast("long").alias("train_tokens"), (F.sum("base") / copies).alias("base_score"), *((F.sum(x) / copies).alias(x) for x in sums),
     )
     share = np.maximum(model.docs, 1) / np.maximum(model.docs, 1).sum()
-    best = F.array_max(F.array(*sums))
-    mixture = sum((F.lit(float(w)) * F.pow(F.lit(10.0), F.col(x) - best) for x, w in zip(sums[1:], share[1:], strict=True)), F.lit(float(share[0])) * F.pow(F.lit(10.0), F.col(sums[0]) - best))
+    *classes, lattice = sums
+    best = F.array_max(F.array(*classes))
+    mixture = sum((F.lit(float(w)) * F.pow(F.lit(10.0), F.col(x) - best) for x, w in zip(classes[1:], share[1:], strict=True)), F.lit(float(share[0])) * F.pow(F.lit(10.0), F.col(classes[0]) - best))
     out = out.withColumn("score", best + F.log10(mixture)).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.col(lattice).alias("lattice_score"))
 
 
 def op5_lattice(docs: DataFrame, path: str = PIECE_MODEL) -> DataFrame:

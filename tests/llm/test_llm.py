@@ -157,6 +157,46 @@ def test_language(docs, odd, none):
 # --- op3 ---
 
 
+def spelled(v, weights, word):
+    """Sum over all segmentations of a word, by a plain recursion."""
+    a = [1.0] + [0.0] * len(word)
+    for i in range(1, len(word) + 1):
+        for k in range(1, min(i, v.longest) + 1):
+            j = v.ids.get(word[i - k : i])
+            if j is not None:
+                a[i] += a[i - k] * weights[j]
+    return a[-1]
+
+
+def test_language_matches_brute_force(spark, docs):
+    """Predictions and posteriors from a plain sum over segmentations, also of long words."""
+    v = lattice.vocabulary(common.PIECE_MODEL)
+    models = langid.fit_languages(docs.limit(80))
+    names = sorted(models)
+    texts = ["The of and", "x", "rewhtion" * 9, "Thisisoneverylongwordwithoutanyspaceinside" * 2 + " and more", "the der la il"] + [" ".join(r["text"].split()[:12]) for r in docs.limit(12).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.predict_languages(rows, models).collect():
+        total = [sum(math.log(spelled(v, models[k], b" " + w)) for w in words(texts[r["doc_id"]])) for k in names]
+        best = int(np.argmax(total))
+        assert r["lang_pred"] == names[best] and r["score"] == pytest.approx(1 / sum(math.exp(x - total[best]) for x in total), rel=1e-6)
+
+
+def test_long_words_are_learned(spark):
+    """Text without spaces: two languages told apart by words of hundreds of bytes alone."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(kinds) for _ in range(80)), lang) for i in range(60) for kinds, lang in [(("the", "ing", "ation"), "x") if i % 2 else (("der", "ung", "schaft"), "y")]]
+    models = langid.fit_languages(spark.createDataFrame(rows[:40], "doc_id long, text string, lang string"))
+    got = langid.predict_languages(spark.createDataFrame(rows[40:], "doc_id long, text string, lang string"), models, keep=("doc_id", "lang")).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.99 for r in got)
+    v = lattice.vocabulary(common.PIECE_MODEL)
+    p = models["x"]
+    some = [b" " + r[1].encode()[: 60 + 20 * i] for i, r in enumerate(rows[:5])]
+    for w, got in zip(some, lattice.log_marginals(v, some, p[:, None])[:, 0], strict=True):
+        assert got == pytest.approx(math.log(spelled(v, p, w)), rel=1e-9)
+    counts = lattice.expected_counts(v, some, np.ones(5), p)
+    assert (counts * v.sizes[:-1]).sum() == pytest.approx(sum(map(len, some)))
+
+
 def test_length_histogram(docs, odd, none):
     sizes = [r["length"] for r in lengths.token_lengths(odd).collect()]
     hist = lengths.op3_lengths(odd)
@@ -271,6 +311,36 @@ def test_language_model(spark, docs, odd, none):
     assert lm.op5_lattice(none).count() == 0
 
 
+def test_language_model_matches_brute_force(spark, docs):
+    """The score of whole texts from the model's parameters, by plain sums over segmentations, edges and classes."""
+    v = lattice.vocabulary(common.PIECE_MODEL)
+    model = lm.fit(docs.limit(60))
+    first = langid.start_model(common.PIECE_MODEL)
+    count = {bytes(r["word"]): np.array(list(r)[1:], float) for r in model.counts.collect()}
+    texts = ["", "the of", "Unheardofword the", "x" * 90 + " and"] + [" ".join(r["text"].split()[:10]) for r in docs.limit(8).collect()]
+    rows = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    got = {r["doc_id"]: r for r in lm.score(rows, model).collect()}
+    share = np.maximum(model.docs, 1) / np.maximum(model.docs, 1).sum()
+    for i, text in enumerate(texts):
+        total, plain = np.log10(np.maximum(model.docs, 0.5) / np.maximum(model.tokens, 1)), math.log10(0.5)
+        for w in words(text):
+            own = np.array([spelled(v, model.pieces[:, k], b" " + w) for k in range(len(share))])
+            by = count.get(w, np.zeros(len(share)))
+            total = total + np.log10(np.maximum(by - model.discount, 0) / model.tokens + model.discount * model.distinct / model.tokens * model.stop * own)
+            plain += math.log10(spelled(v, first / 2, b" " + w) / 4)
+        assert got[i]["score"] == pytest.approx(math.log10((share * 10 ** (total - total.max())).sum()) + total.max(), rel=1e-9)
+        assert got[i]["lattice_score"] == pytest.approx(plain, rel=1e-9)
+
+
+def test_language_model_head_is_bounded_by_bytes(spark, docs, monkeypatch):
+    """Few words sent to the tasks, or all: the same scores."""
+    rows = docs.limit(40)
+    many = {r["doc_id"]: r["score"] for r in lm.op5_lattice(rows).collect()}
+    monkeypatch.setattr(lm, "HEAD_BYTES", 10_000)
+    few = {r["doc_id"]: r["score"] for r in lm.op5_lattice(rows).collect()}
+    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], rel=1e-9) for k in few)
+
+
 def test_language_model_adds_up_to_one_at_most(spark, docs):
     model = lm.fit(docs.limit(60))
     v = lattice.vocabulary(common.PIECE_MODEL)
