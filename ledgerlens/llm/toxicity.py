@@ -8,9 +8,10 @@ scores the window. Windows start every 24 words, so they overlap, and all window
 layer over the highest, second highest and mean window score and the text's length gives the document's.
 
 Training: counts of hashed words and n-grams by label over a sample of labelled rows (about `per_class` documents a
-class), then windows of those documents: the most telling ones by the counts and one more. A fifth of the documents is
-left out of the windows and fits the document layer. Everything that reaches the driver is bounded by the sample and
-by the number of hash buckets.
+class, one text of each doc_id), then all windows of those documents' whole texts. A label belongs to a document, so a
+batch draws documents and of each a window, at first any, later one by how toxic the network holds it to be: the
+windows that carry a toxic document's label, and those of clean ones that look like it. A fifth of the documents is left
+out of the windows and fits the document layer. What reaches the driver is the sample and tables by hash bucket.
 
 Cases: null and empty texts get the document layer's score of no evidence; with one class of labels only, all scores
 are that class's share; null labels are ignored; repeated rows score alike; extra columns are left out; an empty table
@@ -139,7 +140,8 @@ class Windows:
 
     def stats(self, own: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
         odds = self.gram_odds[grams]
-        top = odds.max(1) if grams.shape[1] else np.zeros(len(own))
+        # padding must not count: it depends on the other words of a batch
+        top = np.where(n > 0, np.where(grams < BUCKETS, odds, -np.inf).max(1, initial=-np.inf), 0)
         return np.stack([self.word_odds[own], top, odds.sum(1) / np.maximum(n, 1)], 1)
 
     def inputs(self, own: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -220,76 +222,91 @@ def starts(n: int) -> range:
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
-def training_windows(sample: DataFrame, net: Windows) -> list[tuple[int, int, list[bytes]]]:
-    """(doc_id, label, words) of up to three windows of each sampled document: the two most telling and one more."""
-    sent = sample.sparkSession.sparkContext.broadcast((net.word_odds, net.gram_odds))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Windows.__new__(Windows)
-        net.word_odds, net.gram_odds = sent.value
-        for batch in batches:
-            ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, texts in slices(batch, 1, 256):
-                out = []
-                for i, text in enumerate(texts, a):
-                    words = units(text)
-                    if not words:
-                        continue
-                    kinds = sorted(set(words))
-                    parts = [net.stats(*hashed(cores(kinds[b : b + AT_ONCE]))).max(1) for b in range(0, len(kinds), AT_ONCE)]
-                    level = dict(zip(kinds, np.concatenate(parts).tolist(), strict=True))
-                    telling = np.array([level[w] for w in words])
-                    at = list(starts(len(words)))
-                    best = sorted(at, key=lambda s: -np.sort(telling[s : s + WINDOW])[-3:].sum())[:2]
-                    for s in dict.fromkeys([*best, at[(ids[i] or 0) * 7919 % len(at)]]):
-                        out.append((ids[i], labels[i], words[s : s + WINDOW]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.binary()))], ["doc_id", "label", "words"])
-
-    rows = sample.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "label").mapInArrow(pick, "doc_id long, label int, words array<binary>")
-    return sorted((r[0], r[1], [bytes(w) for w in r[2]]) for r in rows.collect())
-
-
-def train(net: Windows, windows: list[tuple[int, int, list[bytes]]], steps: int = STEPS, seed: int = SEED) -> None:
-    """Adam on the logistic loss; half of each batch are windows of toxic documents."""
+class Bags:
+    """All windows of documents: `tokens` (window, place) into `kinds` (len(kinds) pads), `of` the document of a window,
+    `first` and `size` of each document's windows, `label` of each document."""
+
+    def __init__(self, texts: list[bytes], labels: list[int]):
+        split = [units(t) for t in texts]
+        split, labels = [w for w in split if w], [y for w, y in zip(split, labels, strict=True) if w]
+        self.kinds = sorted({w for x in split for w in x})
+        place = {w: i for i, w in enumerate(self.kinds)}
+        self.tokens = np.concatenate([windows_of([place[w] for w in x], len(self.kinds)) for x in split] or [np.zeros((0, WINDOW), np.int32)])
+        self.size = np.array([len(starts(len(x))) for x in split], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.of = np.repeat(np.arange(len(split)), self.size)
+        self.label = np.array(labels, np.int64)
+
+    def draws(self, z: np.ndarray | None) -> np.ndarray:
+        """Running sums of the windows' chances within their documents: even ones, or a tenth even and the rest by logits."""
+        even = 1 / self.size[self.of]
+        if z is not None:
+            e = np.exp(np.clip(z, -30, 30))
+            even = 0.1 * even + 0.9 * e / np.bincount(self.of, e)[self.of]
+        return np.cumsum(even)
+
+    def draw(self, rng: np.random.Generator, sums: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+        """A window of each of `n` random ones of `docs`: a document's chances add up to 1."""
+        own = rng.choice(docs, n)
+        at = np.searchsorted(sums, own + rng.random(n))
+        return np.clip(at, self.first[own], self.first[own] + self.size[own] - 1)
+
+
+def windows_of(ids: list[int], pad: int) -> np.ndarray:
+    """The overlapping windows of a text's unit ids, the last one filled up with `pad`."""
+    at = starts(len(ids))
+    row = np.full(at[-1] + WINDOW, pad, np.int32)
+    row[: len(ids)] = ids
+    return np.lib.stride_tricks.sliding_window_view(row, WINDOW)[::STRIDE]
+
+
+def window_logits(net: Windows, table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Logits of windows of rows of `table`, whose last row pads."""
+    out = [np.zeros(0)]
+    for a in range(0, len(tokens), CHUNK):
+        part = tokens[a : a + CHUNK].T
+        out.append(net.forward(table[part], (part < len(table) - 1)[:, :, None].astype(table.dtype)))
+    return np.concatenate(out)
+
+
+def train(net: Windows, bags: Bags, steps: int = STEPS, seed: int = SEED) -> None:
+    """Adam on the logistic loss; 48 of a batch's 128 windows are of toxic documents."""
     rng = np.random.default_rng(seed)
-    kinds = sorted({w for _, _, words in windows for w in words})
-    place = {w: i for i, w in enumerate(kinds)}
-    own, grams, n = hashed(cores(kinds))
-    stats = net.stats(own, grams, n)
-    tokens = np.full((len(windows), WINDOW), len(kinds), np.int64)
-    for i, (_, _, words) in enumerate(windows):
-        tokens[i, : len(words)] = [place[w] for w in words]
-    label = np.array([y for _, y, _ in windows], float)
-    sides = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    pad = len(bags.kinds)
+    sides = np.flatnonzero(bags.label == 1), np.flatnonzero(bags.label == 0)
     names = list(net.p)
     state = [(np.zeros_like(net.p[k]), np.zeros_like(net.p[k])) for k in names]
-    share = len(sides[0]) / len(label)
+    share = len(sides[0]) / len(bags.label)
+    sums = bags.draws(None)
     for step in range(1, steps + 1):
-        rows = np.concatenate([rng.choice(sides[0], 48), rng.choice(sides[1], 80)])
-        used, back = np.unique(tokens[rows], return_inverse=True)
+        if step in (steps // 6, steps // 2):
+            now = Scorer(net).net
+            sums = bags.draws(window_logits(now, now.project(bags.kinds), bags.tokens))
+        rows = np.concatenate([bags.draw(rng, sums, sides[0], 48), bags.draw(rng, sums, sides[1], 80)])
+        label = bags.label[bags.of[rows]].astype(float)
+        used, back = np.unique(bags.tokens[rows], return_inverse=True)
         back = back.reshape(len(rows), WINDOW)
-        pad = used == len(kinds)
-        u = np.where(pad, 0, used)
-        vectors = np.hstack([net.p["word"][own[u]], net.p["gram"][grams[u]].sum(1) / np.maximum(n[u], 1)[:, None], stats[u]])
-        vectors[pad] = 0
+        blank = used == pad
+        own, grams, n = hashed(cores([bags.kinds[0 if i == pad else i] for i in used]))
+        vectors = net.inputs(own, grams, n)
+        vectors[blank] = 0
         x = (vectors @ net.p["wx"] + net.p["bx"])[back].transpose(1, 0, 2)
-        mask = (tokens[rows] < len(kinds)).T[:, :, None].astype(float)
+        mask = (bags.tokens[rows] < pad).T[:, :, None].astype(float)
         tape: dict = {}
         z = net.forward(x, mask, tape)
         # the batch has more toxic windows than the sample: weigh them back
-        weight = np.where(label[rows] == 1, share / (48 / 128), (1 - share) / (80 / 128))
-        g, d_x = net.backward(x, mask, tape, (sigmoid(z) - label[rows]) * weight / len(rows))
+        weight = np.where(label == 1, share / (48 / 128), (1 - share) / (80 / 128))
+        g, d_x = net.backward(x, mask, tape, (sigmoid(z) - label) * weight / len(rows))
         flat = (d_x * mask).transpose(1, 0, 2).reshape(-1, d_x.shape[2])
         by_word = np.zeros((len(used), flat.shape[1]))
         np.add.at(by_word, back.ravel(), flat)
-        g["wx"], g["bx"] = vectors.T @ by_word, by_word[~pad].sum(0)
+        g["wx"], g["bx"] = vectors.T @ by_word, by_word[~blank].sum(0)
         d_in = by_word @ net.p["wx"].T
-        d_in[pad] = 0
+        d_in[blank] = 0
         g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-        np.add.at(g["word"], own[u], d_in[:, :VECTOR])
-        spread = d_in[:, VECTOR : 2 * VECTOR] / np.maximum(n[u], 1)[:, None]
-        np.add.at(g["gram"], grams[u], spread[:, None, :])
+        np.add.at(g["word"], own, d_in[:, :VECTOR])
+        spread = d_in[:, VECTOR : 2 * VECTOR] / np.maximum(n, 1)[:, None]
+        np.add.at(g["gram"], grams, spread[:, None, :])
         g["gram"][BUCKETS] = 0
         for k in ("wx", "uf", "ub", "wa", "wo"):
             g[k] += 1e-3 * net.p[k]
@@ -330,15 +347,9 @@ class Scorer:
             at = starts(len(words)) if words else range(0)
             counts.append(len(at))
             if words:
-                ids = np.full(at[-1] + WINDOW, pad, np.int64)
-                ids[: len(words)] = [self.known[w] for w in words]
-                pieces.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[::STRIDE])
-        logits = [np.zeros(0)]
-        every = np.concatenate(pieces) if pieces else np.zeros((0, WINDOW), np.int64)
-        for a in range(0, len(every), CHUNK):
-            part = every[a : a + CHUNK].T
-            logits.append(self.net.forward(self.table[part], (part < pad)[:, :, None].astype(np.float32)))
-        z, at = np.concatenate(logits), 0
+                pieces.append(windows_of([self.known[w] for w in words], pad))
+        every = np.concatenate(pieces) if pieces else np.zeros((0, WINDOW), np.int32)
+        z, at = window_logits(self.net, self.table, every), 0
         for i, (words, c) in enumerate(zip(split, counts, strict=True)):
             out[i] = summary(z[at : at + c], len(words))
             at += c
@@ -391,11 +402,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     inner = sample.where("fold > 0")
     words, grams, clean, toxic = label_counts(inner)
     net = Windows(log_odds(words, clean, toxic), log_odds(grams, clean, toxic))
-    windows = training_windows(inner, net)
-    if len({y for _, y, _ in windows}) < 2:
+    texts = sorted(tuple(r) for r in inner.select("doc_id", "label", F.col("text").cast("binary")).collect())
+    bags = Bags([bytes(t) for *_, t in texts], [y for _, y, _ in texts])
+    if len(set(bags.label.tolist())) < 2:
         share = sizes[1] / (sizes[0] + sizes[1])
         return None, np.array([0, 0, 0, 0, np.log(share / (1 - share))])
-    train(net, windows, steps)
+    train(net, bags, steps)
     rows = summarised(sample.select("doc_id", "text", "label", "fold"), net, ["doc_id", "label", "fold"]).collect()
     rows = sorted(tuple(r) for r in rows)
     x, y, fold = np.array([r[3:] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])

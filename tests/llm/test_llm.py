@@ -275,6 +275,7 @@ def test_search_skips_postings_but_no_row():
     pack = lambda x: np.array(x, np.int32).tobytes()
     ids = __import__("pickle").dumps((list(range(9000)), [0] * 9000, [1] * 9000))
     index = search.ShardIndex([(b"", 0, ids, pack([len(t) for t in texts]))] + [(w, df[w], pack(a), pack(b)) for w, (a, b) in found.items()], 9000, mean)
+    index.counting = True
     queries = [collections.Counter(t[:3]) for t in texts[::60]] + [collections.Counter([b"w0"]), collections.Counter([b"none"])]
     got = index.search(queries, 10)
     for q, hits in zip(queries, got, strict=True):
@@ -514,6 +515,54 @@ def test_toxicity_reads_long_words_to_their_end(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.9 * len(got)
 
 
+def test_toxicity_matches_brute_force(spark):
+    """Scores of whole texts by plain loops over windows, units and gates."""
+    rng = np.random.default_rng(5)
+    net = toxicity.Windows(rng.normal(size=toxicity.BUCKETS + 1), np.append(rng.normal(size=toxicity.BUCKETS), 0))
+    layer = np.array([0.4, 0.2, 0.3, 0.1, -0.5])
+    texts = ["", "one", "One two, THREE! " * 9, " ".join(f"w{i}" for i in range(33)), " ".join(f"w{i}" for i in range(200)), "z" * 100 + " end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(rows, (net, layer), ["doc_id"]).collect()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    h, p = toxicity.HIDDEN, net.p
+
+    def logit(some):
+        x = net.inputs(*toxicity.hashed(toxicity.cores(some))) @ p["wx"] + p["bx"]
+        states = np.zeros((len(some), 2 * h))
+        for side, (u, order) in enumerate((("uf", range(len(some))), ("ub", range(len(some) - 1, -1, -1)))):
+            s = np.zeros(h)
+            for t in order:
+                xi, su = x[t, side * 3 * h : (side + 1) * 3 * h], s @ p[u]
+                new = np.zeros(h)
+                for k in range(h):
+                    z, r = sig(xi[k] + su[k]), sig(xi[h + k] + su[h + k])
+                    n = math.tanh(xi[2 * h + k] + r * su[2 * h + k])
+                    new[k] = (1 - z) * n + z * s[k]
+                s = new
+                states[t, side * h : (side + 1) * h] = s
+        e = np.tanh(states @ p["wa"]) @ p["va"]
+        w = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        return w @ states @ p["wo"] + p["bo"][0]
+
+    for i, text in enumerate(texts):
+        own = toxicity.units(text.encode())
+        z = sorted((logit(own[a : a + 32]) for a in range(0, max(1, len(own) - 8), 24)), reverse=True) if own else [-4.0]
+        x = [z[0], z[1] if len(z) > 1 else z[0], sum(z) / len(z), math.log1p(len(own)), 1]
+        assert got[i] == pytest.approx(sig(np.dot(x, layer)), abs=2e-4)
+
+
+def test_toxicity_trains_on_all_windows_of_whole_texts():
+    long = [f"u{i}" for i in range(100)]
+    bags = toxicity.Bags([" ".join(long).encode(), b"", b"a b", ("y" * 90).encode()], [0, 1, 1, 0])
+    assert bags.size.tolist() == [4, 1, 1] and bags.label.tolist() == [0, 1, 0]
+    assert {bags.kinds[i] for i in bags.tokens[:4].ravel() if i < len(bags.kinds)} == {w.encode() for w in long}
+    rng = np.random.default_rng(0)
+    even = np.bincount(bags.draw(rng, bags.draws(None), np.array([0]), 4000), minlength=6)
+    assert (even[:4] > 800).all() and even[4:].sum() == 0
+    led = np.bincount(bags.draw(rng, bags.draws(np.array([0, 0, 9, 0, 0, 0.0])), np.array([0]), 4000), minlength=6)
+    assert led[2] > 3500 and (led[:4] > 40).all()
+
+
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Windows(np.zeros(toxicity.BUCKETS + 1), np.zeros(toxicity.BUCKETS + 1))
@@ -541,20 +590,57 @@ def test_quality(spark, odd, none):
     assert quality.op10_quality(docs_, labels.where("quality = 0")).where("predicted = 1").count() == 0
 
 
+def test_quality_uses_no_negative_labels(spark):
+    docs_, labels = planted(spark)
+    every = {r["doc_id"]: r["score"] for r in quality.op10_quality(docs_, labels).collect()}
+    good = {r["doc_id"]: r["score"] for r in quality.op10_quality(docs_, labels.where("quality = 1")).collect()}
+    assert every == good
+
+
+def test_quality_matches_brute_force(spark):
+    """Scores from features and the network by plain loops."""
+    docs_, labels = planted(spark)
+    net = quality.fit_quality(docs_, labels)
+    rows = docs_.limit(15).unionByName(spark.createDataFrame([(-1, None, None), (-2, "", None), (-3, "a \n\n B?", None)], docs_.schema))
+    for r in quality.score_quality(rows.withColumn("t", F.col("text")), net, ["t"]).collect():
+        x = (quality.features(r["t"].encode() if r["t"] else None).astype(float) - net.center) / net.scale
+        hidden = [math.tanh(sum(min(8, max(-8, v)) * net.p[0][i, j] for i, v in enumerate(x)) + net.p[1][j]) for j in range(quality.HIDDEN)]
+        z = sum(h * w for h, w in zip(hidden, net.p[2], strict=True)) + net.p[3][0]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for prior in (0.2, 0.6, 0.9):
+        draw = lambda n, up: rng.normal(1.2 if up else -1.2, 1, (n, 4))
+        n = int(3000 * prior)
+        unl = np.vstack([draw(n, True), draw(3000 - n, False)])
+        got = quality.estimate_prior(draw(1500, True), rng.permutation(unl))
+        assert got == pytest.approx(prior, abs=0.07)
+
+
 def test_risk_gradients():
+    """Both cases of the negatives' part: above zero the risk's slope, below zero that of the part turned round."""
     rng = np.random.default_rng(1)
     pos, unl = rng.normal(size=(20, 6)), rng.normal(size=(30, 6))
-    for prior in (0.5, 0.95):
-        net = quality.Network(np.zeros(6), np.ones(6), rng)
-        _, g = quality.risk_gradients(net, pos, unl, prior)
-        rest = np.logaddexp(0, net.logits(unl)).mean() - prior * np.logaddexp(0, net.logits(pos)).mean()
-        if rest < 0:
-            continue
-        net.p[2][3] += 1e-6
-        up, _ = quality.risk_gradients(net, pos, unl, prior)
-        net.p[2][3] -= 2e-6
-        down, _ = quality.risk_gradients(net, pos, unl, prior)
-        assert (up - down) / 2e-6 == pytest.approx(g[2][3], abs=1e-6)
+    seen = set()
+    for prior in (0.5, 0.98):
+        for far in (0, 3):
+            net = quality.Network(np.zeros(6), np.ones(6), rng)
+            net.p[3][0] = far
+            shifted = unl - far * net.p[0][:, 0]
+            negative = lambda: np.logaddexp(0, net.logits(shifted)).mean() - prior * np.logaddexp(0, net.logits(pos)).mean()  # noqa: B023, E731
+            whole = lambda: prior * np.logaddexp(0, -net.logits(pos)).mean() + negative()  # noqa: B023, E731
+            risk, g = quality.risk_gradients(net, pos, shifted, prior)
+            below = negative() < 0
+            seen.add(below)
+            assert risk == pytest.approx(prior * np.logaddexp(0, -net.logits(pos)).mean() + max(0, negative()))
+            of = (lambda: -negative()) if below else whole
+            net.p[2][3] += 1e-6
+            up = of()
+            net.p[2][3] -= 2e-6
+            assert (up - of()) / 2e-6 == pytest.approx(g[2][3], abs=1e-6)
+    assert seen == {True, False}
 
 
 # --- pipeline ---
