@@ -108,7 +108,8 @@ def gathered(batches, rows: int = 50_000):
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
     """(doc_id, text, label) of about `per_class` labelled documents a class, chosen by a hash of the doc_id.
 
-    The chosen labels number about twice `per_class` whatever the tables' sizes, so they are broadcast.
+    The chosen labels number about twice `per_class` whatever the tables' sizes, so they are broadcast. Of several rows
+    with one doc_id and label, the one of the least text is taken.
     """
     known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).distinct()
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -116,4 +117,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     for label, n in sorted(sizes.items()):
         share = F.when(F.col("label") == label, min(1.0, per_class / n)).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

@@ -2,13 +2,14 @@
 
 A small network with one hidden layer over features of the whole text (shares of byte classes, repetition and shape of
 words and lines, hashed byte pairs) is trained on trusted positives and on unlabelled web text with the non-negative
-unbiased risk: `prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])`. The class prior is estimated as the
-positives' share among the labelled training rows; negative labels have no other use. A score of 0.7 stands for a
-logit halfway between the network's own boundary and the level that 99.5 % of the trusted positives exceed (not below
-the boundary): the prior may be too high, and such an error shows as an empty band under the positives.
+unbiased risk: `prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])`. Negative labels are never used.
 
-Bounds on the samples the classifier is fitted to: about `positives` positives and `unlabelled` documents. Scoring
-covers whole texts of all rows.
+The class prior is estimated from positives and unlabelled text alone: networks that tell one from the other score the
+half of the samples they were not trained on, and of all levels of that score the one is taken at which the bound on
+`share of unlabelled above / share of positives above` is least; that ratio is the prior (best bin estimation).
+
+Bounds on the samples the classifier is fitted to: about `positives` positives and `unlabelled` documents, one text of
+each doc_id. Scoring covers whole texts of all rows.
 
 Cases: null and empty texts are scored as texts without words; without a positive label everything scores 0; repeated
 rows score alike; null and repeated labels are ignored; extra columns are left out; an empty table gives an empty
@@ -33,8 +34,8 @@ CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"01234
 _CLASS = np.full(256, len(CLASSES), np.int64)
 for _i, _bytes in enumerate(CLASSES):
     _CLASS[list(_bytes)] = _i
-WIDTH = len(CLASSES) + 1 + 10 + PAIRS
-MARKS = b".,;:?'\"-()"
+SHAPE = 9
+WIDTH = len(CLASSES) + 1 + SHAPE + PAIRS
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -45,15 +46,14 @@ def features(text: bytes | None) -> np.ndarray:
     k = len(CLASSES) + 1
     out[:k] = np.bincount(_CLASS[b], minlength=k) / len(b)
     pairs = np.bincount((b[:-1].astype(np.uint32) * 40503 + b[1:].astype(np.uint32) * 2654435) >> 4 & (PAIRS - 1), minlength=PAIRS)
-    out[k + 10 :] = np.sqrt(pairs / len(b))
+    out[k + SHAPE :] = np.sqrt(pairs / len(b))
     words, lines = text.split(), text.split(b"\n")
     if words:
         n, kinds = len(words), set(words)
         sizes = np.fromiter(map(len, words), np.int64, n)
-        odd = sum(w.rstrip(MARKS)[-1:] in b"#$%&*|!" for w in kinds) / len(kinds)
         twice = sum(map(bytes.__eq__, words, words[1:])) / n
         upper = sum(w.isupper() for w in kinds) / len(kinds)
-        out[k : k + 10] = [np.log1p(n) / 10, len(kinds) / n, len(kinds) / n * np.log1p(n) / 10, sizes.mean() / 20, min(2.0, sizes.std() / 10), odd, twice, upper, len(set(lines)) / len(lines), min(1.0, len(lines) / n)]
+        out[k : k + SHAPE] = [np.log1p(n) / 10, len(kinds) / n, len(kinds) / n * np.log1p(n) / 10, sizes.mean() / 20, min(2.0, sizes.std() / 10), twice, upper, len(set(lines)) / len(lines), min(1.0, len(lines) / n)]
     return out
 
 
@@ -70,10 +70,10 @@ def feature_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 class Network:
-    """One hidden layer; `center` and `scale` standardise the features, `level` is the logit of the score 0.7."""
+    """One hidden layer; `center` and `scale` standardise the features."""
 
     def __init__(self, center: np.ndarray, scale: np.ndarray, rng: np.random.Generator):
-        self.center, self.scale, self.level = center, scale, 0.0
+        self.center, self.scale, self.prior = center, scale, 0.0
         self.p = [rng.normal(0, 1 / np.sqrt(len(center)), (len(center), HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
@@ -119,9 +119,14 @@ def adam(params: list[np.ndarray], state: list[tuple], g: list[np.ndarray], step
         p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
-    if not len(pos) or not len(unl):
-        return None
+def contrast_gradients(net: Network, pos: np.ndarray, unl: np.ndarray) -> list[np.ndarray]:
+    """Of the logistic loss that tells positives from unlabelled rows."""
+    zp, zu = net.logits(pos), net.logits(unl)
+    parts = net.gradients(pos, -sigmoid(-zp) / len(zp)), net.gradients(unl, sigmoid(zu) / len(zu))
+    return [a + b for a, b in zip(*parts, strict=True)]
+
+
+def trained(pos: np.ndarray, unl: np.ndarray, gradients, epochs: int, seed: int) -> Network:
     rng = np.random.default_rng(seed)
     both = np.vstack([pos, unl])
     net = Network(both.mean(0), both.std(0) + 0.01, rng)
@@ -131,37 +136,67 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS, se
         for _ in range(steps):
             step += 1
             a, b = rng.integers(0, len(pos), 256), rng.integers(0, len(unl), 512)
-            _, g = risk_gradients(net, pos[a], unl[b], prior)
+            g = gradients(net, pos[a], unl[b])
             g[0] += decay * net.p[0]
             adam(net.p, state, g, step, 0.01 / (1 + epoch / 10))
-    net.level = max(0.0, 0.5 * float(np.quantile(net.logits(pos), 0.005)))
+    return net
+
+
+def best_bin(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
+    """The prior from scores of rows the network has not seen: the ratio of the shares above a level where, with the
+    deviation that samples of these sizes may show, it is least."""
+    pos, unl = np.sort(pos), np.sort(unl)
+    level = np.concatenate([pos, unl])
+    above = lambda x: 1 - np.searchsorted(x, level) / len(x)
+    p, u = above(pos), above(unl)
+    slack = 1.01 * np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
+    best = ((u + slack) / np.maximum(p, 1e-9)).argmin()
+    return float(np.clip(u[best] / p[best], 0.01, 0.98))
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, epochs: int = EPOCHS // 3, seed: int = SEED) -> float:
+    """The share of positives among unlabelled rows, from two halves that score each other."""
+    if min(len(pos), len(unl)) < 4:
+        return 0.5
+    found = []
+    for side in (0, 1):
+        net = trained(pos[side::2], unl[side::2], contrast_gradients, epochs, seed)
+        found.append(best_bin(net.logits(pos[1 - side :: 2]), net.logits(unl[1 - side :: 2])))
+    return float(np.mean(found))
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
+    if not len(pos) or not len(unl):
+        return None
+    prior = estimate_prior(pos, unl) if prior is None else prior
+    net = trained(pos, unl, lambda n, a, b: risk_gradients(n, a, b, prior)[1], epochs, seed)
+    net.prior = prior
     return net
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | None:
-    """Fits to `labels` (doc_id, quality) as they are given: leave held-out rows out before."""
-    counts = {r["quality"]: r["n"] for r in labels.where(F.col("quality").isNotNull()).groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts.get(1):
+    """Fits to the positives of `labels` (doc_id, quality) as they are given: leave held-out rows out before."""
+    good = labels.where("quality = 1")
+    if good.isEmpty():
         return None
-    prior = min(0.98, counts[1] / sum(counts.values()))
-    trusted = labelled_sample(docs, labels.where("quality = 1"), "quality", positives)
+    trusted = labelled_sample(docs, good, "quality", positives)
     total = docs.count()
-    web = docs.where(F.pmod(F.xxhash64(F.lit("web"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, unlabelled / max(1, total)) * (1 << 30)))
+    web = docs.where(F.pmod(F.xxhash64(F.lit("web"), "doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, unlabelled / max(1, total)) * (1 << 30)))
+    web = web.groupBy("doc_id").agg(F.min("text").alias("text"))
     load = lambda rows: np.array([np.frombuffer(r["x"], np.float32) for r in feature_rows(rows.orderBy("doc_id"), ["doc_id"]).select("x").collect()], float).reshape(-1, WIDTH)
-    return fit(load(trusted), load(web), prior)
+    return fit(load(trusted), load(web))
 
 
 def score_quality(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """`keep` columns, score and predicted of each row of `docs`."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    shift = np.log(LEVEL / (1 - LEVEL))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, texts in slices(batch, batch.num_columns - 1, 256):
                 x = np.stack([features(t) for t in texts]).astype(float)
-                out.append(sigmoid(sent.value.logits(x) - sent.value.level + shift) if sent.value else np.zeros(len(x)))
+                out.append(sigmoid(sent.value.logits(x)) if sent.value else np.zeros(len(x)))
             z = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(z), pa.array((z >= LEVEL).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
 
