@@ -1,8 +1,8 @@
 """Near duplicates by MinHash with sequential Bayesian verification.
 
 1. One pass hashes every text's distinct five-word shingles (64 bits), and takes 250 minima, of which 50 bands of 5
-   make the candidates: a pair at the threshold of 0.75 shares no band with probability 1.3e-6. Equal sets are one node,
-   named by the set's fingerprint (128 bits), however many rows have that set.
+   make the candidates: a pair at the threshold of 0.75 shares no band with probability 1.3e-6. Equal sets (told by a
+   fingerprint of 128 bits) are one node with a number, however many rows have that set.
 2. Nodes that share a band meet in the band's bucket. In each bucket all nodes are first compared with one leader (the
    smallest set, then another): a number of pairs linear in the bucket's size. A bucket whose nodes are then all in one
    component is done, whatever its size: its other pairs can't change the result.
@@ -25,7 +25,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +38,21 @@ from pyspark.sql import functions as F
 
 from .common import WORD, slices, written
 from .components import components
-from .lattice import Cache
 
 WIDTH, BANDS, BAND_ROWS, BLOCK = 5, 50, 5, 50
 NEED, OF, MISS = 75, 100, 1e-6
 SMALL, MOST_BROADCAST, SPLIT = 24, 1_000_000, 2000
 K = BANDS * BAND_ROWS
 _RANDOM = np.random.default_rng(20240607)
-MULT = _RANDOM.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLUS = _RANDOM.integers(0, 2**63, K, dtype=np.uint64)
+MULT = _RANDOM.integers(0, 2**31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+PLUS = _RANDOM.integers(0, 2**32, K, dtype=np.uint32)
 PLACE = _RANDOM.integers(0, 2**63, max(WIDTH, BAND_ROWS) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALT = _RANDOM.integers(0, 2**63, BANDS, dtype=np.uint64)
+LETTER = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
+BASE, STRETCH = 0x9E3779B97F4A7C15, 1 << 18
+#: The bytes between words.
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,19 +62,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def word_hashes() -> Cache:
-    import xxhash
-
-    return Cache(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words])
-
-
-def shingles(text: bytes | None, known: Cache, width: int = WIDTH) -> np.ndarray:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `n` powers (rounded up to a power of 2) of BASE and of its inverse modulo 2**64."""
+    return _powers(1 << max(12, (n - 1).bit_length()))
+
+
+@functools.lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    both = []
+    for base in (BASE, pow(BASE, -1, 2**64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        both.append(np.cumprod(x))
+    return tuple(both)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, lower-cased in A-Z: a polynomial of a word's bytes from running sums over a stretch
+    of text (about STRETCH bytes, to the next blank), mixed with its length."""
+    out, a = [], 0
+    text = text.lower()
+    while a < len(text):
+        cut = BLANK.search(text, a + STRETCH)
+        end = cut.start() if cut else len(text)
+        b = np.frombuffer(text, np.uint8, end - a, a)
+        a = end
+        edge = np.flatnonzero(np.diff(IS_BLANK[b], prepend=True, append=True))
+        start, stop = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            up, down = powers(len(b) + 1)
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(LETTER[b] * up[: len(b)], out=sums[1:])
+            out.append(mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * PLACE[0]))
+    return np.concatenate(out) if len(out) != 1 else out[0]
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = text.lower().split() if text else []
-    if not words:
+    h = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(h):
         return np.zeros(0, np.uint64)
-    of = known.add(words)
-    h = np.array([of[w] for w in words], np.uint64)
     with np.errstate(over="ignore"):
         if len(h) < width:
             return mixed(np.array([(h * PLACE[: len(h)]).sum() + np.uint64(len(h))], np.uint64))
@@ -86,16 +119,19 @@ def name_of(h: np.ndarray) -> bytes:
 
 
 def minima(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(K, 2**64 - 1, np.uint64)
-        for a in range(0, len(h), 512):
-            np.minimum(out, (h[a : a + 512, None] * MULT + PLUS).min(0), out=out)
-    return out >> np.uint64(32)
+    """The least value of each of K random permutations of the hashes' upper 32 bits."""
+    x, out, room = (h >> np.uint64(32)).astype(np.uint32)[:, None], np.full(K, 2**32 - 1, np.uint32), np.empty((128, K), np.uint32)
+    for a in range(0, len(x), 128):
+        y = room[: len(x[a : a + 128])]
+        np.multiply(x[a : a + 128], MULT, out=y)
+        y += PLUS
+        np.minimum(out, y.min(0), out=out)
+    return out
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mixed((low.reshape(BANDS, BAND_ROWS) * PLACE[:BAND_ROWS]).sum(1) + SALT).view(np.int64)
+        return mixed((low.astype(np.uint64).reshape(BANDS, BAND_ROWS) * PLACE[:BAND_ROWS]).sum(1) + SALT).view(np.int64)
 
 
 def least_matches(miss: float = MISS, share: float = NEED / OF) -> list[int]:
@@ -119,11 +155,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, th, n, fp, bands, sig): size and fingerprint of each text's set, band keys and 16 bits of each minimum."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_hashes()
         for batch in batches:
             n, fp, bands, sig = [], [], [], []
             for text in (t for _, texts in slices(batch, 2, 256) for t in texts):
-                h = shingles(text, known)
+                h = shingles(text)
                 n.append(len(h))
                 fp.append(name_of(h))
                 low = minima(h) if len(h) else None
@@ -152,7 +187,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, miss: float = MISS) -> DataFrame:
 
     sig = nodes.select("node", "sig")
     both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    return both.mapInArrow(test, "a binary, b binary")
+    return both.mapInArrow(test, "a long, b long")
 
 
 class Sets:
@@ -165,7 +200,7 @@ class Sets:
         """(node, h), one row a node, for at least the distinct nodes of `ids` (node)."""
         spark = self.docs.sparkSession
         new = ids if self.made is None else ids.join(self.made.select("node"), "node", "left_anti")
-        new = written(spark, new.join(self.nodes.select("node", "doc_id", "th"), "node"), "set-ids")
+        new = written(spark, new.join(self.nodes.select("node", "fp", "doc_id", "th"), "node"), "set-ids")
         count = new.count()
         if count or self.made is None:
             made = written(spark, self.read(F.broadcast(new) if count <= MOST_BROADCAST else new), "sets")
@@ -176,16 +211,15 @@ class Sets:
 
     def read(self, ids: DataFrame) -> DataFrame:
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = word_hashes()
             for batch in batches:
-                names = batch.column(0).to_pylist()
-                for a, texts in slices(batch, 1, 256):
-                    h = [shingles(t, known) for t in texts]
+                nodes, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, texts in slices(batch, 2, 256):
+                    h = [shingles(t) for t in texts]
                     own = [i for i, x in enumerate(h) if name_of(x) == names[a + i]]
-                    yield pa.RecordBatch.from_arrays([pa.array([names[a + i] for i in own], pa.binary()), pa.array([h[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["node", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[a + i] for i in own], pa.int64()), pa.array([h[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["node", "h"])
 
-        rows = rows_of(self.docs).join(ids, ["doc_id", "th"]).select("node", "text")
-        return rows.mapInArrow(make, "node binary, h array<long>")
+        rows = rows_of(self.docs).join(ids, ["doc_id", "th"]).select("node", "fp", "text")
+        return rows.mapInArrow(make, "node long, h array<long>")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, sets: Sets) -> DataFrame:
@@ -247,9 +281,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     base = written(spark, signatures(docs), "signatures")
     known = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    # rows of one set agree in n, bands and sig; its text is found by its least doc_id
-    nodes = known.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = written(spark, nodes.select("node", "r.doc_id", "r.th", "n", "bands", "sig"), "nodes")
+    # rows of one set agree in n, bands and sig; its text is found by its least doc_id; the written numbers are its own
+    nodes = known.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = written(spark, nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "r.doc_id", "r.th", "n", "bands", "sig"), "nodes")
     sets = Sets(docs, nodes)
     flat = nodes.select(F.explode("bands").alias("key"), "node", "n")
     buckets = flat.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("node", "n").alias("lead"), F.min("n").alias("lead_n")).where("members > 1")
@@ -257,7 +291,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(ordered(rows.where(fits("n", "lead_n")), "node", "lead"), nodes, sets)
     # rows of one doc_id with different texts are one document
     several = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
-    links = links.unionAll(ordered(known.select("doc_id", "fp").join(several, "doc_id"), "a", "fp"))
+    names = nodes.select("node", "fp")
+    same = known.select("doc_id", "fp").join(several, "doc_id").where("a <> fp").select("a", "fp").distinct()
+    same = same.join(names.toDF("x", "a"), "a").join(names.toDF("y", "fp"), "fp")
+    links = links.unionAll(ordered(same, "x", "y"))
     labels = components(links)
     # another leader for the large buckets that aren't one component yet
     open_rows = labelled(rows.select("key", "node", "n", "members"), labels)
@@ -277,7 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a component's id is the least doc_id of its nodes
     linked = nodes.select("node", "doc_id").join(labels, "node")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("least"))
-    ids = nodes.select("node", "doc_id").join(labels, "node", "left").join(least, "label", "left").select(F.col("node").alias("fp"), F.coalesce("least", "doc_id").alias("least"))
+    ids = nodes.select("node", "fp", "doc_id").join(labels, "node", "left").join(least, "label", "left").select("fp", F.coalesce("least", "doc_id").alias("least"))
     mine = base.select("doc_id", "n", "fp").join(ids, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")))
     return mine.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
