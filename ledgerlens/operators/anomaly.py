@@ -9,10 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .profiles import lookup, rfm
+from .stats import quantiles
 
 
 def standardisation(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,6 +30,12 @@ def mahalanobis_like(df: DataFrame, fitted: DataFrame, columns: list[str], floor
     return out.drop(*(f"z{k}{i}" for i in range(len(columns)) for k in "ms"))
 
 
+def nearest_centroid(point: list[Column], centers) -> dict[str, Column]:
+    """Number and distance of the nearest of a few centroids, which are literals of the plan: no join."""
+    gaps = F.array(*(F.sqrt(sum(((x - float(c)) * (x - float(c)) for x, c in zip(point[1:], center[1:], strict=True)), (point[0] - float(center[0])) * (point[0] - float(center[0])))) for center in centers))
+    return {"cluster": (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"), "distance": F.array_min(gaps)}
+
+
 def rfm_clusters(df: DataFrame, key: str, t: str, amount: str, clusters: int = 8, seed: int = 42):
     """(profile with cluster and distance, fitted model) of recency, frequency and monetary value."""
     base = rfm(df, key, t, amount)
@@ -39,16 +47,13 @@ def rfm_clusters(df: DataFrame, key: str, t: str, amount: str, clusters: int = 8
     if n < 2:
         return rows.select(key, F.lit(0).alias("rfm_cluster"), F.lit(0.0).alias("rfm_distance")), None
     model = KMeans(k=max(2, min(clusters, n // 2)), seed=seed).fit(rows)
-    centers = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
-    point = F.array("zr", "zf", "zmo")
-    gaps = F.transform(centers, lambda c: F.sqrt(F.aggregate(F.zip_with(c, point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
-    out = rows.withColumn("gaps", gaps).select(key, (F.array_position("gaps", F.array_min("gaps")) - 1).cast("int").alias("rfm_cluster"), F.array_min("gaps").alias("rfm_distance"))
-    return out, model
+    near = nearest_centroid([F.col(c) for c in ("zr", "zf", "zmo")], model.clusterCenters())
+    return rows.select(key, near["cluster"].alias("rfm_cluster"), near["distance"].alias("rfm_distance")), model
 
 
 def rfm_distance(df: DataFrame, profile: DataFrame, key: str) -> DataFrame:
     """Distance, its log and the cluster by row; an unknown entity has the median distance."""
-    mid = profile.agg(F.median("rfm_distance").alias("rfm_mid"))
+    mid = quantiles(profile, "rfm_distance", (0.5,)).select(F.col("quantiles")[0].alias("rfm_mid"))
     out = lookup(df, profile, key, {"rfm_cluster": -1}).crossJoin(F.broadcast(mid))
     return out.withColumn("rfm_distance", F.coalesce("rfm_distance", "rfm_mid")).withColumn("rfm_log_distance", F.log1p("rfm_distance")).drop("rfm_mid")
 
@@ -208,8 +213,6 @@ def hmm_features(df: DataFrame, model: GaussianHmm, key: str, t: str, row_id: st
     others come the vectors that its forward and backward passes begin with, so results are those of the whole entity."""
     from pyspark.sql import Window as W
 
-    from .graph import written
-
     k = len(model.start)
     order = W.partitionBy(key).orderBy(F.col(t).asc_nulls_last(), F.col(row_id).asc_nulls_last())
     rows = hmm_rows(df, amount, t).withColumn("rn", F.row_number().over(order)).withColumn("chunk", F.floor((F.col("rn") - 1) / 512))

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage of an iterative plan: Parquet in the cluster's shared folder (a folder of our own if unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.scratch import scratch_path, written
 
 
 def shared_links(df: DataFrame, entity: str, attribute: str) -> DataFrame:
@@ -100,16 +88,17 @@ def distance_by_shared(df: DataFrame, entity: str, attribute: str, sources: Data
     """(node, hops): over how many shared values each entity reaches its nearest source (node), without a limit; entities
     that reach none are left out. A round takes the last entities found to their values and on to the values' holders,
     which can only be among the last two rounds' or new."""
-    spark, name = df.sparkSession, f"hops-{uuid.uuid4().hex}"
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession, "hops")
     pairs = written(spark, memberships(df, entity, attribute), "members")
-    last = written(spark, sources.select("node").where("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)), f"{name}/round")
+    kept = lambda rows, hop: rows.write.parquet(f"{folder}/{hop}") or spark.read.schema(rows.schema).parquet(f"{folder}/{hop}")
+    last = kept(sources.select("node").where("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)), 0)
     before, hop = last, 0
     while last.limit(1).count():
         hop += 1
         values = last.select("node").join(pairs, "node").select("x").distinct()
         step = values.join(pairs, "x").select("node").distinct().join(last.unionAll(before).select("node"), "node", "left_anti")
-        before, last = last, written(spark, step.withColumn("hops", F.lit(hop)), f"{name}/round")
-    return spark.read.schema(last.schema).parquet(f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}/*")
+        before, last = last, kept(step.withColumn("hops", F.lit(hop)), hop)
+    return spark.read.schema(last.schema).parquet(*(f"{folder}/{i}" for i in range(hop + 1)))
 
 
 def distance_to(links: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def quantile_split(df: DataFrame, t: str = "t_us", qs: tuple[float, float] = (0.70, 0.85), exact: bool = True) -> DataFrame:
-    """Adds `split`: train up to the first quantile of time, val up to the second, oot after. A one-row aggregate is
-    joined, nothing is collected. `exact=False` uses the approximate percentile, for which no task sees all times."""
-    cut = F.percentile(t, F.array(*map(F.lit, qs))) if exact else F.percentile_approx(t, F.array(*map(F.lit, qs)), 100_000)
-    edges = df.agg(cut.alias("split_at"))
+    """Adds `split`: train up to the first quantile of time, val up to the second, oot after. A one-row table of the
+    quantiles is joined, nothing is collected. `exact=False` uses the approximate percentile, which needs one pass."""
+    from .stats import quantiles
+
+    if exact:
+        edges = quantiles(df, t, qs).select(F.col("quantiles").alias("split_at"))
+    else:
+        edges = df.agg(F.percentile_approx(t, F.array(*map(F.lit, qs)), 100_000).alias("split_at"))
     split = F.when(F.col(t) <= F.col("split_at")[0], "train").when(F.col(t) <= F.col("split_at")[1], "val").otherwise("oot")
     return df.crossJoin(F.broadcast(edges)).withColumn("split", split).drop("split_at")
 

@@ -1,7 +1,7 @@
 """Statistics by column: information value, stability, AUC, null flags, correlation. All columns in one job.
 
-`long` tables hold (column, value, label). Running sums over a column's values go by range and then within ranges, so
-no task sees a whole column.
+`long` tables hold (column, value, label). Running sums over a column's values go by range and then within ranges, and
+quantiles are found by rank from running counts, so no task sees a whole column.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import numeric_columns, text_columns
+from ..sources.scratch import written
 
-FLOOR, RANGES = 1e-6, 64
+FLOOR = 1e-6
 
 
 def unpivot(df: DataFrame, columns: list[str], label: str | None = None, kind: str = "double") -> DataFrame:
@@ -23,18 +24,44 @@ def unpivot(df: DataFrame, columns: list[str], label: str | None = None, kind: s
 
 
 def prefix_sums(df: DataFrame, value: str, sums: list[str], by: list[str], descending: bool = False) -> DataFrame:
-    """Adds `{s}_run`: the sum of s over all rows of the group up to this value (rows must have distinct values)."""
-    edges = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 1000).alias("ps_edges"))
-    tagged = df.join(edges, by).withColumn("ps_range", F.size(F.filter("ps_edges", lambda e: e < F.col(value)))).drop("ps_edges")
+    """Adds `{s}_run`: the sum of s over all rows of the group up to this value (rows must have distinct values).
+
+    Rows are put in order over all tasks once and written, with the number of their range: two steps read them, and
+    the bounds of the ranges come from a sample.
+    """
+    ranged = written(df.sparkSession, df.repartitionByRange(*by, value).withColumn("ps_range", F.spark_partition_id()), "ranges")
     order = F.desc if descending else F.asc
-    totals = tagged.groupBy(*by, "ps_range").agg(*(F.sum(s).alias(f"{s}_r") for s in sums))
+    totals = ranged.groupBy(*by, "ps_range").agg(*(F.sum(s).alias(f"{s}_r") for s in sums))
     earlier = W.partitionBy(*by).orderBy(order("ps_range")).rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(*by, "ps_range", *(F.coalesce(F.sum(f"{s}_r").over(earlier), F.lit(0)).alias(f"{s}_start") for s in sums))
     inside = W.partitionBy(*by, "ps_range").orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
-    out = tagged.join(starts, [*by, "ps_range"])
+    out = ranged.join(starts, [*by, "ps_range"])
     return out.withColumns({f"{s}_run": F.sum(s).over(inside) + F.col(f"{s}_start") for s in sums}).drop("ps_range", *(f"{s}_start" for s in sums))
 
 
+def quantiles(df: DataFrame, value: str, qs: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """(by, n_known, n_unique, quantiles): exact quantiles of the known values, interpolated between neighbours.
+
+    Values are counted, running counts give their ranks, and an aggregate picks the values at the wanted ranks. Without
+    `by` there is one row, also of an empty table.
+    """
+    by = by or []
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.lit(0).alias("q_all"), F.col(value).cast("double").alias("q_value"))
+    counts = rows.groupBy(*by, "q_all", "q_value").agg(F.count(F.lit(1)).alias("q_k"))
+    run = prefix_sums(counts, "q_value", ["q_k"], [*by, "q_all"])
+    total = run.groupBy(*by, "q_all").agg(F.sum("q_k").alias("q_n"), F.count(F.lit(1)).alias("q_u"))
+    at = lambda q: F.lit(q) * (F.col("q_n") - 1)
+    here = lambda i: F.max(F.when((F.col("q_k_run") - F.col("q_k") <= i) & (i < F.col("q_k_run")), F.col("q_value")))
+    picks = [x for i, q in enumerate(qs) for x in (here(F.floor(at(q))).alias(f"lo{i}"), here(F.ceil(at(q))).alias(f"hi{i}"))]
+    picked = run.join(F.broadcast(total) if not by else total, [*by, "q_all"]).groupBy(*by).agg(F.max("q_n").alias("q_n"), F.max("q_u").alias("q_u"), *picks)
+
+    def between(i: int, q: float) -> Column:
+        part = at(q) - F.floor(at(q))
+        return F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(F.col(f"lo{i}") * (1 - part) + F.col(f"hi{i}") * part)
+
+    return picked.select(*by, F.coalesce("q_n", F.lit(0)).alias("n_known"), F.coalesce("q_u", F.lit(0)).alias("n_unique"), F.array(*(between(i, q) for i, q in enumerate(qs))).alias("quantiles"))
+
+
 def auc(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(column, auc): Mann-Whitney with half credit for ties; null without both classes. Null values are left out."""
     by = by or ["column"]
@@ -49,12 +76,14 @@ def safe_auc(a: Column) -> Column:
 
 
 def interior_edges(long: DataFrame, bins: int, exact: bool = True) -> DataFrame:
-    """(column, n_unique, edges): distinct quantiles without the outer two."""
-    qs = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    cut = F.percentile("value", qs) if exact else F.percentile_approx("value", qs, 10_000)
-    distinct = F.count_distinct("value") if exact else F.approx_count_distinct("value")
-    q = F.array_distinct(F.col("q"))
-    return long.where(F.col("value").isNotNull()).groupBy("column").agg(cut.alias("q"), distinct.alias("n_unique"), F.count("value").alias("n_known")).select("column", "n_unique", "n_known", F.slice(q, 2, F.greatest(F.size(q) - 2, F.lit(0))).alias("edges"))
+    """(column, n_unique, n_known, edges): distinct quantiles without the outer two."""
+    qs = tuple(i / bins for i in range(bins + 1))
+    if exact:
+        cut = quantiles(long, "value", qs, ["column"])
+    else:
+        cut = long.where(F.col("value").isNotNull()).groupBy("column").agg(F.percentile_approx("value", F.array(*map(F.lit, qs)), 10_000).alias("quantiles"), F.approx_count_distinct("value").alias("n_unique"), F.count("value").alias("n_known"))
+    q = F.array_distinct(F.col("quantiles"))
+    return cut.select("column", "n_unique", "n_known", F.slice(q, 2, F.greatest(F.size(q) - 2, F.lit(0))).alias("edges"))
 
 
 def _iv(bins: DataFrame) -> DataFrame:
@@ -127,9 +156,10 @@ def null_flag_auc(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
 
 def univariate_auc(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """(column, auc) after filling nulls with the median, on the better side of 0.5."""
-    mid = df.agg(*(F.median(c).alias(f"m{i}") for i, c in enumerate(columns)))
-    filled = df.crossJoin(F.broadcast(mid)).select(label, *(F.coalesce(F.col(c).cast("double"), F.col(f"m{i}")).alias(c) for i, c in enumerate(columns)))
-    return _all(df, columns).join(auc(unpivot(filled, columns, label)), "column", "left").select("column", safe_auc(F.col("auc")).alias("auc"))
+    long = unpivot(df, columns, label)
+    mid = quantiles(long, "value", (0.5,), ["column"]).select("column", F.col("quantiles")[0].alias("mid"))
+    filled = long.join(F.broadcast(mid), "column", "left").select("column", "label", F.coalesce("value", "mid").alias("value"))
+    return _all(df, columns).join(auc(filled), "column", "left").select("column", safe_auc(F.col("auc")).alias("auc"))
 
 
 def correlation_flags(df: DataFrame, columns: list[str] | None = None, least: float = 0.98) -> DataFrame:
