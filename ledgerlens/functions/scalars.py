@@ -70,6 +70,38 @@ def hour_gap(a: Column, b: Column) -> Column:
     return F.least(d, 24 - d)
 
 
+def hour_sigma(hour: Column, mean: Column, std: Column) -> dict[str, Column]:
+    """Deviation from an entity's usual hour in its deviations (one hour at least), and whether it is over two."""
+    z = F.abs(hour - mean) / F.when(std.isNotNull(), F.greatest(std, F.lit(1.0)))
+    return {"hour_deviation_sigma": z, "is_odd_hour": as_int(z > 2)}
+
+
+def amount_extremes(amount: Column, top: Column, median: Column) -> dict[str, Column]:
+    """An amount against an entity's largest and median one."""
+    return {"ratio_to_max": ratio(amount, top), "ratio_to_median": ratio(amount, median), "above_median": as_int(amount > median), "is_over_max": as_int(amount > top)}
+
+
+def entity_flags(count: Column, rate: Column, base: Column, times: float = 3.0) -> dict[str, Column]:
+    """Whether an entity is new, its log volume, and whether its rate is over so many times the base rate."""
+    n = F.coalesce(count, F.lit(0))
+    return {"is_new_entity": as_int(n == 0), "log_volume": F.log1p(n), "is_high_risk": as_int(rate > times * base)}
+
+
+def band_flags(amount: Column, low: Column, median: Column, high: Column) -> dict[str, Column]:
+    """Whether an amount is outside its category's quartile band, and its ratio to the category's median."""
+    return {"outside_band": as_int((amount < low) | (amount > high)), "ratio_to_category_median": ratio(amount, median)}
+
+
+def interactions(amount: Column, km: Column, count: Column, population: Column) -> dict[str, Column]:
+    """Products of log amount, log distance and velocity, and the amount by head of a place."""
+    return {"log_amount_x_log_km": F.log1p(amount) * F.log1p(km), "velocity_x_log_km": count * F.log1p(km), "amount_per_head": amount / F.greatest(population, F.lit(1))}
+
+
+def matches(value: Column, usual: Column) -> Column:
+    """1 where a value is the entity's usual one; an unknown one doesn't match."""
+    return as_int(value == usual)
+
+
 def angular_distance(hour: Column, mean_sin: Column, mean_cos: Column) -> Column:
     """1 - cos of the angle between an hour and a mean direction."""
     s, c = cyclic(hour, 24)
@@ -77,6 +109,10 @@ def angular_distance(hour: Column, mean_sin: Column, mean_cos: Column) -> Column
     return 1 - (s * mean_sin + c * mean_cos) / F.when(r > 0, r)
 
 
+def is_unusual_hour(distance: Column, concentration: Column) -> Column:
+    return as_int((distance > 0.5) & (concentration > 0.5))
+
+
 def balance_features(amount: Column, old_from: Column, new_from: Column, old_to: Column, new_to: Column) -> dict[str, Column]:
     sent, got = F.abs((old_from - new_from) - amount), F.abs((new_to - old_to) - amount)
     return {

@@ -35,6 +35,12 @@ def familiarity(*is_new: Column) -> dict[str, Column]:
     return {"known_ratio": known / float(n), "all_new": as_int(known == 0)}
 
 
+def new_account_flags(age_days: Column, amount: Column, usual: Column, all_new: Column) -> dict[str, Column]:
+    """A young account with a large amount, and one all of whose attributes are new."""
+    young = as_int(age_days < 30)
+    return {"new_account": young, "new_account_large": young * as_int(amount > 2 * usual), "new_account_all_new": young * all_new}
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.size(F.array_intersect(a, b)) / F.when(union > 0, union)

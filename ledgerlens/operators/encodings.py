@@ -57,10 +57,10 @@ def global_rate(df: DataFrame, label: str, name: str = "prior", where: Column |
     return (df if where is None else df.where(where)).agg(F.avg(label).alias(name))
 
 
-def out_of_fold(df: DataFrame, row_id: str, column: str, label: str, name: str, folds: int = 5, m: float = 20.0) -> DataFrame:
-    """Each row's rate from the other folds: sums by value less those by value and fold, so two aggregates in all."""
-    fold = F.pmod(F.xxhash64(F.lit("fold"), row_id), F.lit(folds))
-    rows = df.withColumn("oof_fold", fold)
+def out_of_fold(df: DataFrame, row_id: str, column: str, label: str, name: str, folds: int = 5, m: float = 20.0, fold: Column | None = None) -> DataFrame:
+    """Each row's rate from the other folds: sums by value less those by value and fold, so two aggregates in all. Folds
+    are a hash of the row id unless `fold` says otherwise."""
+    rows = df.withColumn("oof_fold", F.pmod(F.xxhash64(F.lit("fold"), row_id), F.lit(folds)) if fold is None else fold)
     by_fold = rows.where(F.col(column).isNotNull()).groupBy(column, "oof_fold").agg(F.sum(F.col(label).cast("double")).alias("s_f"), F.count(label).alias("n_f"))
     whole = by_fold.groupBy(column).agg(F.sum("s_f").alias("s_all"), F.sum("n_f").alias("n_all"))
     prior = df.agg(F.avg(label).alias("prior"))

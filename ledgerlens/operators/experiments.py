@@ -23,12 +23,28 @@ LOG = T.StructType(
     ]
 )
 
-#: Keywords that tell what a hypothesis tries.
+#: Families of techniques and the keywords that tell them, in a hypothesis or a feature's name.
 TECHNIQUES = {
-    "velocity": ("velocity", "window count", "rolling"), "target_encoding": ("target enc", "woe"), "frequency": ("frequency", "freq enc"), "aggregation": ("aggregat", "groupby", "uid"),
-    "temporal": ("hour", "cyclic", "weekend", "time of day"), "geo": ("haversine", "distance", "geo"), "amount": ("amount", "cents", "round"), "interaction": ("interaction", "combo"),
-    "anomaly": ("anomaly", "mahalanobis", "isolation"), "graph": ("graph", "component", "sharing"), "sequence": ("sequence", "hmm", "cusum"), "profile": ("profile", "deviation", "z-score"),
-    "hyperparameter": ("depth", "learning rate", "trees"), "selection": ("drop", "remove", "prune"), "null_handling": ("null", "missing", "sentinel"),
+    "velocity": ("velocity", "vel_", "gap", "burst", "daily_rate", "time_since"),
+    "behavioral": ("behav_", "deviation", "zscore", "profile", "hour_deviation"),
+    "target_encoding": ("target_enc", "_te", "smoothing", "min_samples", "oof"),
+    "interaction_te": ("interaction", "card_x_", "card1_x_", "_x_"),
+    "identity": ("identity", "modal", "match", "profile_match", "consistency"),
+    "entity_sharing": ("entity", "shared_", "n_cards_per", "sharing"),
+    "amount_patterns": ("amt_", "round", "cents", "decimal", "corridor", "iqr"),
+    "geo_features": ("geo_", "distance", "lat", "long", "city_pop"),
+    "geo_distance": ("haversine", "geo_dist", "from_home", "centroid"),
+    "time_features": ("hour", "day_of_week", "weekend", "cyclical", "night"),
+    "cyclic_time": ("sin_hour", "cos_hour", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "cyclic"),
+    "terminal_risk": ("term_fraud", "terminal_risk", "merchant_risk", "term_is_high", "term_log_volume"),
+    "anomaly": ("anomaly", "mahalanobis", "isolation", "outlier"),
+    "model_tuning": ("depth", "learning_rate", "n_estimators", "trees", "ensemble", "subsample", "colsample"),
+    "class_weight": ("weight", "scale_pos", "focal", "imbalance", "undersamp"),
+    "feature_selection": ("drop", "remove", "select", "prune", "importance"),
+    "aggregation": ("agg", "count", "mean", "std", "per_card", "per_merchant"),
+    "uid_construction": ("uid", "uid_", "_uid", "construct_uid", "card1_addr1"),
+    "window_velocity": ("vel_1h", "vel_24h", "vel_7d", "window_velocity", "rolling_count", "vel_60s", "vel_600s"),
+    "rolling_terminal": ("term_fraud_28d", "rolling_term", "term_compromise", "rolling_fraud_rate"),
 }
 AMBITIOUS = ("campaign", "overhaul", "redesign", "new family")
 
@@ -93,9 +109,15 @@ def ambition_report(log: DataFrame) -> DataFrame:
     return ambition(log).groupBy("dataset").agg(F.avg("feature_delta").alias("mean_delta"), F.max("feature_delta").alias("max_delta"), F.count_if(F.col("hypothesis").rlike("(?i)campaign")).alias("campaigns"), t("ambitious").alias("ambitious_pct"), t("moderate").alias("moderate_pct"), t("standard").alias("standard_pct"))
 
 
+def techniques(log: DataFrame) -> Column:
+    """The families that a record's hypothesis or the names of its top features tell."""
+    names = F.array_join(F.map_keys("top_features"), " ") if "top_features" in log.columns else F.lit("")
+    return tags(F.concat_ws(" ", F.coalesce("hypothesis", F.lit("")), F.coalesce(names, F.lit(""))), TECHNIQUES)
+
+
 def technique_rates(log: DataFrame) -> DataFrame:
     """(technique, keeps, discards, rate) over records that didn't crash."""
-    rows = log.where(~F.col("status").isin("crash", "timeout")).select("status", F.explode(tags(F.coalesce("hypothesis", F.lit("")), TECHNIQUES)).alias("technique"))
+    rows = log.where(~F.col("status").isin("crash", "timeout")).select("status", F.explode(techniques(log)).alias("technique"))
     s = rows.groupBy("technique").agg(F.count_if(F.col("status") == "keep").alias("keeps"), F.count_if(F.col("status") != "keep").alias("discards"))
     return s.withColumn("rate", F.col("keeps") / (F.col("keeps") + F.col("discards"))).orderBy(F.desc("keeps"), "technique")
 

@@ -19,7 +19,7 @@ def by_threshold(df: DataFrame, label: str = "label", score: str = "score", by:
     """(by, score, p, k, p_run, k_run): positives and rows at each score, and from the top down to it."""
     by = by or []
     w = F.col(weight) if weight else F.lit(1)
-    rows = df.where(F.col(score).isNotNull()).withColumn("one_group", F.lit(0))
+    rows = df.where(F.col(score).isNotNull()).select(*by, F.lit(0).alias("one_group"), F.col(score), F.col(label), *([F.col(weight)] if weight else []))
     counts = rows.groupBy(*by, "one_group", F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("p"), F.sum(w).alias("k")).where("k > 0")
     return prefix_sums(counts, "score", ["p", "k"], [*by, "one_group"], descending=True).drop("one_group")
 
@@ -143,5 +143,15 @@ def rank_average(df: DataFrame, row_id: str, scores: list[str], name: str = "ens
     return out.withColumn(name, mean).drop("ra_total", *(f"ra_r{i}" for i in range(len(scores))))
 
 
+def overfit_report(train: DataFrame, val: DataFrame, features: list[str], label: str = "label", score: str = "score", top: int = 15, shifted: float = 0.10) -> DataFrame:
+    """(metric, value): areas of both sides and their gap, the scores' stability, and the stability of those of the first
+    `top` features that shifted."""
+    a, b = (roc_auc(x, label, score).select(F.coalesce("auc", F.lit(0.5)).alias(n)) for x, n in ((train, "auroc_train"), (val, "auroc_val")))
+    areas = a.crossJoin(b).withColumn("auroc_gap", F.col("auroc_train") - F.col("auroc_val")).crossJoin(score_psi(train, val, score).select(F.col("psi").alias("score_psi")))
+    long = areas.unpivot([], ["auroc_train", "auroc_val", "auroc_gap", "score_psi"], "metric", "value")
+    by_feature = psi(train, val, features[:top]).where(F.col("psi") > shifted).select(F.concat(F.lit("psi:"), "column").alias("metric"), F.col("psi").alias("value"))
+    return long.unionByName(by_feature)
+
+
 def keep_rule(new: Column, best: Column, rejected: Column, least_gain: float = 0.001) -> Column:
     return F.when(rejected, "reject_psi").when(best.isNull() | (new > best + least_gain), "keep").otherwise("discard")

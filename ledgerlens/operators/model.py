@@ -44,14 +44,14 @@ def importances(spark, model: Any, features: list[str], top: int = 20) -> DataFr
     return spark.createDataFrame(rows[:top], "feature string, importance double")
 
 
-def subsampled_ensemble(df: DataFrame, ratios: tuple[int, ...] = (3, 10, 30), config: dict[str, Any] | None = None, features: list[str] | None = None, label: str = "label", seed: int = 42) -> DataFrame:
-    """Mean score of models that see all positives and so many negatives a positive."""
+def subsampled_ensemble(df: DataFrame, ratios: tuple[int, ...] = (3, 10, 30), config: dict[str, Any] | None = None, features: list[str] | None = None, label: str = "label", seed: int = 42, row_id: str = "row_id") -> DataFrame:
+    """Mean score of models that see all positives and so many negatives a positive, drawn by row."""
     features = features or numeric_columns(df, without=(label,))
     share = df.where("split = 'train'").agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q")).first()
     scored = df
     for i, r in enumerate(ratios):
         keep = min(1.0, r * (share["p"] or 0) / max(1, share["q"] or 0))
-        draw = F.pmod(F.xxhash64(F.lit(seed + i), *features), F.lit(1 << 30)) < int(keep * (1 << 30))
+        draw = F.pmod(F.xxhash64(F.lit(seed + i), row_id), F.lit(1 << 30)) < int(keep * (1 << 30))
         part = df.where((F.col("split") != "train") | (F.col(label) == 1) | draw)
         _, model = train_and_evaluate(part, (config or {}) | {"seed": seed + i}, features, label)
         scored = model.transform(assembled(scored, features)).withColumn(f"s{i}", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")

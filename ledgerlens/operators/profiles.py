@@ -126,6 +126,25 @@ def failure_rate(df: DataFrame, key: str, failed: Column) -> DataFrame:
     return df.groupBy(key).agg((F.count_if(failed) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("failure_rate"))
 
 
+def dispute_ratios(df: DataFrame, key: str, t: str, amount: str, disputed: Column) -> DataFrame:
+    """Share of an entity's rows that were disputed, of their amounts, and days from its last dispute to its last row
+    (null without one)."""
+    total = F.sum(amount)
+    last = F.max(F.when(disputed, F.col(t)))
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        (F.count_if(disputed) / F.count(F.lit(1))).alias("dispute_rate"), (F.coalesce(F.sum(F.when(disputed, F.col(amount))), F.lit(0.0)) / F.when(total != 0, total)).alias("dispute_amount_ratio"),
+        ((F.max(t) - last) / 86_400e6).alias("days_since_dispute"),
+    )
+
+
+def high_rate_flag(df: DataFrame, history: DataFrame, value: str, name: str = "is_high_velocity", q: float = 0.95) -> DataFrame:
+    """1 above the quantile that the training history sets (not the rows' own split)."""
+    from .stats import quantiles
+
+    cut = quantiles(history, value, (q,)).select(F.col("quantiles")[0].alias("high_cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn(name, F.coalesce((F.col(value) > F.col("high_cut")).cast("int"), F.lit(0))).drop("high_cut")
+
+
 def trajectory(df: DataFrame, key: str, t: str, row_id: str, amount: str) -> DataFrame:
     """Slope, variance, largest jump of an entity's log amounts in order, and its last five against the rest."""
     w = W.partitionBy(key).orderBy(t, row_id)

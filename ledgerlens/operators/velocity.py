@@ -54,6 +54,27 @@ def velocity(df: DataFrame, key: str, t: str, value: str, row_id: str, windows:
     return out.where("v_own").drop("v_own", "v_stretch") if spread else out
 
 
+def velocity_matrix(df: DataFrame, keys: Iterable[str], t: str, value: str, row_id: str, windows: dict[str, int] = DAILY, aggs: Iterable[str] = ("count", "sum", "avg", "std", "distinct"), spread: bool = False) -> DataFrame:
+    """All windows and aggregates of several keys over strictly earlier rows: one shuffle a key."""
+    for key in keys:
+        df = velocity(df, key, t, value, row_id, windows, aggs, ties="strict", spread=spread)
+    return df
+
+
+def diversity(df: DataFrame, key: str, entity: str, t: str, window: int, name: str, limit: int | None = None, spread: bool = False) -> DataFrame:
+    """Distinct entities that an address, device or card met in the window up to each row (its own among them), and
+    `{name}_high` above a limit. With `spread`, a hot key runs in as many tasks as it has stretches of time."""
+    parts, rows = [key], df
+    if spread:
+        stretch = F.floor(F.col(t) / window)
+        rows = df.withColumn("d_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("d_stretch", F.when(F.col("d_own"), stretch).otherwise(stretch + 1))
+        parts = [key, "d_stretch"]
+    seen = F.size(F.collect_set(F.when(F.col(key).isNotNull(), F.col(entity))).over(W.partitionBy(*parts).orderBy(t).rangeBetween(-window, 0)))
+    out = rows.withColumn(name, seen)
+    out = out.where("d_own").drop("d_own", "d_stretch") if spread else out
+    return out if limit is None else out.withColumn(f"{name}_high", (F.col(name) > limit).cast("int"))
+
+
 def recent_history(df: DataFrame, t: str, start: Column, longest: int) -> DataFrame:
     """Rows that any window of a split that begins at `start` can still see: cut before the shuffle."""
     return df.where(F.col(t) >= start - longest)
@@ -92,9 +113,12 @@ def drift(df: DataFrame, key: str, t: str, value: str, name: str = "drift") -> D
 
 
 def recipient_profile(df: DataFrame, to: str, sender: str, t: str, amount: str) -> DataFrame:
-    """Distinct senders in a week, amount received in a day, days since first seen, by row of the recipient."""
+    """Distinct senders in a week, amount received in a day, mean amount so far, days since first seen, by row of the
+    recipient; flags of a new recipient, of many senders, and of a day over ten times the mean of its days so far."""
     by = W.partitionBy(to).orderBy(t)
     day = F.sum(amount).over(by.rangeBetween(-DAY, 0))
+    so_far = by.rangeBetween(W.unboundedPreceding, 0)
+    daily = F.sum(amount).over(so_far) / F.greatest((F.col(t) - F.min(t).over(so_far)) / DAY, F.lit(1.0))
     age = (F.col(t) - F.min(t).over(by.rangeBetween(W.unboundedPreceding, 0))) / DAY
     senders = F.size(F.collect_set(sender).over(by.rangeBetween(-7 * DAY, 0)))
-    return df.withColumns({"senders_7d": senders, "received_1d": day, "recipient_age_days": age, "recipient_new": (age < 7).cast("int"), "many_senders": (senders > 5).cast("int")})
+    return df.withColumns({"senders_7d": senders, "received_1d": day, "recipient_age_days": age, "recipient_new": (age < 7).cast("int"), "many_senders": (senders > 5).cast("int"), "received_mean": F.avg(amount).over(so_far), "received_spike": (day > 10 * daily).cast("int")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,19 +38,20 @@ def prior_velocity(events: DataFrame, key: str, row_id: str, t: str, amount: str
         if state.hasTimedOut:
             state.remove()
             return
-        times, amounts = (list(x) for x in state.get) if state.exists else ([], [])
+        held, amounts = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
         rows = pd.concat(list(parts)).sort_values(["t", "row_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            inside = [(a, b) for a, b in zip(times, amounts, strict=True) if r.t - window_us <= a <= r.t]
-            out.append((k[0], r.row_id, r.t, len(inside), float(sum(b for _, b in inside))))
-            times.append(int(r.t))
-            amounts.append(float(r.amount))
-        newest = max(times)
-        kept = [(a, b) for a, b in zip(times, amounts, strict=True) if a >= newest - window_us]
-        state.update(([a for a, _ in kept], [b for _, b in kept]))
-        state.setTimeoutTimestamp(max((newest + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["key", "row_id", "t", "n", "total"])
+        t, new = rows["t"].to_numpy(np.int64), rows["amount"].to_numpy(float)
+        # held times and the batch's own earlier rows are both in order: a window is a stretch of either
+        lo, hi, own = np.searchsorted(held, t - window_us), np.searchsorted(held, t, "right"), np.searchsorted(t, t - window_us)
+        before, mine, at = np.append(0, np.cumsum(amounts)), np.append(0, np.cumsum(new)), np.arange(len(t))
+        n, total = np.maximum(hi - lo, 0) + at - own, np.where(hi > lo, before[hi] - before[lo], 0) + mine[at] - mine[own]
+        every, sums = np.concatenate([held, t]), np.concatenate([amounts, new])
+        order = np.argsort(every, kind="stable")
+        every, sums = every[order], sums[order]
+        kept = every >= every[-1] - window_us
+        state.update((every[kept].tolist(), sums[kept].tolist()))
+        state.setTimeoutTimestamp(max((int(every[-1]) + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"key": k[0], "row_id": rows["row_id"].to_numpy(), "t": t, "n": n, "total": total})
 
     kind = events.schema[key].dataType.simpleString()
     rows = events.withWatermark(time, late).select(F.col(time).alias("ts"), F.col(key).alias("key"), F.col(row_id).cast("long").alias("row_id"), F.col(t).alias("t"), F.col(amount).cast("double").alias("amount"))
