@@ -325,11 +325,6 @@ def _a12(s: SparkSession, d: str) -> DataFrame:
     return rounded(encodings.target(lines(s, d), "l_suppkey", "label", "te", "sigmoid", where=F.col("l_linestatus") == "F"), 6)
 
 
-@query("a13_out_of_fold_te")
-def _a13(s: SparkSession, d: str) -> DataFrame:
-    return rounded(encodings.out_of_fold(events(s, d), "event_id", "user_id", "label", "te_oof"), 6, "event_id", "te_oof")
-
-
 @query("a16_daily_labels", f"WITH {LINES} SELECT l_suppkey, t_us // 86400000000 AS day, CAST(sum(label) AS BIGINT) AS frauds, count(*) AS n FROM l GROUP BY ALL")
 def _a16(s: SparkSession, d: str) -> DataFrame:
     return risk.daily_labels(lines(s, d), "l_suppkey", "t_us", "label")
@@ -511,22 +506,11 @@ def _m10(s: SparkSession, d: str) -> DataFrame:
     return rounded(stats.null_flag_auc(df, "label", ["v"]), 6)
 
 
-@query("m12_analyze")
-def _m12(s: SparkSession, d: str) -> DataFrame:
-    return stats.analyze(lines(s, d), "label", without=("l_orderkey",))
-
-
 @query("m13_correlation", "SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(abs(corr(l_quantity, l_extendedprice)), 4) AS corr FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', round(abs(corr(l_quantity, l_discount)), 4) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', round(abs(corr(l_extendedprice, l_discount)), 4) FROM lineitem")
 def _m13(s: SparkSession, d: str) -> DataFrame:
     return stats.correlation_flags(read(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], least=0.0)
 
 
-@query("m14_analyze_features")
-def _m14(s: SparkSession, d: str) -> DataFrame:
-    df = split_events(s, d)
-    return rounded(stats.analyze_features(df.where("split = 'train'"), df.where("split = 'oot'"), "label", ["value", "k"]))
-
-
 # --- metrics ---
 
 
@@ -576,12 +560,6 @@ def _m17(s: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.bootstrap_ci(df, "row_id", n=50))
 
 
-@query("m18_leaks", f"WITH {EVENTS} SELECT 'leaky' AS \"column\", 1.0 AS auc")
-def _m18(s: SparkSession, d: str) -> DataFrame:
-    df = events(s, d).select("label", "value", (F.col("label") * 10).alias("leaky"), F.lit(1).alias("constant"))
-    return validate.leaks(df, "label", ["value", "leaky", "constant"])
-
-
 @query("v21_rank_average", f"WITH {EVENTS}, x AS (SELECT event_id, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS a, rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0 AS b, count(*) OVER () AS n FROM e) SELECT event_id, round((a + b) / 2 / n, 6) AS ensemble FROM x")
 def _v21(s: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.rank_average(events(s, d), "event_id", ["value", "k"]), 6, "event_id", "ensemble")
@@ -635,12 +613,6 @@ def _f43p(s: SparkSession, d: str) -> DataFrame:
     return rounded(graph.shared_pagerank(order_prices(s, d), "o_custkey", "price"))
 
 
-@query("f43_distance")
-def _f43d(s: SparkSession, d: str) -> DataFrame:
-    prices = order_prices(s, d)
-    return graph.distance_by_shared(prices, "o_custkey", "price", graph.shared_links(prices, "o_custkey", "price").agg(F.min("a").alias("node")))
-
-
 @query("u5_jaccard", "WITH s AS (SELECT user_id, list_distinct(list(event_type || CAST(CAST(regexp_extract(props, '[0-9]+') AS INT) % 10 AS VARCHAR))) AS a FROM events GROUP BY user_id), b AS (SELECT a AS b FROM s WHERE user_id = (SELECT min(user_id) FROM s)) SELECT user_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM s, b")
 def _u5(s: SparkSession, d: str) -> DataFrame:
     sets = events(s, d).groupBy("user_id").agg(F.collect_set(F.concat("event_type", (F.col("k") % 10).cast("string"))).alias("a"))
@@ -702,11 +674,6 @@ def _x18(s: SparkSession, d: str) -> DataFrame:
     return experiments.index_totals(log(s, d), "score")
 
 
-@query("x4_decisions")
-def _x4(s: SparkSession, d: str) -> DataFrame:
-    return experiments.decisions(log(s, d), "score", F.col("status") == "crash")
-
-
 # --- whole plans ---
 
 
