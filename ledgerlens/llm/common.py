@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written as written
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -55,29 +56,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only in local mode where none is set (tests, local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="spark-ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them again. Results are read lazily, so the table
-    stays as long as the application and is deleted at its end."""
-    path = f"{shared_dir(spark).rstrip('/')}/ledgerlens-{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def slices(batch, column: int, step: int = 512):
     """(start, values) of a column of an Arrow batch, a few at a time: the Python copies of long texts stay small.
     Strings come as their UTF-8 bytes."""

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
 
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -197,6 +198,29 @@ def test_long_words_are_learned(spark):
     assert (counts * v.sizes[:-1]).sum() == pytest.approx(sum(map(len, some)))
 
 
+def test_token_lengths_match_merges_by_hand(spark, docs):
+    """Lengths from the vocabulary file alone: text cut by the pattern, then the lowest-ranked pair merged, again and again."""
+    import base64
+
+    import regex
+
+    ranks = {base64.b64decode(x.split()[0]): int(x.split()[1]) for x in open(common.BYTE_BPE, "rb")}
+
+    def merged(word):
+        parts = [bytes([b]) for b in word]
+        while len(parts) > 1:
+            rank, i = min((ranks.get(a + b, math.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == math.inf:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return len(parts)
+
+    texts = [None, "", "Hello  world's 123\n\n", "日本語 é", "x" * 50] + [r["text"][:400] for r in docs.limit(6).collect()]
+    expected = sorted(sum(merged(w.encode()) for w in regex.findall(lengths.PATTERN, t or "")) for t in texts)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sorted(r["length"] for r in lengths.token_lengths(rows).collect()) == expected
+
+
 def test_length_histogram(docs, odd, none):
     sizes = [r["length"] for r in lengths.token_lengths(odd).collect()]
     hist = lengths.op3_lengths(odd)
@@ -425,6 +449,42 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.op7_fingerprint(none).count() == 0
 
 
+def brute_fingerprint(text):
+    """Every bin's bits by plain loops, with the hash that the column functions use."""
+    import xxhash
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    chain = lambda parts: functools.reduce(lambda seed, b: xxhash.xxh64(b, seed=seed).intdigest(), parts, 42)
+    h = [chain([w]) for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+    if not h:
+        return ""
+    eight = [x.to_bytes(8, "little") for x in h]
+    found = [chain(eight)] if len(h) < 5 else [chain(eight[i : i + 5]) for i in range(len(h) - 4)]
+    least = {}
+    for x in found:
+        least[x >> 57] = min(x, least.get(x >> 57, x))
+    out = []
+    for b in range(128):
+        if b in least:
+            out.append(least[b] & 255)
+        else:
+            rank = {signed(chain([b.to_bytes(4, "little"), k.to_bytes(4, "little")]) & ~255 | x & 255): x & 255 for k, x in least.items()}
+            out.append(rank[min(rank)])
+    return "".join(f"{x:02x}" for x in out)
+
+
+def test_fingerprint_bits_match_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["", " \n ", "one", "a b c d", "a b c d e", "A b  c\td e f"] + [" ".join(f"w{rng.randrange(4000)}" for _ in range(n)) for n in (9, 60, 400, 3000)] + ["日本 語 é ü ß x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in fingerprint.op7_fingerprint(rows).collect():
+        assert r["fingerprint"] == brute_fingerprint(texts[r["doc_id"]])
+        after = texts[(r["doc_id"] - 1) % len(texts)]
+        cut = len(texts[r["doc_id"]]) // 3
+        edited = texts[r["doc_id"]][: len(texts[r["doc_id"]]) - cut] + after[:cut]
+        assert r["edited_fingerprint"] == brute_fingerprint(edited) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_likeness_estimates_similarity(spark):
     rng = random.Random(8)
     pairs = []
@@ -646,6 +706,68 @@ def test_risk_gradients():
 # --- pipeline ---
 
 
+CLASHES = {"row": "r", "taken": -1, "m_size": 7, "t_key": "k", "label": 1, "lang_pred": "zz", "predicted": 0, "n": 0, "target": 2.5}
+
+
+def stage(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+@pytest.fixture(scope="module")
+def messy(spark, docs):
+    """Documents with nulls in any column, empty texts, repeated rows, and columns named like the operators' own."""
+    few = docs.where("doc_id < 120")
+    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "s", 0), (None, "no id here at all the of and", None, None, 3), (-7, "one two", "en", None, 7), (-7, "one two", "en", None, 7), (-9, "x" * 40_000, None, "s", 40_000)], few.schema)
+    return common.written(spark, few.unionByName(few.where("doc_id < 20")).unionByName(odd).withColumns({k: F.lit(x) for k, x in CLASHES.items()}), "messy")
+
+
+@pytest.mark.parametrize("name", ["quality", "language", "dedup", "mix"])
+def test_stages_keep_columns_and_bear_odd_rows(spark, messy, name):
+    got = stage(name)(spark, messy, SMALL)
+    assert got.columns == messy.columns and got.dtypes == messy.dtypes
+    for r in got.collect():
+        assert (r["row"], r["taken"], r["m_size"], r["t_key"], r["label"], r["lang_pred"], r["predicted"], r["n"], r["target"]) == ("r", -1, 7, "k", 1, "zz", 0, 0, 2.5)
+    assert stage(name)(spark, messy.limit(0), SMALL).count() == 0
+
+
+def test_encode_stage_bears_odd_rows(spark, messy):
+    v = lattice.vocabulary(common.PIECE_MODEL)
+    got = stage("encode")(spark, messy, SMALL).collect()
+    assert len(got) == messy.count()
+    for r in got:
+        assert r["ids"] is None if r["text"] is None else len(r["text"]) > 2000 or r["ids"] == brute_encoding(v, r["text"])
+        assert (r["row"], r["t_key"]) == ("r", "k")
+    assert stage("encode")(spark, messy.limit(0), SMALL).count() == 0
+
+
+def test_dedup_and_mix_stages_match_brute_force(spark, messy):
+    rows = [(r["doc_id"], r["text"]) for r in messy.select("doc_id", "text").collect()]
+    comps = {d: c for d, _, c in brute_components(rows) if d is not None}
+    got = stage("dedup")(spark, messy, SMALL)
+    assert sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == sorted({d for d, c in comps.items() if d == c})
+    assert got.where("doc_id IS NULL").count() == sum(d is None for d, _ in rows)
+    plan = collections.Counter()
+    for r in mixing.mix(messy).collect():
+        plan[r["doc_id"]] += r["taken"]
+    mixed = collections.Counter()
+    for r in stage("mix")(spark, messy, SMALL).collect():
+        mixed[r["doc_id"]] += len(words(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert +plan == mixed
+
+
+def test_quality_and_language_stages_follow_their_operators(spark, messy):
+    net = quality.fit_quality(messy.select("doc_id", "text"), common.table(spark, SMALL, "labels"))
+    good = {r["doc_id"] for r in quality.score_quality(messy, net, ["doc_id"]).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in stage("quality")(spark, messy, SMALL).collect()} == good
+    models = langid.fit_languages(messy.select("doc_id", "text", "lang"))
+    found = {r["doc_id"] for r in langid.predict_languages(messy.select("doc_id", "text"), models).where("lang_pred <> 'und' AND score >= 0.5").collect()}
+    kept = {r["doc_id"] for r in stage("language")(spark, messy, SMALL).collect()}
+    assert kept == found and not kept & {-1, -2}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
