@@ -47,7 +47,7 @@ def transform(df: DataFrame, state: FittedState, config: dict[str, Any]) -> Data
     out = lookup(out, state.tables["cards"], c["card"], {"cust_mean": s["mean"], "cust_std": s["std"], "cust_p90": s["mean"], "dist_mean": s["km"], "dist_std": 1.0, "dist_p90": s["km"], "hour_mean": 12.0, "cust_n_merchants_train": s["merchants"], "cust_n_categories_train": 5, lat: F.col(c["lat"]), lon: F.col(c["lon"])})
     km = haversine_km(F.col(lat), F.col(lon), F.col(c["merch_lat"]), F.col(c["merch_lon"]))
     out = out.withColumn("haversine_km", km).withColumns({"log_haversine_km": F.log1p("haversine_km"), "amt_zscore_cust": zscore(amount, F.col("cust_mean"), F.col("cust_std")), "amt_vs_p90": ratio(amount, F.col("cust_p90"), 1.0), "hour_deviation": hour_gap(F.col("hour"), F.col("hour_mean"))})
-    out = velocity(out, c["card"], "t_us", c["amount"], c["row_id"], FAST, prefix="card_id")
+    out = velocity(out, c["card"], "t_us", c["amount"], c["row_id"], FAST, prefix="card_id", spread=True)
     out = out.withColumns({
         "burst_10m_1h": burst_ratio("card_id_10m_count", "card_id_1h_count"), "burst_1h_1d": burst_ratio("card_id_1h_count", "card_id_1d_count"),
         "dist_zscore_cust": zscore(F.col("haversine_km"), F.col("dist_mean"), F.col("dist_std"), 0.1), "dist_vs_p90": ratio(F.col("haversine_km"), F.col("dist_p90"), 1.0),

@@ -43,7 +43,7 @@ def transform(df: DataFrame, state: FittedState, config: dict[str, Any]) -> Data
     pattern = amount_pattern(amount)
     out = out.withColumns({"amt_zscore_cust": zscore(amount, F.col("cust_mean"), F.col("cust_std")), "amt_vs_p90": ratio(amount, F.col("cust_p90"), 1.0), "amt_zscore_term": zscore(amount, F.col("term_mean"), F.col("term_std")), "amt_is_small": pattern["is_small"], "amt_is_round": pattern["is_round_10"]})
     for key, short in ((c["customer"], "cust"), (c["terminal"], "term")):
-        out = velocity(out, key, "t_us", c["amount"], c["row_id"], DAILY)
+        out = velocity(out, key, "t_us", c["amount"], c["row_id"], DAILY, spread=True)
         out = out.withColumn(f"{short}_burst_1h_1d", burst_ratio(f"{key}_1h_count", f"{key}_1d_count"))
     out = rolling_rate(out, state.tables["labels"], c["terminal"], "t_us", "label", name="term_fraud_rate_28d")
     out = out.withColumnsRenamed({"term_mean": "term_mean_amt", "term_std": "term_std_amt", "term_count": "term_tx_count"}).drop("cust_mean", "cust_std", "cust_p90", "hour", "dow")

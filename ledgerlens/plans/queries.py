@@ -672,25 +672,3 @@ def _x13(s: SparkSession, d: str) -> DataFrame:
 @query("x18_index_totals", f"WITH {_LOG} SELECT dataset, count(*) AS experiments, max(score) FILTER (status = 'keep') AS best_kept FROM lg GROUP BY dataset")
 def _x18(s: SparkSession, d: str) -> DataFrame:
     return experiments.index_totals(log(s, d), "score")
-
-
-# --- whole plans ---
-
-
-@query("plan_card_terminal")
-def _plan1(s: SparkSession, d: str) -> DataFrame:
-    from ..operators.pipeline import run_plan
-    from . import card_terminal
-
-    df = splits.quantile_split(events(s, d).select(F.col("event_id").alias("row_id"), F.col("user_id").alias("customer"), F.col("k").alias("terminal"), F.col("value").alias("amount"), "t_us", "label"))
-    return rounded(run_plan(card_terminal, df, "row_id", "label")[0])
-
-
-@query("plan_mobile_money")
-def _plan4(s: SparkSession, d: str) -> DataFrame:
-    from ..operators.pipeline import run_plan
-    from . import mobile_money
-
-    kinds = F.element_at(F.array(*map(F.lit, scalars.TYPE_ORDER)), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    df = lines(s, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), kinds.alias("type"), F.col("l_extendedprice").alias("amount"), F.col("l_partkey").alias("nameOrig"), F.col("l_suppkey").alias("nameDest"), F.floor(F.col("t_us") / DAY).alias("step"), (F.col("l_extendedprice") * 2).alias("oldbalanceOrg"), F.col("l_extendedprice").alias("newbalanceOrig"), F.lit(0.0).alias("oldbalanceDest"), F.col("l_extendedprice").alias("newbalanceDest"), "t_us", "label")
-    return rounded(run_plan(mobile_money, splits.quantile_split(df), "row_id", "label")[0])
