@@ -192,10 +192,14 @@ def recommendations(trend: DataFrame, untried_rows: DataFrame, runs: DataFrame)
     return out
 
 
-def context_text(log: DataFrame, score: str, spark: SparkSession) -> str:
-    """A short report for whoever plans the next experiment."""
+def context_text(log: DataFrame, score: str, spark: SparkSession, journal: str = "", index: str = "") -> str:
+    """A short report for whoever plans the next experiment; of a journal its last 4 KB, of an index its first 6 KB."""
     lines = ["# Summary"] + [f"{r['dataset']}: {r['kept']} of {r['total']} kept, best {r['best']}" for r in dataset_summary(log, score).orderBy("dataset").collect()]
     lines += ["# Techniques"] + [f"{r['technique']}: {r['keeps']} kept, {r['discards']} not" for r in technique_rates(log).collect()]
     lines += ["# Campaigns"] + [f"{r['name']}: {r['done']}/{r['steps']}" + " stalled" * r["is_stalled"] for r in campaigns(log).orderBy("name").collect()]
+    if "metrics_summary" in log.columns:
+        lines += ["# Warnings"] + [f"{r['id']}: {r['warning']}" for r in warnings(log).orderBy("id", "warning").collect()]
+    for title, part in (("# Journal", journal.encode()[-4096:]), ("# Index", index.encode()[:6144])):
+        lines += [title, part.decode("utf-8", "ignore")] if part else []
     lines += ["# Next"] + recommendations(importance_trend(log), untried(log, spark), streak(log))
     return "\n".join(lines)

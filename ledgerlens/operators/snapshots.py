@@ -37,9 +37,28 @@ def save(root: str, dataset: str, hypothesis: str, status: str, metrics: dict[st
     append_record(str(Path(root) / "index.jsonl"), record)
     if status == "keep":
         (Path(root) / "best.json").write_text(json.dumps({"id": record["id"], "dir": name}))
+    (Path(root) / "summary.json").write_text(json.dumps(clean(summary([*past, record])), indent=1))
     return record
 
 
+def summary(records: list[dict[str, Any]], metric: str = "composite_score") -> dict[str, dict[str, Any]]:
+    """By data set: runs, kept and discarded ones, the best kept score, the first kept one, and the gain in percent."""
+    out: dict[str, dict[str, Any]] = {}
+    for r in sorted(records, key=lambda r: r["seq"]):
+        d = out.setdefault(r["dataset"], {"total": 0, "kept": 0, "best": None, "baseline": None})
+        d["total"] += 1
+        score = (r.get("metrics_summary") or {}).get(metric)
+        if r["status"] == "keep":
+            d["kept"] += 1
+            if score is not None:
+                d["baseline"] = score if d["baseline"] is None else d["baseline"]
+                d["best"] = score if d["best"] is None else max(d["best"], score)
+    for d in out.values():
+        d["discarded"] = d["total"] - d["kept"]
+        d["improvement_pct"] = round((d["best"] - d["baseline"]) / abs(d["baseline"]) * 100, 1) if d["baseline"] else None
+    return out
+
+
 def best_kept(root: str) -> str | None:
     path = Path(root) / "best.json"
     return json.loads(path.read_text())["id"] if path.exists() else None

@@ -11,7 +11,7 @@ from ..operators import splits
 from ..operators.pipeline import run_plan
 from ..operators.velocity import DAILY, FAST
 from ..schema import DAY
-from . import card_geo, card_terminal, mobile_money
+from . import card_geo, card_terminal, identity, mobile_money
 from .feature_queries import OFF
 from .queries import LINES, SPLIT, events, lines, query, split_events
 
@@ -114,3 +114,63 @@ def _plan2(s: SparkSession, d: str) -> DataFrame:
         ((k % 5).cast("long") * 1000).alias("city_pop"), F.concat(F.lit("c"), (k % 7).cast("string")).alias("category"), F.concat(F.lit("m"), k.cast("string")).alias("merchant"), F.when(k % 11 > 0, F.concat(F.lit("g"), (k % 2).cast("string"))).alias("gender"),
     )
     return finished(run_plan(card_geo, df, "row_id", "label", {"categoricals": ("category", "gender")})[0])
+
+
+# the events as transactions with a sparse identity table
+_IDS = "CASE WHEN user_id % 9 > 0 THEN 'e' || user_id % 20 || '.org' END AS email, event_type AS product, CASE WHEN event_id % 5 > 0 THEN 'd' || user_id % 7 END AS device, CAST(user_id % 30 AS BIGINT) AS address, 'n' || k % 3 AS network, CASE WHEN k % 4 = 0 THEN 'x' || k % 8 END AS id_a, CASE WHEN k % 6 = 0 THEN CAST(k AS DOUBLE) END AS id_b"
+_PHASE = {f"txn_{n}_{f}": f"{f}(({e}) * 2 * pi() / {p})" for n, e, p in (("hour", "(t_us / 3600000000.0) % 24", 24), ("dow", "(t_us / 86400000000.0) % 7", 7)) for f in ("sin", "cos")}
+_NUMBERS = ("value", "card", "address", "id_b")
+_SQUARE = {c: f"pow((coalesce(u.{c}, 0) - {c}_m) / greatest({c}_s, 0.001), 2)" for c in _NUMBERS}
+_ROUND = ", ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END AS {n}" for n, c in (("amt_is_round_10", "round(value % 10, 6) < 0.01"), ("amt_is_round_100", "round(value % 100, 6) < 0.01"), ("amt_has_cents", "round((value * 100) % 100, 4) > 0.5"), ("amt_below_100", "value >= 95 AND value < 100"), ("amt_below_1000", "value >= 990 AND value < 1000")))
+_PRESENT = "CASE WHEN id_a IS NOT NULL OR id_b IS NOT NULL THEN 1 ELSE 0 END AS id_cluster_present"
+
+_IDENTITY = f"""WITH {SPLIT}, p AS (SELECT *, CAST(k AS BIGINT) AS card, {_IDS} FROM s), u AS (SELECT *, card || '_' || address AS uid FROM p), tr AS (SELECT * FROM u WHERE split = 'train'), w AS (SELECT avg(label) AS g FROM tr),
+te AS (SELECT coalesce(device, '~') AS key, (sum(label) + 20 * any_value(g)) / (count(*) + 20) AS te FROM tr, w GROUP BY 1),
+us AS (SELECT uid, avg(value) AS um, coalesce(stddev_samp(value), 0) AS us, min(value) AS ulo, max(value) AS uhi, count(value) AS un, count(DISTINCT email) AS ue, count(DISTINCT product) AS up FROM tr GROUP BY 1),
+g0 AS (SELECT card, t_us, (t_us - lag(t_us) OVER (PARTITION BY card ORDER BY t_us, event_id)) / 1e6 AS gap FROM tr),
+gp AS (SELECT card, coalesce(median(gap), 0) AS g1, coalesce(stddev_samp(gap), 0) AS g2, coalesce(min(gap), 0) AS g3, count(*) FILTER (gap < 60) AS g4, count(gap) / greatest((max(t_us) - min(t_us)) / 86400e6, 1.0) AS g5 FROM g0 GROUP BY 1),
+z AS (SELECT {', '.join(f"avg(coalesce({c}, 0)) AS {c}_m, coalesce(stddev_samp(coalesce({c}, 0)), 0) AS {c}_s" for c in _NUMBERS)} FROM tr)
+SELECT event_id AS row_id, u.card, u.address, t_us, split, label, {_PRESENT}, coalesce(un, 1) AS uid_count, coalesce(ue, -1) AS uid_email_distinct, coalesce(up, -1) AS uid_prod_distinct, coalesce(g4, 0) AS v_burst, {_ROUND},
+  {digits(amount='value', id_b='coalesce(id_b, -1)', device_te='coalesce(te, w.g)', product_freq_enc='coalesce(fp, 0)', email_freq_enc='coalesce(fe, 0)', uid_amt_mean='coalesce(um, -1)', uid_amt_std='coalesce(us, -1)', uid_amt_min='coalesce(ulo, -1)', uid_amt_max='coalesce(uhi, -1)', v_median_gap='coalesce(g1, 0)', v_std_gap='coalesce(g2, 0)', v_min_gap='coalesce(g3, 0)', v_daily_rate='coalesce(g5, 0)', anomaly_mahalanobis='sqrt(' + ' + '.join(_SQUARE.values()) + ')', anomaly_max_zscore='greatest(' + ', '.join(_SQUARE.values()) + ')', log_amount='ln(1 + value)', amt_cents='round((value * 100) % 100, 4)', **_PHASE)}
+FROM u LEFT JOIN te ON te.key = coalesce(u.device, '~') LEFT JOIN us ON us.uid = u.uid LEFT JOIN gp ON gp.card = u.card LEFT JOIN {_FRQ('product', 'fp')} a ON a.product = u.product LEFT JOIN {_FRQ('email', 'fe')} b ON b.email = u.email, w, z"""
+
+_IDENTITY_CONFIG = {"categoricals": ("product", "email"), "target_encoded": ("device",), "uid": ("card", "address"), "identity": ("id_a", "id_b"), "interactions": (("device", "network"),)}
+
+
+def identities(s: SparkSession, d: str) -> DataFrame:
+    user, k = F.col("user_id"), F.col("k")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    return split_events(s, d).select(
+        F.col("event_id").alias("row_id"), F.col("value").alias("amount"), "t_us", "label", "split", k.cast("long").alias("card"), F.when(user % 9 > 0, F.concat(text("e", user % 20), F.lit(".org"))).alias("email"), F.col("event_type").alias("product"),
+        F.when(F.col("event_id") % 5 > 0, text("d", user % 7)).alias("device"), (user % 30).alias("address"), text("n", k % 3).alias("network"), F.when(k % 4 == 0, text("x", k % 8)).alias("id_a"), F.when(k % 6 == 0, k.cast("double")).alias("id_b"),
+    )
+
+
+@query("plan_identity", _IDENTITY)
+def _plan3(s: SparkSession, d: str) -> DataFrame:
+    return finished(run_plan(identity, identities(s, d), "row_id", "label", _IDENTITY_CONFIG)[0])
+
+
+_BY = lambda key, name: f"(SELECT {key}, avg(value) AS {name}m, coalesce(stddev_samp(value), 0) AS {name}_sd, count(value) AS {name}n FROM tr WHERE {key} IS NOT NULL GROUP BY 1)"
+
+_MODAL = f"""WITH {SPLIT}, u AS (SELECT *, CAST(k AS BIGINT) AS card, {_IDS} FROM s), tr AS (SELECT * FROM u WHERE split = 'train'),
+cd AS (SELECT card, count(DISTINCT email) AS ne, count(DISTINCT device) AS nd, count(DISTINCT address) AS na FROM tr GROUP BY 1),
+md AS (SELECT card, device AS usual FROM (SELECT *, row_number() OVER (PARTITION BY card ORDER BY n DESC, device) AS rn FROM (SELECT card, device, count(*) AS n FROM tr WHERE device IS NOT NULL GROUP BY ALL)) WHERE rn = 1),
+pr AS (SELECT DISTINCT card, email FROM tr WHERE email IS NOT NULL), ia AS (SELECT coalesce(device, '~') AS a, coalesce(network, '~') AS b, count(*) / (SELECT count(*) FROM tr) AS f FROM tr GROUP BY ALL)
+SELECT event_id AS row_id, u.card, u.address, t_us, split, label, {_PRESENT}, coalesce(ne, 0) AS card_n_email, coalesce(nd, 0) AS card_n_device, coalesce(na, 0) AS card_n_addr, coalesce(cn, 0) AS card_amt_count, coalesce(an, 0) AS addr_amt_count,
+  CASE WHEN pr.card IS NULL THEN 1 ELSE 0 END AS card_email_is_new, CASE WHEN u.device = usual THEN 1 ELSE 0 END AS is_modal_device, CASE WHEN round(value % 1, 6) = 0 THEN 1 ELSE 0 END AS amt_is_round,
+  {digits(amount='value', id_b='coalesce(id_b, -1)', card_amt_mean='coalesce(cm, -1)', card_amt_std='coalesce(c_sd, -1)', net_amt_mean='coalesce(nm, -1)', net_amt_std='coalesce(n_sd, -1)', addr_amt_mean='coalesce(am, -1)', addr_amt_std='coalesce(a_sd, -1)', email_amt_mean='coalesce(em, -1)', card_amt_zscore='coalesce((value - cm) / greatest(c_sd, 0.01), -1)', card_amt_ratio='coalesce(value / greatest(cm, 0.01), -1)', net_amt_zscore='coalesce((value - nm) / greatest(n_sd, 0.01), -1)', addr_amt_zscore='coalesce((value - am) / greatest(a_sd, 0.01), -1)', email_amt_ratio='coalesce(value / greatest(em, 0.01), -1)', amt_log='ln(1 + value)', amt_cents='round(value % 1, 6)', device_network_freq='coalesce(ia.f, 0)', product_freq_enc='coalesce(fp, 0)', email_freq_enc='coalesce(fe, 0)', **_PHASE).replace('greatest(cm, 0.01), -1', 'CASE WHEN cm IS NOT NULL THEN greatest(cm, 0.01) END, -1').replace('greatest(em, 0.01), -1', 'CASE WHEN em IS NOT NULL THEN greatest(em, 0.01) END, -1')}
+FROM u LEFT JOIN cd ON cd.card = u.card LEFT JOIN md ON md.card = u.card LEFT JOIN pr ON pr.card = u.card AND pr.email = u.email LEFT JOIN {_BY('card', 'c')} c ON c.card = u.card LEFT JOIN {_BY('network', 'n')} n ON n.network = u.network
+  LEFT JOIN {_BY('address', 'a')} a ON a.address = u.address LEFT JOIN {_BY('email', 'e')} e ON e.email = u.email LEFT JOIN ia ON ia.a = coalesce(u.device, '~') AND ia.b = coalesce(u.network, '~')
+  LEFT JOIN {_FRQ('product', 'fp')} f1 ON f1.product = u.product LEFT JOIN {_FRQ('email', 'fe')} f2 ON f2.email = u.email"""
+
+
+class Modal:
+    """The second identity plan behind the same contract."""
+
+    fit, transform = staticmethod(identity.fit_modal), staticmethod(identity.transform_modal)
+
+
+@query("plan_identity_modal", _MODAL)
+def _plan3m(s: SparkSession, d: str) -> DataFrame:
+    return finished(run_plan(Modal, identities(s, d), "row_id", "label", _IDENTITY_CONFIG)[0])

@@ -131,6 +131,10 @@ def test_log_decisions_and_report(spark, tmp_path):
     assert "velocity" in experiments.context_text(log, "score", spark)
     report.write_dashboard(str(tmp_path / "d.html"), "t", [("a", report.html_table(log.drop("top_features"))), ("b", report.svg_line([0.1, None, 0.3], [0.1, 0.1, 0.3], "x"))])
     assert "<svg" in (tmp_path / "d.html").read_text()
+    assert "# Journal\nold notes" in experiments.context_text(log, "score", spark, journal="old notes")
+    metrics = spark.createDataFrame([("keep", 1, {"composite_score": 0.4, "psi": 0.2}), ("discard", 2, {"composite_score": 0.3, "psi": 0.1}), ("keep", 3, {"composite_score": 0.5, "psi": 0.05})], "status string, seq int, metrics_summary map<string,double>")
+    shown = report.panels(metrics)
+    assert len(shown) == 5 and all(p.startswith("<svg") for _, p in shown)
 
 
 def test_scalar_nulls(spark):
@@ -162,6 +166,9 @@ def test_snapshots(spark, tmp_path):
     b = snapshots.save(root, "d", "Second", "discard", {"auprc": 0.5})
     assert (a["id"], a["dir"], a["top_features"], a["metrics_summary"]) == ("exp_001", "exp_001_first__try_it", {"b": 2.0}, {"auprc": None})
     assert b["parent_exp"] == "exp_001" == snapshots.best_kept(root) and len(snapshots.history(root)) == 2
+    snapshots.save(root, "d", "Third", "keep", {"composite_score": 0.4})
+    snapshots.save(root, "d", "Fourth", "keep", {"composite_score": 0.5})
+    assert json.loads((tmp_path / "runs" / "summary.json").read_text()) == {"d": {"total": 4, "kept": 3, "best": 0.5, "baseline": 0.4, "discarded": 1, "improvement_pct": 25.0}}
     (tmp_path / "out").mkdir()
     assert snapshots.restore(root, "exp_001", str(tmp_path / "out")) == ["features.py"]
     assert readers.read_log(spark, f"{root}/index.jsonl", experiments.LOG).where("status = 'keep'").first()["id"] == "exp_001"
