@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import experiments, graph, metrics, sequence, stats, validate
 from ..operators.experiments import TECHNIQUES
 from ..sources.scratch import scratch_path
-from .queries import _LOG, _SC, _TH, EVENTS, LINES, SPLIT, events, lines, log, order_prices, query, r, read, rounded, scored, split_events
+from . import queries as base
+from .queries import _LOG, _SC, _TH, EVENTS, LINES, SPLIT, events, lines, log, query, r, read, rounded, scored, split_events
 
 # --- statistics by column ---
 
@@ -169,24 +170,24 @@ _STAR = _PAIRS + ", m AS (SELECT x, min(node) AS a FROM p GROUP BY x), l AS (SEL
 
 @query("f43_distance", f"WITH RECURSIVE {_STAR}, r AS (SELECT min(a) AS node, 0 AS hops FROM l UNION SELECT q.node, r.hops + 1 FROM r JOIN p ON p.node = r.node JOIN p q ON q.x = p.x WHERE r.hops < 40) SELECT node, min(hops) AS hops FROM r WHERE node IS NOT NULL GROUP BY node")
 def _f43d(s: SparkSession, d: str) -> DataFrame:
-    prices = order_prices(s, d)
+    prices = base.order_prices(s, d)
     return graph.distance_by_shared(prices, "o_custkey", "price", graph.shared_links(prices, "o_custkey", "price").agg(F.min("a").alias("node")))
 
 
 @query("f43_pagerank_rounds", f"WITH {_STAR}, g AS (SELECT s, d, count(*) OVER (PARTITION BY s) AS deg FROM b), r0 AS (SELECT DISTINCT s AS node, 1.0 AS rank FROM b)" + "".join(f", r{i} AS (SELECT d AS node, 0.15 + 0.85 * sum(rank / deg) AS rank FROM g JOIN r{i - 1} ON s = node GROUP BY d)" for i in range(1, 11)) + " SELECT node, round(rank, 4) AS rank FROM r10")
 def _f43p(s: SparkSession, d: str) -> DataFrame:
-    return rounded(graph.pagerank(graph.shared_links(order_prices(s, d), "o_custkey", "price")))
+    return rounded(graph.pagerank(graph.shared_links(base.order_prices(s, d), "o_custkey", "price")))
 
 
 @query("f43_community_rate", f"WITH RECURSIVE {_STAR}, r AS (SELECT DISTINCT s AS node, s AS other FROM b UNION SELECT r.node, b.d FROM r JOIN b ON r.other = b.s), c AS (SELECT node, min(other) AS component FROM r GROUP BY node) SELECT component, count(DISTINCT o_custkey) AS members, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END), 6) AS rate FROM orders JOIN c ON o_custkey = node GROUP BY component")
 def _f43c(s: SparkSession, d: str) -> DataFrame:
-    prices = order_prices(s, d).withColumn("label", (F.col("o_orderstatus") == "F").cast("int"))
+    prices = base.order_prices(s, d).withColumn("label", (F.col("o_orderstatus") == "F").cast("int"))
     return rounded(graph.community_rate(prices, graph.components(graph.shared_links(prices, "o_custkey", "price")), "o_custkey", "label"), 6)
 
 
 @query("j11_degree", f"WITH {_PAIRS}, h AS (SELECT x, count(*) - 1 AS others FROM p GROUP BY x) SELECT node AS o_custkey, CAST(sum(others) AS BIGINT) AS links FROM p JOIN h USING (x) GROUP BY node")
 def _j11(s: SparkSession, d: str) -> DataFrame:
-    return graph.degree_neighbours(order_prices(s, d), "o_custkey", "price")
+    return graph.degree_neighbours(base.order_prices(s, d), "o_custkey", "price")
 
 
 # --- streams: the events as a stream that ends, its rows appended to a table ---

@@ -99,7 +99,7 @@ def test_components(spark):
 def test_ranks_and_distances_over_shared_values(spark, monkeypatch):
     import numpy as np
 
-    from ledgerlens.plans import queries
+    from ledgerlens.plans import metric_queries, queries  # noqa: F401 - registers queries
 
     # four holders of one value, then a chain of eight more values; 90 and 91 share a value apart, 95 shares none
     pairs = [(k, 100) for k in (1, 2, 3, 4)] + [(k + j, 100 + k) for k in range(4, 12) for j in (0, 1)] + [(90, 500), (91, 500), (95, 600), (2, None), (None, 100), (1, 100)]
