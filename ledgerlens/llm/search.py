@@ -5,7 +5,7 @@ term and become an index: the weight of every posting, by term and then by row,
 in each block of 128 rows that holds it. A shard's index and the queries reach one task as one sorted stream, index
 first, so a task holds one shard and a block of queries, however many queries there are.
 
-Queries run together over stretches of 32 blocks, in order of the rows. For each query:
+Queries run together over stretches of 16 and then 128 blocks, in order of the rows. For each query:
 
 1. A block whose sum of the query's block maxima is under the threshold (the k-th best score so far; at first the k-th
    greatest weight of any one of its terms) is skipped with all its postings.
@@ -42,9 +42,9 @@ from .common import WORD, written
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 20
 #: A shard holds about so many rows and bytes; a task answers about so many queries with one copy of a shard's index.
 SHARD, SHARD_BYTES, TASK_QUERIES = 16_384, 16 << 20, 65_536
-BLOCK, BLOCKS, QUERIES = 128, 32, 256
+BLOCK, FIRST, BLOCKS, QUERIES = 128, 16, 128, 256
 #: Terms in at least this share of a stretch's rows are scored by a matrix product.
-FREQUENT = 1 / 32
+FREQUENT = 1 / 16
 #: Bounds are sums in another order than scores, and scores are rounded.
 SLACK, OVER = 1e-5, 1 + 1e-9
 
@@ -84,7 +84,8 @@ def expanded(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 class ShardIndex:
     """Postings with weights in one piece, cut into runs of one term and one block of rows with their greatest weight.
 
-    `all_postings` counts those of the terms asked for, `scored` those whose weight was read."""
+    `all_postings` counts those of the terms asked for, `scored` those that queries made use of (those of terms before the
+    pivot if `counting` is set)."""
 
     def __init__(self, postings: list[tuple[bytes, int, bytes, bytes]], total: int, mean: float):
         first = next(p for p in postings if p[0] == b"")
@@ -110,7 +111,7 @@ class ShardIndex:
         self.blocks = blocks
         self.seed: dict[tuple[int, int], float] = {}
         self.cuts: dict[int, np.ndarray] = {}
-        self.all_postings = self.scored = 0
+        self.counting, self.all_postings, self.scored = False, 0, 0
 
     def kth(self, term: int, top: int) -> float:
         """The `top`-th greatest weight of a term: a query with it has that many rows of at least this score."""
@@ -119,65 +120,89 @@ class ShardIndex:
             self.seed[term, top] = float(np.partition(w, -top)[-top]) if len(w) >= top else 0.0
         return self.seed[term, top]
 
+    def stretches(self) -> Iterator[tuple[int, int]]:
+        """(first block, blocks): a short stretch first, after which thresholds are near their end."""
+        a, n = 0, FIRST
+        while a < self.blocks:
+            yield a, n
+            a, n = a + n, BLOCKS
+
     def search(self, queries: list[dict[bytes, int]], top: int) -> list[list[tuple[float, int]]]:
         """(score, row) of the best rows of each query, best first."""
-        n_q, per = len(queries), BLOCKS * BLOCK
+        n_q = len(queries)
         pairs = [(q, self.place[w], k) for q, words in enumerate(queries) for w, k in words.items() if w in self.place]
         q_of, term, uses = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
         least = np.zeros(n_q)
         np.maximum.at(least, q_of, np.array([k * self.kth(t, top) for _, t, k in pairs]))
         least -= SLACK
         best: list[list[tuple[float, int]]] = [[] for _ in queries]
-        for a in range(0, self.blocks, BLOCKS):
+        for a, blocks in self.stretches():
+            per = blocks * BLOCK
             # the runs of each (query, term) in this stretch
-            lo, hi = self.runs(term, a), self.runs(term, a + BLOCKS)
+            lo, hi = self.runs(term, a), self.runs(term, a + blocks)
             size = self.run_start[hi] - self.run_start[lo]
             pair, run = expanded(lo, hi - lo)
             self.all_postings += int(size.sum())
             q, block, bound = q_of[pair], self.run_block[run] - a, self.run_max[run] * uses[pair]
-            whole = np.bincount(q * BLOCKS + block, bound, n_q * BLOCKS).reshape(n_q, BLOCKS)
+            whole = np.bincount(q * blocks + block, bound, n_q * blocks).reshape(n_q, blocks)
             live = (whole > 0) & (whole * OVER >= least[:, None])
             if not live.any():
                 continue
             often = size >= FREQUENT * per
             before = self.before_pivot(q_of, pair, bound, often, least)
             live_run = live[q, block]
-            # rows of few terms: postings of the blocks left, one by one
-            few = np.flatnonzero(live_run & ~often[pair])
-            piece, at = expanded(self.run_start[run[few]], self.run_start[run[few] + 1] - self.run_start[run[few]])
+            # rows of few terms: postings of the blocks left, in one piece where all of a query's blocks are left
+            all_left = (live | (whole <= 0)).all(1)[q_of]
+            few, part = np.flatnonzero(~often & all_left & (size > 0)), np.flatnonzero(live_run & ~(often | all_left)[pair])
+            first = np.concatenate([self.run_start[lo[few]], self.run_start[run[part]]])
+            owner = np.concatenate([few, pair[part]])
+            piece, at = expanded(first, np.concatenate([size[few], self.run_start[run[part] + 1] - self.run_start[run[part]]]))
             self.scored += len(at)
-            cell = (q[few] * per)[piece] + (self.rows[at] - a * BLOCK)
-            score = np.bincount(cell, self.weight[at] * uses[pair[few]][piece], n_q * per).reshape(n_q, per)
+            cell = (q_of[owner] * per - a * BLOCK)[piece]
+            cell += self.rows[at]
+            value = self.weight[at]
+            value *= uses[owner].astype(float)[piece]
+            score = np.bincount(cell, value, n_q * per).reshape(n_q, per)
             # frequent terms: a product of weights, first of those behind the pivot
             kinds, own = np.unique(term[often], return_inverse=True)
-            dense = self.dense(kinds, a, per)
+            dense = self.dense(kinds, a, blocks)
             weights = np.zeros((n_q, len(kinds)))
             weights[q_of[often], own] = uses[often]
             late = weights.copy()
             late[q_of[often & before], np.searchsorted(kinds, term[often & before])] = 0
-            some = np.flatnonzero(late.any(1))
-            if len(some):
-                score[some] += late[some] @ dense
-                self.scored += int(size[often & ~before].sum())
-            low = np.flatnonzero(before[pair] & live_run)
-            rest = np.bincount(q[low] * BLOCKS + block[low], bound[low], n_q * BLOCKS).reshape(n_q, BLOCKS, 1)
-            by_block = score.reshape(n_q, BLOCKS, BLOCK)
-            alive = (live[:, :, None] & (by_block > 0) & ((by_block + rest) * OVER >= least[:, None, None])).reshape(n_q, per)
-            early = weights - late
+            early, low = (weights - late).astype(np.float32), np.flatnonzero(before[pair] & live_run)
+            rest = np.bincount(q[low] * blocks + block[low], bound[low], n_q * blocks).reshape(n_q, blocks)
+            # 32 bits tell which rows can reach the threshold; their scores are made in 64 bits
+            near, dense32 = score.astype(np.float32), dense.astype(np.float32)
+            near += late.astype(np.float32) @ dense32
+            self.scored += int(size[often & ~before].sum())
+            error = 1.2e-7 * (np.bincount(q_of, minlength=n_q) + 4) * whole.max(1) + 1e-6
+            floor = np.where(live, least[:, None] - error[:, None] - rest * OVER, np.inf)
+            floor = np.maximum(floor, 1e-30).astype(np.float32)
+            alive = (near.reshape(n_q, blocks, BLOCK) >= floor[:, :, None]).reshape(n_q, per)
             for i in np.flatnonzero(alive.any(1)):
-                found = np.flatnonzero(alive[i])
-                row, used = score[i, found], np.flatnonzero(early[i])
+                found, used = np.flatnonzero(alive[i]), np.flatnonzero(early[i])
+                row = near[i, found]
                 if len(used):
-                    part = dense[np.ix_(used, found)]
+                    part = dense32[np.ix_(used, found)]
                     row = row + early[i, used] @ part
-                    self.scored += int(np.count_nonzero(part))
-                row = row.round(6)
-                keep = row >= least[i]
-                best[i] = self.merged(best[i], found[keep] + a * BLOCK, row[keep], top)
+                    if self.counting:
+                        self.scored += int(np.count_nonzero(part))
+                found = found[row >= self.level(row, least[i], error[i], top)]
+                used = np.flatnonzero(weights[i])
+                row = (score[i, found] + weights[i, used] @ dense[np.ix_(used, found)]).round(6)
+                best[i] = self.merged(best[i], found + a * BLOCK, row, top)
                 if len(best[i]) == top:
                     least[i] = max(least[i], best[i][-1][0] - SLACK)
         return best
 
+    @staticmethod
+    def level(near: np.ndarray, least: float, error: float, top: int) -> float:
+        """What a row's approximate score must reach: the threshold or the k-th best of these rows, less the errors."""
+        if len(near) > 4 * top:
+            least = max(least, float(np.partition(near, -top)[-top]) - error - SLACK)
+        return least - error
+
     @staticmethod
     def merged(best: list[tuple[float, int]], found: np.ndarray, row: np.ndarray, top: int) -> list[tuple[float, int]]:
         if len(found) > top:
@@ -208,11 +233,11 @@ class ShardIndex:
             self.cuts[block] = np.searchsorted(owner * step + self.run_block, np.arange(len(self.run_of) - 1) * step + min(block, self.blocks))
         return self.cuts[block][term]
 
-    def dense(self, terms: np.ndarray, a: int, rows: int) -> np.ndarray:
-        """Weights of terms (rows) in a stretch of rows (columns); terms in a share FREQUENT of them are at most 32 a row."""
+    def dense(self, terms: np.ndarray, a: int, blocks: int) -> np.ndarray:
+        """Weights of terms (rows) in a stretch of rows (columns); only for terms in a share FREQUENT of them."""
         first = self.run_start[self.runs(terms, a)]
-        which, at = expanded(first, self.run_start[self.runs(terms, a + BLOCKS)] - first)
-        out = np.zeros((len(terms), rows))
+        which, at = expanded(first, self.run_start[self.runs(terms, a + blocks)] - first)
+        out = np.zeros((len(terms), blocks * BLOCK))
         out[which, self.rows[at] - a * BLOCK] = self.weight[at]
         return out
 
@@ -259,15 +284,14 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
 
         for batch in batches:
             keys = list(zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), strict=True))
-            cols = [batch.column(c) for c in ("term", "df", "docs", "tf", "conv_id", "turn", "text")]
-            for i, key in enumerate(keys):
+            index, asked = (list(zip(*(batch.column(c).to_pylist() for c in names), strict=True)) for names in (("term", "df", "docs", "tf"), ("conv_id", "turn", "text")))
+            for key, posting, (conv, turn, text) in zip(keys, index, asked, strict=True):
                 if key != now:
                     if held:
                         yield hits()
                     now, postings, own = key, [], None
-                term, df, docs, tf, conv, turn, text = (c[i].as_py() for c in cols)
-                if term is not None:
-                    postings.append((term, df, docs, tf))
+                if posting[0] is not None:
+                    postings.append(posting)
                     continue
                 if own is None:
                     if not postings:
