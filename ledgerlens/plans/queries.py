@@ -654,7 +654,7 @@ def _x7(s: SparkSession, d: str) -> DataFrame:
     return experiments.ambition(log(s, d)).select("dataset", "seq", "feature_delta", "ambition")
 
 
-@query("x9_technique_rates", f"WITH {_LOG}, t AS (SELECT status, CASE WHEN hypothesis LIKE 'Velocity%' THEN 'velocity' ELSE 'target_encoding' END AS technique FROM lg WHERE status <> 'crash') SELECT technique, count(*) FILTER (status = 'keep') AS keeps, count(*) FILTER (status <> 'keep') AS discards, round(count(*) FILTER (status = 'keep') / count(*), 6) AS rate FROM t GROUP BY technique")
+@query("x9_technique_rates", f"WITH {_LOG}, t AS (SELECT status, CASE WHEN contains(lower(hypothesis), 'velocity') THEN 'velocity' ELSE 'other' END AS technique FROM lg WHERE status <> 'crash') SELECT technique, count(*) FILTER (status = 'keep') AS keeps, count(*) FILTER (status <> 'keep') AS discards, round(count(*) FILTER (status = 'keep') / count(*), 6) AS rate FROM t GROUP BY technique")
 def _x9(s: SparkSession, d: str) -> DataFrame:
     return rounded(experiments.technique_rates(log(s, d)), 6)
 
