@@ -40,7 +40,7 @@ from .common import PIECE_MODEL, gathered, remainder, slices, written
 from .langid import expected_pieces, start_model, word_counts
 from .lattice import Cache, log_marginals, vocabulary
 
-ROUNDS, PRIOR, HEAD_BYTES, LEAST_CLASS = 2, 2000.0, 128 << 20, 0.01
+ROUNDS, PRIOR, HEAD_BYTES, LEAST_CLASS = 2, 2000.0, 256 << 20, 0.01
 OTHERS = ""
 
 
@@ -135,17 +135,21 @@ def score(docs: DataFrame, model: LatticeModel, path: str = PIECE_MODEL) -> Data
         head, bases, scores, *_ = sent.value
         for batch in batches:
             ids, held = batch.column(0), batch.column(1)
+            names = ids.to_pylist()
             for a, texts in slices(batch, 2, 128):
                 at, mark, word, n, total, known, base, by = [], [], [], [], [], [], [], []
                 for i, text in enumerate(texts, a):
-                    digest = xxhash.xxh3_128_digest(text or b"")
+                    # equal rows share a mark, by which a text's parts meet again
+                    digest = xxhash.xxh3_128(text or b"")
+                    digest.update(repr(names[i]).encode())
+                    digest = digest.digest()
                     own = Counter((text or b"").lower().split())
                     found = [(head[w], k) for w, k in own.items() if w in head]
                     tail = [w for w in own if w not in head]
                     places, uses = [x for x, _ in found], np.array([k for _, k in found], float)
                     count = sum(own.values())
                     # a word holds no space, so this key is one row's own and none is hot
-                    at += [i] * (len(tail) + 1)
+                    at += [i] + [None] * len(tail)
                     mark += [digest] * (len(tail) + 1)
                     word += [b" " + digest + str(i).encode(), *tail]
                     n += [0, *(own[w] for w in tail)]
@@ -191,8 +195,8 @@ def score(docs: DataFrame, model: LatticeModel, path: str = PIECE_MODEL) -> Data
     scored = joined.mapInArrow(spell, f"doc_id {kind}, held_out boolean, mark binary, is_doc long, n_tokens long, n_known long, base double, {', '.join(f'{x} double' for x in sums)}")
     # rows of one doc_id and one text add up together and are divided again
     copies = F.sum("is_doc")
-    out = scored.groupBy("doc_id", "held_out", "mark").agg(
-        copies.alias("copies"), F.floor(F.sum("n_tokens") / copies).cast("long").alias("n_tokens"), F.floor(F.sum("n_known") / copies).cast("long").alias("n_known"),
+    out = scored.groupBy("mark").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), copies.alias("copies"), F.floor(F.sum("n_tokens") / copies).cast("long").alias("n_tokens"), F.floor(F.sum("n_known") / copies).cast("long").alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"), (F.sum("base") / copies).alias("base_score"), *((F.sum(x) / copies).alias(x) for x in sums),
     )
     share = np.maximum(model.docs, 1) / np.maximum(model.docs, 1).sum()
