@@ -269,6 +269,11 @@ def window_logits(net: Windows, table: np.ndarray, tokens: np.ndarray) -> np.nda
     return np.concatenate(out)
 
 
+def summed(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of rows of `values` by the row they go to."""
+    return np.stack([np.bincount(at, values[:, k], rows) for k in range(values.shape[1])], 1)
+
+
 def train(net: Windows, bags: Bags, steps: int = STEPS, seed: int = SEED) -> None:
     """Adam on the logistic loss; 48 of a batch's 128 windows are of toxic documents."""
     rng = np.random.default_rng(seed)
@@ -298,16 +303,14 @@ def train(net: Windows, bags: Bags, steps: int = STEPS, seed: int = SEED) -> Non
         weight = np.where(label == 1, share / (48 / 128), (1 - share) / (80 / 128))
         g, d_x = net.backward(x, mask, tape, (sigmoid(z) - label) * weight / len(rows))
         flat = (d_x * mask).transpose(1, 0, 2).reshape(-1, d_x.shape[2])
-        by_word = np.zeros((len(used), flat.shape[1]))
-        np.add.at(by_word, back.ravel(), flat)
+        by_word = summed(len(used), back.ravel(), flat)
         g["wx"], g["bx"] = vectors.T @ by_word, by_word[~blank].sum(0)
         d_in = by_word @ net.p["wx"].T
         d_in[blank] = 0
-        g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-        np.add.at(g["word"], own, d_in[:, :VECTOR])
+        g["word"] = summed(BUCKETS, own, d_in[:, :VECTOR])
         spread = d_in[:, VECTOR : 2 * VECTOR] / np.maximum(n, 1)[:, None]
-        np.add.at(g["gram"], grams, spread[:, None, :])
-        g["gram"][BUCKETS] = 0
+        real = grams < BUCKETS
+        g["gram"] = summed(BUCKETS + 1, grams[real], np.repeat(spread, real.sum(1), 0))
         for k in ("wx", "uf", "ub", "wa", "wo"):
             g[k] += 1e-3 * net.p[k]
         for k in ("word", "gram"):
