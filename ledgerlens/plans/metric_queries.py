@@ -196,7 +196,7 @@ def _j11(s: SparkSession, d: str) -> DataFrame:
 def streamed(s: SparkSession, d: str, name: str, make) -> DataFrame:
     """The rows that a streaming query appends until its input ends."""
     schema = read(s, d, "events").schema
-    rows = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
+    rows = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a file or a folder of files
     out, state = scratch_path(s, name), scratch_path(s, f"{name}-state")
     timed = rows.select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
     made = make(timed)
