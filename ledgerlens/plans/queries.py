@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars, signals, text
-from ..operators import anomaly, encodings, experiments, graph, metrics, profiles, risk, sequence, splits, stats, validate, velocity
+from ..operators import anomaly, encodings, experiments, graph, metrics, profiles, risk, sequence, splits, stats, velocity
 from ..schema import DAY, HOUR, EventSchema, micros, normalise
 from ..sources import readers
 
