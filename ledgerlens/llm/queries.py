@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, dedup, encode, fingerprint, langid, lengths, lm, mixing, quality, search, simhash, toxicity
+from . import audit, dedup, encode, fingerprint, langid, lengths, lm, mixing, phrases, quality, search, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,10 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op10_quality": lambda s, d: quality.op10_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op11_audit": lambda s, d: audit.op11_audit(table(s, d, "documents"), table(s, d, "labels")),
+        "op12_phrases": lambda s, d: phrases.op12_phrases(table(s, d, "documents")),
         "op13_simhash": lambda s, d: simhash.op13_simhash(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": dedup.OP1_SQL, "op4_search": search.OP4_SQL, "op8_mix": mixing.OP8_SQL, "op11_audit": audit.OP11_SQL}
+    return {"op1_near_dedup": dedup.OP1_SQL, "op4_search": search.OP4_SQL, "op8_mix": mixing.OP8_SQL, "op11_audit": audit.OP11_SQL, "op12_phrases": phrases.OP12_SQL}
