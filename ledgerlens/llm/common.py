@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.scratch import written as written
 
@@ -37,6 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """The name of a column as Spark's parser takes it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame, names: list[str] | None = None) -> Column:
+    """All columns, or those named, as one struct."""
+    return F.struct(*(F.col(quoted(c)) for c in (docs.columns if names is None else names)))
+
+
+def schema_of(docs: DataFrame, keep: Iterable[str], more: str) -> StructType:
+    """The schema of the columns `keep` of `docs` and of those that `more` declares."""
+    return StructType([docs.schema[c] for c in keep] + StructType.fromDDL(more).fields)
+
+
 def remainder(column: Column, divisor: int) -> Column:
     """crc32 of the value as text modulo `divisor`; a null value counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % F.lit(divisor)

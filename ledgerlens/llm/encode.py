@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE_MODEL, slices, written
+from .common import PIECE_MODEL, slices, whole_row, written
 from .lattice import NONE, Cache, Vocabulary, best_segmentations, vocabulary
 
 CHUNK, FAN, SHORT, TOGETHER = 32_768, 16, 2048, 64
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, path: str = PIECE_MODEL, chunk: int = CHUNK) -> Data
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     few = docs.where(~giant).mapInArrow(small, schema)
-    keyed = docs.where(giant).select(F.sha2("text", 256).alias("t_key"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.where(giant).select(F.sha2("text", 256).alias("t_key"), whole_row(docs).alias("row"))
     texts = keyed.groupBy("t_key").agg(F.first("row.text").alias("text"))
     many = keyed.join(encode_giant(texts, path, chunk), "t_key").select("row.*", "ids")
     return few.unionAll(many)

@@ -5,10 +5,14 @@ expectation-maximisation over all segmentations. A text's likelihood under a lan
 the forward sum over all segmentations of the word; no piece crosses a space, so that is the sum over all
 segmentations of the text. The prediction is the language of highest posterior, with its posterior as the score.
 
+A posterior says which of the learned languages a text is nearest to, not whether it is in any of them. So `gain` stands
+beside it: by how much, in log units a byte, the predicted language explains the text better than the vocabulary's own
+weights do, which know no language. `least_gains` learns from labelled documents how small the gain of a text may be.
+
 Fitting uses about `train_docs` documents a language (a bound on a classifier's sample; all are used where there are
 fewer); prediction covers whole texts of all rows.
 
-Cases: null text, or text without a letter, is `und` with score 0, and so is everything if nothing is labelled; null
+Cases: null text, or text without a letter, is `und` with score and gain 0, and so is everything if nothing is labelled; null
 languages aren't learned; repeated rows are predicted alike; extra columns are left out of the result; an empty table
 gives an empty result.
 """
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_MODEL, gathered, remainder, slices, written
+from .common import PIECE_MODEL, gathered, remainder, schema_of, slices, written
 from .lattice import Cache, expected_counts, log_marginals, vocabulary
 
 TRAIN_DOCS, ROUNDS, PRIOR = 3000, 3, 2000.0
@@ -90,37 +94,45 @@ def start_model(path: str) -> np.ndarray:
     return np.where(v.used[:-1], np.exp(v.score[:-1]), 0)
 
 
-def fit_languages(labelled: DataFrame, path: str = PIECE_MODEL, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Piece probabilities by language from rows with `doc_id`, `text` and `lang`."""
+def training_rows(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[DataFrame, list[str]]:
+    """About `train_docs` labelled rows a language, by a hash of the doc_id, and the languages."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return {}
+        return labelled.limit(0), []
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, train_docs / n)))), F.col("lang"))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    return labelled.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)), sorted(sizes)
+
+
+def fit_languages(labelled: DataFrame, path: str = PIECE_MODEL, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Piece probabilities by language from rows with `doc_id`, `text` and `lang`."""
+    sample, names = training_rows(labelled, train_docs)
+    if not names:
+        return {}
     counts = written(labelled.sparkSession, word_counts(sample, "lang"), "lang-words")
     first = start_model(path)
-    models = dict.fromkeys(sorted(sizes), first)
+    models = dict.fromkeys(names, first)
     for _ in range(rounds):
         models = {k: (e + PRIOR * first) / (e.sum() + PRIOR) for k, e in expected_pieces(counts, models, path).items()}
     return models
 
 
 def has_letter(data: bytes) -> bool:
-    return bool(re.search(rb"[A-Za-z]", data)) or bool(re.search(r"[^\W\d_]", data.decode("utf-8", "replace")))
+    """Whether a character of a letter category occurs; numerals such as fractions and circled digits aren't letters."""
+    return bool(re.search(rb"[A-Za-z]", data)) or any(map(str.isalpha, re.findall(r"[^\W\d_]", data.decode("utf-8", "replace"))))
 
 
 def predict_languages(docs: DataFrame, models: dict[str, np.ndarray], path: str = PIECE_MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns with lang_pred and score for each row of `docs`."""
+    """`keep` columns with lang_pred, score and gain for each row of `docs`."""
     names = sorted(models)
-    table = np.stack([models[k] for k in names], 1) if names else None
+    table = np.stack([*(models[k] for k in names), start_model(path)], 1) if names else None
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         known, size = Cache(lambda words: list(log_marginals(v, [b" " + w for w in words], sent.value))), len(names)
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, gains = [], [], []
             for _, texts in slices(batch, batch.num_columns - 1):
                 split = [t.lower().split() if t and names and has_letter(t) else [] for t in texts]
                 of = known.add(w for x in split for w in set(x))
@@ -128,19 +140,31 @@ def predict_languages(docs: DataFrame, models: dict[str, np.ndarray], path: str
                     if not words:
                         langs.append(UNKNOWN)
                         scores.append(0.0)
+                        gains.append(0.0)
                         continue
                     uses = Counter(words)
-                    total = np.fromiter(uses.values(), float, len(uses)) @ np.concatenate([of[w] for w in uses]).reshape(-1, size)
+                    total = np.fromiter(uses.values(), float, len(uses)) @ np.concatenate([of[w] for w in uses]).reshape(-1, size + 1)
+                    total, general = total[:-1], total[-1]
                     best = int(total.argmax())
                     langs.append(names[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
+                    gains.append(float((total[best] - general) / sum(map(len, words), len(words))))
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gains, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score", "gain"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    schema = schema_of(docs, keep, "lang_pred string, score double, gain double")
     return docs.select(*keep, F.col("text").cast("binary").alias("text_bytes")).mapInArrow(score, schema)
 
 
+def least_gains(labelled: DataFrame, models: dict[str, np.ndarray], path: str = PIECE_MODEL, train_docs: int = TRAIN_DOCS, share: float = 0.01) -> dict[str, float]:
+    """For each language, a gain that a text in it has: half of what all but `share` of the labelled rows reach that are
+    predicted so (if that is negative, half as much again below it)."""
+    sample, _ = training_rows(labelled, train_docs)
+    found = predict_languages(sample, models, path, keep=("lang",)).where("lang = lang_pred")
+    low = {r["lang"]: r["low"] for r in found.groupBy("lang").agg(F.percentile("gain", share).alias("low")).collect()}
+    return {k: x - abs(x) / 2 for k, x in low.items()}
+
+
 def op2_language(docs: DataFrame, path: str = PIECE_MODEL) -> DataFrame:
     flagged = docs.select("doc_id", "text", "lang", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
     models = fit_languages(flagged.where(~F.col("held_out")), path)

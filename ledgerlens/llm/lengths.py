@@ -5,11 +5,14 @@ by length before the shuffle. Suffix sums over the histogram then answer, for ev
 length sets, how many documents and tokens are beyond it, the truncated total and the quantile reached. The sums
 run in blocks of 1024 lengths with the blocks' totals added, so no task sees more than a block of lengths.
 
-Cases: null and empty texts have length 0; repeated rows count each; an empty table gives an empty histogram.
+Cases: null and empty texts have length 0; bytes that aren't UTF-8 are encoded as replacement characters; very long texts,
+also runs of white space or of letters of millions of characters, are encoded whole; repeated rows count each; other columns
+are left out; an empty table gives an empty histogram.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE_BPE, written
+from .common import BYTE_BPE, slices, written
 
 #: Fixed value: how the vocabulary's public definition cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern means it, in runs that its search has no room for.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1024,}")
 BLOCK = 1024
 
 
@@ -34,16 +39,27 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded_length(enc, text: str) -> int:
+    """Tokens of a text. Of a long run of white space all but the last character (all at the text's end) are one piece; the last
+    one goes with what follows."""
+    total, a = 0, 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(enc.encode_ordinary(text[a : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
+        a = end
+    return total + len(enc.encode_ordinary(text[a:] if a else text))
+
+
 def token_lengths(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     """(length) of each document, in tokens."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            out = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()]
+            out = [encoded_length(enc, t.decode("utf-8", "replace")) if t else 0 for _, texts in slices(batch, 0) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["length"])
 
-    return docs.select("text").mapInArrow(lengths, "length long")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lengths, "length long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

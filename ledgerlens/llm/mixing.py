@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, word_count
+from .common import WORD, whole_row, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
+BLANK = " \t\n\x0b\x0c\r"
 SHARE, CAP, DIGITS, SEED = 1.5, 2, 3, "mix-1"
 
 
@@ -81,17 +82,20 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     these names are replaced, all others pass untouched."""
     own = ["m_size", "source_size", "target", "taken"]
     rest = [c for c in docs.columns if c not in own]
-    return planned(docs, F.struct(*rest), **how).select("m_row.*", *own)
+    return planned(docs, whole_row(docs, rest), **how).select("m_row.*", *own)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of `docs`, with all their columns, repeated as the budgets say; the document at a cut keeps its
     first words."""
-    plan = planned(docs, F.struct(*docs.columns), **how).where("taken > 0")
+    plan = planned(docs, whole_row(docs), **how).where("taken > 0")
     rows = plan.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("m_size")).cast("int"))))
     fits = F.least(F.col("m_size"), F.col("taken") - (F.col("m_copy") - 1) * F.col("m_size"))
     whole = F.col("m_row.text")
-    head = F.array_join(F.slice(F.split(whole, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, fits.cast("int")), "")
+    # blanks in front belong to the first word, not to a slice of their own
+    inner = F.ltrim(whole, F.lit(BLANK))
+    words = F.slice(F.split(inner, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, fits.cast("int"))
+    head = F.concat(F.substring(whole, F.lit(1), F.length(whole) - F.length(inner)), F.array_join(words, ""))
     text = F.when(fits >= F.col("m_size"), whole).otherwise(head)
     new = {"text": text}
     if "n_chars" in docs.columns:

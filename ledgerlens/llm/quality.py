@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder, slices
+from .common import labelled_sample, remainder, schema_of, slices
 
 POSITIVES, UNLABELLED, PAIRS, HIDDEN, EPOCHS, SEED = 3000, 6000, 64, 16, 30, 7
 LEVEL = 0.7
@@ -65,7 +65,7 @@ def feature_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
             x = [features(t).tobytes() for _, texts in slices(batch, batch.num_columns - 1, 256) for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(x, pa.binary())], [*batch.schema.names[:-1], "x"])
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", x binary"
+    schema = schema_of(rows, keep, "x binary")
     return rows.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(make, schema)
 
 
@@ -200,7 +200,7 @@ def score_quality(docs: DataFrame, net: Network | None, keep: list[str]) -> Data
             z = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(z), pa.array((z >= LEVEL).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
+    schema = schema_of(docs, keep, "score double, predicted int")
     return docs.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(score, schema)
 
 

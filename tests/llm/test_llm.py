@@ -235,6 +235,22 @@ def test_length_histogram(docs, odd, none):
     assert lengths.op3_lengths(none).count() == 0
 
 
+def test_token_lengths_of_long_blanks_and_invalid_bytes(spark, docs):
+    """Runs of white space of millions of characters, inside and at the end, and bytes that aren't UTF-8, against the encoder on
+    short ones; a run in which each piece is as long as the vocabulary has it."""
+    enc = lengths.encoder(common.BYTE_BPE)
+    common.ready(spark)
+    for blank in (" ", "\n", " \n", "\t ", "\u3000", "\r\n"):
+        for n in (1023, 1024, 1025, 3001):
+            for text in ("a" + blank * n + "b c", blank * n, "'s" + blank * n, blank * n + "1 2" + blank * n + "#"):
+                assert lengths.encoded_length(enc, text) == len(enc.encode_ordinary(text))
+    texts = ["a" + " " * 5_000_000 + "b", "\n" * 5_000_000, "a" + " \n\t" * 1_700_000 + "b", "x" * 2_000_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").unionAll(spark.sql("SELECT cast(X'61FF2062' AS string)"))
+    got = [r["length"] for r in lengths.token_lengths(rows).collect()]
+    assert len(got) == 5 and all(x > 1000 for x in got[:4]) and got[4] == len(enc.encode_ordinary("a\ufffd b"))
+    assert lengths.op3_lengths(rows).where("total_docs = 5").count() > 0
+
+
 # --- op4 ---
 
 
@@ -528,6 +544,17 @@ def test_mix_with_clashing_names(odd):
     assert set(added.columns) == set(rows.columns) and added.where("m_key <> 'k' OR size <> 9").count() == 0 and added.where("taken < 0").count() == 0
 
 
+def test_mix_makes_the_words_it_plans(spark):
+    """Texts with leading and trailing blanks: the cut document gives as many words as the plan says, with the blanks before them."""
+    rows = spark.createDataFrame([(i, " \t" * (i % 3) + "a b  c\nd e f g" + " " * (i % 2), f"s{i % 4}") for i in range(44)], "doc_id long, text string, source string")
+    plan = {r["doc_id"]: r["taken"] for r in mixing.op8_mix(rows).collect()}
+    made = collections.Counter()
+    for r in mixing.mixed_documents(rows).collect():
+        made[r["doc_id"]] += len(r["text"].split())
+        assert r["text"].startswith(" \t" * (r["doc_id"] % 3) + "a")
+    assert made == +collections.Counter(plan) and any(0 < n % 7 for n in made.values())
+
+
 def test_mix_targets_reshare(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "m_source string, m_size long")
     got = {r["m_source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
@@ -763,11 +790,41 @@ def test_quality_and_language_stages_follow_their_operators(spark, messy):
     good = {r["doc_id"] for r in quality.score_quality(messy, net, ["doc_id"]).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in stage("quality")(spark, messy, SMALL).collect()} == good
     models = langid.fit_languages(messy.select("doc_id", "text", "lang"))
-    found = {r["doc_id"] for r in langid.predict_languages(messy.select("doc_id", "text"), models).where("lang_pred <> 'und' AND score >= 0.5").collect()}
+    least = langid.least_gains(messy.select("doc_id", "text", "lang"), models)
+    rows = langid.predict_languages(messy.select("doc_id", "text"), models).where("lang_pred <> 'und' AND score >= 0.5").collect()
+    found = {r["doc_id"] for r in rows if r["gain"] >= least[r["lang_pred"]]}
+    texts = {r["doc_id"]: r["text"] for r in messy.select("doc_id", "text").collect()}
+    # what goes has a word or two, or isn't in a language
+    assert all(d in (-9, None) or len(texts[d]) < 40 for d in {r["doc_id"] for r in rows} - found)
     kept = {r["doc_id"] for r in stage("language")(spark, messy, SMALL).collect()}
     assert kept == found and not kept & {-1, -2}
 
 
+@pytest.mark.parametrize("name", ["quality", "language", "dedup", "mix", "encode"])
+def test_stages_bear_columns_with_dots_and_quotes(spark, docs, name):
+    rows = docs.where("doc_id < 60").withColumns({"a.b": F.lit(1), "c`d": F.struct(F.lit(2).alias("e.f"))})
+    got = stage(name)(spark, common.written(spark, rows, "dots"), SMALL)
+    assert got.columns == rows.columns + ["ids"] * (name == "encode")
+    kept = common.written(spark, got, "dots").collect()
+    assert kept and all(r["a.b"] == 1 and r["c`d"]["e.f"] == 2 for r in kept)
+
+
+def test_language_stage_rejects_noise_and_other_languages(spark, docs):
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(8, 90))) for _ in range(50)]
+    greek = [" ".join("".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(8, 90))) for _ in range(20)]
+    finnish = ["suomen kieli on uralilainen kieli jota puhutaan pääasiassa suomessa ja ruotsissa sekä virossa"]
+    more = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(noise + greek + finnish)], docs.schema)
+    kept = {r["doc_id"] for r in stage("language")(spark, common.written(spark, docs.unionAll(more), "noisy"), SMALL).collect()}
+    mine = {r["doc_id"] for r in docs.where("text RLIKE '[A-Za-z]'").collect()}
+    assert not any(d >= 10**6 for d in kept) and len(mine - kept) <= 0.01 * len(mine)
+
+
+@pytest.mark.parametrize("text, letters", [("½ ² ①", False), ("١٢٣", False), ("_ 12 %", False), ("é", True), ("日", True), ("ʰ", True), ("12a", True), ("Ⅷ", False)])
+def test_letters_are_letter_categories(text, letters):
+    assert langid.has_letter(text.encode()) == letters
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
