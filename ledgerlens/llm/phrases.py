@@ -39,6 +39,7 @@ SCALE, MARKS, PARTS, STRETCH, JOINED = 2_000_000, 1 << 26, 32, 1 << 18, 1 << 22
 #: Bytes that end a piece, and bytes between words.
 ENDS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 BETWEEN = ENDS | np.isin(np.arange(256), list(b" \t"))
+AS_BLANKS = bytes(32 if x else i for i, x in enumerate(BETWEEN))
 
 
 def salt(lang: str) -> np.uint64:
@@ -127,7 +128,8 @@ def strings(text: bytes, start: np.ndarray, stop: np.ndarray, at: np.ndarray, n:
     plain = np.ones(len(at), bool)
     for j in range(n - 1):
         plain &= (start[at + j + 1] - stop[at + j] == 1) & (b[stop[at + j]] == 32)
-    return [text[x:y] if p else b" ".join(text[x:y].split()) for x, y, p in zip(start[at].tolist(), stop[at + n - 1].tolist(), plain.tolist(), strict=True)]
+    spans = lambda some: zip(start[some].tolist(), stop[some + n - 1].tolist(), strict=True)
+    return [text[x:y] for x, y in spans(at[plain])] + [b" ".join(text[x:y].split()) for x, y in spans(at[~plain])]
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -144,8 +146,13 @@ def word_rows(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
         for lang, text in joined_texts(batches):
-            for start, stop, _, _, new in stretches(text):
-                found.setdefault(lang, Counter()).update([text[x:y] for x, y in zip(start[new:].tolist(), stop[new:].tolist(), strict=True)])
+            # the bytes that end a piece become blanks: `split` takes all blanks there are
+            text, a = text.translate(AS_BLANKS), 0
+            while a < len(text):
+                cut = text.find(b" ", a + JOINED)
+                end = cut if cut >= 0 else len(text)
+                found.setdefault(lang, Counter()).update(text[a:end].split())
+                a = end
                 yield from emit_counts(found, 300_000)
         yield from emit_counts(found, 0)
 
