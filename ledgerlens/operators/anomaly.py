@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .profiles import lookup, rfm
+from .scan import PART_ROWS, dealt, scan
 from .stats import quantiles
 
 
@@ -205,34 +206,47 @@ def fit_hmm(df: DataFrame, key: str, t: str, row_id: str, amount: str, states: i
     return GaussianHmm(states, len(HMM_COLUMNS)).fit(seqs) if len(seqs) >= least else None
 
 
-def hmm_features(df: DataFrame, model: GaussianHmm, key: str, t: str, row_id: str, amount: str) -> DataFrame:
+def hmm_features(df: DataFrame, model: GaussianHmm, key: str, t: str, row_id: str, amount: str, most: int = PART_ROWS, chunk: int = 512, fan: int = 256) -> DataFrame:
     """(row_id, hmm_state, hmm_p0.., hmm_entropy): posteriors along each entity's rows. Entities are cut into chunks of 512
-    rows, so a hot entity isn't one group; each chunk of a longer entity passes on a small matrix, and from those of the
-    others come the vectors that its forward and backward passes begin with, so results are those of the whole entity."""
-    from pyspark.sql import Window as W
-
-    k = len(model.start)
-    order = W.partitionBy(key).orderBy(F.col(t).asc_nulls_last(), F.col(row_id).asc_nulls_last())
-    rows = hmm_rows(df, amount, t).withColumn("rn", F.row_number().over(order)).withColumn("chunk", F.floor((F.col("rn") - 1) / 512))
-    narrow = written(df.sparkSession, rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(key).alias("key"), "chunk", "rn", *HMM_COLUMNS), "hmm-rows")
+    rows (places by a scan); each chunk of a longer entity passes on a small matrix, matrices are multiplied in a tree, and
+    from it come the vectors that each chunk's forward and backward passes begin with, so results are those of the whole
+    entity, and no task sees more than a chunk's rows or `fan` matrices."""
+    k, spark = len(model.start), df.sparkSession
+    rows = hmm_rows(df, amount, t).select(F.col(row_id).cast("long").alias("row_id"), F.col(key).alias("key"), F.col(t).alias("at"), *HMM_COLUMNS)
+    rows = scan(dealt(rows, "key", ["at", "row_id"], most), {"rn": ("count", F.lit(1))}).plain()
+    narrow = written(spark, rows.select("row_id", "key", F.floor((F.col("rn") - 1) / chunk).alias("chunk"), "rn", *HMM_COLUMNS), "hmm-rows")
+    name, kind = narrow.schema["key"].dataType.simpleString(), pa.list_(pa.float64())
 
     def values(table: pa.Table) -> np.ndarray:
         return np.nan_to_num(np.stack([table.column(c).to_numpy().astype(float) for c in HMM_COLUMNS], 1))
 
+    def row(table: pa.Table, at: int, m: np.ndarray) -> pa.Table:
+        return pa.table({"key": table.column("key").slice(0, 1), "chunk": pa.array([at], pa.int64()), "m": pa.array([m.ravel().tolist()], kind)})
+
     def pass_on(table: pa.Table) -> pa.Table:
         own = table.sort_by("rn")
-        m = model.passage(values(own), own.column("chunk")[0].as_py() == 0)
-        return pa.table({"key": own.column("key").slice(0, 1), "chunk": own.column("chunk").slice(0, 1), "m": pa.array([m.ravel().tolist()], pa.list_(pa.float64()))})
+        at = own.column("chunk")[0].as_py()
+        return row(own, at, model.passage(values(own), at == 0))
+
+    def matrices(own: pa.Table) -> list[np.ndarray]:
+        return [np.array(x).reshape(k, k) for x in own.column("m").to_pylist()]
+
+    def multiply(table: pa.Table) -> pa.Table:
+        own = table.sort_by("chunk")
+        whole = np.eye(k)
+        for x in matrices(own):
+            whole = whole @ x
+            whole /= whole.sum()
+        return row(own, own.column("chunk")[0].as_py() // fan, whole)
 
-    def meet(table: pa.Table) -> pa.Table:
+    def descend(table: pa.Table) -> pa.Table:
         own = table.sort_by("chunk")
-        m = [np.array(x).reshape(k, k) for x in own.column("m").to_pylist()]
-        before, after = [model.start], [np.ones(k)]
+        m = matrices(own)
+        before, after = [np.array(own.column("up_before")[0].as_py())], [np.array(own.column("up_after")[0].as_py())]
         for x in m[:-1]:
             before.append(before[-1] @ x / (before[-1] @ x).sum())
         for x in m[:0:-1]:
             after.append(x @ after[-1] / (x @ after[-1]).max())
-        kind = pa.list_(pa.float64())
         return pa.table({"key": own.column("key"), "chunk": own.column("chunk"), "before": pa.array([x.tolist() for x in before], kind), "after": pa.array([x.tolist() for x in after[::-1]], kind)})
 
     def run(table: pa.Table, ends: pa.Table) -> pa.Table:
@@ -246,9 +260,16 @@ def hmm_features(df: DataFrame, model: GaussianHmm, key: str, t: str, row_id: st
         cols = {"row_id": own.column("row_id"), "hmm_state": pa.array(g.argmax(1).astype(np.int32)), "hmm_entropy": pa.array(-(g * np.log(g + 1e-12)).sum(1))}
         return pa.table(cols | {f"hmm_p{i}": pa.array(g[:, i].copy()) for i in range(k)})
 
-    name = narrow.schema["key"].dataType.simpleString()
     longer = narrow.where("chunk = 1").select(F.col("key").alias("longer")).distinct()
     parts = narrow.join(longer, F.col("key").eqNullSafe(F.col("longer")), "left_semi")
-    passed = parts.groupBy("key", "chunk").applyInArrow(pass_on, f"key {name}, chunk long, m array<double>")
-    ends = passed.groupBy("key").applyInArrow(meet, f"key {name}, chunk long, before array<double>, after array<double>")
+    levels = [written(spark, parts.groupBy("key", "chunk").applyInArrow(pass_on, f"key {name}, chunk long, m array<double>"), "hmm-matrices")]
+    up = F.floor(F.col("chunk") / fan)
+    while (levels[-1].agg(F.max("chunk")).first()[0] or 0) > 0:
+        levels.append(written(spark, levels[-1].groupBy("key", up.alias("up")).applyInArrow(multiply, f"key {name}, chunk long, m array<double>"), "hmm-matrices"))
+    vector = lambda x: F.array(*map(F.lit, x))
+    ends = levels[-1].select("key", "chunk", vector(model.start.tolist()).alias("before"), vector([1.0] * k).alias("after"))
+    for level in reversed(levels[:-1]):
+        above = ends.select(F.col("key").alias("up_key"), F.col("chunk").alias("up_chunk"), F.col("before").alias("up_before"), F.col("after").alias("up_after"))
+        members = level.join(above, F.col("key").eqNullSafe(F.col("up_key")) & (up == F.col("up_chunk"))).drop("up_key")
+        ends = members.groupBy("key", "up_chunk").applyInArrow(descend, f"key {name}, chunk long, before array<double>, after array<double>")
     return narrow.groupBy("key", "chunk").cogroup(ends.groupBy("key", "chunk")).applyInArrow(run, "row_id long, hmm_state int, hmm_entropy double, " + ", ".join(f"hmm_p{i} double" for i in range(k)))

@@ -50,26 +50,23 @@ def count_below(points: DataFrame, asks: DataFrame, most: int = PART_ROWS) -> Da
     return whole.unionAll(rest).unionAll(zero).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def places(df: DataFrame, key: str, t: str, row_id: str, starts: dict[str, int], known: Column | None = None, most: int = PART_ROWS) -> DataFrame:
-    """(key, id, g, upto, one column for each of `starts`) of each row: how many rows of its entity come before it by (time, row
-    id), how many are at its time or before, and how many are earlier than that long before it. Only `known` rows are counted.
+def places(df: DataFrame, key: str, t: str, row_id: str, window: int, most: int = PART_ROWS) -> DataFrame:
+    """(key, id, g, lo) of each row: how many rows of its entity come before it by (time, row id), and how many are more than
+    `window` earlier.
 
     Rows and the starts of their windows are put in one order; running counts of rows tell where the starts fall.
     """
-    mark = lambda at, kind, what: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(what).alias("what"))
-    marks = [mark(F.col(t), 1, "g"), mark(F.col(t), 2, "upto"), *(mark(F.col(t) - w, 0, name) for name, w in starts.items())]
-    counts = F.lit(1) if known is None else F.coalesce(known.cast("int"), F.lit(0))
-    flat = df.select(F.col(key).alias("key"), F.col(row_id).alias("id"), counts.alias("one"), F.explode(F.array(*marks)).alias("m")).select("key", "id", "one", "m.*")
-    rows = F.when(F.col("what") == "g", F.col("one")).otherwise(0)
-    counted = scan(dealt(flat, "key", ["at", "kind", "id", "what"], most), {"n": ("sum_before", rows)}).plain()
-    return counted.groupBy("key", "id").agg(*(F.max(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in ("g", "upto", *starts)))
+    marks = F.array(F.struct(F.col(t).alias("at"), F.lit(1).alias("kind")), F.struct((F.col(t) - window).alias("at"), F.lit(0).alias("kind")))
+    flat = df.select(F.col(key).alias("key"), F.col(row_id).alias("id"), F.explode(marks).alias("m")).select("key", "id", "m.*")
+    counted = scan(dealt(flat, "key", ["at", "kind", "id"], most), {"n": ("sum_before", F.col("kind"))}).plain()
+    return counted.groupBy("key", "id").agg(F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("g"), F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("lo"))
 
 
 def window_rank(df: DataFrame, key: str, t: str, row_id: str, value: str, window: int, name: str, most: int = PART_ROWS) -> DataFrame:
     """Adds the share of the entity's earlier rows (by time and row id) at most `window` ago whose known value isn't above this
     row's; null without any, and for a null value. Row ids must be distinct."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(t).alias("t"), F.col(row_id).alias("id"), F.col(value).alias("x"))
-    at = places(rows, "key", "t", "id", {"lo": window}, most=most)
+    at = places(rows, "key", "t", "id", window, most)
     rows = written(df.sparkSession, at.join(rows.select("id", "x"), "id"), "places")
     ask = lambda p, sign: F.struct(F.col(p).cast("long").alias("p"), F.lit(sign).alias("sign"))
     asks = rows.select("id", "key", "x", F.explode(F.array(ask("g", 1), ask("lo", -1))).alias("a")).select("id", "key", "x", "a.*")
@@ -79,24 +76,32 @@ def window_rank(df: DataFrame, key: str, t: str, row_id: str, value: str, window
     return df.join(found, F.col(row_id) == F.col("wr_id"), "left").withColumn(name, F.col("wr_share")).drop("wr_id", "wr_share")
 
 
-def window_distinct(df: DataFrame, key: str, t: str, row_id: str, value: Column, windows: dict[str, int], inclusive: bool = True, most: int = PART_ROWS) -> DataFrame:
+def window_distinct(df: DataFrame, key: str, t: str, value: Column, windows: dict[str, int], inclusive: bool = True, most: int = PART_ROWS) -> DataFrame:
     """Adds, for each (name, length) of `windows`, the number of distinct known values among the entity's rows from that long
-    before each row up to its time (`inclusive`), or before its time. Row ids must be distinct; `value` may be of any type
-    that can be grouped by.
+    before each row up to its time (`inclusive`), or before its time; `value` may be of any type that can be ordered.
 
     A value counts at the first of its rows in the window: the one whose previous occurrence lies before the window's start.
+    Rows of one entity, time and value are one; so are the answers for one entity and time.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), F.col(t).alias("t"), F.col(row_id).alias("id"), value.alias("v"))
-    at = places(rows, "key", "t", "id", {"before": 0, **{f"lo{i}": w for i, w in enumerate(windows.values())}}, F.col("v").isNotNull(), most)
-    rows = written(spark, at.join(rows.select("id", "v"), "id"), "places")
-    points = scan(dealt(rows.where("v IS NOT NULL").select("key", "v", "g"), ["key", "v"], ["g"], most), {"x": ("lag", F.col("g"))}).plain().select("key", "g", F.coalesce("x", F.lit(-1)).cast("long").alias("x"))
-    end = "upto" if inclusive else "before"
+    rows = df.select(F.col(key).alias("key"), F.col(t).alias("t"), value.alias("v"))
+    no_value = F.lit(None).cast(rows.schema["v"].dataType)
+    # kinds: 0 counts the values of earlier times, 1 is a value, 2 counts those up to and at the time
+    ends = [F.struct((F.col("t") - w).alias("at"), F.lit(0).alias("kind"), F.lit(i).alias("what")) for i, w in enumerate(windows.values())]
+    ends.append(F.struct(F.col("t").alias("at"), F.lit(2 if inclusive else 0).alias("kind"), F.lit(-1).alias("what")))
+    asked = rows.select("key", "t").distinct().select("key", "t", no_value.alias("v"), F.explode(F.array(*ends)).alias("m")).select("key", "t", "v", "m.*")
+    values = rows.where("v IS NOT NULL").distinct().select("key", "t", "v", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("what"))
+    placed = scan(dealt(asked.unionByName(values), "key", ["at", "kind", "v", "t", "what"], most), {"n": ("sum_before", (F.col("kind") == 1).cast("int"))}).plain()
+    placed = written(spark, placed, "places")
+    points = scan(dealt(placed.where("kind = 1").select("key", "v", F.col("n").alias("g")), ["key", "v"], ["g"], most), {"x": ("lag", F.col("g"))}).plain()
+    points = written(spark, points.select("key", "g", F.coalesce("x", F.lit(-1)).cast("long").alias("x")), "previous")
+    ends = placed.where("kind <> 1").groupBy("key", "t").agg(F.max(F.when(F.col("what") == -1, F.col("n"))).alias("p"), *(F.max(F.when(F.col("what") == i, F.col("n"))).alias(f"lo{i}") for i in range(len(windows))))
+    ends = written(spark, ends.withColumn("id", F.monotonically_increasing_id()), "window-ends")
     one = lambda i: F.struct(F.lit(i).alias("w"), (F.col(f"lo{i}") - 1).cast("long").alias("x"))
-    asks = rows.select("id", "key", F.col(end).cast("long").alias("p"), F.explode(F.array(*map(one, range(len(windows))))).alias("a"))
+    asks = ends.select("id", "key", F.col("p").cast("long").alias("p"), F.explode(F.array(*map(one, range(len(windows))))).alias("a"))
     asks = asks.select(F.struct("id", "a.w").alias("id"), "key", "p", "a.x", F.lit(1).alias("sign"))
-    below = count_below(written(spark, points, "previous"), asks, most).groupBy("id.id").agg(*(F.max(F.when(F.col("id.w") == i, F.col("n"))).alias(f"n{i}") for i in range(len(windows))))
-    # all rows before the window's start are below, and none of them counts
-    found = rows.join(below, "id").select(F.col("id").alias("wd_id"), *(F.greatest(F.col(f"n{i}") - F.col(f"lo{i}"), F.lit(0)).cast("int").alias(f"wd_{i}") for i in range(len(windows))))
-    out = df.join(found, F.col(row_id) == F.col("wd_id"))
-    return out.withColumns({name: F.col(f"wd_{i}") for i, name in enumerate(windows)}).drop("wd_id", *(f"wd_{i}" for i in range(len(windows))))
+    below = count_below(points, asks, most).groupBy("id.id").agg(*(F.max(F.when(F.col("id.w") == i, F.col("n"))).alias(f"n{i}") for i in range(len(windows))))
+    # all values before the window's start are below, and none of them counts
+    found = ends.join(below, "id").select(F.col("key").alias("wd_key"), F.col("t").alias("wd_t"), *(F.greatest(F.col(f"n{i}") - F.col(f"lo{i}"), F.lit(0)).cast("int").alias(f"wd_{i}") for i in range(len(windows))))
+    out = df.join(found, F.col(key).eqNullSafe(F.col("wd_key")) & (F.col(t) == F.col("wd_t")))
+    return out.withColumns({name: F.col(f"wd_{i}") for i, name in enumerate(windows)}).drop("wd_key", "wd_t", *(f"wd_{i}" for i in range(len(windows))))

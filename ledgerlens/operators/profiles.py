@@ -10,9 +10,10 @@ from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import PART_ROWS, dealt, scan
+
 
 def entity_profile(df: DataFrame, key: str, value: str, stats: Iterable[str] = ("mean", "std", "count"), prefix: str = "", std_default: float | None = 0.0, min_support: int = 1) -> DataFrame:
     """One row a non-null key. Statistics: mean std min max median p90 q25 q75 count sum span; a single row's deviation
@@ -80,10 +81,11 @@ def novelty_flag(df: DataFrame, known: DataFrame, keys: list[str], name: str) ->
     return lookup(df, pairs, keys).withColumn(name, F.col("seen_before").isNull().cast("int")).drop("seen_before")
 
 
-def gap_stats(df: DataFrame, key: str, t: str, row_id: str, burst_s: int = 60) -> DataFrame:
+def gap_stats(df: DataFrame, key: str, t: str, row_id: str, burst_s: int = 60, most: int = PART_ROWS) -> DataFrame:
     """Median, deviation, minimum of the seconds between a key's rows, gaps under `burst_s`, and gaps a day."""
-    gap = (F.col(t) - F.lag(t).over(W.partitionBy(key).orderBy(t, row_id))) / 1e6
-    gaps = df.where(F.col(key).isNotNull()).select(key, t, gap.alias("gap"))
+    known = df.where(F.col(key).isNotNull()).select(*dict.fromkeys((key, t, row_id)))
+    rows = scan(dealt(known, key, [t, row_id], most), {"sc_prev": ("lag", F.col(t))}).plain()
+    gaps = rows.select(key, t, ((F.col(t) - F.col("sc_prev")) / 1e6).alias("gap"))
     days = F.greatest((F.max(t) - F.min(t)) / 86_400e6, F.lit(1.0))
     return gaps.groupBy(key).agg(
         F.coalesce(F.median("gap"), F.lit(0.0)).alias("median_gap"), F.coalesce(F.stddev_samp("gap"), F.lit(0.0)).alias("std_gap"), F.coalesce(F.min("gap"), F.lit(0.0)).alias("min_gap"),
@@ -145,11 +147,12 @@ def high_rate_flag(df: DataFrame, history: DataFrame, value: str, name: str = "i
     return df.crossJoin(F.broadcast(cut)).withColumn(name, F.coalesce((F.col(value) > F.col("high_cut")).cast("int"), F.lit(0))).drop("high_cut")
 
 
-def trajectory(df: DataFrame, key: str, t: str, row_id: str, amount: str) -> DataFrame:
+def trajectory(df: DataFrame, key: str, t: str, row_id: str, amount: str, most: int = PART_ROWS) -> DataFrame:
     """Slope, variance, largest jump of an entity's log amounts in order, and its last five against the rest."""
-    w = W.partitionBy(key).orderBy(t, row_id)
-    x = F.log1p(F.col(amount))
-    rows = df.select(key, x.alias("x"), F.row_number().over(w).alias("rn"), F.row_number().over(W.partitionBy(key).orderBy(F.desc(t), F.desc(row_id))).alias("back"), (x - F.lag(x).over(w)).alias("jump"))
+    known = df.select(F.col(key).alias("tr_key"), F.col(t).alias("tr_t"), F.col(row_id).alias("tr_id"), F.log1p(F.col(amount)).alias("x"))
+    rows = scan(dealt(known, "tr_key", ["tr_t", "tr_id"], most), {"rn": ("count", F.lit(1)), "sc_x": ("lag", F.col("x"))}).plain()
+    rows = lookup(rows, known.groupBy("tr_key").agg(F.count(F.lit(1)).alias("n")), "tr_key", null_safe=True)
+    rows = rows.select(F.col("tr_key").alias(key), "x", "rn", (F.col("n") - F.col("rn") + 1).alias("back"), (F.col("x") - F.col("sc_x")).alias("jump"))
     recent, rest = F.max(F.when(F.col("back") <= 5, F.col("x"))), F.avg(F.when(F.col("back") > 5, F.col("x")))
     return rows.groupBy(key).agg(F.coalesce(F.regr_slope("x", F.col("rn").cast("double")), F.lit(0.0)).alias("slope"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("variance"), F.coalesce(F.max("jump"), F.lit(0.0)).alias("max_jump"), (recent - F.coalesce(rest, recent)).alias("bust_score"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import DAY, HOUR, MINUTE
+from .dominance import window_distinct
+from .scan import PART_ROWS, dealt, scan
 
 DAILY = {"1h": HOUR, "6h": 6 * HOUR, "1d": DAY, "7d": 7 * DAY}
 FAST = {"10m": 10 * MINUTE, "1h": HOUR, "1d": DAY, "7d": 7 * DAY}
@@ -22,6 +24,7 @@ STACK = {"60s": MINUTE, "600s": 10 * MINUTE, "1h": HOUR, "1d": DAY, "7d": 7 * DA
 
 def velocity(df: DataFrame, key: str, t: str, value: str, row_id: str, windows: dict[str, int] = DAILY, aggs: Iterable[str] = ("count", "sum"), ties: str = "prior", prefix: str | None = None, history: str | None = None, spread: bool = False) -> DataFrame:
     """Adds `{prefix}_{window}_{agg}`. Aggregates: count sum max avg std distinct (the latter four not with "prior").
+    Distinct values are counted by `window_distinct`, never gathered.
 
     `history` names a boolean column: only rows where it is true count, though all rows get the features. Null keys
     are an entity of their own and get zeros.
@@ -47,11 +50,15 @@ def velocity(df: DataFrame, key: str, t: str, value: str, row_id: str, windows:
             n, total = n - F.count(one).over(at_or_after), total - F.coalesce(F.sum(v).over(at_or_after), F.lit(0.0))
         known = {
             "count": n, "sum": F.when(n > 0, F.coalesce(total, F.lit(0.0))).otherwise(F.lit(0.0)), "max": F.coalesce(F.max(v).over(frame), F.lit(0.0)), "avg": F.avg(v).over(frame),
-            "std": F.stddev_samp(v).over(frame), "distinct": F.size(F.collect_set(v).over(frame)),
+            "std": F.stddev_samp(v).over(frame),
         }
-        made |= {f"{prefix}_{name}_{a}": known[a] for a in aggs}
-    out = rows.withColumns(made)
-    return out.where("v_own").drop("v_own", "v_stretch") if spread else out
+        made |= {f"{prefix}_{name}_{a}": known[a] for a in aggs if a != "distinct"}
+    out = rows.withColumns(made) if made else df
+    if spread and made:
+        out = out.where("v_own").drop("v_own", "v_stretch")
+    if "distinct" in aggs:
+        out = window_distinct(out, key, t, v, {f"{prefix}_{name}_distinct": w for name, w in windows.items()}, ties != "strict")
+    return out
 
 
 def velocity_matrix(df: DataFrame, keys: Iterable[str], t: str, value: str, row_id: str, windows: dict[str, int] = DAILY, aggs: Iterable[str] = ("count", "sum", "avg", "std", "distinct"), spread: bool = False) -> DataFrame:
@@ -61,20 +68,31 @@ def velocity_matrix(df: DataFrame, keys: Iterable[str], t: str, value: str, row_
     return df
 
 
-def diversity(df: DataFrame, key: str, entity: str, t: str, window: int, name: str, limit: int | None = None, spread: bool = False) -> DataFrame:
+def diversity(df: DataFrame, key: str, entity: str, t: str, window: int, name: str, limit: int | None = None, most: int = PART_ROWS) -> DataFrame:
     """Distinct entities that an address, device or card met in the window up to each row (its own among them), and
-    `{name}_high` above a limit. With `spread`, a hot key runs in as many tasks as it has stretches of time."""
-    parts, rows = [key], df
-    if spread:
-        stretch = F.floor(F.col(t) / window)
-        rows = df.withColumn("d_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("d_stretch", F.when(F.col("d_own"), stretch).otherwise(stretch + 1))
-        parts = [key, "d_stretch"]
-    seen = F.size(F.collect_set(F.when(F.col(key).isNotNull(), F.col(entity))).over(W.partitionBy(*parts).orderBy(t).rangeBetween(-window, 0)))
-    out = rows.withColumn(name, seen)
-    out = out.where("d_own").drop("d_own", "d_stretch") if spread else out
+    `{name}_high` above a limit; counted by previous occurrences, so neither a hot key nor a wide window is gathered."""
+    out = window_distinct(df, key, t, F.when(F.col(key).isNotNull(), F.col(entity)), {name: window}, most=most)
     return out if limit is None else out.withColumn(f"{name}_high", (F.col(name) > limit).cast("int"))
 
 
+def so_far(df: DataFrame, key: str, t: str, sums: dict[str, Column], most: int = PART_ROWS) -> DataFrame:
+    """Adds for each name the sum over the entity's rows up to and at each row's time, and `sf_first`, its first time: rows of
+    one time are summed first, then scanned in parts."""
+    per = df.groupBy(F.col(key).alias("sf_key"), F.col(t).alias("sf_t")).agg(*(F.sum(x).alias(n) for n, x in sums.items()))
+    run = scan(dealt(per, "sf_key", ["sf_t"], most), {**{f"sf_{n}": ("sum", F.col(n)) for n in sums}, "sf_first": ("first", F.col("sf_t"))}).plain()
+    run = run.select("sf_key", "sf_t", "sf_first", *(F.col(f"sf_{n}").alias(n) for n in sums))
+    return df.join(run, F.col(key).eqNullSafe(F.col("sf_key")) & (F.col(t) == F.col("sf_t"))).drop("sf_key", "sf_t")
+
+
+def stretched(df: DataFrame, key: str, t: str, length: int, made: dict[str, tuple[int, int, Column]]) -> DataFrame:
+    """Adds for each name an aggregate over the entity's rows with times in [t - far, t - near]: (far, near, aggregate), far at
+    most `length`. Rows are dealt by entity and stretch of that length, each also as history of the next one."""
+    stretch = F.floor(F.col(t) / length)
+    rows = df.withColumn("v_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("v_stretch", F.when(F.col("v_own"), stretch).otherwise(stretch + 1))
+    by = W.partitionBy(key, "v_stretch").orderBy(t)
+    return rows.withColumns({n: x.over(by.rangeBetween(-far, -near)) for n, (far, near, x) in made.items()}).where("v_own").drop("v_own", "v_stretch")
+
+
 def recent_history(df: DataFrame, t: str, start: Column, longest: int) -> DataFrame:
     """Rows that any window of a split that begins at `start` can still see: cut before the shuffle."""
     return df.where(F.col(t) >= start - longest)
@@ -94,31 +112,31 @@ def velocity_zscore(count_day: str, mean_daily: str, std_daily: str) -> Column:
 
 def escalation(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
     """Largest amount of a day against the mean of thirty, and the amount against the week's largest."""
-    by = W.partitionBy(key).orderBy(t)
-    top = F.max(value).over(by.rangeBetween(-DAY, 0))
-    return df.withColumns({"escalation": top / F.greatest(F.coalesce(F.avg(value).over(by.rangeBetween(-30 * DAY, -1)), F.lit(1.0)), F.lit(1.0)), "vs_week_max": F.col(value) / F.max(value).over(by.rangeBetween(-7 * DAY, 0))})
+    out = stretched(df, key, t, 30 * DAY, {"v_top": (DAY, 0, F.max(value)), "v_mean": (30 * DAY, 1, F.avg(value)), "v_week": (7 * DAY, 0, F.max(value))})
+    made = {"escalation": F.col("v_top") / F.greatest(F.coalesce("v_mean", F.lit(1.0)), F.lit(1.0)), "vs_week_max": F.col(value) / F.col("v_week")}
+    return out.withColumns(made).drop("v_top", "v_mean", "v_week")
 
 
-def share_shift(df: DataFrame, key: str, t: str, row_id: str, flag: Column, name: str = "share_shift", window: int = 7 * DAY) -> DataFrame:
+def share_shift(df: DataFrame, key: str, t: str, row_id: str, flag: Column, name: str = "share_shift", window: int = 7 * DAY, most: int = PART_ROWS) -> DataFrame:
     """Share of flagged rows in the last week less their share so far."""
-    by = W.partitionBy(key).orderBy(t)
     x = flag.cast("double")
-    return df.withColumn(name, F.avg(x).over(by.rangeBetween(-window, 0)) - F.avg(x).over(by.rangeBetween(W.unboundedPreceding, 0)))
+    out = so_far(stretched(df, key, t, window, {"v_week": (window, 0, F.avg(x))}), key, t, {"v_sum": x, "v_n": x.isNotNull().cast("long")}, most)
+    return out.withColumn(name, F.col("v_week") - F.col("v_sum") / F.when(F.col("v_n") > 0, F.col("v_n"))).drop("v_week", "v_sum", "v_n", "sf_first")
 
 
 def drift(df: DataFrame, key: str, t: str, value: str, name: str = "drift") -> DataFrame:
     """Mean of the last thirty days less the mean of the thirty days that began ninety days ago."""
-    by = W.partitionBy(key).orderBy(t)
-    return df.withColumn(name, F.avg(value).over(by.rangeBetween(-30 * DAY, -1)) - F.avg(value).over(by.rangeBetween(-90 * DAY, -60 * DAY)))
+    out = stretched(df, key, t, 90 * DAY, {"v_new": (30 * DAY, 1, F.avg(value)), "v_old": (90 * DAY, 60 * DAY, F.avg(value))})
+    return out.withColumn(name, F.col("v_new") - F.col("v_old")).drop("v_new", "v_old")
 
 
-def recipient_profile(df: DataFrame, to: str, sender: str, t: str, amount: str) -> DataFrame:
+def recipient_profile(df: DataFrame, to: str, sender: str, t: str, amount: str, most: int = PART_ROWS) -> DataFrame:
     """Distinct senders in a week, amount received in a day, mean amount so far, days since first seen, by row of the
     recipient; flags of a new recipient, of many senders, and of a day over ten times the mean of its days so far."""
-    by = W.partitionBy(to).orderBy(t)
-    day = F.sum(amount).over(by.rangeBetween(-DAY, 0))
-    so_far = by.rangeBetween(W.unboundedPreceding, 0)
-    daily = F.sum(amount).over(so_far) / F.greatest((F.col(t) - F.min(t).over(so_far)) / DAY, F.lit(1.0))
-    age = (F.col(t) - F.min(t).over(by.rangeBetween(W.unboundedPreceding, 0))) / DAY
-    senders = F.size(F.collect_set(sender).over(by.rangeBetween(-7 * DAY, 0)))
-    return df.withColumns({"senders_7d": senders, "received_1d": day, "recipient_age_days": age, "recipient_new": (age < 7).cast("int"), "many_senders": (senders > 5).cast("int"), "received_mean": F.avg(amount).over(so_far), "received_spike": (day > 10 * daily).cast("int")})
+    out = stretched(df, to, t, DAY, {"received_1d": (DAY, 0, F.sum(amount))})
+    out = so_far(out, to, t, {"v_sum": F.col(amount), "v_n": F.col(amount).isNotNull().cast("long")}, most)
+    age = (F.col(t) - F.col("sf_first")) / DAY
+    daily = F.col("v_sum") / F.greatest(age, F.lit(1.0))
+    out = window_distinct(out, to, t, F.col(sender), {"senders_7d": 7 * DAY}, most=most)
+    made = {"recipient_age_days": age, "recipient_new": (age < 7).cast("int"), "many_senders": (F.col("senders_7d") > 5).cast("int"), "received_mean": F.col("v_sum") / F.when(F.col("v_n") > 0, F.col("v_n")), "received_spike": (F.col("received_1d") > 10 * daily).cast("int")}
+    return out.withColumns(made).drop("v_sum", "v_n", "sf_first")

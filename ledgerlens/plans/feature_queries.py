@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars, signals, text
-from ..operators import anomaly, encodings, profiles, sequence, splits, velocity
+from ..operators import anomaly, dominance, encodings, profiles, sequence, splits, velocity
 from ..schema import DAY, EventSchema, feature_columns, text_columns
 from ..sources import cache, readers, sinks
 from ..sources.scratch import scratch_path
@@ -308,7 +308,7 @@ def _a32(s: SparkSession, d: str) -> DataFrame:
 
 @query("a35_v26_diversity", f"WITH {EVENTS}, d AS (SELECT event_id, count(DISTINCT user_id) OVER (PARTITION BY k ORDER BY t_us RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW) AS n FROM e) SELECT event_id, n AS users_3d, CAST(n > 3 AS INT) AS users_3d_high FROM d")
 def _a35(s: SparkSession, d: str) -> DataFrame:
-    return velocity.diversity(events(s, d), "k", "user_id", "t_us", 3 * DAY, "users_3d", 3, spread=True).select("event_id", "users_3d", "users_3d_high")
+    return velocity.diversity(events(s, d), "k", "user_id", "t_us", 3 * DAY, "users_3d", 3).select("event_id", "users_3d", "users_3d_high")
 
 
 _STACK = ", ".join(x for n, w in velocity.STACK.items() for x in (f"count(v) OVER w{n} AS user_id_{n}_count", f"round(coalesce(sum(v) OVER w{n}, 0), 2) AS user_id_{n}_sum", f"coalesce(max(v) OVER w{n}, 0) AS user_id_{n}_max"))
@@ -348,13 +348,15 @@ def _v17(s: SparkSession, d: str) -> DataFrame:
 
 @query("v23_ewma", f"WITH {EVENTS} SELECT user_id, round(list_reduce(list(value ORDER BY t_us, event_id), lambda a, x: 0.3 * x + 0.7 * a), 6) AS risk FROM e GROUP BY user_id")
 def _v23(s: SparkSession, d: str) -> DataFrame:
-    ordered = events(s, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t_us", "event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return ordered.select("user_id", r(sequence.ewma(F.col("v")), 6).alias("risk"))
+    return rounded(sequence.ewma(events(s, d), "user_id", "t_us", "event_id", "value", name="risk"), 6)
 
 
-@query("v22_percentile_90d", f"WITH {ORDERS} SELECT o_orderkey, round((SELECT avg(CAST(b.o_totalprice <= a.o_totalprice AS DOUBLE)) FROM (SELECT * FROM o c WHERE c.o_custkey = a.o_custkey AND (c.t_us < a.t_us OR (c.t_us = a.t_us AND c.o_orderkey < a.o_orderkey)) ORDER BY c.t_us DESC, c.o_orderkey DESC LIMIT 5) b), 6) AS amount_rank FROM o a")
+@query("v22_percentile_90d", f"""WITH {ORDERS}, n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY t_us, o_orderkey) AS rn FROM o),
+w AS (SELECT o_orderkey, o_totalprice, list((t_us, rn, o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY t_us RANGE BETWEEN {90 * DAY} PRECEDING AND CURRENT ROW) AS x, rn FROM n),
+p AS (SELECT o_orderkey, o_totalprice, list_filter(x, lambda y: y[2] < rn) AS x FROM w)
+SELECT o_orderkey, round(CASE WHEN len(x) > 0 THEN len(list_filter(x, lambda y: y[3] <= o_totalprice)) / len(x) END, 6) AS amount_rank_90d FROM p""")
 def _v22(s: SparkSession, d: str) -> DataFrame:
-    return rounded(sequence.amount_rank(orders(s, d), "o_custkey", "t_us", "o_orderkey", "o_totalprice", 5), 6, "o_orderkey", "amount_rank")
+    return rounded(dominance.window_rank(orders(s, d), "o_custkey", "t_us", "o_orderkey", "o_totalprice", 90 * DAY, "amount_rank_90d"), 6, "o_orderkey", "amount_rank_90d")
 
 
 @query("t1_time_order", f"WITH {EVENTS} SELECT event_id, row_number() OVER (ORDER BY t_us, event_id) AS place FROM e ORDER BY t_us, event_id LIMIT 50")

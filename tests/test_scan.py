@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import dominance, scan
+from ledgerlens.operators import dominance, profiles, scan, sequence, velocity
+from ledgerlens.schema import DAY
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +76,7 @@ def test_window_rank_matches_a_loop(hot, most):
 @pytest.mark.parametrize("most, inclusive", [(50, True), (10**6, True), (64, False)])
 def test_window_distinct_matches_a_loop(hot, most, inclusive):
     rows = [(r["id"], r["k"], r["t"], r["v"]) for r in hot.collect()]
-    out = dominance.window_distinct(hot, "k", "t", "id", F.col("v"), {"d20": 20, "d300": 300}, inclusive, most)
+    out = dominance.window_distinct(hot, "k", "t", F.col("v"), {"d20": 20, "d300": 300}, inclusive, most)
     got = {r["id"]: (r["d20"], r["d300"]) for r in out.collect()}
     assert out.columns == [*hot.columns, "d20", "d300"] and len(got) == len(rows)
     for i, k, t, _ in rows:
@@ -87,9 +88,44 @@ def test_window_distinct_of_a_wide_window(spark):
     """100,000 rows of one entity, all in one window: a row's answer costs a logarithm of that."""
     n = 100_000
     df = spark.range(n).select(F.col("id"), F.lit(1).alias("k"), F.col("id").alias("t"), F.pmod(F.xxhash64("id"), F.lit(5000)).alias("v"))
-    got = dominance.window_distinct(df, "k", "t", "id", F.col("v"), {"d": n}, most=20_000)
+    got = dominance.window_distinct(df, "k", "t", F.col("v"), {"d": n}, most=20_000)
     seen, want = set(), {}
     for r in df.orderBy("id").collect():
         seen.add(r["v"])
         want[r["id"]] = len(seen)
     assert {r["id"]: r["d"] for r in got.collect()} == want
+
+
+def test_operators_cut_hot_entities(spark):
+    """Every operator that runs along an entity gives the same rows whether its entities are cut into parts or not."""
+    rng = random.Random(11)
+    data = [(i, "hot" if i % 2 else rng.choice(["a", "b", None]), rng.randrange(120) * DAY // 4, float(rng.randrange(1, 40)), rng.choice("pqrs"), rng.uniform(-60, 60), rng.uniform(-90, 90)) for i in range(500)]
+    df = spark.createDataFrame(data, "id long, k string, t long, v double, c string, lat double, lon double")
+    base = sequence.cusum_baseline(df, "k", "t", "id", "v")
+    calls = {
+        "gap": lambda m: sequence.gap(df, "k", "t", "id", most=m), "rank": lambda m: sequence.amount_rank(df, "k", "t", "id", "v", 7, most=m), "seen": lambda m: sequence.first_seen(df, "k", "c", "t", "id", "new", most=m),
+        "geo": lambda m: sequence.geo_speed(df, "k", "t", "id", "lat", "lon", most=m), "since": lambda m: sequence.since_event(df, "k", "t", "id", F.col("c") == "p", "s", most=m),
+        "base": lambda m: sequence.cusum_baseline(df, "k", "t", "id", "v", most=m), "cusum": lambda m: sequence.cusum(df, base, "k", "t", "id", "v", k=0.1, h=1.0, split="c", most=m), "ewma": lambda m: sequence.ewma(df, "k", "t", "id", "v", most=m),
+        "gaps": lambda m: profiles.gap_stats(df, "k", "t", "id", most=m), "trajectory": lambda m: profiles.trajectory(df, "k", "t", "id", "v", most=m),
+        "share": lambda m: velocity.share_shift(df, "k", "t", "id", F.col("c") == "q", most=m), "recipient": lambda m: velocity.recipient_profile(df, "k", "c", "t", "v", most=m),
+        "diversity": lambda m: velocity.diversity(df, "k", "c", "t", 3 * DAY, "d", 2, most=m),
+    }
+    for name, call in calls.items():
+        plain, cut = call(10**6), call(30)
+        assert plain.columns == cut.columns and not any(c.startswith(("sc_", "sf_")) for c in cut.columns), name
+        same_rows(plain, cut, 7)
+
+
+def test_windows_over_stretches_match_loops(spark):
+    rng = random.Random(12)
+    data = [(i, rng.choice(["a", "b"]), rng.randrange(150) * DAY, float(rng.randrange(1, 9))) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, k string, t long, v double")
+    mean = lambda x: sum(x) / len(x) if x else None
+    got = {r["id"]: r for r in velocity.drift(velocity.share_shift(velocity.escalation(df, "k", "t", "v"), "k", "t", "id", F.col("v") > 4), "k", "t", "v").collect()}
+    for i, k, t, v in data:
+        own = [(s, x) for _, kk, s, x in data if kk == k]
+        part = lambda far, near: [x for s, x in own if t - far <= s <= t - near]
+        assert got[i]["escalation"] == pytest.approx(max(part(DAY, 0)) / max(mean(part(30 * DAY, 1)) or 1.0, 1.0)) and got[i]["vs_week_max"] == v / max(part(7 * DAY, 0))
+        assert got[i]["share_shift"] == pytest.approx(mean([x > 4 for x in part(7 * DAY, 0)]) - mean([x > 4 for s, x in own if s <= t]))
+        new, old = mean(part(30 * DAY, 1)), mean(part(90 * DAY, 60 * DAY))
+        assert got[i]["drift"] == (None if new is None or old is None else pytest.approx(new - old))

@@ -113,7 +113,7 @@ def test_hmm_of_long_entities(spark):
     df = spark.createDataFrame(rows, "row_id long, card long, t_us long, amount double")
     model = anomaly.GaussianHmm(3, 3)
     model.mean, model.var, model.start = np.array([[0.5, 0.5, 0.5], [1.5, 0.5, 0.5], [2.2, 0.5, 0.5]]), np.full((3, 3), 0.4), np.array([0.7, 0.2, 0.1])
-    got = {r["row_id"]: [r["hmm_p0"], r["hmm_p1"], r["hmm_p2"]] for r in anomaly.hmm_features(df, model, "card", "t_us", "row_id", "amount").collect()}
+    got = {r["row_id"]: [r["hmm_p0"], r["hmm_p1"], r["hmm_p2"]] for r in anomaly.hmm_features(df, model, "card", "t_us", "row_id", "amount", most=300, chunk=64, fan=3).collect()}
     assert len(got) == len(rows)
     for e, n in sizes.items():
         own = [r for r in rows if r[1] == e]
