@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import as_int
 from ..functions.text import campaign, tags
 
 METRICS = ("composite_score", "auprc_val", "auroc_val", "precision_at_recall_val", "auprc", "auroc", "composite_score_oot", "precision_at_recall", "psi", "auroc_train", "auroc_train_val_gap", "train_val_psi", "ci_width_val")
@@ -46,7 +47,15 @@ TECHNIQUES = {
     "window_velocity": ("vel_1h", "vel_24h", "vel_7d", "window_velocity", "rolling_count", "vel_60s", "vel_600s"),
     "rolling_terminal": ("term_fraud_28d", "rolling_term", "term_compromise", "rolling_fraud_rate"),
 }
-AMBITIOUS = ("campaign", "overhaul", "redesign", "new family")
+#: Keywords of ambitious techniques, and patterns of the advanced recipes.
+AMBITIOUS = (
+    "uid", "construct_uid", "card1_addr1", "window_velocity", "vel_1h", "vel_24h", "vel_7d", "vel_60s", "vel_600s", "rolling_term", "term_fraud_28d", "rolling_fraud_rate", "term_compromise", "fingerprint",
+    "von_mises", "von mises", "recipe 15", "recipe 16", "recipe 17", "recipe 18", "recipe 19", "recipe15", "recipe16", "recipe17", "recipe18", "recipe19",
+)
+RECIPES = {
+    "15 (UID)": r"recipe\s*15|construct_uid|\buid_\b|card1_addr1", "16 (window velocity)": r"recipe\s*16|window_velocity|vel_(?:1h|24h|7d|60s|600s)", "17 (rolling terminal)": r"recipe\s*17|rolling_term|term_fraud_28d|term_compromise",
+    "18 (fingerprint)": r"recipe\s*18|fingerprint", "19 (von Mises)": r"recipe\s*19|von[\s_]?mises",
+}
 
 
 def numbered(log: DataFrame) -> DataFrame:
@@ -93,26 +102,43 @@ def compare(log: DataFrame, a: str, b: str, metrics: list[str]) -> DataFrame:
     return long(x, "a").join(long(y, "b"), "metric", "full").withColumn("change", F.col("b") - F.col("a"))
 
 
-def ambition(log: DataFrame, n_features: str = "n_features") -> DataFrame:
-    """Adds the change of the feature count against the last known one and a tier: two signals of ambition (a keyword, eight
-    more features, an advanced recipe) make `ambitious`, one or four more features `moderate`."""
-    before = F.last(F.when(F.col(n_features) > 0, F.col(n_features)), ignorenulls=True).over(W.partitionBy("dataset").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    delta = F.coalesce(F.col(n_features) - before, F.lit(0))
-    low = F.lower(F.coalesce("hypothesis", F.lit("")))
-    signals = low.rlike("|".join(AMBITIOUS)).cast("int") + (F.abs(delta) >= 8).cast("int") + low.rlike("recipe 1[5-9]").cast("int")
-    tier = F.when(signals >= 2, "ambitious").when((signals == 1) | (F.abs(delta) >= 4), "moderate").otherwise("standard")
-    return log.withColumns({"feature_delta": delta, "ambition": tier})
+def feature_names(log: DataFrame) -> Column:
+    return F.coalesce(F.array_join(F.map_keys("top_features"), " "), F.lit("")) if "top_features" in log.columns else F.lit("")
 
 
-def ambition_report(log: DataFrame) -> DataFrame:
-    t = lambda x: F.avg((F.col("ambition") == x).cast("double")) * 100
-    return ambition(log).groupBy("dataset").agg(F.avg("feature_delta").alias("mean_delta"), F.max("feature_delta").alias("max_delta"), F.count_if(F.col("hypothesis").rlike("(?i)campaign")).alias("campaigns"), t("ambitious").alias("ambitious_pct"), t("moderate").alias("moderate_pct"), t("standard").alias("standard_pct"))
+def ambition(log: DataFrame, n_features: str = "n_features") -> DataFrame:
+    """Adds the growth of the feature count over the last known one (0 without one) and a tier from three signs: a keyword in
+    the hypothesis or a feature's name, growth by eight or more, an advanced recipe named in the hypothesis. Two signs are
+    `ambitious`; one, or growth by four to seven, is `moderate`."""
+    n = F.coalesce(F.col(n_features), F.lit(0))
+    before = F.last(F.when(n > 0, n), ignorenulls=True).over(W.partitionBy("dataset").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    growth = F.coalesce(n - before, F.lit(0))
+    hypothesis = F.lower(F.coalesce("hypothesis", F.lit("")))
+    words = F.concat_ws(" ", hypothesis, F.lower(feature_names(log)))
+    signs = as_int(words.rlike("|".join(AMBITIOUS))) + as_int(growth >= 8) + as_int(hypothesis.rlike(r"recipe\s*1[5-9]"))
+    tier = F.when(signs >= 2, "ambitious").when((signs == 1) | growth.between(4, 7), "moderate").otherwise("standard")
+    return log.withColumns({"feature_delta": growth, "ambition": tier})
+
+
+def ambition_report(log: DataFrame, recent: int = 30, n_features: str = "n_features") -> DataFrame:
+    """One row a dataset over its last `recent` records: mean and largest growth of the feature count (over records that know it
+    and have one before them), records of a campaign and distinct campaigns, how often each advanced recipe is named, and
+    the shares of the tiers in percent."""
+    rows = log.withColumn("ar_back", F.row_number().over(W.partitionBy("dataset").orderBy(F.desc("seq")))).where(F.col("ar_back") <= recent)
+    n = F.coalesce(F.col(n_features), F.lit(0))
+    known = F.when(n > 0, F.max(F.when(n > 0, 1)).over(W.partitionBy("dataset").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)))
+    rows = ambition(rows, n_features).withColumn("ar_growth", F.when(known.isNotNull(), F.col("feature_delta"))).withColumn("ar_campaign", F.lower(campaign(F.col("hypothesis"))["name"]))
+    share = lambda tier: F.avg((F.col("ambition") == tier).cast("double")) * 100
+    recipes = {f"recipe_{label[:2]}": F.count_if(F.coalesce("hypothesis", F.lit("")).rlike("(?i)" + pattern)) for label, pattern in RECIPES.items()}
+    return rows.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("ar_growth"), F.lit(0.0)).alias("mean_delta"), F.coalesce(F.max("ar_growth"), F.lit(0)).alias("max_delta"), F.count("ar_campaign").alias("tagged"),
+        F.count_distinct("ar_campaign").alias("campaigns"), *(x.alias(name) for name, x in recipes.items()), *(share(t).alias(f"{t}_pct") for t in ("ambitious", "moderate", "standard")),
+    )
 
 
 def techniques(log: DataFrame) -> Column:
     """The families that a record's hypothesis or the names of its top features tell."""
-    names = F.array_join(F.map_keys("top_features"), " ") if "top_features" in log.columns else F.lit("")
-    return tags(F.concat_ws(" ", F.coalesce("hypothesis", F.lit("")), F.coalesce(names, F.lit(""))), TECHNIQUES)
+    return tags(F.concat_ws(" ", F.coalesce("hypothesis", F.lit("")), feature_names(log)), TECHNIQUES)
 
 
 def technique_rates(log: DataFrame) -> DataFrame:

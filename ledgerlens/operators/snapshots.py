@@ -1,44 +1,47 @@
-"""Snapshots of experiments: a folder each, an append-only index, and a pointer to the best kept one."""
+"""Snapshots of experiments in a shared folder: a folder each, and an append-only index that tells the best kept one."""
 
 from __future__ import annotations
 
 import json
-import shutil
-from pathlib import Path
 from typing import Any
 
-from ..sources.sinks import append_record, clean
+from pyspark.sql import SparkSession
 
+from ..sources.shared_log import SharedFolder, SharedLog
+from ..sources.sinks import clean
 
-def folder_name(number: int, hypothesis: str) -> str:
-    """`exp_007_name`: letters, digits, `-`, `_` and spaces stay, at most 40 characters, lower case."""
-    name = "".join(c if c.isalnum() or c in "-_ " else "_" for c in hypothesis)[:40].lower().strip().replace(" ", "_")
-    return f"exp_{number:03d}_{name}"
 
+def folder_name(number: int, hypothesis: str, longest: int = 40) -> str:
+    """`exp_007_name`, the name by the rule of `text.sanitized`."""
+    kept = filter(lambda c: c.isalnum() or c in "-_ ", hypothesis)
+    words = "".join(kept).strip().split(" ")
+    return f"exp_{number:03d}_{'_'.join(words)[:longest].rstrip('_').lower()}"
 
-def history(root: str) -> list[dict[str, Any]]:
-    index = Path(root) / "index.jsonl"
-    return [json.loads(line) for line in index.read_text().splitlines() if line.strip()] if index.exists() else []
 
+def history(spark: SparkSession, root: str) -> list[dict[str, Any]]:
+    """The index records in the order of their numbers."""
+    return [json.loads(text) for text in SharedLog(spark, f"{root}/index").texts()]
 
-def save(root: str, dataset: str, hypothesis: str, status: str, metrics: dict[str, Any], code: list[str] | None = None, importances: dict[str, float] | None = None, top: int = 10, **more: Any) -> dict[str, Any]:
-    """Stores one run and returns its index record; a kept run becomes the best one."""
-    past = history(root)
-    number = 1 + max((int(r["id"].removeprefix("exp_")) for r in past), default=0)
-    name = folder_name(number, hypothesis)
-    folder = Path(root) / name
-    folder.mkdir(parents=True)
-    for path in code or []:
-        shutil.copy(path, folder)
+
+def save(spark: SparkSession, root: str, dataset: str, hypothesis: str, status: str, metrics: dict[str, Any], code: list[str] | None = None, importances: dict[str, float] | None = None, top: int = 10, **more: Any) -> dict[str, Any]:
+    """Stores one run in a shared folder and returns its index record; a kept run becomes the best one. Runs that are stored at
+    once get numbers of their own."""
+    files, made = SharedFolder(spark, root), {}
     best = sorted((importances or {}).items(), key=lambda x: (-x[1], x[0]))[:top]
-    record = clean({"id": f"exp_{number:03d}", "dir": name, "dataset": dataset, "hypothesis": hypothesis, "status": status, "seq": number, "parent_exp": best_kept(root), "metrics_summary": metrics, "top_features": dict(best), **more})
-    (folder / "metrics.json").write_text(json.dumps(clean(metrics), indent=1))
-    (folder / "metadata.json").write_text(json.dumps(record, indent=1))
-    append_record(str(Path(root) / "index.jsonl"), record)
-    if status == "keep":
-        (Path(root) / "best.json").write_text(json.dumps({"id": record["id"], "dir": name}))
-    (Path(root) / "summary.json").write_text(json.dumps(clean(summary([*past, record])), indent=1))
-    return record
+
+    def record(number: int) -> str:
+        name = folder_name(number, hypothesis)
+        made.update(clean({"id": f"exp_{number:03d}", "dir": name, "dataset": dataset, "hypothesis": hypothesis, "status": status, "seq": number, "parent_exp": best_kept(spark, root), "metrics_summary": metrics, "top_features": dict(best), **more}))
+        # the folder stands before the index tells of it
+        for path in code or []:
+            files.put(path, name)
+        files.write(f"{name}/metrics.json", json.dumps(clean(metrics), indent=1))
+        files.write(f"{name}/metadata.json", json.dumps(made, indent=1))
+        return json.dumps(made) + "\n"
+
+    SharedLog(spark, f"{root}/index").append(record)
+    files.write("summary.json", json.dumps(clean(summary(history(spark, root))), indent=1))
+    return made
 
 
 def summary(records: list[dict[str, Any]], metric: str = "composite_score") -> dict[str, dict[str, Any]]:
@@ -59,15 +62,16 @@ def summary(records: list[dict[str, Any]], metric: str = "composite_score") -> d
     return out
 
 
-def best_kept(root: str) -> str | None:
-    path = Path(root) / "best.json"
-    return json.loads(path.read_text())["id"] if path.exists() else None
+def best_kept(spark: SparkSession, root: str) -> str | None:
+    """The latest kept run, by the index."""
+    return next((r["id"] for r in reversed(history(spark, root)) if r["status"] == "keep"), None)
 
 
-def restore(root: str, experiment: str, into: str) -> list[str]:
-    """Copies an experiment's stored code files and returns their names."""
-    folder = next(Path(root) / r["dir"] for r in history(root) if r["id"] == experiment)
-    files = [p for p in folder.iterdir() if p.name not in ("metrics.json", "metadata.json")]
-    for p in files:
-        shutil.copy(p, into)
-    return sorted(p.name for p in files)
+def restore(spark: SparkSession, root: str, experiment: str, into: str) -> list[str]:
+    """Copies an experiment's stored code files to a local folder and returns their names."""
+    files = SharedFolder(spark, root)
+    folder = next(r["dir"] for r in history(spark, root) if r["id"] == experiment)
+    names = [n for n in files.names(folder) if n not in ("metrics.json", "metadata.json") and not n.startswith(".")]
+    for n in names:
+        files.fetch(f"{folder}/{n}", into)
+    return names

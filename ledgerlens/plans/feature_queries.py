@@ -35,9 +35,12 @@ def _s2(s: SparkSession, d: str) -> DataFrame:
 
 @query("s3_s10_tsv", "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation")
 def _s3(s: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(s, "tsv")
-    read(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.csv(path, header=True, sep="\t")
-    return readers.read_tsv(s, path, "n_nationkey int, n_name string, n_regionkey int")
+    """A table of 25 rows by definition, appended to a log one record at a time, in parts."""
+    path, fields = scratch_path(s, "tsv"), ["n_nationkey", "n_name", "n_regionkey"]
+    for row in read(s, d, "nation").select(*fields).collect():
+        sinks.append_tsv(s, path, fields, row.asDict())
+    return readers.read_tsv(s, f"{path}/records", "n_nationkey int, n_name string, n_regionkey int")
+
 
 
 @query("s4_s9_x19_json_lines", f"WITH {EVENTS} SELECT event_id, CASE WHEN k % 5 > 1 THEN round(value / 3, 6) END AS x FROM e")
@@ -79,11 +82,13 @@ def _p9(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(c, int(c in few), int(c in null)) for c in df.columns], "`column` string, uninformative int, mostly_null int")
 
 
-@query("p11_p12_features", "SELECT 'user_id' AS name, 'feature' AS kind UNION ALL SELECT 'event_type', 'feature' UNION ALL SELECT 'k', 'feature' UNION ALL SELECT 'value', 'feature' UNION ALL SELECT 'event_type', 'text'")
+@query("p11_p12_features", f"WITH {SPLIT} SELECT event_id, user_id AS feature_user_id, event_type AS feature_event_type, value AS feature_value, k AS feature_k, event_type AS texts FROM s")
 def _p11(s: SparkSession, d: str) -> DataFrame:
+    """The rows by the columns that are features (all but the reserved ones), and by those that are texts."""
     df = split_events(s, d)
     names = feature_columns(df, EventSchema("event_id", "t_us", "value", "label"))
-    return s.createDataFrame([(c, "feature") for c in names] + [(c, "text") for c in text_columns(df, without=("split",))], "name string, kind string")
+    return df.select("event_id", *(F.col(c).alias(f"feature_{c}") for c in names), F.concat_ws("|", *text_columns(df, without=("split",))).alias("texts"))
+
 
 
 @query("p13_p15_fill_clip", f"WITH {EVENTS} SELECT event_id, CASE WHEN k % 7 = 0 THEN -1.0 ELSE value END AS filled, CASE WHEN k % 7 <> 0 THEN least(greatest(value, 20.0), 80.0) END AS clipped FROM e")
@@ -193,33 +198,46 @@ def _f25(s: SparkSession, d: str) -> DataFrame:
     return profiles.high_rate_flag(df, df.where("split = 'train'"), "u_1d_count").select("event_id", "is_high_velocity")
 
 
-@query("f28_strings", r"WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN md5(url) WHEN 2 THEN CAST(page_id + 12345 AS VARCHAR) ELSE 'aB' || page_id || '-+' END AS u FROM pages) SELECT page_id, length(u) AS length, round(len(regexp_extract_all(u, '[0-9]')) / length(u), 6) AS digit_ratio, round(len(regexp_extract_all(u, '[A-Z]')) / length(u), 6) AS upper_ratio, round(len(regexp_extract_all(u, '[^A-Za-z0-9]')) / length(u), 6) AS special_ratio, CAST(contains(u, '+') AS INT) AS has_plus, CAST(regexp_matches(u, '^[0-9]') AS INT) AS starts_digit, CAST(regexp_matches(u, '^[0-9]+$') AS INT) AS all_digits, CAST(regexp_matches(u, '^[0-9a-fA-F]{8,}$') AS INT) AS hex_like, CAST(regexp_matches(u, '^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$') AS INT) AS uuid_like, CAST(regexp_matches(u, '012|123|234|345|456|567|678|789|abc|bcd|cde') AS INT) AS sequential FROM x")
+@query("f28_strings", r"WITH x AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN md5(url) WHEN 2 THEN CAST(page_id + 12345 AS VARCHAR) WHEN 3 THEN left(md5(url), 8) || '-' || left(md5(url), 9) WHEN 4 THEN '' WHEN 5 THEN 'É٣xYz' || page_id ELSE 'aB' || page_id || '-+C' END AS u FROM pages) SELECT page_id, length(u) AS length, round(len(regexp_extract_all(u, '\p{Nd}')) / greatest(length(u), 1), 6) AS digit_ratio, round(len(regexp_extract_all(u, '\p{Lu}')) / greatest(length(u), 1), 6) AS upper_ratio, round(len(regexp_extract_all(u, '[^\p{L}\p{N}]')) / greatest(length(u), 1), 6) AS special_ratio, CAST(contains(u, '+') AS INT) AS has_plus, CAST(regexp_matches(u, '^\p{Nd}') AS INT) AS starts_digit, CAST(regexp_matches(u, '^\p{Nd}+$') AS INT) AS all_digits, CAST(regexp_matches(u, '^[0-9a-fA-F]{8,}$') AS INT) AS hex_like, CAST(regexp_matches(u, '^[0-9a-f]{8}-?[0-9a-f]{4}') AS INT) AS uuid_like, CAST(contains(lower(u), 'abc') OR contains(lower(u), '123') OR contains(lower(u), 'xyz') AS INT) AS sequential FROM x")
 def _f28(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id") % 4
-    u = F.when(k == 0, F.col("url")).when(k == 1, F.md5("url")).when(k == 2, (F.col("page_id") + 12345).cast("string")).otherwise(F.concat(F.lit("aB"), F.col("page_id").cast("string"), F.lit("-+")))
+    k, page = F.col("page_id") % 7, F.col("page_id").cast("string")
+    u = F.when(k == 0, F.col("url")).when(k == 1, F.md5("url")).when(k == 2, (F.col("page_id") + 12345).cast("string")).when(k == 3, F.concat(F.left(F.md5("url"), F.lit(8)), F.lit("-"), F.left(F.md5("url"), F.lit(9))))
+    u = u.when(k == 4, "").when(k == 5, F.concat(F.lit("É٣xYz"), page)).otherwise(F.concat(F.lit("aB"), page, F.lit("-+C")))
     df = read(s, d, "pages").select("page_id", u.alias("u"))
     return rounded(df.select("page_id", *(c.alias(n) for n, c in text.composition(F.col("u")).items())), 6)
 
 
-_MAIL = "m AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'mailinator.com' WHEN 2 THEN 'shop24.example.xyz' ELSE 'mail.co.uk' END AS dom, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'person' END || c_custkey AS loc FROM customer)"
+# every member of every list in turn, in several positions
+_FREE = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "aol.com", "protonmail.com", "mail.com"]
+_THROWN = ["mailinator.com", "guerrillamail.com", "tempmail.com", "throwaway.email", "yopmail.com", "10minutemail.com"]
+_ENDS = [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz", ".click", ".link", ".download", ".loan", ".work"]
+_BAD = ["temp", "burner", "trash", "spam", "fake", "anon", "test", "noreply", "dummy", "void", "null", "drop"]
+_DOMAINS = [*_FREE, *_THROWN, *(f"shop{i}.a{x}" for i, x in enumerate(_ENDS)), "x.mail.com", "a.b.example", "9to5.com", "mailtk", "", "top.top"]
+_LOCALS = [*_BAD, *(f"a{w.upper()}9" for w in _BAD), "person", "p.q-r", "", "ann+shop"]
+_MAIL = f"m AS (SELECT c_custkey, ({_DOMAINS!r})[c_custkey % {len(_DOMAINS)} + 1] AS dom, ({_LOCALS!r})[c_custkey % {len(_LOCALS)} + 1] AS loc FROM customer), k AS (SELECT *, len(list_filter({_ENDS!r}, lambda x: suffix(dom, x))) > 0 AS risky, len(list_filter({_BAD!r}, lambda x: contains(lower(loc), x))) > 0 AS bad FROM m)"
 
 
-@query("f29_email_all", rf"WITH {_MAIL} SELECT c_custkey, loc AS email_local, dom AS email_domain, CAST(dom = 'gmail.com' AS INT) AS is_freemail, CAST(dom = 'mailinator.com' AS INT) AS is_disposable, CAST(dom LIKE '%.xyz' AS INT) AS risky_tld, len(regexp_extract_all(dom, '[0-9]')) AS domain_digits, len(regexp_extract_all(dom, '\.')) AS domain_depth, CAST(loc LIKE 'test%' AS INT) AS suspicious FROM m")
+@query("f29_email_all", rf"WITH {_MAIL} SELECT c_custkey, loc AS email_local, dom AS email_domain, CAST(list_contains({_FREE!r}, dom) AS INT) AS is_freemail, CAST(list_contains({_THROWN!r}, dom) OR risky AS INT) AS is_disposable, CAST(NOT list_contains({_FREE!r}, dom) AND NOT (list_contains({_THROWN!r}, dom) OR risky) AS INT) AS is_custom_domain, CAST(risky AS INT) AS risky_tld, CAST(regexp_matches(string_split(dom, '.')[1], '\d') AS INT) AS domain_has_digits, len(regexp_extract_all(dom, '\.')) AS domain_depth, CAST(bad AS INT) AS suspicious FROM k")
 def _f29(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    domain = F.when(k % 4 == 0, "gmail.com").when(k % 4 == 1, "mailinator.com").when(k % 4 == 2, "Shop24.example.XYZ").otherwise("mail.co.uk")
-    email = F.concat(F.when(k % 5 == 0, "test").otherwise("Person"), k.cast("string"), F.lit("@"), domain)
+    pick = lambda of: F.get(F.array(*map(F.lit, of)), F.col("c_custkey") % len(of))
+    email = F.when(pick(_DOMAINS) == "", pick(_LOCALS)).otherwise(F.concat(pick(_LOCALS), F.lit("@"), pick(_DOMAINS)))
     return read(s, d, "customer").select("c_custkey", *(c.alias(n) for n, c in text.email_features(email).items()))
 
 
-@query("f31_f32_f33_signals_all", f"WITH {EVENTS}, x AS (SELECT *, CASE WHEN k % 4 = 0 THEN 1.0 ELSE k / 100.0 END AS bat, k % 3 = 0 AS chg, event_type = 'error' AS dbg, k % 5 = 0 AS hl, CASE WHEN k % 2 = 0 THEN 350.0 ELSE 10.0 END AS skew, (k % 2) AS n1, CAST(k % 3 = 0 AS INT) AS n2, CAST(k % 4 = 0 AS INT) AS n3, k % 60 AS age FROM e), y AS (SELECT *, (CAST(bat = 1 AND chg AS INT) + CAST(dbg AS INT) + CAST(hl AS INT)) / 3.0 AS emu, CASE WHEN n1 + n2 + n3 = 3 THEN 1 ELSE 0 END AS alln FROM x) SELECT event_id, CAST(bat = 1 AND chg AS INT) AS battery_full, round(emu, 6) AS emulator_score, skew AS clock_skew, CASE WHEN skew <= 30 THEN 0 ELSE 3 END AS skew_bucket, round(0.3 * emu + 0.3 * CAST(hl AS INT) + 0.2 * CAST(dbg AS INT) + 0.2 * CAST(skew > 300 AS INT), 6) AS device_risk, CAST(value < 3 AS INT) AS fill_fast, CAST(value > 600 AS INT) AS fill_slow, round((k % 4) / nullif(k % 7, 0), 6) AS paste_ratio, round(k / nullif(k % 9, 0), 6) AS actions_per_minute, round((3 - n1 - n2 - n3) / 3.0, 6) AS known_ratio, alln AS all_new, CAST(age < 30 AS INT) AS new_account, CAST(age < 30 AND value > 2 * 40 AS INT) AS new_account_large, CAST(age < 30 AS INT) * alln AS new_account_all_new FROM y")
+@query("f31_f32_f33_signals_all", f"""WITH {EVENTS}, x AS (SELECT *, CASE k % 6 WHEN 0 THEN 100 WHEN 1 THEN -1 WHEN 2 THEN NULL ELSE k END AS bat, CASE WHEN k % 7 <> 0 THEN k % 3 = 0 END AS chg, event_type = 'error' AS dbg, k % 5 = 0 AS hl, k * 25.0 - 100 AS diff, k % 60 AS age, k % 2 = 0 AS n1, k % 3 = 0 AS n2, k % 4 = 0 AS n3 FROM e),
+y AS (SELECT *, bat IS NULL OR bat = -1 AS missing, coalesce(bat = 100 AND chg, false) AS full_, abs(diff) AS skew, (3 - CAST(n1 AS INT) - CAST(n2 AS INT) - CAST(n3 AS INT)) / 3.0 AS known FROM x)
+SELECT event_id, CAST(missing AS INT) AS battery_missing, CAST(coalesce(bat, -1) % 10 = 0 AS INT) AS battery_round, CAST(full_ AS INT) AS battery_full, CAST(missing OR full_ AS INT) AS emulator_score, CAST(missing OR full_ OR hl AS INT) AS emulator_detected, skew AS clock_skew,
+  CASE WHEN skew <= 30 THEN 0 WHEN skew <= 120 THEN 1 WHEN skew <= 300 THEN 2 WHEN skew <= 900 THEN 3 ELSE 4 END AS skew_bucket, round(0.3 * CAST(missing OR full_ AS INT) + 0.3 * CAST(dbg AS INT) + 0.2 * CAST(hl AS INT) + 0.2 * CAST(skew > 300 AS INT), 6) AS device_risk,
+  CAST(value < 3 AS INT) AS fill_fast, CAST(value > 600 AS INT) AS fill_slow, round((k % 4) / nullif(k % 7, 0), 6) AS paste_ratio, round(k / greatest(k % 9 * 30 / 60.0, 1), 6) AS actions_per_minute, k % 11 - 1 AS pages_before,
+  round(known, 6) AS known_ratio, CAST(n1 AND n2 AND n3 AS INT) AS all_new, round((1 - known) * value / 100, 6) AS stability_x_deviation, round((CAST(n1 AS INT) + CAST(n2 AS INT) + CAST(n3 AS INT)) / 3.0, 6) AS triple_novelty, round(CASE WHEN age < 30 THEN value ELSE 0 END, 6) AS new_account_x_amount, CAST(age < 30 AND hl AS INT) AS new_account_x_shared_device FROM y""")
 def _f31(s: SparkSession, d: str) -> DataFrame:
     k, v = F.col("k"), F.col("value")
-    skewed = F.when(k % 2 == 0, 350.0).otherwise(10.0)
-    made = signals.device_risk(F.when(k % 4 == 0, 1.0).otherwise(k / 100.0), k % 3 == 0, F.col("event_type") == "error", k % 5 == 0, F.lit(0.0), skewed)
-    made |= signals.session_features(v, k % 4, k % 7, k, k % 9)
-    known = signals.familiarity((k % 2) == 1, k % 3 == 0, k % 4 == 0)
-    made |= known | signals.new_account_flags(k % 60, v, F.lit(40.0), known["all_new"])
+    battery, charging = F.when(k % 6 == 0, 100).when(k % 6 == 1, -1).when(k % 6 > 2, k), F.when(k % 7 != 0, k % 3 == 0)
+    made = signals.device_risk(battery, charging, F.col("event_type") == "error", k % 5 == 0, k * 25.0, F.lit(100.0))
+    made |= signals.session_features(v, k % 4, k % 7, k, (k % 9) * 30 / 60, k % 11)
+    new = (k % 2 == 0, k % 3 == 0, k % 4 == 0)
+    known = signals.familiarity(*new)
+    made |= known | signals.cross_layer(known["known_ratio"], v / 100, *new, k % 60, v, k % 5 == 0)
     return rounded(events(s, d).select("event_id", *(c.alias(n) for n, c in made.items())), 6)
 
 

@@ -127,9 +127,13 @@ def _x6(s: SparkSession, d: str) -> DataFrame:
     return rounded(experiments.compare(one, "exp_002", "exp_003", ["score", "n_features"]), 6)
 
 
-@query("x8_ambition_report", f"WITH {_LOG}, p AS (SELECT *, CAST(n_features - coalesce(lag(n_features) OVER (PARTITION BY dataset ORDER BY seq), n_features) AS BIGINT) AS delta FROM lg), h AS (SELECT *, CAST(regexp_matches(lower(hypothesis), 'campaign|overhaul|redesign|new family') AS INT) + CAST(abs(delta) >= 8 AS INT) + CAST(regexp_matches(lower(hypothesis), 'recipe 1[5-9]') AS INT) AS n FROM p), a AS (SELECT *, CASE WHEN n >= 2 THEN 'ambitious' WHEN n = 1 OR abs(delta) >= 4 THEN 'moderate' ELSE 'standard' END AS t FROM h) SELECT dataset, round(avg(delta), 6) AS mean_delta, max(delta) AS max_delta, count(*) FILTER (regexp_matches(lower(hypothesis), 'campaign')) AS campaigns, " + ", ".join(f"round(avg(CASE WHEN t = '{t}' THEN 1.0 ELSE 0 END) * 100, 6) AS {t}_pct" for t in ("ambitious", "moderate", "standard")) + " FROM a GROUP BY dataset")
+_RECIPE = {"15": r"recipe\s*15|construct_uid|\buid_\b|card1_addr1", "16": r"recipe\s*16|window_velocity|vel_(1h|24h|7d|60s|600s)", "17": r"recipe\s*17|rolling_term|term_fraud_28d|term_compromise", "18": r"recipe\s*18|fingerprint", "19": r"recipe\s*19|von[\s_]?mises"}
+
+
+@query("x8_ambition_report", f"WITH {base._AMBITION.replace('{recent}', 'rc AS (SELECT * FROM b WHERE back <= 30),')}, c AS (SELECT *, lower(nullif(regexp_extract(coalesce(hypothesis, ''), '([\\w-]+)\\s*(?i:campaign\\s+step)\\s*(\\d+)\\s*(?:/|of)\\s*(\\d+)', 1), '')) AS camp FROM y) SELECT dataset, count(*) AS records, round(coalesce(avg(delta) FILTER (prev IS NOT NULL AND n0 > 0), 0), 6) AS mean_delta, CAST(coalesce(max(delta) FILTER (prev IS NOT NULL AND n0 > 0), 0) AS BIGINT) AS max_delta, count(camp) AS tagged, count(DISTINCT camp) AS campaigns, " + ", ".join(f"count(*) FILTER (regexp_matches(coalesce(hypothesis, ''), '(?i){x}')) AS recipe_{n}" for n, x in _RECIPE.items()) + ", " + ", ".join(f"round(avg(CASE WHEN tier = '{t}' THEN 1.0 ELSE 0 END) * 100, 6) AS {t}_pct" for t in ("ambitious", "moderate", "standard")) + " FROM c GROUP BY dataset")
 def _x8(s: SparkSession, d: str) -> DataFrame:
-    return rounded(experiments.ambition_report(log(s, d)), 6)
+    return rounded(experiments.ambition_report(base.ambition_log(s, d)), 6)
+
 
 
 _FIRST = [words[0] for words in TECHNIQUES.values()]

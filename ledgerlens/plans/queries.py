@@ -172,31 +172,43 @@ def _f27(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "part").select("p_partkey", r(text.entropy(F.col("p_name"))).alias("entropy"))
 
 
-@query("f28_composition", r"SELECT page_id, length(url) AS length, round(len(regexp_extract_all(url, '[0-9]')) / length(url), 6) AS digit_ratio, round(len(regexp_extract_all(url, '[A-Z]')) / length(url), 6) AS upper_ratio, CASE WHEN contains(url, '+') THEN 1 ELSE 0 END AS has_plus, CASE WHEN regexp_matches(url, '^[0-9]') THEN 1 ELSE 0 END AS starts_digit FROM pages")
+@query("f28_composition", r"SELECT page_id, length(url) AS length, round(len(regexp_extract_all(url, '\p{Nd}')) / greatest(length(url), 1), 6) AS digit_ratio, round(len(regexp_extract_all(url, '\p{Lu}')) / greatest(length(url), 1), 6) AS upper_ratio, CASE WHEN contains(url, '+') THEN 1 ELSE 0 END AS has_plus, CASE WHEN regexp_matches(url, '^\p{Nd}') THEN 1 ELSE 0 END AS starts_digit FROM pages")
 def _f28(s: SparkSession, d: str) -> DataFrame:
     c = text.composition(F.col("url"))
     return rounded(read(s, d, "pages").select("page_id", *(c[n].alias(n) for n in ("length", "digit_ratio", "upper_ratio", "has_plus", "starts_digit"))), 6)
 
 
-@query("f29_f30_email", "WITH m AS (SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@' || lower(c_mktsegment) || CASE WHEN c_custkey % 3 = 0 THEN '.xyz' ELSE '.mail.com' END AS email, c_name FROM customer) SELECT c_custkey, split_part(email, '@', 2) AS domain, CASE WHEN split_part(split_part(email, '@', 2), '.', -1) IN ('xyz','top','click','loan','tk','ml','ga','cf','gq') THEN 1 ELSE 0 END AS risky_tld, len(regexp_extract_all(split_part(email, '@', 2), '\\.')) AS depth, round(levenshtein('customer', split_part(email, '@', 1)) / greatest(8, length(split_part(email, '@', 1))), 6) AS coherence FROM m")
+
+# names with blanks, dashes and no parts; local parts with and without a part of the name
+@query("f29_f30_email", """WITH m AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Ann-Marie  Customer' WHEN 1 THEN c_name WHEN 2 THEN '' WHEN 3 THEN '  -  ' WHEN 4 THEN 'JO ' || c_mktsegment END AS name,
+  CASE c_custkey % 5 WHEN 0 THEN 'ann.marie' || c_custkey WHEN 1 THEN lower(c_mktsegment) || '.jo' WHEN 2 THEN c_name WHEN 3 THEN '' ELSE 'Customer' || c_custkey END AS loc FROM customer),
+n AS (SELECT *, list_filter(regexp_split_to_array(replace(lower(name), '-', ' '), '\\s+'), lambda x: x <> '') AS parts, list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '') AS words FROM m)
+SELECT c_custkey, loc AS email_local, round(coalesce(list_min(list_transform(parts, lambda x: levenshtein(lower(loc), x))), CASE WHEN name IS NOT NULL THEN 999 END) / greatest(length(loc), 1), 6) AS coherence,
+  CAST(coalesce(len(list_filter(words, lambda x: contains(lower(loc), x))) > 0, false) AS INT) AS name_in_email FROM n""")
 def _f29(s: SparkSession, d: str) -> DataFrame:
-    email = F.concat(F.lower(F.translate("c_name", "#", ".")), F.lit("@"), F.lower("c_mktsegment"), F.when(F.col("c_custkey") % 3 == 0, ".xyz").otherwise(".mail.com"))
-    df = read(s, d, "customer").withColumn("email", email)
-    e = text.email_features(F.col("email"))
-    return df.select("c_custkey", e["email_domain"].alias("domain"), e["risky_tld"].alias("risky_tld"), e["domain_depth"].alias("depth"), r(text.name_coherence(F.col("c_name"), e["email_local"]), 6).alias("coherence"))
+    k, local = F.col("c_custkey"), F.col("email_local")
+    name = F.when(k % 6 == 0, "Ann-Marie  Customer").when(k % 6 == 1, F.col("c_name")).when(k % 6 == 2, "").when(k % 6 == 3, "  -  ").when(k % 6 == 4, F.concat(F.lit("JO "), "c_mktsegment"))
+    loc = F.when(k % 5 == 0, F.concat(F.lit("ann.marie"), k.cast("string"))).when(k % 5 == 1, F.concat(F.lower("c_mktsegment"), F.lit(".jo"))).when(k % 5 == 2, F.col("c_name")).when(k % 5 == 3, "").otherwise(F.concat(F.lit("Customer"), k.cast("string")))
+    df = read(s, d, "customer").select("c_custkey", name.alias("name"), text.email_features(F.concat(loc, F.lit("@mail.example")))["email_local"].alias("email_local"))
+    return df.select("c_custkey", "email_local", r(text.name_coherence(F.col("name"), local), 6).alias("coherence"), text.name_in_email(F.col("name"), local).alias("name_in_email"))
+
 
 
-@query("f35_f38_names", r"SELECT page_id, lower(substr(regexp_replace(url, '[^A-Za-z0-9_ -]', '_', 'g'), 1, 40)) AS name, substr(sha256(url), 1, 16) AS hash FROM pages")
+@query("f35_f38_names", r"WITH x AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '  Try: ' || url || ' (again)! ' WHEN 2 THEN 'é ' || repeat('ab _', page_id % 12) || '__' ELSE '!?' END AS s FROM pages) SELECT page_id, lower(rtrim(left(replace(trim(regexp_replace(s, '[^\p{L}\p{N}_ -]', '', 'g')), ' ', '_'), 40), '_')) AS name, substr(sha256(url), 1, 16) AS hash FROM x")
 def _f35(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "pages").select("page_id", text.sanitized(F.col("url")).alias("name"), text.content_hash(F.col("url")).alias("hash"))
+    k = F.col("page_id")
+    some = F.when(k % 4 == 0, F.col("url")).when(k % 4 == 1, F.concat(F.lit("  Try: "), "url", F.lit(" (again)! "))).when(k % 4 == 2, F.concat(F.lit("é "), F.expr("repeat('ab _', cast(page_id % 12 as int))"), F.lit("__"))).otherwise("!?")
+    return read(s, d, "pages").select("page_id", text.sanitized(some).alias("name"), text.content_hash(F.col("url")).alias("hash"))
+
 
 
-@query("f31_f33_signals", "SELECT event_id, round(0.3 * (CASE WHEN value = 1 THEN 1 ELSE 0 END + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + CASE WHEN value > 100 THEN 1 ELSE 0 END) / 3.0 + 0.3 * CASE WHEN value > 100 THEN 1 ELSE 0 END + 0.2 * CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + 0.2 * CASE WHEN abs(value - 50) > 300 THEN 1 ELSE 0 END, 6) AS device_risk, CASE WHEN value < 3 THEN 1 ELSE 0 END AS fill_fast FROM events")
+@query("f31_f33_signals", "SELECT event_id, round(0.3 * CASE WHEN value = 100 THEN 1 ELSE 0 END + 0.3 * CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + 0.2 * CASE WHEN value > 100 THEN 1 ELSE 0 END + 0.2 * CASE WHEN abs(value - 50) > 300 THEN 1 ELSE 0 END, 6) AS device_risk, CASE WHEN value < 3 THEN 1 ELSE 0 END AS fill_fast FROM events")
 def _f31(s: SparkSession, d: str) -> DataFrame:
     risk_ = signals.device_risk(F.col("value"), F.lit(True), F.col("event_type") == "error", F.col("value") > 100, F.col("value"), F.lit(50.0))
     return read(s, d, "events").select("event_id", r(risk_["device_risk"], 6).alias("device_risk"), signals.session_features(F.col("value"), F.lit(0), F.lit(1), F.lit(1), F.lit(1))["fill_fast"].alias("fill_fast"))
 
 
+
 # --- profiles ---
 
 
@@ -649,9 +661,29 @@ def _x5(s: SparkSession, d: str) -> DataFrame:
     return experiments.dataset_summary(log(s, d), "score")
 
 
-@query("x7_ambition", f"WITH {_LOG}, p AS (SELECT *, CAST(n_features - coalesce(lag(n_features) OVER (PARTITION BY dataset ORDER BY seq), n_features) AS BIGINT) AS delta FROM lg), tiers AS (SELECT *, CAST(regexp_matches(lower(hypothesis), 'campaign|overhaul|redesign|new family') AS INT) + CAST(abs(delta) >= 8 AS INT) + CAST(regexp_matches(lower(hypothesis), 'recipe 1[5-9]') AS INT) AS n FROM p) SELECT dataset, seq, delta AS feature_delta, CASE WHEN n >= 2 THEN 'ambitious' WHEN n = 1 OR abs(delta) >= 4 THEN 'moderate' ELSE 'standard' END AS ambition FROM tiers")
+# every keyword in turn in a hypothesis or a feature's name, recipes in several spellings, growth up and down, unknown counts
+_WORDS = ["uid", "construct_uid", "card1_addr1", "window_velocity", "vel_1h", "vel_24h", "vel_7d", "vel_60s", "vel_600s", "rolling_term", "term_fraud_28d", "rolling_fraud_rate", "term_compromise", "fingerprint", "von_mises", "Von Mises", "recipe 15", "recipe16", "RECIPE  17", "recipe 18 and recipe 19", "recipe18", "recipe 14", "hour of day", "Term campaign step 2/5", "big-one campaign step 1 of 3, uid_ x"]
+_AMBITION = _LOG + f""", a AS (SELECT dataset, seq, CASE WHEN seq % 9 <> 0 THEN 'try ' || ({_WORDS!r})[(seq * 7) % {len(_WORDS)} + 1] END AS hypothesis, [({_WORDS!r})[(seq * 11) % {len(_WORDS)} + 1], 'plain'] AS names, CASE WHEN seq % 8 = 3 THEN 0 WHEN seq % 8 <> 5 THEN n_features END AS n FROM lg),
+b AS (SELECT *, coalesce(n, 0) AS n0, row_number() OVER (PARTITION BY dataset ORDER BY seq DESC) AS back FROM a),
+{{recent}}
+p AS (SELECT *, last_value(nullif(n0, 0) IGNORE NULLS) OVER (PARTITION BY dataset ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, lower(coalesce(hypothesis, '')) AS h FROM rc),
+q AS (SELECT *, CASE WHEN prev IS NULL THEN 0 ELSE n0 - prev END AS delta, h || ' ' || lower(names[1] || ' ' || names[2]) AS txt FROM p),
+z AS (SELECT *, CAST({' OR '.join(f"contains(txt, '{w}')" for w in ('uid', 'card1_addr1', 'window_velocity', 'vel_1h', 'vel_24h', 'vel_7d', 'vel_60s', 'vel_600s', 'rolling_term', 'term_fraud_28d', 'rolling_fraud_rate', 'term_compromise', 'fingerprint', 'von_mises', 'von mises', 'recipe 15', 'recipe 16', 'recipe 17', 'recipe 18', 'recipe 19', 'recipe15', 'recipe16', 'recipe17', 'recipe18', 'recipe19'))} AS INT)
+  + CAST(delta >= 8 AS INT) + CAST(regexp_matches(h, 'recipe\\s*1[5-9]') AS INT) AS signs FROM q),
+y AS (SELECT *, CASE WHEN signs >= 2 THEN 'ambitious' WHEN signs = 1 OR (delta >= 4 AND delta < 8) THEN 'moderate' ELSE 'standard' END AS tier FROM z)"""
+
+
+def ambition_log(s: SparkSession, d: str) -> DataFrame:
+    seq, words = F.col("seq"), F.array(*map(F.lit, _WORDS))
+    one = lambda by: F.get(words, (seq * by) % len(_WORDS))
+    n = F.when(seq % 8 == 3, 0).when(seq % 8 != 5, F.col("n_features"))
+    return log(s, d).select("dataset", "seq", F.when(seq % 9 != 0, F.concat(F.lit("try "), one(7))).alias("hypothesis"), F.map_from_arrays(F.array(one(11), F.lit("plain")), F.array(F.lit(0.5), F.lit(0.1))).alias("top_features"), n.alias("n_features"))
+
+
+@query("x7_ambition", f"WITH {_AMBITION.replace('{recent}', 'rc AS (SELECT * FROM b),')} SELECT dataset, seq, delta AS feature_delta, tier AS ambition FROM y")
 def _x7(s: SparkSession, d: str) -> DataFrame:
-    return experiments.ambition(log(s, d)).select("dataset", "seq", "feature_delta", "ambition")
+    return experiments.ambition(ambition_log(s, d)).select("dataset", "seq", "feature_delta", "ambition")
+
 
 
 @query("x9_technique_rates", f"WITH {_LOG}, t AS (SELECT status, CASE WHEN contains(lower(hypothesis), 'velocity') THEN 'velocity' ELSE 'other' END AS technique FROM lg WHERE status <> 'crash') SELECT technique, count(*) FILTER (status = 'keep') AS keeps, count(*) FILTER (status <> 'keep') AS discards, round(count(*) FILTER (status = 'keep') / count(*), 6) AS rate FROM t GROUP BY technique")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import math
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared_log import SharedLog
+
 
 def write_splits(df: DataFrame, folder: str, prefix: str) -> None:
     for split in ("train", "val", "oot"):
@@ -45,15 +46,12 @@ def clean(value: Any, digits: int = 6) -> Any:
     return value
 
 
-def append_record(path: str, record: dict[str, Any]) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a") as f:
-        f.write(json.dumps(clean(record)) + "\n")
+def append_record(spark: SparkSession, folder: str, record: dict[str, Any]) -> int:
+    """Adds a record to the log in a shared folder; returns its number. `readers.read_log` reads `folder/records`."""
+    return SharedLog(spark, folder).append(lambda _: json.dumps(clean(record)) + "\n")
 
 
-def append_tsv(path: str, fields: list[str], record: dict[str, Any]) -> None:
-    new = not Path(path).exists()
-    with open(path, "a") as f:
-        if new:
-            f.write("\t".join(fields) + "\n")
-        f.write("\t".join(str(record.get(k, "")) for k in fields) + "\n")
+def append_tsv(spark: SparkSession, folder: str, fields: list[str], record: dict[str, Any]) -> int:
+    """The same as tab-separated text, each part with the names of its fields; `readers.read_tsv` reads `folder/records`."""
+    line = "\t".join(str(record.get(k, "")) for k in fields)
+    return SharedLog(spark, folder, "tsv").append(lambda _: "\t".join(fields) + "\n" + line + "\n")

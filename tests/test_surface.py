@@ -19,10 +19,43 @@ def test_split_round_trip_and_sinks(spark, tmp_path):
     assert {tuple(r) for r in readers.read_splits(spark, str(tmp_path), "t").select("id", "split").collect()} == {(1, "train"), (2, "val"), (3, "oot")}
     sinks.write_json_lines(df, str(tmp_path / "j"))
     assert sorted(str(r["x"]) for r in spark.read.schema("x double").json(str(tmp_path / "j")).collect()) == ["0.5", "None", "None"]
-    sinks.append_record(str(tmp_path / "log/a.jsonl"), {"a": float("nan"), "b": [1.23456789]})
-    assert json.loads((tmp_path / "log/a.jsonl").read_text()) == {"a": None, "b": [1.234568]}
-    sinks.append_tsv(str(tmp_path / "r.tsv"), ["a", "b"], {"a": 1})
-    assert readers.read_tsv(spark, str(tmp_path / "r.tsv"), "a int, b string").first()["a"] == 1
+    assert [sinks.append_record(spark, str(tmp_path / "log"), {"a": float("nan"), "b": [1.23456789 + i]}) for i in range(2)] == [1, 2]
+    assert json.loads((tmp_path / "log/records/000001.json").read_text()) == {"a": None, "b": [1.234568]}
+    assert readers.read_log(spark, str(tmp_path / "log/records"), "a double, b array<double>").count() == 2
+    sinks.append_tsv(spark, str(tmp_path / "r"), ["a", "b"], {"a": 1})
+    sinks.append_tsv(spark, str(tmp_path / "r"), ["a", "b"], {"a": 2, "b": "x"})
+    assert sorted(tuple(r) for r in readers.read_tsv(spark, str(tmp_path / "r/records"), "a int, b string").collect()) == [(1, None), (2, "x")]
+
+
+def test_writers_of_one_log_at_once(spark, tmp_path):
+    """Eight writers, five records each, and one that dies after its claim: no record is lost, no number given twice."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ledgerlens.sources.shared_log import SharedLog
+
+    root = str(tmp_path / "log")
+    write = lambda who: [SharedLog(spark, root).append(lambda n, i=i: json.dumps({"n": n, "who": who, "i": i})) for i in range(5)]
+    dead = SharedLog(spark, root).claim()
+    with ThreadPoolExecutor(8) as pool:
+        numbers = [n for got in pool.map(write, range(8)) for n in got]
+    assert len(set(numbers)) == 40 and dead not in numbers
+    rows = [json.loads(t) for t in SharedLog(spark, root).texts()]
+    assert [r["n"] for r in rows] == sorted(numbers) and {(r["who"], r["i"]) for r in rows} == {(w, i) for w in range(8) for i in range(5)}
+
+
+def test_names_and_addresses_by_hand(spark):
+    from ledgerlens.functions import signals, text
+    from ledgerlens.operators import snapshots
+
+    rows = spark.createDataFrame([("Ann-Lee Ray", "ray.ann"), ("", "x"), (None, "x"), ("Bo", "")], "name string, local string")
+    got = rows.select(text.name_coherence(F.col("name"), F.col("local")).alias("c"), text.name_in_email(F.col("name"), F.col("local")).alias("n")).collect()
+    # ray to ray.ann: four letters more, of seven; no parts: 999; the empty local part is two letters from bo
+    assert [(r["c"], r["n"]) for r in got] == [(4 / 7, 1), (999.0, 0), (None, 0), (2.0, 0)]
+    names = [" a/b: C d ", "x" * 39 + " y", "é-1_", "//", "a  b"]
+    made = [r[0] for r in spark.createDataFrame([(n,) for n in names], "s string").select(text.sanitized(F.col("s"))).collect()]
+    assert made == ["ab_c_d", "x" * 39, "é-1", "", "a__b"] and [snapshots.folder_name(7, n) for n in names] == [f"exp_007_{n}" for n in made]
+    risk = spark.range(1).select(*(c.alias(n) for n, c in signals.device_risk(F.lit(100), F.lit(True), F.lit(True), F.lit(False), F.lit(0), F.lit(301)).items())).first()
+    assert (risk["emulator_score"], risk["battery_round"], risk["device_risk"]) == (1, 1, pytest.approx(0.8))
 
 
 def test_cache_and_template(spark, tmp_path):
@@ -162,13 +195,13 @@ def test_snapshots(spark, tmp_path):
     code = tmp_path / "features.py"
     code.write_text("x = 1\n")
     root = str(tmp_path / "runs")
-    a = snapshots.save(root, "d", "First: try/it", "keep", {"auprc": float("nan")}, [str(code)], {"a": 1.0, "b": 2.0}, top=1)
-    b = snapshots.save(root, "d", "Second", "discard", {"auprc": 0.5})
-    assert (a["id"], a["dir"], a["top_features"], a["metrics_summary"]) == ("exp_001", "exp_001_first__try_it", {"b": 2.0}, {"auprc": None})
-    assert b["parent_exp"] == "exp_001" == snapshots.best_kept(root) and len(snapshots.history(root)) == 2
-    snapshots.save(root, "d", "Third", "keep", {"composite_score": 0.4})
-    snapshots.save(root, "d", "Fourth", "keep", {"composite_score": 0.5})
+    a = snapshots.save(spark, root, "d", "First: try/it", "keep", {"auprc": float("nan")}, [str(code)], {"a": 1.0, "b": 2.0}, top=1)
+    b = snapshots.save(spark, root, "d", "Second", "discard", {"auprc": 0.5})
+    assert (a["id"], a["dir"], a["top_features"], a["metrics_summary"]) == ("exp_001", "exp_001_first_tryit", {"b": 2.0}, {"auprc": None})
+    assert b["parent_exp"] == "exp_001" == snapshots.best_kept(spark, root) and len(snapshots.history(spark, root)) == 2
+    snapshots.save(spark, root, "d", "Third", "keep", {"composite_score": 0.4})
+    snapshots.save(spark, root, "d", "Fourth", "keep", {"composite_score": 0.5})
     assert json.loads((tmp_path / "runs" / "summary.json").read_text()) == {"d": {"total": 4, "kept": 3, "best": 0.5, "baseline": 0.4, "discarded": 1, "improvement_pct": 25.0}}
     (tmp_path / "out").mkdir()
-    assert snapshots.restore(root, "exp_001", str(tmp_path / "out")) == ["features.py"]
-    assert readers.read_log(spark, f"{root}/index.jsonl", experiments.LOG).where("status = 'keep'").first()["id"] == "exp_001"
+    assert snapshots.restore(spark, root, "exp_001", str(tmp_path / "out")) == ["features.py"]
+    assert readers.read_log(spark, f"{root}/index/records", experiments.LOG).where("status = 'keep'").first()["id"] == "exp_001"
