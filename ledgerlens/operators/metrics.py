@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from typing import Any
 
@@ -44,7 +45,7 @@ def precision_at_recall(df: DataFrame, recall: float, label: str = "label", scor
     by = by or []
     run = by_threshold(df, label, score, by)
     total = run.groupBy(*by).agg(F.sum("p").alias("np"))
-    run = run.join(F.broadcast(total), by) if by else run.crossJoin(F.broadcast(total))
+    run = run.join(total, by) if by else run.crossJoin(F.broadcast(total))
     got = F.col("p_run") / F.when(F.col("np") > 0, F.col("np"))
     best = F.max(F.when(got >= recall, F.struct((F.col("p_run") / F.col("k_run")).alias("precision"), (-F.col("score")).alias("t"), got.alias("recall"))))
     return run.groupBy(*by).agg(best.alias("b")).select(*by, F.coalesce("b.precision", F.lit(0.0)).alias("precision"), F.coalesce(-F.col("b.t"), F.lit(0.5)).alias("threshold"), F.coalesce("b.recall", F.lit(0.0)).alias("recall"))
@@ -82,21 +83,40 @@ def gini_by(df: DataFrame, by: str, label: str = "label", score: str = "score")
     return roc_auc(df, label, score, [by]).select(by, (2 * F.col("auc") - 1).alias("gini"))
 
 
-def poisson_weight(row_id: str, replicate: Column, seed: int = 42) -> Column:
-    """Poisson(1) weight from a hash of row and replicate: the same on every run and partitioning."""
-    u = F.pmod(F.xxhash64(F.lit(seed), row_id, replicate), F.lit(1 << 40)) / float(1 << 40)
-    cuts = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885)
-    out = F.lit(len(cuts))
-    for i in range(len(cuts) - 1, -1, -1):
-        out = F.when(u < cuts[i], i).otherwise(out)
-    return out
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) from the MD5 of the parts: the same on every run, partitioning and engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def bootstrap_ci(df: DataFrame, row_id: str, label: str = "label", score: str = "score", n: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """(low, high) of the average precision over n resamples: each row is weighted in each, none is drawn in a loop."""
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rows = rows.withColumn("w", poisson_weight(row_id, F.col("replicate"), seed)).where("w > 0")
-    ap = average_precision(rows, label, score, ["replicate"], "w").where(F.col("auprc").isNotNull())
+def poisson(mean: Column, *seed: Column) -> Column:
+    """A Poisson number of a whole mean, from the seed: by its distribution function up to 30, then a rounded normal."""
+    u, v = uniform(F.lit("u"), *seed), uniform(F.lit("v"), *seed)
+    longest = (mean + 8 * F.sqrt(mean.cast("double")) + 12).cast("int")
+    start = F.struct(F.exp(-mean.cast("double")).alias("p"), F.exp(-mean.cast("double")).alias("c"), F.lit(0).alias("w"))
+
+    def further(acc: Column, j: Column) -> Column:
+        p = acc["p"] * mean / j
+        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["w"] + (acc["c"] <= u).cast("int")).alias("w"))
+
+    counted = F.aggregate(F.sequence(F.lit(1), longest), start, further, lambda acc: acc["w"])
+    bell = F.sqrt(-2 * F.log(1 - v)) * F.cos(2 * math.pi * u)
+    rounded = F.greatest(F.floor(F.round(mean + F.sqrt(mean.cast("double")) * bell + 0.5, 6)), F.lit(0))
+    return F.when(mean <= 0, 0).when(mean <= 30, counted).otherwise(rounded).cast("long")
+
+
+def bootstrap_ci(df: DataFrame, label: str = "label", score: str = "score", n: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(low, high) of the average precision over n resamples.
+
+    A resample draws each row a Poisson(1) number of times, so the rows of one score and label, k of them, are drawn
+    Poisson(k) times: scores are resampled, not rows, and the work goes by distinct scores times n. 0 without positives.
+    """
+    rows = df.where(F.col(score).isNotNull()).groupBy(F.lit(0).alias("one_group"), F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("k"), F.lit(1).alias("one"))
+    placed = prefix_sums(rows, "score", ["one"], ["one_group"], descending=True).select(F.col("one_run").alias("place"), "p", "k")
+    drawn = placed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    of = lambda mean, name: poisson(mean, F.lit(seed), F.lit(name), F.col("place"), F.col("replicate"))
+    drawn = drawn.select("replicate", "place", of(F.col("p"), "p").alias("wp"), of(F.col("k") - F.col("p"), "n").alias("wn"))
+    run = prefix_sums(drawn.select("replicate", "place", "wp", (F.col("wp") + F.col("wn")).alias("wk")).where("wk > 0"), "place", ["wp", "wk"], ["replicate"])
+    ap = run.groupBy("replicate").agg((F.sum(F.col("wp") * F.col("wp_run") / F.col("wk_run")) / F.when(F.sum("wp") > 0, F.sum("wp"))).alias("auprc")).where(F.col("auprc").isNotNull())
     a = (1 - level) / 2
     return ap.agg(F.coalesce(F.percentile("auprc", F.lit(a)), F.lit(0.0)).alias("low"), F.coalesce(F.percentile("auprc", F.lit(1 - a)), F.lit(0.0)).alias("high"))
 

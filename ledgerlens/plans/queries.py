@@ -566,10 +566,22 @@ def _m21(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).select("event_id", r(c, 6).alias("composite"))
 
 
-@query("m17_bootstrap_ci")
+
+def _poisson(mean: str, name: str) -> str:
+    """DuckDB form of `metrics.poisson`."""
+    u, v = (f"(CAST('0x' || substr(md5('{x}|42|{name}|' || place || '|' || rep), 1, 12) AS BIGINT) / 281474976710656.0)" for x in "uv")
+    below = f"list_sum(list_transform(range(0, j + 1), lambda i: exp(-{mean} + i * ln({mean}) - lgamma(i + 1))))"
+    return f"""CASE WHEN {mean} <= 0 THEN 0 WHEN {mean} <= 30 THEN len(list_filter(range(0, CAST(floor({mean} + 8 * sqrt({mean}) + 12) AS BIGINT)), lambda j: {below} <= {u}))
+  ELSE greatest(floor(round({mean} + sqrt({mean}) * sqrt(-2 * ln(1 - {v})) * cos(2 * pi() * {u}) + 0.5, 6)), 0) END"""
+
+
+@query("m17_bootstrap_ci", f"""WITH {_SC}, c AS (SELECT score, CAST(sum(label) AS BIGINT) AS p, count(*) AS k FROM x GROUP BY score), o AS (SELECT *, row_number() OVER (ORDER BY score DESC) AS place FROM c),
+d AS (SELECT place, rep, CAST({_poisson('p', 'p')} AS BIGINT) AS wp, CAST({_poisson('(k - p)', 'n')} AS BIGINT) AS wn FROM o, range(0, 200) r(rep)),
+w AS (SELECT rep, wp, sum(wp) OVER y AS rp, sum(wp + wn) OVER y AS rk FROM d WINDOW y AS (PARTITION BY rep ORDER BY place ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT rep, sum(CASE WHEN rk > 0 THEN wp * rp / rk END) / sum(wp) AS ap FROM w GROUP BY rep)
+SELECT round(quantile_cont(ap, 0.025), 4) AS low, round(quantile_cont(ap, 0.975), 4) AS high FROM a""")
 def _m17(s: SparkSession, d: str) -> DataFrame:
-    df = scored(s, d).withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return rounded(metrics.bootstrap_ci(df, "row_id", n=50))
+    return rounded(metrics.bootstrap_ci(scored(s, d)))
 
 
 @query("v21_rank_average", f"WITH {EVENTS}, x AS (SELECT event_id, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS a, rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0 AS b, count(*) OVER () AS n FROM e) SELECT event_id, round((a + b) / 2 / n, 6) AS ensemble FROM x")

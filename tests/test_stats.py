@@ -28,7 +28,7 @@ def test_auc_and_average_precision(spark):
     assert metrics.average_precision(df).first()["auprc"] == pytest.approx(ap)
     got = metrics.precision_at_recall(df, 0.5).first()
     assert (got["precision"], got["threshold"]) == pytest.approx((best[0], -best[1]))
-    low, high = metrics.bootstrap_ci(df, "id", n=40).first()
+    low, high = metrics.bootstrap_ci(df, n=40).first()
     assert low < ap < high
 
 
