@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 
 def quantile_split(df: DataFrame, t: str = "t_us", qs: tuple[float, float] = (0.70, 0.85), exact: bool = True) -> DataFrame:
-    """Adds `split`: train up to the first quantile of time, val up to the second, oot after. A one-row table of the
-    quantiles is joined, nothing is collected. `exact=False` uses the approximate percentile, which needs one pass."""
+    """Adds `split`: train up to the first quantile of time, val up to the second, oot after. The two quantiles are found when
+    the plan is built and stand in it as numbers, however often the split rows are read. `exact=False` takes sketched ones."""
     from .stats import quantiles
 
     if exact:
-        edges = quantiles(df, t, qs).select(F.col("quantiles").alias("split_at"))
+        at = quantiles(df, t, qs).select("quantiles").first()[0]
     else:
-        edges = df.agg(F.percentile_approx(t, F.array(*map(F.lit, qs)), 100_000).alias("split_at"))
-    split = F.when(F.col(t) <= F.col("split_at")[0], "train").when(F.col(t) <= F.col("split_at")[1], "val").otherwise("oot")
-    return df.crossJoin(F.broadcast(edges)).withColumn("split", split).drop("split_at")
+        at = df.agg(F.percentile_approx(t, F.array(*map(F.lit, qs)), 100_000)).first()[0]
+    first, second = at or (None, None)
+    return df.withColumn("split", F.when(F.col(t) <= F.lit(first), "train").when(F.col(t) <= F.lit(second), "val").otherwise("oot"))
 
 
 def step_split(df: DataFrame, step: str, last_train: int = 500, last_val: int = 600) -> DataFrame:

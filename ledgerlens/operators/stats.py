@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..schema import numeric_columns, text_columns
 from ..sources.scratch import written
 
-FLOOR = 1e-6
+FLOOR, FEW_VALUES = 1e-6, 200_000
 
 
 def unpivot(df: DataFrame, columns: list[str], label: str | None = None, kind: str = "double") -> DataFrame:
@@ -39,27 +39,57 @@ def prefix_sums(df: DataFrame, value: str, sums: list[str], by: list[str], desce
     return out.withColumns({f"{s}_run": F.sum(s).over(inside) + F.col(f"{s}_start") for s in sums}).drop("ps_range", *(f"{s}_start" for s in sums))
 
 
-def quantiles(df: DataFrame, value: str, qs: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
-    """(by, n_known, n_unique, quantiles): exact quantiles of the known values, interpolated between neighbours.
+def quantiles(df: DataFrame, value: str, qs: tuple[float, ...], by: list[str] | None = None, most: int = FEW_VALUES, error: float = 1e-4) -> DataFrame:
+    """(by, n_known, n_unique, quantiles): exact quantiles of the known values, interpolated between neighbours; `n_unique` is
+    exact up to 1,000 and about right above. Without `by` there is one row, also of an empty table.
 
-    Values are counted, running counts give their ranks, and an aggregate picks the values at the wanted ranks. Without
-    `by` there is one row, also of an empty table.
+    A first scan sketches each group's distinct values and the places of its quantiles; this runs when the plan is built.
+    Groups of at most `most` distinct values are one aggregation. For larger ones a second scan counts what lies below a
+    bracket around each sketched quantile and takes the few values inside; ranks tell the values, and where a bracket
+    misses one, it is widened and the scan repeated. Nothing is sorted but the values inside brackets.
     """
-    by = by or []
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.lit(0).alias("q_all"), F.col(value).cast("double").alias("q_value"))
-    counts = rows.groupBy(*by, "q_all", "q_value").agg(F.count(F.lit(1)).alias("q_k"))
-    run = prefix_sums(counts, "q_value", ["q_k"], [*by, "q_all"])
-    total = run.groupBy(*by, "q_all").agg(F.sum("q_k").alias("q_n"), F.count(F.lit(1)).alias("q_u"))
-    at = lambda q: F.lit(q) * (F.col("q_n") - 1)
-    here = lambda i: F.max(F.when((F.col("q_k_run") - F.col("q_k") <= i) & (i < F.col("q_k_run")), F.col("q_value")))
-    picks = [x for i, q in enumerate(qs) for x in (here(F.floor(at(q))).alias(f"lo{i}"), here(F.ceil(at(q))).alias(f"hi{i}"))]
-    picked = run.join(F.broadcast(total) if not by else total, [*by, "q_all"]).groupBy(*by).agg(F.max("q_n").alias("q_n"), F.max("q_u").alias("q_u"), *picks)
-
-    def between(i: int, q: float) -> Column:
-        part = at(q) - F.floor(at(q))
-        return F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(F.col(f"lo{i}") * (1 - part) + F.col(f"hi{i}") * part)
-
-    return picked.select(*by, F.coalesce("q_n", F.lit(0)).alias("n_known"), F.coalesce("q_u", F.lit(0)).alias("n_unique"), F.array(*(between(i, q) for i, q in enumerate(qs))).alias("quantiles"))
+    by, spark = by or [], df.sparkSession
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("q_value"))
+    sketch = rows.groupBy(*by).agg(F.count("q_value").alias("q_n"), F.approx_count_distinct("q_value", 0.02).alias("q_u"))
+    if (sketch.agg(F.max("q_u")).first()[0] or 0) <= most:
+        counts = rows.groupBy(*by, "q_value").agg(F.count(F.lit(1)).alias("q_k"))
+        few = counts.groupBy(*by).agg(F.coalesce(F.sum("q_k"), F.lit(0)).alias("n_known"), F.count("q_value").alias("n_unique"), F.percentile("q_value", F.array(*map(F.lit, qs)), F.col("q_k")).alias("quantiles"))
+        # a row a group, which most callers join twice
+        return written(spark, few, "quantiles") if by else few
+    sketch = written(spark, sketch, "sketch")
+    unique = written(spark, _small_counts(rows, sketch, by), "unique")
+    every, found = range(len(qs)), None
+    while found is None or not found.where(F.exists("q_v", lambda x: x["lo"].isNull() | x["hi"].isNull())).isEmpty():
+        marks = F.array(*(F.lit(min(1.0, max(0.0, q + d))) for d in (-error, error) for q in qs))
+        cuts = rows.groupBy(*by).agg(F.percentile_approx("q_value", marks, min(10_000_000, int(4 / error))).alias("q_c"))
+        wide = error >= 1  # brackets that hold all values
+        inside = (lambda i: F.lit(True)) if wide else (lambda i: (F.col("q_value") >= F.col("q_c")[i]) & (F.col("q_value") <= F.col("q_c")[i + len(qs)]))
+        both = rows.join(cuts, by) if by else rows.crossJoin(F.broadcast(cuts))
+        below = both.groupBy(*by).agg(*((F.lit(0) if wide else F.count_if(F.col("q_value") < F.col("q_c")[i])).cast("long").alias(f"q_b{i}") for i in every))
+        near = both.select(*by, "q_value", F.explode(F.filter(F.array(*(F.when(inside(i), i) for i in every)), lambda x: x.isNotNull())).alias("q_i"))
+        run = prefix_sums(near.groupBy(*by, "q_i", "q_value").agg(F.count(F.lit(1)).alias("q_k")), "q_value", ["q_k"], [*by, "q_i"])
+        total = sketch.join(below, by) if by else sketch.crossJoin(F.broadcast(below))
+        placed = run.join(total, by) if by else run.crossJoin(F.broadcast(total))
+        before = F.element_at(F.array(*(F.col(f"q_b{i}") for i in every)), F.col("q_i") + 1)
+        rank = F.element_at(F.array(*map(F.lit, map(float, qs))), F.col("q_i") + 1) * (F.col("q_n") - 1)
+        here = lambda r: F.max(F.when((before + F.col("q_k_run") - F.col("q_k") <= r) & (r < before + F.col("q_k_run")), F.col("q_value")))
+        ends = placed.groupBy(*by, "q_i").agg(here(F.floor(rank)).alias("lo"), here(F.ceil(rank)).alias("hi"), F.max(rank - F.floor(rank)).alias("part"))
+        one = lambda i: F.max(F.when(F.col("q_i") == i, F.struct("lo", "hi", "part")))
+        missing = F.struct(*(F.lit(None).cast("double").alias(n) for n in ("lo", "hi", "part")))
+        found = written(spark, ends.groupBy(*by).agg(F.array(*(F.coalesce(one(i), missing) for i in every)).alias("q_v")), "quantiles")
+        error *= 16
+    value_of = F.transform("q_v", lambda x: F.when(x["lo"] == x["hi"], x["lo"]).otherwise(x["lo"] * (1 - x["part"]) + x["hi"] * x["part"]))
+    out = unique.join(found, by) if by else unique.crossJoin(F.broadcast(found))
+    return out.select(*by, F.col("q_n").alias("n_known"), F.col("q_u").alias("n_unique"), value_of.alias("quantiles"))
+
+
+def _small_counts(rows: DataFrame, sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The sketch with exact numbers of distinct values for the groups that have up to about 1,000."""
+    few = sketch.where("q_u < 1100")
+    own = rows.join(few.select(*by), by, "left_semi") if by else rows.crossJoin(F.broadcast(few.select(F.lit(1).alias("q_one"))))
+    exact = own.groupBy(*by, "q_value").agg(F.lit(1).alias("q_x")).groupBy(*by).agg(F.count("q_x").alias("q_exact"))
+    both = sketch.join(exact, by, "left") if by else sketch.crossJoin(F.broadcast(exact))
+    return both.select(*by, "q_n", F.when((F.col("q_u") < 1100) & F.col("q_exact").isNotNull(), F.col("q_exact")).otherwise(F.col("q_u")).alias("q_u"))
 
 
 def auc(long: DataFrame, by: list[str] | None = None) -> DataFrame:

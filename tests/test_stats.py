@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,20 @@ def test_validation(spark):
     assert not ok and len(messages) == 4
     leaky = good.withColumn("y2", F.col("label") * 3.0)
     assert [r["column"] for r in validate.leaks(leaky.union(leaky), "label", ["x", "y2"]).collect()] == ["x", "y2"]
+
+
+@pytest.mark.parametrize("most, error", [(10**6, 1e-4), (50, 1e-4), (50, 1e-3), (3, 1e-2)])
+def test_quantiles_by_brackets(spark, most, error):
+    """Exact at any number of distinct values, with ties, few values and a group of one."""
+    rng = random.Random(6)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(3000)] + [("b", float(rng.randrange(5))) for _ in range(500)] + [("c", 2.0)] + [("a", None)] * 5
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = (0.0, 0.1, 0.5, 0.77, 1.0)
+    for by in (["g"], []):
+        got = {r["g"] if by else None: r for r in stats.quantiles(df, "v", qs, by, most, error).collect()}
+        for g, r in got.items():
+            own = [v for k, v in rows if v is not None and (k == g or not by)]
+            assert r["n_known"] == len(own) and r["quantiles"] == pytest.approx(list(np.quantile(own, qs)), abs=1e-12)
+            assert r["n_unique"] == pytest.approx(len(set(own)), rel=0 if len(set(own)) < 1000 else 0.1)
+        assert len(got) == (3 if by else 1)
+    assert stats.quantiles(df.limit(0), "v", qs).first()["n_known"] == 0
