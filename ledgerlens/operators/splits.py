@@ -45,13 +45,21 @@ def class_balance(df: DataFrame, label: str = "label", by: str = "split") -> Dat
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """(column, n_unique, null_rate) from one aggregate over all columns."""
+    """(column, n_unique, null_rate). Exact numbers of distinct values come from one unpivot to (number of the column, value as
+    text) and two aggregations, the first with partial sums where rows are read: rows aren't copied once a column for each
+    distinct count. NaN counts as a value."""
     columns = columns or df.columns
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    aggs = [x for i, c in enumerate(columns) for x in (distinct(F.col(c)).alias(f"u{i}"), F.avg(F.col(c).isNull().cast("double")).alias(f"n{i}"))]
-    one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("n_unique"), F.col(f"n{i}").alias("null_rate")) for i, c in enumerate(columns)))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    numbers = df.sparkSession.createDataFrame(list(enumerate(columns)), "cp_i int, column string")
+    rows = df.agg(F.count(F.lit(1)).alias("cp_n"))
+    if exact:
+        long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("cp_i"), F.col(f"`{c}`").cast("string").alias("cp_v")) for i, c in enumerate(columns)))).alias("x")).select("x.*")
+        counts = long.groupBy("cp_i", "cp_v").agg(F.count(F.lit(1)).alias("cp_k"))
+        per = counts.groupBy("cp_i").agg(F.count("cp_v").alias("n_unique"), F.sum(F.when(F.col("cp_v").isNull(), F.col("cp_k")).otherwise(0)).alias("cp_null"))
+    else:
+        one = df.agg(*(x for i, c in enumerate(columns) for x in (F.approx_count_distinct(F.col(f"`{c}`")).alias(f"u{i}"), F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"))))
+        per = one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("cp_i"), F.col(f"u{i}").alias("n_unique"), F.col(f"n{i}").alias("cp_null")) for i in range(len(columns))))).alias("r")).select("r.*")
+    both = F.broadcast(numbers).join(per, "cp_i", "left").crossJoin(F.broadcast(rows))
+    return both.select("column", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), (F.col("cp_null") / F.when(F.col("cp_n") > 0, F.col("cp_n"))).alias("null_rate"))
 
 
 def uninformative(profile: DataFrame, null_rate: float = 0.99, few: int = 5) -> list[str]:

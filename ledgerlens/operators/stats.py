@@ -6,8 +6,11 @@ quantiles are found by rank from running counts, so no task sees a whole column.
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -192,13 +195,56 @@ def univariate_auc(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     return _all(df, columns).join(auc(filled), "column", "left").select("column", safe_auc(F.col("auc")).alias("auc"))
 
 
+def pair_sums(df: DataFrame, columns: list[str], shift: list[float], fan: int = 32) -> DataFrame:
+    """(i, n, s, q, p): for each column i, arrays over columns j of: rows where both are known, sums and sums of squares of i
+    over them, sums of products of i and j; values are taken less `shift`.
+
+    Tasks multiply blocks of rows with their null masks; a row of arrays a column leaves each task, and is added up in two
+    steps, so no task sees more than a share of the tasks' rows.
+    """
+    rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    width, middle = len(columns), np.array(shift)
+    names, kind = ("n", "s", "q", "p"), "i int, part int, n array<double>, s array<double>, q array<double>, p array<double>"
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((4, width, width)), 0
+        for batch in batches:
+            seen += batch.num_rows
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)], 1) - middle
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0), known.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        if seen:
+            part = TaskContext.get().partitionId() % fan
+            lists = [pa.array(list(t), pa.list_(pa.float64())) for t in total]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, part, np.int32)), *lists], ["i", "part", *names])
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = [pa.array([np.sum(table.column(c).to_pylist(), axis=0)], pa.list_(pa.float64())) for c in names]
+        return pa.table([table.column("i").slice(0, 1), table.column("part").slice(0, 1), *sums], ["i", "part", *names])
+
+    parts = rows.mapInArrow(block, kind).groupBy("i", "part").applyInArrow(add, kind)
+    return parts.groupBy("i").applyInArrow(add, kind).drop("part")
+
+
 def correlation_flags(df: DataFrame, columns: list[str] | None = None, least: float = 0.98) -> DataFrame:
-    """(a, b, corr): pairs of columns whose absolute correlation (over rows where both are known) is high; one pass."""
+    """(a, b, corr): pairs of columns whose absolute correlation (over rows where both are known) is high. One scan for the
+    columns' means, which keep sums small, and one for all pairs; the plan doesn't grow with the pairs. A pair of which one
+    side doesn't vary is left out; NaN counts as null."""
     columns = columns or numeric_columns(df)
-    pairs = list(itertools.combinations(columns, 2))
-    one = df.agg(*(F.corr(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(b).cast("double"))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    rows = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.abs(F.col(f"c{i}")), 4).alias("corr")) for i, (a, b) in enumerate(pairs)))).alias("r")
-    return one.select(rows).select("r.*").where(F.col("corr") >= least).orderBy(F.desc("corr"), "a", "b")
+    known = df.select(*(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns))
+    means = known.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns))).first()
+    sums = pair_sums(known, columns, list(means))
+    # `columns` squared numbers: each pair's two halves meet by number
+    one = sums.select("i", F.posexplode(F.arrays_zip("n", "s", "q", "p")).alias("j", "x")).select("i", "j", "x.*")
+    low, high = one.where("i < j"), one.where("i > j").select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("t"), F.col("q").alias("r"))
+    both = low.join(high, ["i", "j"])
+    vx, vy = F.col("n") * F.col("q") - F.col("s") * F.col("s"), F.col("n") * F.col("r") - F.col("t") * F.col("t")
+    varied = (vx > 1e-12 * F.col("n") * F.col("q")) & (vy > 1e-12 * F.col("n") * F.col("r"))
+    corr = F.round(F.abs((F.col("n") * F.col("p") - F.col("s") * F.col("t")) / F.sqrt(vx) / F.sqrt(vy)), 4)
+    names = F.array(*map(F.lit, columns))
+    out = both.where(varied).select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), corr.alias("corr"))
+    return out.where(F.col("corr") >= least).orderBy(F.desc("corr"), "a", "b")
 
 
 def analyze(df: DataFrame, label: str, without: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import experiments, graph, metrics, sequence, stats, validate
+from ..operators import boosting, experiments, graph, metrics, sequence, splits, stats, validate
 from ..operators.experiments import TECHNIQUES
 from ..sources.scratch import scratch_path
 from . import queries as base
@@ -233,3 +233,17 @@ def _st3(s: SparkSession, d: str) -> DataFrame:
 
     out = streamed(s, d, "prior", lambda e: prior_velocity(e.withColumn("t", F.unix_micros("ts")), "user_id", "event_id", "t", "value", 86_400_000_000))
     return out.select("row_id", "n", (r("total", 2) + 0.0).alias("total"))
+
+
+# --- models ---
+
+
+@query("d2_boosted_trees")
+def _d2(s: SparkSession, d: str) -> DataFrame:
+    """Chances that a line is returned, by log loss with class weight and by focal loss, from columns with nulls."""
+    df = splits.quantile_split(lines(s, d).withColumns({"l_quantity": F.when(F.col("l_suppkey") % 5 > 0, F.col("l_quantity")), "l_tax": F.when(F.col("l_partkey") % 3 > 0, F.col("l_tax"))}))
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    how = {"rounds": 8, "depth": 3, "rate": 0.3, "every": 4, "patience": 8}
+    plain, focal = boosting.fit_booster(df, columns, class_weight=2.0, **how), boosting.fit_booster(df, columns, loss=boosting.focal(), **how)
+    both = boosting.score_booster(boosting.score_booster(df, plain, "chance"), focal, "focal_chance")
+    return both.select("l_orderkey", "l_linenumber", "split", r("chance", 6).alias("chance"), r("focal_chance", 6).alias("focal_chance"))

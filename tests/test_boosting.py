@@ -109,3 +109,39 @@ def test_poisson_numbers(spark):
         r = spark.range(4000).select(metrics.poisson(F.lit(mean), F.lit("s"), F.col("id")).alias("w")).agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.min("w").alias("lo")).first()
         assert r["m"] == pytest.approx(mean, rel=0.06) and r["v"] == pytest.approx(mean, rel=0.12) and r["lo"] >= 0
     assert spark.range(3).select(metrics.poisson(F.lit(0), F.col("id")).alias("w")).agg(F.max("w")).first()[0] == 0
+
+
+def test_whole_evaluation(spark, tmp_path):
+    """Load, fit, transform, check, train, measure, decide, record: the first run is kept, the same again is not, a broken one
+    crashes, and the log tells all three."""
+    from types import SimpleNamespace
+
+    from ledgerlens.operators import evaluate, snapshots
+    from ledgerlens.operators.pipeline import FittedState
+
+    rng = random.Random(1)
+    rows = [(i, x := rng.gauss(0, 1), rng.choice("pq"), int(x + rng.gauss(0, 0.7) > 0.8), ("train", "train", "val", "oot")[i % 4]) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, x double, c string, label int, split string")
+    seen = {}
+
+    def fit(history, labels, config):
+        seen["fit"] = (history.columns, history.select("split").distinct().collect()[0][0])
+        return FittedState({"rates": history.join(labels, "row_id").groupBy("c").agg(F.avg("label").alias("rate"))})
+
+    def transform(x, state, config):
+        assert "label" not in x.columns
+        return x.join(state.tables["rates"], "c", "left").select("row_id", "split", "x", "rate")
+
+    plan, root = SimpleNamespace(fit=fit, transform=transform), str(tmp_path / "runs")
+    config = {"model": {"rounds": 10, "depth": 2, "rate": 0.3}, "resamples": 20, "metrics": {"hard_psi": 5.0}}
+    run = lambda p, words: evaluate.run_experiment(p, df, root, "d", words, "row_id", config=config)
+    first = run(plan, "Rates by class")
+    assert first["status"] == "keep" and first["parent_exp"] is None and list(first["top_features"])[0] == "x" and "label" not in seen["fit"][0] and seen["fit"][1] == "train"
+    m = first["metrics_summary"]
+    assert 0.5 < m["auroc"] <= 1 and m["auprc_val_ci"][0] <= m["auprc_val"] <= m["auprc_val_ci"][1] and m["n_features"] == 2
+    assert run(plan, "The same again")["status"] == "discard"
+    broken = SimpleNamespace(fit=fit, transform=lambda x, state, config: transform(x, state, config).withColumn("rate", F.lit(None).cast("double")))
+    last = run(broken, "All null")
+    assert last["status"] == "crash" and "null rates" in last["messages"][-1]
+    assert [r["status"] for r in snapshots.history(spark, root)] == ["keep", "discard", "crash"] and snapshots.best_kept(spark, root) == "exp_001"
+    assert evaluate.decision({"psi_rejected": True}, None) == "reject_psi"

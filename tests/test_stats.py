@@ -146,3 +146,34 @@ def test_quantiles_by_brackets(spark, most, error):
             assert r["n_unique"] == pytest.approx(len(set(own)), rel=0 if len(set(own)) < 1000 else 0.1)
         assert len(got) == (3 if by else 1)
     assert stats.quantiles(df.limit(0), "v", qs).first()["n_known"] == 0
+
+
+def test_correlation_of_many_columns(spark):
+    """500 columns in one plan, against numpy over the rows where both are known; constant columns have none."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(1e6, 1, (60, 500))
+    x[:, 1] = -2 * x[:, 0] + 5
+    x[:, 2] = 7.0
+    x[rng.random((60, 500)) < 0.2] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"c{i} double" for i in range(500)))
+    assert [tuple(r) for r in stats.correlation_flags(df, least=0.98).collect()] == [("c0", "c1", 1.0)]
+    few = [f"c{i}" for i in (0, 1, 2, 3, 4)]
+    got = {(r["a"], r["b"]): r["corr"] for r in stats.correlation_flags(df, few, least=0.0).collect()}
+    for i, a in enumerate(few):
+        for b in few[i + 1 :]:
+            u, v = (x[:, int(c[1:])] for c in (a, b))
+            both = ~np.isnan(u) & ~np.isnan(v)
+            if "c2" in (a, b):
+                assert (a, b) not in got
+            else:
+                assert got[a, b] == pytest.approx(abs(np.corrcoef(u[both], v[both])[0, 1]), abs=1e-4)
+
+
+def test_column_profile_counts(spark):
+    from ledgerlens.operators import splits
+
+    df = spark.createDataFrame([(1, "a", None), (1, None, None), (2, "a", None)], "x int, `y.z` string, w double")
+    got = {r["column"]: (r["n_unique"], r["null_rate"]) for r in splits.column_profile(df).collect()}
+    assert got == {"x": (2, 0.0), "y.z": (1, pytest.approx(1 / 3)), "w": (0, 1.0)}
+    assert {r["column"]: r["n_unique"] for r in splits.column_profile(df, ["x", "w"], exact=False).collect()} == {"x": 2, "w": 0}
+    assert [tuple(r) for r in splits.column_profile(df.limit(0), ["x"]).collect()] == [("x", 0, None)]
