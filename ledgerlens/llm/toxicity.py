@@ -11,7 +11,8 @@ Training: counts of hashed words and n-grams by label over a sample of labelled
 class, one text of each doc_id), then all windows of those documents' whole texts. A label belongs to a document, so a
 batch draws documents and of each a window, at first any, later one by how toxic the network holds it to be: the
 windows that carry a toxic document's label, and those of clean ones that look like it. A fifth of the documents is left
-out of the windows and fits the document layer. What reaches the driver is the sample and tables by hash bucket.
+out of the windows and fits the document layer. What reaches the driver is tables by hash bucket and the sample's texts, at
+most MOST_BYTES of them: where the sample has more, its longest texts train no windows (all texts count and are scored).
 
 Cases: null and empty texts get the document layer's score of no evidence; with one class of labels only, all scores
 are that class's share; null labels are ignored; repeated rows score alike; extra columns are left out; an empty table
@@ -32,6 +33,7 @@ from .common import labelled_sample, remainder, slices
 from .quality import adam, sigmoid
 
 PER_CLASS, WINDOW, STRIDE, HIDDEN, SEED = 2500, 32, 24, 8, 11
+MOST_BYTES = 96 << 20
 BITS, GRAMS, VECTOR, STEPS = 16, (3, 4, 5, 6, 8), 8, 600
 STATS, LONGEST, OVERLAP, CHUNK, AT_ONCE = 3, 40, max(GRAMS) - 1, 1024, 16_384
 EDGE = b".,;:!?#$%&*|\"'()[]{}<>-_~^+=/\\"
@@ -85,17 +87,19 @@ def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own, grams, counts
 
 
-def label_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Documents of each label that hold each word bucket and n-gram bucket; these tables have BUCKETS rows at most."""
+def label_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int, dict[int, int]]:
+    """Documents of each label that hold each word bucket and n-gram bucket; these tables have BUCKETS rows at most. And the
+    texts' bytes by their sizes' binary digits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, 2, BUCKETS), np.int64)
-        docs = np.zeros(2, np.int64)
+        docs, sizes = np.zeros(2, np.int64), np.zeros(64, np.int64)
         for batch in batches:
             labels = batch.column(1).to_pylist()
             for a, texts in slices(batch, 0, 256):
                 for text, label in zip(texts, labels[a : a + 256], strict=True):
                     docs[label] += 1
+                    sizes[len(text).bit_length()] += len(text)
                     if words := cores(sorted(set(units(text)))):
                         parts = [[np.unique(x) for x in hashed(words[b : b + AT_ONCE])[:2]] for b in range(0, len(words), AT_ONCE)]
                         own, used = (np.unique(np.concatenate(x)) for x in zip(*parts, strict=True))
@@ -103,18 +107,30 @@ def label_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
                         table[1, label, used[used < BUCKETS]] += 1
         kind, label, bucket = np.nonzero(table)
         value = table[kind, label, bucket]
-        kind, label, bucket, value = (np.append(x, y) for x, y in ((kind, [2, 2]), (label, [0, 1]), (bucket, [0, 0]), (value, docs)))
+        kind, label, bucket, value = (np.append(x, y) for x, y in ((kind, [2, 2] + [3] * 64), (label, [0, 1] + [0] * 64), (bucket, [0, 0, *range(64)]), (value, [*docs, *sizes])))
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (kind, label, bucket, value)], ["kind", "label", "bucket", "n"])
 
     rows = sample.select(F.col("text").cast("binary"), F.when(F.col("label") == 1, 1).otherwise(0).alias("label"))
     got = rows.mapInArrow(count, "kind long, label long, bucket long, n long").groupBy("kind", "label", "bucket").agg(F.sum("n").alias("n")).collect()
-    tables, docs = np.zeros((2, 2, BUCKETS)), [0, 0]
+    tables, docs, sizes = np.zeros((2, 2, BUCKETS)), [0, 0], {}
     for r in got:
         if r["kind"] == 2:
             docs[r["label"]] += r["n"]
+        elif r["kind"] == 3:
+            sizes[r["bucket"]] = r["n"]
         else:
             tables[r["kind"], r["label"], r["bucket"]] = r["n"]
-    return tables[0], tables[1], docs[0], docs[1]
+    return tables[0], tables[1], docs[0], docs[1], sizes
+
+
+def longest_within(sizes: dict[int, int], most: int) -> int:
+    """The greatest power of two below which all texts together have `most` bytes at most, from bytes by binary digits."""
+    total = 0
+    for digits in range(64):
+        total += sizes.get(digits, 0)
+        if total > most:
+            return 1 << digits >> 1
+    return 1 << 62
 
 
 def log_odds(table: np.ndarray, clean: int, toxic: int) -> np.ndarray:
@@ -394,8 +410,9 @@ def document_layer(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: int = STEPS) -> tuple[Windows | None, np.ndarray]:
-    """The network and the document layer from `labels` (doc_id, toxic) as given: leave held-out rows out before."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: int = STEPS, most_bytes: int = MOST_BYTES) -> tuple[Windows | None, np.ndarray]:
+    """The network and the document layer from `labels` (doc_id, toxic) as given: leave held-out rows out before. The windows
+    are those of the sample's shorter texts, which have `most_bytes` together: a bound on what a driver holds."""
     known = labels.where(F.col("toxic").isin(0, 1))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -403,9 +420,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
         return None, np.array([0, 0, 0, 0, np.log(share / (1 - share))])
     sample = labelled_sample(docs, known, "toxic", per_class).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)))
     inner = sample.where("fold > 0")
-    words, grams, clean, toxic = label_counts(inner)
+    words, grams, clean, toxic, bytes_by_size = label_counts(inner)
+    within = F.octet_length("text") < longest_within(bytes_by_size, most_bytes)
     net = Windows(log_odds(words, clean, toxic), log_odds(grams, clean, toxic))
-    texts = sorted(tuple(r) for r in inner.select("doc_id", "label", F.col("text").cast("binary")).collect())
+    texts = sorted(tuple(r) for r in inner.where(within).select("doc_id", "label", F.col("text").cast("binary")).collect())
     bags = Bags([bytes(t) for *_, t in texts], [y for _, y, _ in texts])
     if len(set(bags.label.tolist())) < 2:
         share = sizes[1] / (sizes[0] + sizes[1])

@@ -730,6 +730,19 @@ def test_risk_gradients():
     assert seen == {True, False}
 
 
+def test_toxicity_sample_is_bounded_by_bytes(spark, docs, monkeypatch):
+    """A giant text in the sample doesn't reach the driver, though it counts and is scored."""
+    assert toxicity.longest_within({3: 10, 5: 40, 9: 1000}, 60) == 256 and toxicity.longest_within({3: 10}, 60) == 1 << 62 and toxicity.longest_within({3: 100}, 60) == 4
+    rows = spark.createDataFrame([(i, f"word{i % 7} bad{i % 2} text") for i in range(40)] + [(99, "bad1 " * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(99, 1)], "doc_id long, toxic int")
+    seen = []
+    bags = toxicity.Bags
+    monkeypatch.setattr(toxicity, "Bags", lambda texts, y: seen.append(max(map(len, texts))) or bags(texts, y))
+    model = toxicity.fit_toxicity(rows, labels, steps=20, most_bytes=4000)
+    assert seen and seen[0] < 100
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(rows, model, ["doc_id"]).collect()}.keys() == {*range(40), 99}
+
+
 # --- pipeline ---
 
 
