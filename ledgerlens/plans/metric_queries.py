@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boosting, experiments, graph, metrics, sequence, splits, stats, validate
+from ..operators import boosting, experiments, forest, graph, metrics, sequence, splits, stacking, stats, validate
 from ..operators.experiments import TECHNIQUES
 from ..sources.scratch import scratch_path
 from . import queries as base
@@ -247,3 +247,20 @@ def _d2(s: SparkSession, d: str) -> DataFrame:
     plain, focal = boosting.fit_booster(df, columns, class_weight=2.0, **how), boosting.fit_booster(df, columns, loss=boosting.focal(), **how)
     both = boosting.score_booster(boosting.score_booster(df, plain, "chance"), focal, "focal_chance")
     return both.select("l_orderkey", "l_linenumber", "split", r("chance", 6).alias("chance"), r("focal_chance", 6).alias("focal_chance"))
+
+
+@query("d7_isolation_forest")
+def _d7(s: SparkSession, d: str) -> DataFrame:
+    """How easily random cuts set each line apart."""
+    df = lines(s, d).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    model = forest.fit_forest(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "id", trees=50)
+    return forest.score_forest(df, model).select("l_orderkey", "l_linenumber", r("isolation", 6).alias("isolation"))
+
+
+@query("d7_stacked_models")
+def _d7_stack(s: SparkSession, d: str) -> DataFrame:
+    """Chances of a second level over out-of-fold scores of two sets of columns."""
+    df = splits.quantile_split(lines(s, d).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")))
+    sets = {"by_amount": ["l_quantity", "l_extendedprice"], "by_rate": ["l_discount", "l_tax"]}
+    out, _, _ = stacking.stack(df, "id", sets, folds=3, first={"rounds": 3, "depth": 2, "rate": 0.5}, second={"rounds": 4, "depth": 2, "rate": 0.5})
+    return out.select("l_orderkey", "l_linenumber", "split", r("by_amount", 6).alias("by_amount"), r("by_rate", 6).alias("by_rate"), r("score", 6).alias("score"))
