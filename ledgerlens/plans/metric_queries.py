@@ -235,6 +235,20 @@ def _st3(s: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "n", (r("total", 2) + 0.0).alias("total"))
 
 
+@query("st3_st4_ordered_velocity", f"WITH n AS (SELECT event_id, t, count(*) OVER w AS n, coalesce(sum(value) OVER w, 0) AS total FROM (SELECT *, epoch_us(ts) AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)), a AS (SELECT event_id, count(*) OVER v AS n, sum(value) OVER v AS total FROM (SELECT *, epoch_us(ts) AS t FROM events) WINDOW v AS (PARTITION BY user_id, t ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT event_id AS row_id, n.n - a.n AS n, round(n.total - a.total, 2) + 0.0 AS total FROM n JOIN a USING (event_id) WHERE t < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000")
+def _st3_ordered(s: SparkSession, d: str) -> DataFrame:
+    """Events that the watermark has passed, in their own order whatever that of their files."""
+    from ..streaming.ordered import ordered_velocity
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(name)
+    try:
+        out = streamed(s, d, "ordered", lambda e: ordered_velocity(e.withColumn("t", F.unix_micros("ts")), "user_id", "event_id", "t", "value", 86_400_000_000))
+    finally:
+        s.conf.set(name, before)
+    return out.select("row_id", "n", (r("total", 2) + 0.0).alias("total"))
+
+
 # --- models ---
 
 
