@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boosting, experiments, forest, graph, metrics, sequence, splits, stacking, stats, validate
+from ..operators import boosting, embedding, experiments, forest, graph, metrics, sequence, splits, stacking, stats, validate
 from ..operators.experiments import TECHNIQUES
 from ..sources.scratch import scratch_path
 from . import queries as base
@@ -249,6 +249,20 @@ def _st3_ordered(s: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "n", (r("total", 2) + 0.0).alias("total"))
 
 
+_START = "(CAST('0x' || substr(md5('3|' || d || '|' || user_id), 1, 12) AS BIGINT) / 281474976710656.0)"
+
+
+@query("f46_embedding", f"""WITH {EVENTS}, m AS (SELECT DISTINCT user_id, 'k' AS a, CAST(k AS VARCHAR) AS v FROM e WHERE k IS NOT NULL UNION SELECT DISTINCT user_id, 'event_type', event_type FROM e WHERE event_type IS NOT NULL),
+s0 AS (SELECT user_id, d, CASE WHEN {_START} < 1 / 6.0 THEN sqrt(3) WHEN {_START} >= 5 / 6.0 THEN -sqrt(3) ELSE 0.0 END AS x FROM (SELECT DISTINCT user_id FROM m), range(0, 8) r(d)),
+v1 AS (SELECT a, v, d, avg(x) AS x FROM m JOIN s0 USING (user_id) GROUP BY ALL), s1 AS (SELECT user_id, d, avg(x) AS x FROM m JOIN v1 USING (a, v) GROUP BY ALL),
+v2 AS (SELECT a, v, d, avg(x) AS x FROM m JOIN s1 USING (user_id) GROUP BY ALL), s2 AS (SELECT user_id, d, avg(x) AS x FROM m JOIN v2 USING (a, v) GROUP BY ALL),
+t AS (SELECT s1.user_id, s1.d, s1.x + 0.5 * s2.x AS x FROM s1 JOIN s2 USING (user_id, d))
+SELECT user_id, {', '.join(f"round(max(x) FILTER (d = {i}), 6) + 0.0 AS e{i}" for i in range(8))} FROM t GROUP BY user_id""")
+def _f46(s: SparkSession, d: str) -> DataFrame:
+    out = embedding.embedding(events(s, d), "user_id", ["k", "event_type"], dims=8)
+    return out.select("user_id", *((r(f"e{i}", 6) + 0.0).alias(f"e{i}") for i in range(8)))
+
+
 # --- models ---
 
 

@@ -177,3 +177,24 @@ def test_column_profile_counts(spark):
     assert got == {"x": (2, 0.0), "y.z": (1, pytest.approx(1 / 3)), "w": (0, 1.0)}
     assert {r["column"]: r["n_unique"] for r in splits.column_profile(df, ["x", "w"], exact=False).collect()} == {"x": 2, "w": 0}
     assert [tuple(r) for r in splits.column_profile(df.limit(0), ["x"]).collect()] == [("x", 0, None)]
+
+
+def test_embedding_is_a_matrix_product(spark):
+    from ledgerlens.operators import embedding
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(30), rng.choice(["a", "b", "c", None]), rng.choice([1, 2, 3, 4, None])) for _ in range(90)] + [(None, "a", 1), (77, None, None), (50, "a", 2), (51, "a", 2), (51, "a", 2)]
+    df = spark.createDataFrame(rows, "who long, p string, q int")
+    got = {r["who"]: list(r)[1:] for r in embedding.embedding(df, "who", ["p", "q"], dims=6, weights=(0.5, 1.0, 2.0)).collect()}
+    held = {(w, n, str(v)) for w, p, q in rows if w is not None for n, v in (("p", p), ("q", q)) if v is not None}
+    people, values = sorted({w for w, *_ in held}), sorted({(n, v) for _, n, v in held})
+    b = np.array([[(w, *v) in held for v in values] for w in people], float)
+    start = spark.createDataFrame([(w,) for w in people], "w long").select("w", *(embedding.starting(F.col("w"), i, 3) for i in range(6))).orderBy("w").collect()
+    x = np.array([list(r)[1:] for r in start])
+    step = (b / b.sum(1, keepdims=True)) @ (b / b.sum(0)).T
+    want = 0.5 * x + step @ x + 2 * step @ step @ x
+    assert sorted(got) == people and np.allclose([got[w] for w in people], want) and 77 not in got
+    # who holds the same values has the same rounds
+    alone = {r["who"]: list(r)[1:] for r in embedding.embedding(df, "who", ["p", "q"], dims=6, weights=(0.0, 1.0)).collect()}
+    assert alone[50] == pytest.approx(alone[51]) and len(np.unique(np.round(x, 6))) <= 3
+    assert embedding.embedding(df.limit(0), "who", ["p"]).count() == 0
