@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import PIECE_MODEL, slices, whole_row, written
 from .lattice import NONE, Cache, Vocabulary, best_segmentations, vocabulary
 
-CHUNK, FAN, SHORT, TOGETHER = 32_768, 16, 2048, 64
+CHUNK, FAN, SHORT, TOGETHER = 32_768, 16, 2048, 32
 SEGMENT = re.compile(rb"\n| *[^ \n]+| +")
 CUT = re.compile(rb"(?<=[^ ])(?= )|(?=\n)|(?<=\n)")
 
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, path: str = PIECE_MODEL, chunk: int = CHUNK) -> Data
         known = Cache(lambda words: best_segmentations(v, words))
         for batch in batches:
             out = []
-            for _, texts in slices(batch, at, 1000):
+            for _, texts in slices(batch, at, 256):
                 out += encode_batch(texts, known)
             ends = np.cumsum([0, *(len(x) // 4 if x else 0 for x in out)])
             flat = pa.array(np.frombuffer(b"".join([x for x in out if x]), "<i4"))

@@ -130,10 +130,10 @@ def predict_languages(docs: DataFrame, models: dict[str, np.ndarray], path: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        known, size = Cache(lambda words: list(log_marginals(v, [b" " + w for w in words], sent.value))), len(names)
+        known, size = Cache(lambda words: list(log_marginals(v, [b" " + w for w in words], sent.value)), 100_000), len(names)
         for batch in batches:
             langs, scores, gains = [], [], []
-            for _, texts in slices(batch, batch.num_columns - 1):
+            for _, texts in slices(batch, batch.num_columns - 1, 256):
                 split = [t.lower().split() if t and names and has_letter(t) else [] for t in texts]
                 of = known.add(w for x in split for w in set(x))
                 for words in split:
