@@ -112,7 +112,7 @@ def _u1(s: SparkSession, d: str) -> DataFrame:
     return a.unionByName(read(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name")), allowMissingColumns=True)
 
 
-@query("t5_worst_nulls", f"WITH {EVENTS}, n AS (SELECT 'a' AS \"column\", avg(CASE WHEN k % 2 = 0 THEN 1.0 ELSE 0 END) AS null_rate FROM e UNION ALL SELECT 'b', avg(CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0 END) FROM e UNION ALL SELECT 'c', avg(CASE WHEN k % 5 = 0 THEN 1.0 ELSE 0 END) FROM e UNION ALL SELECT 'd', avg(CASE WHEN k % 7 = 0 THEN 1.0 ELSE 0 END) FROM e UNION ALL SELECT 'e', avg(CASE WHEN k % 11 = 0 THEN 1.0 ELSE 0 END) FROM e UNION ALL SELECT 'f', avg(CASE WHEN k % 13 = 0 THEN 1.0 ELSE 0 END) FROM e) SELECT \"column\", round(null_rate, 6) AS null_rate FROM n ORDER BY null_rate DESC LIMIT 5")
+@query("t5_worst_nulls", f"WITH {EVENTS}, n AS (SELECT 'a' AS \"column\", avg(CASE WHEN k % 2 = 0 THEN 1.0 ELSE 0 END) AS null_rate FROM e UNION ALL SELECT 'b', avg(CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0 END) FROM e UNION ALL SELECT 'c', avg(CASE WHEN k % 5 = 0 THEN 1.0 ELSE 0 END) FROM e UNION ALL SELECT 'd', avg(CASE WHEN k % 7 = 0 THEN 1.0 ELSE 0 END) FROM e UNION ALL SELECT 'e', avg(CASE WHEN k % 11 = 0 THEN 1.0 ELSE 0 END) FROM e UNION ALL SELECT 'f', avg(CASE WHEN k % 13 = 0 THEN 1.0 ELSE 0 END) FROM e) SELECT \"column\", round(null_rate, 6) AS null_rate FROM n ORDER BY null_rate DESC, \"column\" LIMIT 5")
 def _t5(s: SparkSession, d: str) -> DataFrame:
     df = events(s, d).select(*(F.when(F.col("k") % m != 0, F.col("value")).alias(c) for c, m in zip("abcdef", (2, 3, 5, 7, 11, 13), strict=True)))
     worst = splits.last_n(splits.column_profile(df), 5, [F.desc("null_rate"), F.asc("column")])
