@@ -6,7 +6,7 @@
    every run of l consecutive segments differs in at most floor(4 l / 5) bits: 0 in the first, 1 in the first two, 2 in
    three, 3 in four. The index takes the first two steps: a key is a segment, and the next one without one of its bits.
    Nodes that share a key are candidates, the longer runs prune them, and the full distance is the last run's.
-3. In each bucket of a key all nodes are first compared with one node, then with another one: a number of pairs linear in
+3. In each bucket of a key all nodes are first compared with two nodes, then with another one: a number of pairs linear in
    the bucket's size. A bucket whose nodes are then in one component is done, whatever its size. What is left of small
    buckets is compared in full, between components, and so are the few nodes of a large one that aren't in its main
    component with all others. The rest goes through midpoints, without pairs: two fingerprints are linked exactly if some
@@ -117,22 +117,28 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("x") != F.col("y")) & on_ring(F.col("x"), F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, members, label): rows of the buckets that still hold several components."""
-    now = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return now.join(several, "key").select("key", "node", "members", "label")
+    """(key, node, members, label, lead, lead_label): rows of the buckets that still hold several components, with a node of
+    the bucket that a hash chooses, so that no further join brings it to them."""
+    now, by = labelled_rows(rows, labels), F.xxhash64("node", "key")
+    several = now.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max_by("node", by).alias("lead"), F.max_by("label", by).alias("lead_label")).where("least <> most")
+    return now.join(several.drop("least", "most"), "key").select("key", "node", "members", "label", "lead", "lead_label")
 
 
-def minorities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def minorities(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For buckets of which all but MINOR nodes at most are in one component: the links (a, b) of those nodes to all others of
-    the bucket. Of the other buckets: (node, label)."""
-    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"), (F.sum("n") - F.max("n")).alias("minor"))
-    sizes = written(rows.sparkSession, sizes, "minorities")
-    own = sizes.where(F.col("minor") <= MINOR)
-    minor = rows.join(own, "key").where("label <> main").groupBy("key").agg(F.collect_list("node").alias("minor"))
-    found = rows.join(minor, "key").select(F.col("node").alias("x"), F.explode(F.filter("minor", lambda y: (F.bit_count(F.col("node").bitwiseXOR(y)) <= MOST) & (F.col("node") != y))).alias("y"))
-    return linked(found), rows.join(sizes.where(F.col("minor") > MINOR).select("key"), "key", "left_semi").select("node", "label").distinct()
+    the bucket. Of the other buckets with several components: (node, label)."""
+    now = labelled_rows(rows, labels)
+    sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    left = written(rows.sparkSession, now.join(sizes, "key").select("key", "node", "label", "main", "others"), "open")
+    own = left.where(F.col("others") <= MINOR)
+    minor = own.where("label <> main").groupBy("key").agg(F.collect_list("node").alias("minor"))
+    found = own.join(minor, "key").select(F.col("node").alias("x"), F.explode(F.filter("minor", lambda y: (F.bit_count(F.col("node").bitwiseXOR(y)) <= MOST) & (F.col("node") != y))).alias("y"))
+    return linked(found), left.where(F.col("others") > MINOR).select("node", "label").distinct()
 
 
 def by_midpoints(nodes: DataFrame) -> DataFrame:
@@ -161,8 +167,9 @@ def near_simhash(docs: DataFrame) -> DataFrame:
     flat = nodes.select("node", F.explode(keys_of(F.col("node"))).alias("key"))
     buckets = flat.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("members > 1")
     buckets = written(spark, buckets, "buckets")
-    rows = written(spark, flat.join(buckets.where("members > 2").select("key", "members", "lo"), "key"), "bucket-rows")
-    links = linked(buckets.select(F.col("lo").alias("x"), F.col("hi").alias("y")).unionAll(rows.select(F.col("node").alias("x"), F.col("lo").alias("y"))))
+    rows = written(spark, flat.join(buckets.where("members > 2"), "key"), "bucket-rows")
+    ends = buckets.select(F.col("lo").alias("x"), F.col("hi").alias("y"))
+    links = linked(ends.unionAll(rows.select("node", "lo")).unionAll(rows.select("node", "hi")))
     # rows of one doc_id with several fingerprints are one document
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     links = written(spark, links.unionAll(known.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()), "links")
@@ -172,12 +179,10 @@ def near_simhash(docs: DataFrame) -> DataFrame:
     pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("x"), y["node"].alias("y")))))).alias("p")).select("p.x", "p.y")
     # another leader for the large buckets that aren't one component yet
     large = left.where(F.col("members") > SMALL)
-    second = large.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "key")).alias("l"))
-    again = large.join(second, "key").where("label <> l.label").select(F.col("node").alias("x"), F.col("l.node").alias("y"))
+    again = large.where("label <> lead_label").select(F.col("node").alias("x"), F.col("lead").alias("y"))
     links = links.unionAll(written(spark, linked(pairs.unionAll(again)), "links"))
     labels = components(links)
-    left = written(spark, open_rows(large.select("key", "node", "members"), labels), "open")
-    few, rest = minorities(left)
+    few, rest = minorities(large.select("key", "node"), labels)
     links = links.unionAll(written(spark, few, "links"))
     rest = written(spark, rest, "rest")
     if rest.isEmpty():
