@@ -34,11 +34,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of a language learned from these rows' `lang`: with letters, a posterior of at least LEAST_POSTERIOR, and a gain over
-    the vocabulary's own weights that labelled documents of that language have. Noise and other languages have none."""
-    labelled = docs.select("doc_id", "text", "lang")
-    models = langid.fit_languages(labelled)
-    least = langid.least_gains(labelled, models)
-    found = langid.predict_languages(packed(docs), models, keep=("row",))
+    the vocabulary's own weights that labelled documents of that language have. Noise and other languages have none.
+
+    Models and least gains come from all labelled rows. Each text is scored once: the scores are written beside the rows."""
+    models = langid.fit_languages(docs.select("doc_id", "text", "lang"), train_docs=None)
+    found = written(spark, langid.predict_languages(packed(docs), models, keep=("row",)), "languages")
+    least = langid.gain_floors(found.select("row.lang", "lang_pred", "gain"))
     enough = F.lit(False)
     for lang, gain in sorted(least.items()):
         enough = F.when(F.col("lang_pred") == lang, F.col("gain") >= gain).otherwise(enough)

@@ -10,7 +10,7 @@ beside it: by how much, in log units a byte, the predicted language explains the
 weights do, which know no language. `least_gains` learns from labelled documents how small the gain of a text may be.
 
 Fitting uses about `train_docs` documents a language (a bound on a classifier's sample; all are used where there are
-fewer); prediction covers whole texts of all rows.
+fewer), or all labelled documents where that is None; prediction covers whole texts of all rows.
 
 Cases: null text, or text without a letter, is `und` with score and gain 0, and so is everything if nothing is labelled; null
 languages aren't learned; repeated rows are predicted alike; extra columns are left out of the result; an empty table
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import quantiles
 from .common import PIECE_MODEL, gathered, remainder, schema_of, slices, written
 from .lattice import Cache, expected_counts, log_marginals, vocabulary
 
@@ -94,17 +95,19 @@ def start_model(path: str) -> np.ndarray:
     return np.where(v.used[:-1], np.exp(v.score[:-1]), 0)
 
 
-def training_rows(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[DataFrame, list[str]]:
-    """About `train_docs` labelled rows a language, by a hash of the doc_id, and the languages."""
+def training_rows(labelled: DataFrame, train_docs: int | None = TRAIN_DOCS) -> tuple[DataFrame, list[str]]:
+    """About `train_docs` labelled rows a language, by a hash of the doc_id (None: all rows), and the languages."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return labelled.limit(0), []
+    if train_docs is None:
+        return labelled, sorted(sizes)
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, train_docs / n)))), F.col("lang"))
     return labelled.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)), sorted(sizes)
 
 
-def fit_languages(labelled: DataFrame, path: str = PIECE_MODEL, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def fit_languages(labelled: DataFrame, path: str = PIECE_MODEL, train_docs: int | None = TRAIN_DOCS, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Piece probabilities by language from rows with `doc_id`, `text` and `lang`."""
     sample, names = training_rows(labelled, train_docs)
     if not names:
@@ -156,13 +159,17 @@ def predict_languages(docs: DataFrame, models: dict[str, np.ndarray], path: str
     return docs.select(*keep, F.col("text").cast("binary").alias("text_bytes")).mapInArrow(score, schema)
 
 
-def least_gains(labelled: DataFrame, models: dict[str, np.ndarray], path: str = PIECE_MODEL, train_docs: int = TRAIN_DOCS, share: float = 0.01) -> dict[str, float]:
-    """For each language, a gain that a text in it has: half of what all but `share` of the labelled rows reach that are
-    predicted so (if that is negative, half as much again below it)."""
-    sample, _ = training_rows(labelled, train_docs)
-    found = predict_languages(sample, models, path, keep=("lang",)).where("lang = lang_pred")
-    low = {r["lang"]: r["low"] for r in found.groupBy("lang").agg(F.percentile("gain", share).alias("low")).collect()}
-    return {k: x - abs(x) / 2 for k, x in low.items()}
+def least_gains(labelled: DataFrame, models: dict[str, np.ndarray], path: str = PIECE_MODEL, train_docs: int | None = TRAIN_DOCS, share: float = 0.01) -> dict[str, float]:
+    """`gain_floors` of labelled rows that are not predicted yet."""
+    rows, _ = training_rows(labelled, train_docs)
+    return gain_floors(written(labelled.sparkSession, predict_languages(rows, models, path, keep=("lang",)), "lang-gains"), share)
+
+
+def gain_floors(found: DataFrame, share: float = 0.01) -> dict[str, float]:
+    """For each language, a gain that a text in it has: half of what all but `share` of the rows (lang, lang_pred, gain) reach
+    whose language is predicted (if that is negative, half as much again below it). The quantiles are exact over all rows."""
+    low = quantiles(found.where("lang = lang_pred"), "gain", (share,), ["lang"]).collect()
+    return {r["lang"]: r["quantiles"][0] - abs(r["quantiles"][0]) / 2 for r in low}
 
 
 def op2_language(docs: DataFrame, path: str = PIECE_MODEL) -> DataFrame:
