@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,11 @@ def schema_of(docs: DataFrame, keep: Iterable[str], more: str) -> StructType:
     return StructType([docs.schema[c] for c in keep] + StructType.fromDDL(more).fields)
 
 
+def in_arrow(docs: DataFrame, make: Callable, schema: StructType) -> DataFrame:
+    """`mapInArrow` over columns known by their places, as it takes no names with quotes in them."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(make, schema)
+
+
 def remainder(column: Column, divisor: int) -> Column:
     """crc32 of the value as text modulo `divisor`; a null value counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % F.lit(divisor)

@@ -20,6 +20,7 @@ once; extra columns pass through, whatever their names (a column `ids` is replac
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE_MODEL, slices, whole_row, written
-from .lattice import NONE, Cache, Vocabulary, best_segmentations, vocabulary
+from .common import PIECE_MODEL, in_arrow, slices, whole_row, written
+from .lattice import NONE, Cache, Recent, Vocabulary, best_segmentations, vocabulary
 
-CHUNK, FAN, SHORT, TOGETHER = 32_768, 16, 2048, 32
+CHUNK, FAN, SHORT, TOGETHER, KEPT = 32_768, 16, 2048, 32, 400_000
 SEGMENT = re.compile(rb"\n| *[^ \n]+| +")
 CUT = re.compile(rb"(?<=[^ ])(?= )|(?=\n)|(?<=\n)")
 
@@ -40,8 +41,15 @@ CUT = re.compile(rb"(?<=[^ ])(?= )|(?=\n)|(?<=\n)")
 def encode_batch(texts: list[bytes | None], known: Cache) -> list[bytes | None]:
     """Ids of each text as little-endian 32-bit bytes."""
     split = [None if t is None else SEGMENT.findall(b" " + t) if t else [] for t in texts]
-    of = known.add(w for x in split if x for w in set(x))
-    return [None if x is None else b"".join([of[w] for w in x]) for x in split]
+    of = known.add(set().union(*filter(None, split)))
+    return [None if x is None else b"".join(map(of.__getitem__, x)) for x in split]
+
+
+@functools.lru_cache(1)
+def best_of(path: str) -> Recent:
+    """The best cuttings of strings that this worker has met, also in its earlier tasks."""
+    v = vocabulary(path)
+    return Recent(lambda words: best_segmentations(v, words), KEPT)
 
 
 def edges(v: Vocabulary, data: bytes) -> list[list[tuple[int, int, int]]]:
@@ -252,8 +260,7 @@ def encode(docs: DataFrame, path: str = PIECE_MODEL, chunk: int = CHUNK) -> Data
     giant = F.coalesce(F.octet_length("text") > chunk, F.lit(False))
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        known = Cache(lambda words: best_segmentations(v, words))
+        known = best_of(path)
         for batch in batches:
             out = []
             for _, texts in slices(batch, at, 256):
@@ -261,11 +268,11 @@ def encode(docs: DataFrame, path: str = PIECE_MODEL, chunk: int = CHUNK) -> Data
             ends = np.cumsum([0, *(len(x) // 4 if x else 0 for x in out)])
             flat = pa.array(np.frombuffer(b"".join([x for x in out if x]), "<i4"))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([x is None for x in out]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names)
 
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, "ids"]
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    few = docs.where(~giant).mapInArrow(small, schema)
+    few = in_arrow(docs.where(~giant), small, schema)
     keyed = docs.where(giant).select(F.sha2("text", 256).alias("t_key"), whole_row(docs).alias("row"))
     texts = keyed.groupBy("t_key").agg(F.first("row.text").alias("text"))
     many = keyed.join(encode_giant(texts, path, chunk), "t_key").select("row.*", "ids")
@@ -279,11 +286,12 @@ def decode(encoded: DataFrame, path: str = PIECE_MODEL, into: str = "text") -> D
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path).pieces
         for batch in batches:
-            rows = batch.column("ids").to_pylist()
+            rows = batch.column(at).to_pylist()
             out = [None if x is None else b"".join(map(pieces.__getitem__, x))[1:].decode("utf-8", "replace") for x in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names)
 
-    return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
+    at, names = encoded.columns.index("ids"), [*encoded.columns, into]
+    return in_arrow(encoded, texts, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def op6_encode(docs: DataFrame, path: str = PIECE_MODEL) -> DataFrame:

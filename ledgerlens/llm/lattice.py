@@ -42,6 +42,7 @@ class Vocabulary:
         self.score = np.append(np.where(weight >= least, np.log(weight / weight[weight >= least].sum()), -np.inf), -np.inf)
         # whole numbers add up to the same sum in any order, so ties are ties wherever a text is cut
         self.points = np.rint(np.where(np.isfinite(self.score), self.score, 0) * POINT).astype(np.int64)
+        self.reached = np.append(self.points[:-1], NONE)
         # a byte that is also a piece as a character keeps that piece alone; its byte piece stays for decoding
         self.ids: dict[bytes, int] = {}
         for i, piece in enumerate(self.pieces):
@@ -73,6 +74,7 @@ class Vocabulary:
             left, slot = np.delete(left, first), np.delete(slot, first)
             shared[slot] = True
             self.tables.append((salt, table, shared))
+            self.filled = self.tables[0][1] < n
             salt = np.uint64(int(salt) * int(BASE) % 2**64 | 1)
 
     @staticmethod
@@ -84,21 +86,21 @@ class Vocabulary:
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of substrings by their hash; n where there is none."""
-        out = np.full(hashes.shape, self.n, np.int32)
+        out = np.full(hashes.size, self.n, np.int32)
         rest, todo = hashes.ravel(), None
         for salt, table, shared in self.tables:
             slot = (rest * salt) >> np.uint64(64 - SLOTS)
+            if todo is None:  # most substrings meet an empty slot
+                todo = np.flatnonzero(self.filled[slot])
+                slot, rest = slot[todo], rest[todo]
             found = table[slot]
-            found[self.key[found] != rest] = self.n
-            if todo is None:
-                out = found.reshape(hashes.shape)
-            else:
-                out.ravel()[todo] = found
-            again = np.flatnonzero(shared[slot] & (found == self.n))
+            own = self.key[found] == rest
+            out[todo[own]] = found[own]
+            again = np.flatnonzero(shared[slot] & ~own)
             if not len(again):
                 break
-            todo, rest = again if todo is None else todo[again], rest[again]
-        return out
+            todo, rest = todo[again], rest[again]
+        return out.reshape(hashes.shape)
 
     def spans(self, codes: np.ndarray) -> list[np.ndarray]:
         """For k = 1, 2, ...: ids of the substrings of k bytes by row and start."""
@@ -294,19 +296,12 @@ def best_segmentations(v: Vocabulary, words: list[bytes]) -> list[bytes]:
     out: list[bytes] = [b""] * len(words)
     for part, codes in batches(words):
         ids, size = v.spans(codes), codes.shape[1]
-        _, back = _viterbi(v, ids, size)
+        piece, back = _viterbi(v, ids, size)
         rows, place = np.arange(len(part)), np.full(len(part), size)
         steps: list[np.ndarray] = []
-        live: list[np.ndarray] = []
-        while (alive := place > 0).any():
-            k = back[place, rows]
-            own = np.full(len(part), -1, np.int32)
-            for length in np.unique(k[alive]):
-                sel = np.flatnonzero(alive & (k == length))
-                own[sel] = ids[length - 1][sel, place[sel] - length]
-            steps.append(own)
-            live.append(alive)
-            place = np.where(alive, place - k, 0)
+        while place.any():
+            steps.append(piece[place, rows])
+            place = place - back[place, rows]
         table = np.stack(steps[::-1], 1).astype("<i4")
         counts = (table >= 0).sum(1)
         flat = table[table >= 0].tobytes()
@@ -318,19 +313,23 @@ def best_segmentations(v: Vocabulary, words: list[bytes]) -> list[bytes]:
 
 
 def _viterbi(v: Vocabulary, ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last piece of the best segmentation up to each position, and its length, by row; at 0 no piece (-1, 0)."""
     rows = ids[0].shape[0]
     best, back = np.full((size + 1, rows), NONE), np.zeros((size + 1, rows), np.int16)
+    piece = np.full((size + 1, rows), -1, np.int32)
     best[0] = 0
+    by_start = [np.ascontiguousarray(x.T) for x in ids]
+    found = [(x < v.n).any(1).tolist() for x in by_start]
     for i in range(1, size + 1):
         for k in range(min(i, len(ids)), 0, -1):
-            own = ids[k - 1][:, i - k]
-            sel = np.flatnonzero(own < v.n)
-            if len(sel):
-                score = best[i - k, sel] + v.points[own[sel]]
-                better = score > best[i, sel]
-                sel = sel[better]
-                best[i, sel], back[i, sel] = score[better], k
-    return best[size], back
+            if found[k - 1][i - k]:
+                own = by_start[k - 1][i - k]
+                score = best[i - k] + v.reached[own]
+                better = score > best[i]
+                np.copyto(best[i], score, where=better)
+                np.copyto(piece[i], own, where=better)
+                back[i][better] = k
+    return piece, back
 
 
 class Cache:
@@ -346,3 +345,22 @@ class Cache:
         if new:
             self.known.update(zip(new, self.make(new), strict=True))
         return self.known
+
+
+class Recent(Cache):
+    """A cache that, when it is full, forgets first what was not asked for since it was last full: frequent strings stay."""
+
+    def __init__(self, make: Callable[[list[bytes]], list], most: int = 200_000):
+        super().__init__(make, most)
+        self.older: dict = {}
+
+    def add(self, words: Iterable[bytes]) -> dict:
+        if len(self.known) > self.most // 2:
+            self.older, self.known = self.known, {}
+        new = set(words).difference(self.known)
+        kept = new.intersection(self.older)
+        self.known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        new = list(new - kept)
+        if new:
+            self.known.update(zip(new, self.make(new), strict=True))
+        return self.known
