@@ -22,6 +22,7 @@ gives an empty result.
 from __future__ import annotations
 
 import copy
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from .quality import adam, sigmoid
 PER_CLASS, WINDOW, STRIDE, HIDDEN, SEED = 2500, 32, 24, 8, 11
 MOST_BYTES = 96 << 20
 BITS, GRAMS, VECTOR, STEPS = 16, (3, 4, 5, 6, 8), 8, 600
-STATS, LONGEST, OVERLAP, CHUNK, AT_ONCE = 3, 40, max(GRAMS) - 1, 1024, 16_384
+STATS, LONGEST, OVERLAP, CHUNK, AT_ONCE, KEPT = 3, 40, max(GRAMS) - 1, 1024, 16_384, 500_000
 EDGE = b".,;:!?#$%&*|\"'()[]{}<>-_~^+=/\\"
 BUCKETS = 1 << BITS
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -341,46 +342,61 @@ def summary(z: np.ndarray, words: int) -> list[float]:
 
 
 class Scorer:
-    """Scores texts with a trained network; keeps the gate inputs of the words of a task, forgotten beyond a bound."""
+    """Scores texts with a trained network; keeps the gate inputs of the words it has met, forgotten beyond a bound."""
 
-    def __init__(self, net: Windows, most: int = 150_000):
+    def __init__(self, net: Windows, most: int = KEPT):
         self.net, self.most = copy.copy(net), most
         self.net.p = {k: p.astype(np.float32) for k, p in net.p.items()}
         self.net.word_odds, self.net.gram_odds = net.word_odds.astype(np.float32), net.gram_odds.astype(np.float32)
         self.known: dict[bytes, int] = {}
-        self.table = net.project([])
+        self.room = net.project([])
+
+    def learn(self, words: set[bytes]) -> np.ndarray:
+        """The gate inputs by `known`, with those of all `words`, and a last row of zeros."""
+        if len(self.known) > self.most:
+            self.known = {}
+        new, n = sorted(words.difference(self.known)), len(self.known)
+        need = n + len(new) + 1
+        if need > len(self.room):
+            # rows to spare, so that a table is not copied for each batch
+            grown = np.empty((need * 3 // 2, self.room.shape[1]), self.room.dtype)
+            grown[:n] = self.room[:n]
+            self.room = grown
+        self.room[n:need] = self.net.project(new)
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        return self.room[:need]
 
     def summaries(self, texts: list[bytes | None]) -> np.ndarray:
         split = [units(t or b"") for t in texts]
-        if len(self.known) > self.most:
-            self.known, self.table = {}, self.net.project([])
-        new = sorted({w for x in split for w in x} - self.known.keys())
-        if new:
-            n = len(self.known)
-            self.known.update(zip(new, range(n, n + len(new)), strict=True))
-            self.table = np.vstack([self.table[:-1], self.net.project(new)])
-        pad = len(self.table) - 1
+        table = self.learn(set().union(*split))
+        pad = len(table) - 1
         out: list[list[float]] = [[] for _ in split]
         pieces, counts = [], []
         for words in split:
             at = starts(len(words)) if words else range(0)
             counts.append(len(at))
             if words:
-                pieces.append(windows_of([self.known[w] for w in words], pad))
+                pieces.append(windows_of(list(map(self.known.__getitem__, words)), pad))
         every = np.concatenate(pieces) if pieces else np.zeros((0, WINDOW), np.int32)
-        z, at = window_logits(self.net, self.table, every), 0
+        z, at = window_logits(self.net, table, every), 0
         for i, (words, c) in enumerate(zip(split, counts, strict=True)):
             out[i] = summary(z[at : at + c], len(words))
             at += c
         return np.array(out).reshape(-1, 4)
 
 
+@functools.lru_cache(1)
+def scorer_of(net: Windows) -> Scorer:
+    """One scorer for all tasks in which a worker meets the same network."""
+    return Scorer(net)
+
+
 def summarised(rows: DataFrame, net: Windows, keep: list[str], layer: np.ndarray | None = None) -> DataFrame:
     """`keep` columns and either the four summary values or, with a document layer, score and predicted."""
     sent = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = scorer_of(sent.value)
         for batch in batches:
             parts = [scorer.summaries(texts) for _, texts in slices(batch, batch.num_columns - 1, 256)]
             x = np.vstack(parts) if parts else np.zeros((0, 4))
