@@ -6,12 +6,15 @@
    every run of l consecutive segments differs in at most floor(4 l / 5) bits: 0 in the first, 1 in the first two, 2 in
    three, 3 in four. The index takes the first two steps: a key is a segment, and the next one without one of its bits.
    Nodes that share a key are candidates, the longer runs prune them, and the full distance is the last run's.
-3. In each bucket of a key all nodes are first compared with two nodes, then with another one: a number of pairs linear in
-   the bucket's size. A bucket whose nodes are then in one component is done, whatever its size. What is left of small
-   buckets is compared in full, between components, and so are the few nodes of a large one that aren't in its main
-   component with all others. The rest goes through midpoints, without pairs: two fingerprints are linked exactly if some
-   value is at most 2 bits from both, so all nodes that can reach a value with 2 changed bits are one component; only
-   components are handed on. No link is lost by a bucket's size.
+3. Nodes that agree in two whole segments meet first, each compared with two nodes of its bucket: of five keys a node, this
+   makes most near copies one component. A bucket of the index whose nodes are in one component is then done, whatever its
+   size: it is counted, but its rows are never joined.
+4. The open buckets' rows are joined with three nodes of the bucket. Small buckets are compared in full, between components;
+   of large ones all nodes are compared with those three: a number of pairs linear in the bucket's size. What is then open
+   of a large bucket: the few nodes that aren't in its main component are compared with all others. The rest goes through
+   midpoints, without pairs: two fingerprints are linked exactly if some value is at most 2 bits from both, so all nodes
+   that can reach a value with 2 changed bits are one component; only components are handed on. No link is lost by a
+   bucket's size.
 
 Cases: null text counts as empty; a text without words has fingerprint zero and is linked like any other; fewer words than
 four are one shingle; rows that share a doc_id are one document, with the links of all its fingerprints; rows without a
@@ -85,12 +88,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def keys_of(node: Column) -> Column:
     """array of the index keys of a node: for each segment and each bit of the next one, both without that bit. A number for
     the place stands in a segment that the key leaves out; where keys of two places agree by chance, candidates are added."""
+    return masked(node, [[1 << RING[(i + 1) % SEGMENTS][0] + b for b in range(RING[(i + 1) % SEGMENTS][1])] for i in range(SEGMENTS)])
+
+
+def whole_keys(node: Column) -> Column:
+    """array of five keys: each segment with the next one, no bit left out."""
+    return masked(node, [[0]] * SEGMENTS)
+
+
+def masked(node: Column, leave_out: list[list[int]]) -> Column:
+    """Each segment with the next one, without each of the bits that `leave_out` has for it, and with a number for the place."""
     out, place = [], 0
-    for i in range(SEGMENTS):
-        start, n = RING[(i + 1) % SEGMENTS]
-        masks = [signed((segment(i) | segment(i + 1)) & ~(1 << start + b)) for b in range(n)]
-        marks = [signed((place + b) << RING[(i + 2) % SEGMENTS][0]) for b in range(n)]
-        place += n
+    for i, bits in enumerate(leave_out):
+        masks = [signed((segment(i) | segment(i + 1)) & ~bit) for bit in bits]
+        marks = [signed((place + b) << RING[(i + 2) % SEGMENTS][0]) for b in range(len(bits))]
+        place += len(bits)
         pairs = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for m, k in zip(masks, marks, strict=True)))
         out.append(F.transform(pairs, lambda x: node.bitwiseAND(x["m"]).bitwiseOR(x["k"])))
     return F.concat(*out)
@@ -121,12 +133,37 @@ def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, members, label, lead, lead_label): rows of the buckets that still hold several components, with a node of
-    the bucket that a hash chooses, so that no further join brings it to them."""
-    now, by = labelled_rows(rows, labels), F.xxhash64("node", "key")
-    several = now.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max_by("node", by).alias("lead"), F.max_by("label", by).alias("lead_label")).where("least <> most")
-    return now.join(several.drop("least", "most"), "key").select("key", "node", "members", "label", "lead", "lead_label")
+def merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """`named` (node, label) after links (a, b) between labels."""
+    labels = components(links).toDF("label", "new")
+    return written(named.sparkSession, named.join(labels, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "named")
+
+
+def between(named: DataFrame, links: DataFrame) -> DataFrame:
+    """The distinct links (a, b) between the labels of linked nodes, so that only what is new goes through further rounds."""
+    of = lambda c: named.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    found = links.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b")
+    return written(named.sparkSession, found.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "links")
+
+
+def alike(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of the nodes that agree in two whole segments to the least and the greatest node of their bucket."""
+    flat = nodes.select("node", F.explode(whole_keys(F.col("node"))).alias("key"))
+    ends = flat.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    rows = written(nodes.sparkSession, flat.join(ends, "key"), "alike")
+    return linked(rows.select(F.col("node").alias("x"), F.col("lo").alias("y")).unionAll(rows.select("node", "hi")))
+
+
+def open_buckets(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of `named` (node, label), the buckets with several labels. Of two nodes: (x, y). Of others, by node: (key, node, label,
+    members, lo, hi, lead), where lead is a node that a hash chooses."""
+    spark, by = named.sparkSession, F.xxhash64("node", "key")
+    flat = named.select("node", "label", F.explode(keys_of(F.col("node"))).alias("key"))
+    ends = F.count(F.lit(1)).alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi")
+    several = flat.groupBy("key").agg(*ends, F.min("label").alias("least"), F.max("label").alias("most"), F.max_by("node", by).alias("lead")).where("least <> most")
+    several = written(spark, several.drop("least", "most"), "buckets")
+    rows = written(spark, flat.join(several.where("members > 2"), "key"), "open")
+    return several.where("members = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y")), rows
 
 
 def minorities(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,34 +201,22 @@ def near_simhash(docs: DataFrame) -> DataFrame:
     base = written(spark, fingerprints(docs), "simhashes")
     known = base.where(F.col("doc_id").isNotNull())
     nodes = written(spark, known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    flat = nodes.select("node", F.explode(keys_of(F.col("node"))).alias("key"))
-    buckets = flat.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("members > 1")
-    buckets = written(spark, buckets, "buckets")
-    rows = written(spark, flat.join(buckets.where("members > 2"), "key"), "bucket-rows")
-    ends = buckets.select(F.col("lo").alias("x"), F.col("hi").alias("y"))
-    links = linked(ends.unionAll(rows.select("node", "lo")).unionAll(rows.select("node", "hi")))
+    links = alike(nodes)
     # rows of one doc_id with several fingerprints are one document
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     links = written(spark, links.unionAll(known.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()), "links")
-    labels = components(links)
-    left = written(spark, open_rows(rows, labels), "open")
+    named = written(spark, labelled_rows(nodes.select("node"), components(links)), "named")
+    pairs, left = open_buckets(named)
     small = left.where(F.col("members") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "label")).alias("m"))
-    pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("x"), y["node"].alias("y")))))).alias("p")).select("p.x", "p.y")
-    # another leader for the large buckets that aren't one component yet
+    full = small.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("x"), y["node"].alias("y")))))).alias("p")).select("p.x", "p.y")
     large = left.where(F.col("members") > SMALL)
-    again = large.where("label <> lead_label").select(F.col("node").alias("x"), F.col("lead").alias("y"))
-    links = links.unionAll(written(spark, linked(pairs.unionAll(again)), "links"))
-    labels = components(links)
-    few, rest = minorities(large.select("key", "node"), labels)
-    links = links.unionAll(written(spark, few, "links"))
-    rest = written(spark, rest, "rest")
-    if rest.isEmpty():
-        labels = components(links)
-    else:
-        links = links.unionAll(by_midpoints(rest))
-        labels = components(links)
+    led = large.select(F.col("node").alias("x"), F.explode(F.array("lo", "hi", "lead")).alias("y"))
+    named = merged(named, between(named, linked(pairs.unionAll(full).unionAll(led))))
+    few, rest = minorities(large.select("key", "node"), named)
+    links, rest = between(named, few), written(spark, rest, "rest")
+    named = merged(named, links if rest.isEmpty() else links.unionAll(by_midpoints(rest)))
     # a component's id is the least doc_id of its nodes
-    of = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = nodes.join(named, "node")
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     ids = of.select("node", "label").join(least, "label").select("node", "component_id")
     out = base.join(ids, "node", "left")
