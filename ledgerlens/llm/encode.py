@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -279,16 +280,38 @@ def encode(docs: DataFrame, path: str = PIECE_MODEL, chunk: int = CHUNK) -> Data
     return few.unionAll(many)
 
 
+@functools.lru_cache(1)
+def piece_bytes(path: str) -> pa.Array:
+    return pa.array(vocabulary(path).pieces, pa.large_binary())
+
+
+def texts_of(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The text of each list of ids, without the space before it: all pieces are taken at once, one behind the other."""
+    taken = pieces.take(ids.flatten())
+    at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    ends = at[np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())])]
+    data = np.frombuffer(taken.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    some = np.diff(ends) > 0
+    data = np.delete(data, ends[:-1][some] - ends[0])
+    ends = np.append(0, np.cumsum(np.diff(ends) - some))
+    out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    if ids.null_count:
+        out = pc.if_else(ids.is_null(), pa.scalar(None, pa.large_binary()), out)
+    try:
+        return out.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that aren't UTF-8
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+
+
 def decode(encoded: DataFrame, path: str = PIECE_MODEL, into: str = "text") -> DataFrame:
     """Adds or replaces the column `into` with the text of `ids`; null ids give null."""
     encoded = encoded.drop(into)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(path).pieces
+        pieces = piece_bytes(path)
         for batch in batches:
-            rows = batch.column(at).to_pylist()
-            out = [None if x is None else b"".join(map(pieces.__getitem__, x))[1:].decode("utf-8", "replace") for x in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names)
+            out = [texts_of(batch.column(at).slice(a, 256), pieces) for a in range(0, batch.num_rows, 256)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(out) if out else pa.array([], pa.string())], names)
 
     at, names = encoded.columns.index("ids"), [*encoded.columns, into]
     return in_arrow(encoded, texts, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
