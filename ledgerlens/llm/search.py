@@ -13,7 +13,10 @@ Queries run together over stretches of 16 and then 128 blocks, in order of the r
    threshold, can't lift a row to it alone: only rows with a term at or behind the pivot are candidates, and their
    scores from those terms are summed from the postings of the blocks left.
 3. A candidate whose score plus the block maxima of the terms before the pivot is under the threshold is dropped. Only
-   for the rest are the postings of those terms looked up.
+   for the rest are the postings of those terms looked up, or, where many rows are left, taken by a matrix product.
+
+What is the same for many queries is done for all of them at once (block bounds, frequent terms); postings of other terms
+are joined and summed query by query, in arrays as long as one stretch: memory that a query writes stays in the cache.
 
 Every step compares bounds that no score exceeds, so nothing is lost. The shards' best k are merged by score.
 
@@ -43,6 +46,10 @@ K1, B, TOP, EVERY = 1.2, 0.75, 10, 20
 #: A shard holds about so many rows and bytes; a task answers about so many queries with one copy of a shard's index.
 SHARD, SHARD_BYTES, TASK_QUERIES = 16_384, 16 << 20, 65_536
 BLOCK, FIRST, BLOCKS, QUERIES = 128, 16, 128, 256
+#: So many queries share one product with the frequent terms.
+TOGETHER = 32
+#: With more than this share of a stretch's rows left, the terms before the pivot are a product too.
+MANY = 1 / 16
 #: Terms in at least this share of a stretch's rows are scored by a matrix product.
 FREQUENT = 1 / 16
 #: Bounds are sums in another order than scores, and scores are rounded.
@@ -81,6 +88,10 @@ def expanded(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return which, np.arange(len(which)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+def joined(x: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
+    return np.concatenate([x[a:b] for a, b in parts])
+
+
 class ShardIndex:
     """Postings with weights in one piece, cut into runs of one term and one block of rows with their greatest weight.
 
@@ -89,7 +100,7 @@ class ShardIndex:
 
     def __init__(self, postings: list[tuple[bytes, int, bytes, bytes]], total: int, mean: float):
         first = next(p for p in postings if p[0] == b"")
-        self.conv, self.turn, self.copies = pickle.loads(first[2])
+        self.conv, self.turn, self.copies = (pa.array(x, pa.int64()) for x in pickle.loads(first[2]))
         sizes = np.frombuffer(first[3], np.int32)
         self.n = len(sizes)
         norm = K1 * (1 - B + B * sizes / mean) if mean else np.full(self.n, K1)
@@ -109,92 +120,128 @@ class ShardIndex:
         self.run_max = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
         self.run_of = np.searchsorted(begin, self.starts)
         self.blocks = blocks
-        self.seed: dict[tuple[int, int], float] = {}
+        self.seed: dict[int, np.ndarray] = {}
         self.cuts: dict[int, np.ndarray] = {}
+        self.often: dict[int, tuple[np.ndarray, ...]] = {}
+        self.held = [np.zeros(0, np.float32)] * 2
         self.counting, self.all_postings, self.scored = False, 0, 0
 
-    def kth(self, term: int, top: int) -> float:
-        """The `top`-th greatest weight of a term: a query with it has that many rows of at least this score."""
-        if (term, top) not in self.seed:
-            w = self.weight[self.starts[term] : self.starts[term + 1]]
-            self.seed[term, top] = float(np.partition(w, -top)[-top]) if len(w) >= top else 0.0
-        return self.seed[term, top]
+    def kth(self, top: int) -> np.ndarray:
+        """The `top`-th greatest weight of each term: a query with it has that many rows of at least this score."""
+        if top not in self.seed:
+            self.seed[top] = np.zeros(len(self.starts) - 1)
+            for t in np.flatnonzero(np.diff(self.starts) >= top).tolist():
+                self.seed[top][t] = np.partition(self.weight[self.starts[t] : self.starts[t + 1]], -top)[-top]
+        return self.seed[top]
 
     def stretches(self) -> Iterator[tuple[int, int]]:
         """(first block, blocks): a short stretch first, after which thresholds are near their end."""
         a, n = 0, FIRST
         while a < self.blocks:
-            yield a, n
+            yield a, min(n, self.blocks - a)
             a, n = a + n, BLOCKS
 
     def search(self, queries: list[dict[bytes, int]], top: int) -> list[list[tuple[float, int]]]:
         """(score, row) of the best rows of each query, best first."""
         n_q = len(queries)
-        pairs = [(q, self.place[w], k) for q, words in enumerate(queries) for w, k in words.items() if w in self.place]
-        q_of, term, uses = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        term = np.fromiter((self.place.get(w, -1) for words in queries for w in words), np.int64)
+        uses = np.fromiter((k for words in queries for k in words.values()), np.int64)
+        q_of, term, uses = (x[term >= 0] for x in (np.repeat(np.arange(n_q), [len(words) for words in queries]), term, uses))
         least = np.zeros(n_q)
-        np.maximum.at(least, q_of, np.array([k * self.kth(t, top) for _, t, k in pairs]))
+        np.maximum.at(least, q_of, self.kth(top)[term] * uses)
         least -= SLACK
         best: list[list[tuple[float, int]]] = [[] for _ in queries]
+        pivots = np.ones(n_q, bool)
         for a, blocks in self.stretches():
-            per = blocks * BLOCK
-            # the runs of each (query, term) in this stretch
-            lo, hi = self.runs(term, a), self.runs(term, a + blocks)
-            size = self.run_start[hi] - self.run_start[lo]
-            pair, run = expanded(lo, hi - lo)
-            self.all_postings += int(size.sum())
-            q, block, bound = q_of[pair], self.run_block[run] - a, self.run_max[run] * uses[pair]
-            whole = np.bincount(q * blocks + block, bound, n_q * blocks).reshape(n_q, blocks)
-            live = (whole > 0) & (whole * OVER >= least[:, None])
-            if not live.any():
-                continue
-            often = size >= FREQUENT * per
-            before = self.before_pivot(q_of, pair, bound, often, least)
-            live_run = live[q, block]
-            # rows of few terms: postings of the blocks left, in one piece where all of a query's blocks are left
-            all_left = (live | (whole <= 0)).all(1)[q_of]
-            few, part = np.flatnonzero(~often & all_left & (size > 0)), np.flatnonzero(live_run & ~(often | all_left)[pair])
-            first = np.concatenate([self.run_start[lo[few]], self.run_start[run[part]]])
-            owner = np.concatenate([few, pair[part]])
-            piece, at = expanded(first, np.concatenate([size[few], self.run_start[run[part] + 1] - self.run_start[run[part]]]))
-            self.scored += len(at)
-            cell = (q_of[owner] * per - a * BLOCK)[piece]
-            cell += self.rows[at]
-            value = self.weight[at]
-            value *= uses[owner].astype(float)[piece]
-            score = np.bincount(cell, value, n_q * per).reshape(n_q, per)
-            # frequent terms: a product of weights, first of those behind the pivot
-            kinds, own = np.unique(term[often], return_inverse=True)
-            dense = self.dense(kinds, a, blocks)
-            weights = np.zeros((n_q, len(kinds)))
-            weights[q_of[often], own] = uses[often]
-            late = weights.copy()
-            late[q_of[often & before], np.searchsorted(kinds, term[often & before])] = 0
-            early, low = (weights - late).astype(np.float32), np.flatnonzero(before[pair] & live_run)
-            rest = np.bincount(q[low] * blocks + block[low], bound[low], n_q * blocks).reshape(n_q, blocks)
-            # 32 bits tell which rows can reach the threshold; their scores are made in 64 bits
-            near, dense32 = score.astype(np.float32), dense.astype(np.float32)
-            near += late.astype(np.float32) @ dense32
-            self.scored += int(size[often & ~before].sum())
-            error = 1.2e-7 * (np.bincount(q_of, minlength=n_q) + 4) * whole.max(1) + 1e-6
-            floor = np.where(live, least[:, None] - error[:, None] - rest * OVER, np.inf)
-            floor = np.maximum(floor, 1e-30).astype(np.float32)
-            alive = (near.reshape(n_q, blocks, BLOCK) >= floor[:, :, None]).reshape(n_q, per)
-            for i in np.flatnonzero(alive.any(1)):
-                found, used = np.flatnonzero(alive[i]), np.flatnonzero(early[i])
-                row = near[i, found]
-                if len(used):
-                    part = dense32[np.ix_(used, found)]
-                    row = row + early[i, used] @ part
+            self.search_stretch(a, blocks, (q_of, term, uses), least, pivots, best, top)
+        return best
+
+    def search_stretch(self, a: int, blocks: int, pairs: tuple[np.ndarray, ...], least: np.ndarray, pivots: np.ndarray, best: list[list[tuple[float, int]]], top: int) -> None:
+        """Brings `best` and the thresholds `least` up to the rows of a stretch; `pairs`: (query, term, uses), by query. Queries
+        whose pivot left many rows have none (`pivots`) from the next stretch on: all their frequent terms are one product."""
+        (q_of, term, uses), n_q, per = pairs, len(best), blocks * BLOCK
+        # the runs of each (query, term) in this stretch
+        lo, hi = self.runs(term, a), self.runs(term, a + blocks)
+        first, size = self.run_start[lo], self.run_start[hi] - self.run_start[lo]
+        self.all_postings += int(size.sum())
+        # frequent terms: a product of weights, first of those behind the pivot
+        kinds, dense, dense32, usual, most = self.frequent(a, blocks)
+        often = size >= FREQUENT * per
+        asks, own, use = q_of[often], np.searchsorted(kinds, term[often]), uses[often].astype(float)
+        high = most.max(1)[np.searchsorted(usual, term[often])] if len(asks) else np.zeros(0)
+        before = self.before_pivot(asks, use * high, least) & pivots[asks]
+        late32, early = np.zeros((n_q, len(kinds)), np.float32), np.zeros((n_q, len(kinds)))
+        late32[asks[~before], own[~before]] = use[~before]
+        early[asks[before], own[before]] = use[before]
+        early32 = early.astype(np.float32)
+        late_size, early_size = (np.bincount(asks[x], size[often][x], n_q).astype(int) for x in (~before, before))
+        rests = early @ most[np.searchsorted(usual, kinds)]
+        # bounds of blocks: a product for terms with a row a block, and the other terms' runs
+        common = size >= blocks
+        bounding = np.zeros((n_q, len(usual)))
+        bounding[q_of[common], np.searchsorted(usual, term[common])] = uses[common]
+        few, rare = np.flatnonzero(~often & (size > 0)), np.flatnonzero(~common & (size > 0))
+        pair, run = expanded(lo[rare], (hi - lo)[rare])
+        cell = (q_of[rare] * blocks - a)[pair] + self.run_block[run]
+        bounds = bounding @ most + np.bincount(cell, self.run_max[run] * uses[rare][pair], n_q * blocks).reshape(n_q, blocks)
+        # 32 bits tell which rows can reach the threshold; their scores are made in 64 bits
+        error = 1.2e-7 * (np.bincount(q_of, minlength=n_q) + 4) * bounds.max(1) + 1e-6
+        live = (bounds > 0) & (bounds * OVER >= least[:, None])
+        floor = np.where(live, np.maximum((least - error)[:, None] - rests * OVER, 1e-30), np.inf).astype(np.float32)
+        self.scored += int(late_size[live.any(1)].sum())
+        # whether no postings of the query are in blocks left out, and whether it uses a word of few rows twice
+        all_left, twice = (live | (bounds <= 0)).all(1).tolist(), np.zeros(n_q, np.int64)
+        np.maximum.at(twice, q_of[few], uses[few])
+        asking, twice = live.any(1).tolist(), (twice > 1).tolist()
+        often_cut, few_cut = (np.searchsorted(x, np.arange(n_q + 1)).tolist() for x in (asks, q_of[few]))
+        places = list(zip(first[few].tolist(), (first + size)[few].tolist(), strict=True))
+        for g in range(0, n_q, TOGETHER):
+            n = min(TOGETHER, n_q - g)
+            near, scores = np.matmul(late32[g : g + n], dense32, out=self.room(0, n, per)), {}
+            # rows of few terms, query by query: what is held at a time stays small
+            for i in range(g, g + n):
+                some = slice(few_cut[i], few_cut[i + 1])
+                if not asking[i] or not places[some]:
+                    continue
+                if all_left[i]:
+                    row, value = joined(self.rows, places[some]), joined(self.weight, places[some])
+                    if twice[i]:
+                        value *= np.repeat(uses[few[some]], size[few[some]])
+                else:
+                    owner, run = expanded(lo[few[some]], (hi - lo)[few[some]])
+                    keep = live[i][self.run_block[run] - a]
+                    owner, run = owner[keep], run[keep]
+                    piece, at = expanded(self.run_start[run], self.run_start[run + 1] - self.run_start[run])
+                    row, value = self.rows[at], self.weight[at] * uses[few[some]][owner[piece]]
+                self.scored += len(row)
+                scores[i] = np.bincount(row - a * BLOCK, value, per)
+                near[i - g] += scores[i]
+            cell = np.flatnonzero(near.reshape(n, blocks, BLOCK) >= floor[g : g + n, :, None])
+            ends = np.searchsorted(cell, np.arange(n + 1) * per).tolist()
+            left = [(i, cell[x:y] - (i - g) * per) for i, x, y in zip(range(g, g + n), ends, ends[1:]) if y > x]
+            # terms before the pivot: looked up for the rows left, or in one product where these are many
+            many = [i for i, found in left if early_size[i] and len(found) > per * MANY]
+            pivots[many] = False
+            more = dict(zip(many, np.matmul(early32[many], dense32, out=self.room(1, len(many), per)), strict=True)) if many else {}
+            for i, found in left:
+                row = near[i - g][found]
+                if i in more:
+                    row += more[i][found]
+                    self.scored += int(early_size[i])
+                elif early_size[i]:
+                    used = np.flatnonzero(early32[i])
+                    part = dense32[used[:, None], found]
+                    row += early32[i, used] @ part
                     if self.counting:
                         self.scored += int(np.count_nonzero(part))
                 found = found[row >= self.level(row, least[i], error[i], top)]
-                used = np.flatnonzero(weights[i])
-                row = (score[i, found] + weights[i, used] @ dense[np.ix_(used, found)]).round(6)
-                best[i] = self.merged(best[i], found + a * BLOCK, row, top)
+                some = slice(often_cut[i], often_cut[i + 1])
+                row = use[some] @ dense[own[some, None], found]
+                if i in scores:
+                    row += scores[i][found]
+                best[i] = self.merged(best[i], found + a * BLOCK, row.round(6), top)
                 if len(best[i]) == top:
                     least[i] = max(least[i], best[i][-1][0] - SLACK)
-        return best
 
     @staticmethod
     def level(near: np.ndarray, least: float, error: float, top: int) -> float:
@@ -213,18 +260,36 @@ class ShardIndex:
         return sorted(best + list(zip(row.tolist(), found.tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:top]
 
     @staticmethod
-    def before_pivot(q_of: np.ndarray, pair: np.ndarray, bound: np.ndarray, often: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Whether a (query, term) stands before its query's pivot: frequent terms from the lowest bound up, as long as
-        their sum is under the threshold."""
-        high = np.zeros(len(q_of))
-        np.maximum.at(high, pair, bound)
-        order = np.lexsort((np.where(often, high, np.inf), q_of))
+    def before_pivot(q_of: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether a frequent (query, term) of bound `high` stands before its query's pivot: from the lowest bound up, as long
+        as their sum is under the threshold."""
+        order = np.lexsort((high, q_of))
         total = np.append(0, np.cumsum(high[order]))
         start = np.searchsorted(q_of[order], q_of[order])
         before = np.zeros(len(q_of), bool)
-        before[order] = often[order] & ((total[1:] - total[start]) * OVER + 1e-6 < least[q_of[order]])
+        before[order] = (total[1:] - total[start]) * OVER + 1e-6 < least[q_of[order]]
         return before
 
+    def room(self, which: int, n: int, per: int) -> np.ndarray:
+        """The same memory each time: fresh pages cost more than what is written to them."""
+        if self.held[which].size < n * per:
+            self.held[which] = np.empty(n * per, np.float32)
+        return self.held[which][: n * per].reshape(n, per)
+
+    def frequent(self, a: int, blocks: int) -> tuple[np.ndarray, ...]:
+        """Of a stretch: the terms in a share FREQUENT of its rows, their weights in 64 and in 32 bits; the terms with a row
+        a block, and their greatest weight in each block."""
+        if a not in self.often:
+            every = np.arange(len(self.starts) - 1)
+            lo, hi = self.runs(every, a), self.runs(every, a + blocks)
+            size = self.run_start[hi] - self.run_start[lo]
+            kinds, usual = np.flatnonzero(size >= FREQUENT * blocks * BLOCK), np.flatnonzero(size >= blocks)
+            dense, most = self.dense(kinds, a, blocks), np.zeros((len(usual), blocks))
+            which, run = expanded(lo[usual], (hi - lo)[usual])
+            most[which, self.run_block[run] - a] = self.run_max[run]
+            self.often[a] = kinds, dense, dense.astype(np.float32), usual, most
+        return self.often[a]
+
     def runs(self, term: np.ndarray, block: int) -> np.ndarray:
         """The first run of each term at or after a block."""
         if block not in self.cuts:
@@ -274,11 +339,12 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
 
         def hits() -> pa.RecordBatch:
             found = own.search([Counter((t or b"").lower().split()) for *_, t in held], top)
-            out = [(c, n, xxhash.xxh3_64_intdigest(t or b"") >> 1, own.conv[d], own.turn[d], own.copies[d], s) for (c, n, t), some in zip(held, found, strict=True) for s, d in some]
+            asks = [(c, n, xxhash.xxh3_64_intdigest(t or b"") >> 1) for c, n, t in held]
             held.clear()
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64()] * 6 + [pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "turn", "asked", "hit_conv_id", "hit_turn", "copies", "score"])
+            which = pa.array(np.repeat(np.arange(len(asks)), [len(some) for some in found]))
+            row, score = pa.array([d for some in found for _, d in some], pa.int64()), pa.array([s for some in found for s, _ in some], pa.float64())
+            cols = [pa.array(x, pa.int64()).take(which) for x in zip(*asks, strict=True)] + [x.take(row) for x in (own.conv, own.turn, own.copies)]
+            return pa.RecordBatch.from_arrays([*cols, score], ["conv_id", "turn", "asked", "hit_conv_id", "hit_turn", "copies", "score"])
 
         import xxhash
 
