@@ -110,10 +110,16 @@ def velocity_zscore(count_day: str, mean_daily: str, std_daily: str) -> Column:
     return (F.col(count_day) - F.col(mean_daily)) / F.greatest(F.col(std_daily), F.lit(1.0))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers have it: by zero it is infinite or, of zero or NaN, NaN, and no error."""
+    by_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
+
+
 def escalation(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
     """Largest amount of a day against the mean of thirty, and the amount against the week's largest."""
     out = stretched(df, key, t, 30 * DAY, {"v_top": (DAY, 0, F.max(value)), "v_mean": (30 * DAY, 1, F.avg(value)), "v_week": (7 * DAY, 0, F.max(value))})
-    made = {"escalation": F.col("v_top") / F.greatest(F.coalesce("v_mean", F.lit(1.0)), F.lit(1.0)), "vs_week_max": F.col(value) / F.col("v_week")}
+    made = {"escalation": F.col("v_top") / F.greatest(F.coalesce("v_mean", F.lit(1.0)), F.lit(1.0)), "vs_week_max": quotient(F.col(value), F.col("v_week"))}
     return out.withColumns(made).drop("v_top", "v_mean", "v_week")
 
 

@@ -404,7 +404,9 @@ def _v8(s: SparkSession, d: str) -> DataFrame:
 
 @query("v15_escalation", f"WITH {EVENTS} SELECT event_id, round(max(value) OVER d / greatest(coalesce(avg(value) OVER m, 1.0), 1.0), 4) AS escalation, round(value / max(value) OVER w, 4) AS vs_week_max FROM e WINDOW d AS (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW), m AS (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING), w AS (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)")
 def _v15(s: SparkSession, d: str) -> DataFrame:
-    return rounded(velocity.escalation(events(s, d), "user_id", "t_us", "value"), 4, "event_id", "escalation", "vs_week_max")
+    out = velocity.escalation(events(s, d), "user_id", "t_us", "value")
+    # quotients of cents often lie halfway between two digits: rounded as the SQL's engine does, by whole ten thousandths
+    return out.select("event_id", *((F.round(F.col(c) * 1e4) / 1e4).alias(c) for c in ("escalation", "vs_week_max")))
 
 
 @query("a31_share_shift", f"WITH {EVENTS} SELECT event_id, round(avg(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) - avg(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS share_shift FROM e")
