@@ -119,19 +119,25 @@ def _plan2(s: SparkSession, d: str) -> DataFrame:
 # the events as transactions with a sparse identity table
 _IDS = "CASE WHEN user_id % 9 > 0 THEN 'e' || user_id % 20 || '.org' END AS email, event_type AS product, CASE WHEN event_id % 5 > 0 THEN 'd' || user_id % 7 END AS device, CAST(user_id % 30 AS BIGINT) AS address, 'n' || k % 3 AS network, CASE WHEN k % 4 = 0 THEN 'x' || k % 8 END AS id_a, CASE WHEN k % 6 = 0 THEN CAST(k AS DOUBLE) END AS id_b"
 _PHASE = {f"txn_{n}_{f}": f"{f}(({e}) * 2 * pi() / {p})" for n, e, p in (("hour", "(t_us / 3600000000.0) % 24", 24), ("dow", "(t_us / 86400000000.0) % 7", 7)) for f in ("sin", "cos")}
+_FILLED_PHASE = {n: f"coalesce({e}, -1)" for n, e in _PHASE.items()}
 _NUMBERS = ("value", "card", "address", "id_b")
 _SQUARE = {c: f"pow((coalesce(u.{c}, 0) - {c}_m) / greatest({c}_s, 0.001), 2)" for c in _NUMBERS}
 _ROUND = ", ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END AS {n}" for n, c in (("amt_is_round_10", "round(value % 10, 6) < 0.01"), ("amt_is_round_100", "round(value % 100, 6) < 0.01"), ("amt_has_cents", "round((value * 100) % 100, 4) > 0.5"), ("amt_below_100", "value >= 95 AND value < 100"), ("amt_below_1000", "value >= 990 AND value < 1000")))
 _PRESENT = "CASE WHEN id_a IS NOT NULL OR id_b IS NOT NULL THEN 1 ELSE 0 END AS id_cluster_present"
 
-_IDENTITY = f"""WITH {SPLIT}, p AS (SELECT *, CAST(k AS BIGINT) AS card, {_IDS} FROM s), u AS (SELECT *, card || '_' || address AS uid FROM p), tr AS (SELECT * FROM u WHERE split = 'train'), w AS (SELECT avg(label) AS g FROM tr),
+# NaN is null, as `normalise` has it
+_CLEAN = "* REPLACE (CASE WHEN NOT isnan(value) THEN value END AS value)"
+# `uid` takes a null as the text nan; `numeric_only` fills nulls of numbers that go out
+_FILLED = "coalesce(u.card, -1) AS card, coalesce(u.address, -1) AS address, coalesce(t_us, -1) AS t_us"
+
+_IDENTITY = f"""WITH {SPLIT}, p AS (SELECT {_CLEAN}, CAST(k AS BIGINT) AS card, {_IDS} FROM s), u AS (SELECT *, coalesce(CAST(card AS VARCHAR), 'nan') || '_' || coalesce(CAST(address AS VARCHAR), 'nan') AS uid FROM p), tr AS (SELECT * FROM u WHERE split = 'train'), w AS (SELECT avg(label) AS g FROM tr),
 te AS (SELECT coalesce(device, '~') AS key, (sum(label) + 20 * any_value(g)) / (count(*) + 20) AS te FROM tr, w GROUP BY 1),
 us AS (SELECT uid, avg(value) AS um, coalesce(stddev_samp(value), 0) AS us, min(value) AS ulo, max(value) AS uhi, count(value) AS un, count(DISTINCT email) AS ue, count(DISTINCT product) AS up FROM tr GROUP BY 1),
 g0 AS (SELECT card, t_us, (t_us - lag(t_us) OVER (PARTITION BY card ORDER BY t_us, event_id)) / 1e6 AS gap FROM tr),
 gp AS (SELECT card, coalesce(median(gap), 0) AS g1, coalesce(stddev_samp(gap), 0) AS g2, coalesce(min(gap), 0) AS g3, count(*) FILTER (gap < 60) AS g4, count(gap) / greatest((max(t_us) - min(t_us)) / 86400e6, 1.0) AS g5 FROM g0 GROUP BY 1),
 z AS (SELECT {', '.join(f"avg(coalesce({c}, 0)) AS {c}_m, coalesce(stddev_samp(coalesce({c}, 0)), 0) AS {c}_s" for c in _NUMBERS)} FROM tr)
-SELECT event_id AS row_id, u.card, u.address, t_us, split, label, {_PRESENT}, coalesce(un, 1) AS uid_count, coalesce(ue, -1) AS uid_email_distinct, coalesce(up, -1) AS uid_prod_distinct, coalesce(g4, 0) AS v_burst, {_ROUND},
-  {digits(amount='value', id_b='coalesce(id_b, -1)', device_te='coalesce(te, w.g)', product_freq_enc='coalesce(fp, 0)', email_freq_enc='coalesce(fe, 0)', uid_amt_mean='coalesce(um, -1)', uid_amt_std='coalesce(us, -1)', uid_amt_min='coalesce(ulo, -1)', uid_amt_max='coalesce(uhi, -1)', v_median_gap='coalesce(g1, 0)', v_std_gap='coalesce(g2, 0)', v_min_gap='coalesce(g3, 0)', v_daily_rate='coalesce(g5, 0)', anomaly_mahalanobis='sqrt(' + ' + '.join(_SQUARE.values()) + ')', anomaly_max_zscore='greatest(' + ', '.join(_SQUARE.values()) + ')', log_amount='ln(1 + value)', amt_cents='round((value * 100) % 100, 4)', **_PHASE)}
+SELECT event_id AS row_id, {_FILLED}, split, label, {_PRESENT}, coalesce(un, 1) AS uid_count, coalesce(ue, -1) AS uid_email_distinct, coalesce(up, -1) AS uid_prod_distinct, coalesce(g4, 0) AS v_burst, {_ROUND},
+  {digits(amount='coalesce(value, -1)', id_b='coalesce(id_b, -1)', device_te='coalesce(te, w.g)', product_freq_enc='coalesce(fp, 0)', email_freq_enc='coalesce(fe, 0)', uid_amt_mean='coalesce(um, -1)', uid_amt_std='coalesce(us, -1)', uid_amt_min='coalesce(ulo, -1)', uid_amt_max='coalesce(uhi, -1)', v_median_gap='coalesce(g1, 0)', v_std_gap='coalesce(g2, 0)', v_min_gap='coalesce(g3, 0)', v_daily_rate='coalesce(g5, 0)', anomaly_mahalanobis='sqrt(' + ' + '.join(_SQUARE.values()) + ')', anomaly_max_zscore='greatest(' + ', '.join(_SQUARE.values()) + ')', log_amount='coalesce(ln(1 + value), -1)', amt_cents='coalesce(round((value * 100) % 100, 4), -1)', **_FILLED_PHASE)}
 FROM u LEFT JOIN te ON te.key = coalesce(u.device, '~') LEFT JOIN us ON us.uid = u.uid LEFT JOIN gp ON gp.card = u.card LEFT JOIN {_FRQ('product', 'fp')} a ON a.product = u.product LEFT JOIN {_FRQ('email', 'fe')} b ON b.email = u.email, w, z"""
 
 _IDENTITY_CONFIG = {"categoricals": ("product", "email"), "target_encoded": ("device",), "uid": ("card", "address"), "identity": ("id_a", "id_b"), "interactions": (("device", "network"),)}
