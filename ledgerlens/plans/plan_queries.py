@@ -159,13 +159,13 @@ def _plan3(s: SparkSession, d: str) -> DataFrame:
 
 _BY = lambda key, name: f"(SELECT {key}, avg(value) AS {name}m, coalesce(stddev_samp(value), 0) AS {name}_sd, count(value) AS {name}n FROM tr WHERE {key} IS NOT NULL GROUP BY 1)"
 
-_MODAL = f"""WITH {SPLIT}, u AS (SELECT *, CAST(k AS BIGINT) AS card, {_IDS} FROM s), tr AS (SELECT * FROM u WHERE split = 'train'),
+_MODAL = f"""WITH {SPLIT}, u AS (SELECT {_CLEAN}, CAST(k AS BIGINT) AS card, {_IDS} FROM s), tr AS (SELECT * FROM u WHERE split = 'train'),
 cd AS (SELECT card, count(DISTINCT email) AS ne, count(DISTINCT device) AS nd, count(DISTINCT address) AS na FROM tr GROUP BY 1),
 md AS (SELECT card, device AS usual FROM (SELECT *, row_number() OVER (PARTITION BY card ORDER BY n DESC, device) AS rn FROM (SELECT card, device, count(*) AS n FROM tr WHERE device IS NOT NULL GROUP BY ALL)) WHERE rn = 1),
 pr AS (SELECT DISTINCT card, email FROM tr WHERE email IS NOT NULL), ia AS (SELECT coalesce(device, '~') AS a, coalesce(network, '~') AS b, count(*) / (SELECT count(*) FROM tr) AS f FROM tr GROUP BY ALL)
-SELECT event_id AS row_id, u.card, u.address, t_us, split, label, {_PRESENT}, coalesce(ne, 0) AS card_n_email, coalesce(nd, 0) AS card_n_device, coalesce(na, 0) AS card_n_addr, coalesce(cn, 0) AS card_amt_count, coalesce(an, 0) AS addr_amt_count,
+SELECT event_id AS row_id, {_FILLED}, split, label, {_PRESENT}, coalesce(ne, 0) AS card_n_email, coalesce(nd, 0) AS card_n_device, coalesce(na, 0) AS card_n_addr, coalesce(cn, 0) AS card_amt_count, coalesce(an, 0) AS addr_amt_count,
   CASE WHEN pr.card IS NULL THEN 1 ELSE 0 END AS card_email_is_new, CASE WHEN u.device = usual THEN 1 ELSE 0 END AS is_modal_device, CASE WHEN round(value % 1, 6) = 0 THEN 1 ELSE 0 END AS amt_is_round,
-  {digits(amount='value', id_b='coalesce(id_b, -1)', card_amt_mean='coalesce(cm, -1)', card_amt_std='coalesce(c_sd, -1)', net_amt_mean='coalesce(nm, -1)', net_amt_std='coalesce(n_sd, -1)', addr_amt_mean='coalesce(am, -1)', addr_amt_std='coalesce(a_sd, -1)', email_amt_mean='coalesce(em, -1)', card_amt_zscore='coalesce((value - cm) / greatest(c_sd, 0.01), -1)', card_amt_ratio='coalesce(value / greatest(cm, 0.01), -1)', net_amt_zscore='coalesce((value - nm) / greatest(n_sd, 0.01), -1)', addr_amt_zscore='coalesce((value - am) / greatest(a_sd, 0.01), -1)', email_amt_ratio='coalesce(value / greatest(em, 0.01), -1)', amt_log='ln(1 + value)', amt_cents='round(value % 1, 6)', device_network_freq='coalesce(ia.f, 0)', product_freq_enc='coalesce(fp, 0)', email_freq_enc='coalesce(fe, 0)', **_PHASE).replace('greatest(cm, 0.01), -1', 'CASE WHEN cm IS NOT NULL THEN greatest(cm, 0.01) END, -1').replace('greatest(em, 0.01), -1', 'CASE WHEN em IS NOT NULL THEN greatest(em, 0.01) END, -1')}
+  {digits(amount='coalesce(value, -1)', id_b='coalesce(id_b, -1)', card_amt_mean='coalesce(cm, -1)', card_amt_std='coalesce(c_sd, -1)', net_amt_mean='coalesce(nm, -1)', net_amt_std='coalesce(n_sd, -1)', addr_amt_mean='coalesce(am, -1)', addr_amt_std='coalesce(a_sd, -1)', email_amt_mean='coalesce(em, -1)', card_amt_zscore='coalesce((value - cm) / greatest(c_sd, 0.01), -1)', card_amt_ratio='coalesce(value / greatest(cm, 0.01), -1)', net_amt_zscore='coalesce((value - nm) / greatest(n_sd, 0.01), -1)', addr_amt_zscore='coalesce((value - am) / greatest(a_sd, 0.01), -1)', email_amt_ratio='coalesce(value / greatest(em, 0.01), -1)', amt_log='coalesce(ln(1 + value), -1)', amt_cents='coalesce(round(value % 1, 6), -1)', device_network_freq='coalesce(ia.f, 0)', product_freq_enc='coalesce(fp, 0)', email_freq_enc='coalesce(fe, 0)', **_FILLED_PHASE).replace('greatest(cm, 0.01), -1', 'CASE WHEN cm IS NOT NULL THEN greatest(cm, 0.01) END, -1').replace('greatest(em, 0.01), -1', 'CASE WHEN em IS NOT NULL THEN greatest(em, 0.01) END, -1')}
 FROM u LEFT JOIN cd ON cd.card = u.card LEFT JOIN md ON md.card = u.card LEFT JOIN pr ON pr.card = u.card AND pr.email = u.email LEFT JOIN {_BY('card', 'c')} c ON c.card = u.card LEFT JOIN {_BY('network', 'n')} n ON n.network = u.network
   LEFT JOIN {_BY('address', 'a')} a ON a.address = u.address LEFT JOIN {_BY('email', 'e')} e ON e.email = u.email LEFT JOIN ia ON ia.a = coalesce(u.device, '~') AND ia.b = coalesce(u.network, '~')
   LEFT JOIN {_FRQ('product', 'fp')} f1 ON f1.product = u.product LEFT JOIN {_FRQ('email', 'fe')} f2 ON f2.email = u.email"""
