@@ -129,6 +129,12 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("x") != F.col("y")) & on_ring(F.col("x"), F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def exploded(nodes: DataFrame, keys: Column) -> DataFrame:
+    """The rows of `nodes`, one a key. Spark takes them for as small as `nodes`, so the hint keeps it from sending them to the
+    driver and all tasks for a join."""
+    return nodes.select(*nodes.columns, F.explode(keys).alias("key")).hint("merge")
+
+
 def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -142,13 +148,14 @@ def merged(named: DataFrame, links: DataFrame) -> DataFrame:
 def between(named: DataFrame, links: DataFrame) -> DataFrame:
     """The distinct links (a, b) between the labels of linked nodes, so that only what is new goes through further rounds."""
     of = lambda c: named.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
-    found = links.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b")
+    # candidates come out of arrays: more than Spark takes them for
+    found = links.hint("merge").join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b")
     return written(named.sparkSession, found.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "links")
 
 
 def alike(nodes: DataFrame) -> DataFrame:
     """Links (a, b) of the nodes that agree in two whole segments to the least and the greatest node of their bucket."""
-    flat = nodes.select("node", F.explode(whole_keys(F.col("node"))).alias("key"))
+    flat = exploded(nodes.select("node"), whole_keys(F.col("node")))
     ends = flat.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     rows = written(nodes.sparkSession, flat.join(ends, "key"), "alike")
     return linked(rows.select(F.col("node").alias("x"), F.col("lo").alias("y")).unionAll(rows.select("node", "hi")))
@@ -158,7 +165,7 @@ def open_buckets(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of `named` (node, label), the buckets with several labels. Of two nodes: (x, y). Of others, by node: (key, node, label,
     members, lo, hi, lead), where lead is a node that a hash chooses."""
     spark, by = named.sparkSession, F.xxhash64("node", "key")
-    flat = named.select("node", "label", F.explode(keys_of(F.col("node"))).alias("key"))
+    flat = exploded(named.select("node", "label"), keys_of(F.col("node")))
     ends = F.count(F.lit(1)).alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi")
     several = flat.groupBy("key").agg(*ends, F.min("label").alias("least"), F.max("label").alias("most"), F.max_by("node", by).alias("lead")).where("least <> most")
     several = written(spark, several.drop("least", "most"), "buckets")
