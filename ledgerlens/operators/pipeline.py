@@ -6,8 +6,10 @@ A plan has `fit(history, labels, config) -> FittedState` and `transform(rows, st
 
 from __future__ import annotations
 
+import inspect
 import json
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -38,11 +40,20 @@ def without_label(df: DataFrame, label: str) -> DataFrame:
 
 
 def run_plan(plan: Any, df: DataFrame, row_id: str, label: str, config: dict[str, Any] | None = None, fit_split: str = "train") -> tuple[DataFrame, FittedState]:
-    """Fits on one split, transforms all rows without their label, and joins the label back by row id."""
-    config = config or {}
-    history, labels = df.where(F.col("split") == fit_split).drop(label), df.where(F.col("split") == fit_split).select(row_id, label)
-    state = plan.fit(history, labels, config)
-    made = plan.transform(df.drop(label), state, config)
+    """Fits on one split and transforms all rows without their label.
+
+    Labels pass the transform sealed: in a struct under a new name each time, which no rule for numbers or texts takes up. So rows
+    keep their label without a join; only for a transform that drops unknown columns the label is joined back by row id. A `fit`
+    that takes `both` gets the training rows with their labels, which it would else join itself.
+    """
+    config, sealed = config or {}, f"sealed_{uuid.uuid4().hex}"
+    both = df.where(F.col("split") == fit_split)
+    history, labels = both.drop(label), both.select(row_id, label)
+    more = {"both": both.withColumnRenamed(label, "label")} if "both" in inspect.signature(plan.fit).parameters else {}
+    state = plan.fit(history, labels, config, **more)
+    made = plan.transform(df.withColumn(sealed, F.struct(F.col(label).alias("label"))).drop(label), state, config)
+    if sealed in made.columns:
+        return made.withColumn(label, F.col(sealed)["label"]).drop(sealed), state
     return made.join(df.select(F.col(row_id).alias("lb_id"), label), F.col(row_id) == F.col("lb_id")).drop("lb_id"), state
 
 

@@ -1,4 +1,5 @@
-"""Counts and sums over the time before each row, exact on ties, with one shuffle for all windows of an entity.
+"""Counts and sums over the time before each row, exact on ties, with one shuffle for all windows of an entity. They are
+differences of running sums: a row costs the same whatever its windows hold. Largest values and deviations go through windows.
 
 `ties`: "prior" counts rows that come before by (time, row id), "strict" earlier times only, "inclusive" all rows up to
 and at the row's time, itself among them. With `spread`, rows are dealt by entity and stretch of time (the longest
@@ -39,28 +40,55 @@ def velocity(df: DataFrame, key: str, t: str, value: str, row_id: str, windows:
         parts = [key, "v_stretch"]
     counts = (F.col(history) if history else F.lit(True)) & F.col(key).isNotNull()
     v = F.when(counts, F.col(value))
-    one = F.when(counts, 1)
-    by = W.partitionBy(*parts)
-    made: dict[str, Column] = {}
-    at_or_after = W.partitionBy(*parts, t).orderBy(row_id).rowsBetween(0, W.unboundedFollowing)
-    for name, w in windows.items():
-        frame = by.orderBy(t).rangeBetween(-w, -1 if ties == "strict" else 0)
-        n, total = F.count(one).over(frame), F.sum(v).over(frame)
-        if ties == "prior":
-            n, total = n - F.count(one).over(at_or_after), total - F.coalesce(F.sum(v).over(at_or_after), F.lit(0.0))
-        known = {
-            "count": n, "sum": F.when(n > 0, F.coalesce(total, F.lit(0.0))).otherwise(F.lit(0.0)), "max": F.coalesce(F.max(v).over(frame), F.lit(0.0)), "avg": F.avg(v).over(frame),
-            "std": F.stddev_samp(v).over(frame),
-        }
-        made |= {f"{prefix}_{name}_{a}": known[a] for a in aggs if a != "distinct"}
-    out = rows.withColumns(made) if made else df
-    if spread and made:
-        out = out.where("v_own").drop("v_own", "v_stretch")
+    aggs = list(aggs)
+    out = df
+    if any(a != "distinct" for a in aggs):
+        by, near = W.partitionBy(*parts), -1 if ties == "strict" else 0
+        upto = by.orderBy(t, row_id).rowsBetween(W.unboundedPreceding, -1) if ties == "prior" else by.orderBy(t).rangeBetween(W.unboundedPreceding, near)
+        summed = {"one": F.when(counts, 1), **(addends(v) if {"sum", "avg"} & set(aggs) else {}), **({"known": v.isNotNull().cast("int")} if "avg" in aggs else {})}
+        ends = {"upto": upto} | {f"from_{n}": by.orderBy(t).rangeBetween(W.unboundedPreceding, -w - 1) for n, w in windows.items()}
+        run = rows.withColumns({f"v_{x}": c for x, c in summed.items()})
+        run = run.withColumns({f"v_{x}_{end}": F.sum(f"v_{x}").over(w) for end, w in ends.items() for x in summed})
+        made: dict[str, Column] = {}
+        for name, w in windows.items():
+            frame = by.orderBy(t).rangeBetween(-w, near)
+            inside = {x: difference(F.col(f"v_{x}_upto"), F.col(f"v_{x}_from_{name}")) for x in summed}
+            total = total_of(inside) if "digits" in inside else None
+            known = {
+                "count": lambda: inside["one"], "sum": lambda: F.when(inside["one"] > 0, total).otherwise(F.lit(0.0)), "avg": lambda: total / F.when(inside["known"] > 0, inside["known"]),  # noqa: B023
+                "max": lambda: F.coalesce(F.max(v).over(frame), F.lit(0.0)), "std": lambda: F.stddev_samp(v).over(frame),  # noqa: B023
+            }
+            made |= {f"{prefix}_{name}_{a}": known[a]() for a in aggs if a != "distinct"}
+        out = run.withColumns(made).drop(*(f"v_{x}" for x in summed), *(f"v_{x}_{end}" for end in ends for x in summed))
+        if spread:
+            out = out.where("v_own").drop("v_own", "v_stretch")
     if "distinct" in aggs:
         out = window_distinct(out, key, t, v, {f"{prefix}_{name}_distinct": w for name, w in windows.items()}, ties != "strict")
     return out
 
 
+def addends(v: Column) -> dict[str, Column]:
+    """What running sums of amounts are made of. A difference of two sums would keep the errors of what lies before the window, so
+    they are exact: amounts up to 1e18 as decimals; their rest behind ten digits, and larger amounts, as floating-point numbers;
+    infinite ones and NaN are counted, NaN on both sides, in the halves of one number."""
+    x = v.cast("double")
+    plain = ~F.isnan(x) & (F.abs(x) < 1e18)
+    digits = F.when(plain, x).cast("decimal(28,10)")
+    up, down = ((F.isnan(x) | (x == float(f"{sign}inf"))).cast("long") for sign in ("", "-"))
+    return {"digits": digits, "rest": F.when(plain, x - digits.cast("double")).when(up + down == 0, x), "odd": up + F.shiftleft(down, 32)}
+
+
+def difference(a: Column, b: Column) -> Column:
+    """a - b of running sums, which are null before the first known value."""
+    return F.when(a.isNull(), F.lit(0)).when(b.isNull(), a).otherwise(a - b)
+
+
+def total_of(inside: dict[str, Column]) -> Column:
+    total = inside["digits"].cast("double") + inside["rest"]
+    up, down = inside["odd"].bitwiseAND((1 << 32) - 1) > 0, F.shiftright(inside["odd"], 32) > 0
+    return F.when(inside["odd"] == 0, total).when(up & down, float("nan")).when(up, float("inf")).otherwise(float("-inf"))
+
+
 def velocity_matrix(df: DataFrame, keys: Iterable[str], t: str, value: str, row_id: str, windows: dict[str, int] = DAILY, aggs: Iterable[str] = ("count", "sum", "avg", "std", "distinct"), spread: bool = False) -> DataFrame:
     """All windows and aggregates of several keys over strictly earlier rows: one shuffle a key."""
     for key in keys:

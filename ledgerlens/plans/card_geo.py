@@ -20,9 +20,9 @@ from .common import apply_frequencies, clock, fit_frequencies, joined_labels, nu
 DEFAULTS = {"row_id": "row_id", "card": "card_id", "amount": "amount", "merchant": "merchant", "category": "category", "lat": "lat", "lon": "long", "merch_lat": "merch_lat", "merch_lon": "merch_long", "city_pop": "city_pop", "categoricals": ("category", "gender", "state")}
 
 
-def fit(history: DataFrame, labels: DataFrame, config: dict[str, Any]) -> FittedState:
+def fit(history: DataFrame, labels: DataFrame, config: dict[str, Any], both: DataFrame | None = None) -> FittedState:
     c = DEFAULTS | config
-    both = joined_labels(history, labels, c["row_id"]).withColumnRenamed(labels.columns[1], "label")
+    both = joined_labels(history, labels, c["row_id"]).withColumnRenamed(labels.columns[1], "label") if both is None else both
     history = clock(history)
     home = first_profile(history, c["card"], [c["lat"], c["lon"]], ["t_us", c["row_id"]])
     away = lookup(history, home, c["card"]).withColumn("km", haversine_km(F.col(f"home_{c['lat']}"), F.col(f"home_{c['lon']}"), F.col(c["merch_lat"]), F.col(c["merch_lon"])))

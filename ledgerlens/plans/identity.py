@@ -36,9 +36,9 @@ def presence(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.withColumn("id_cluster_present", F.coalesce(*(F.col(c).cast("string") for c in columns)).isNotNull().cast("int")) if columns else df
 
 
-def fit(history: DataFrame, labels: DataFrame, config: dict[str, Any]) -> FittedState:
+def fit(history: DataFrame, labels: DataFrame, config: dict[str, Any], both: DataFrame | None = None) -> FittedState:
     c = DEFAULTS | config
-    both = joined_labels(history, labels, c["row_id"]).withColumnRenamed(labels.columns[1], "label")
+    both = joined_labels(history, labels, c["row_id"]).withColumnRenamed(labels.columns[1], "label") if both is None else both
     keyed = history.withColumn("uid", uid(*c["uid"]))
     users = entity_profile(keyed, "uid", c["amount"], ("mean", "std", "min", "max", "count"), "uid_amt_")
     users = lookup(users, distinct_profile(keyed, "uid", {"uid_email_distinct": c["email"], "uid_prod_distinct": c["product"]}), "uid").withColumnRenamed("uid_amt_count", "uid_count")

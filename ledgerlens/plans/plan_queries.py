@@ -17,8 +17,8 @@ from .queries import LINES, SPLIT, events, lines, query, split_events
 
 
 def finished(df: DataFrame) -> DataFrame:
-    """Doubles rounded to four digits, a little off the halves."""
-    return df.select(*(F.round(F.col(c) + OFF, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded to four digits, a little off the halves; by whole ten thousandths, which is far cheaper than `round`."""
+    return df.select(*((F.rint((F.col(c) + OFF) * 1e4) / 1e4 + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def digits(**columns: str) -> str:

@@ -53,3 +53,39 @@ def test_odd_events_match_the_sql(spark, odd, name):
     for row in rows:
         for c, x, y in zip(names, row, expected[row[0]], strict=True):
             assert x == y or (isinstance(x, float) and y is not None and math.isclose(x, y, abs_tol=2e-4)), (c, row, expected[row[0]])
+
+
+def test_running_sums_keep_no_errors_of_earlier_rows(spark):
+    """An amount that is huge, infinite or NaN counts in its own window and in no later one."""
+    values = [1e300, 0.1, 0.2, 0.3, float("inf"), 0.5, 0.6, 0.7, float("nan"), 0.9, 1.0, 1e15, 1.2, None, 1.4, 1.5]
+    df = spark.createDataFrame([("a", i, i, v) for i, v in enumerate(values)], "k string, t long, id long, v double")
+    for ties in ("prior", "strict"):
+        out = velocity.velocity(df, "k", "t", "v", "id", {"w": 2}, ("count", "sum") if ties == "prior" else ("count", "sum", "avg"), ties)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "rangeframe, -2" not in plan.lower()  # no window is gone through row by row
+        for r in out.collect():
+            inside = [v for v in values[max(0, r["t"] - 2) : r["t"]] if v is not None]
+            total = sum(inside)
+            assert r["k_w_count"] == min(r["t"], 2)
+            assert (math.isnan(r["k_w_sum"]) if math.isnan(total) else r["k_w_sum"] == pytest.approx(total, rel=1e-15, abs=1e-20)), r
+            if ties == "strict":
+                assert r["k_w_avg"] is None if not inside else (math.isnan(r["k_w_avg"]) if math.isnan(total) else r["k_w_avg"] == pytest.approx(total / len(inside), rel=1e-15))
+
+
+def test_labels_pass_a_plan_without_a_join(spark):
+    from ledgerlens.operators import pipeline
+
+    class Plan:
+        @staticmethod
+        def fit(history, labels, config, both):
+            assert "label" not in history.columns and {"label", "x"} <= set(both.columns)
+            return pipeline.FittedState()
+
+        @staticmethod
+        def transform(df, state, config):
+            return df.withColumn("y", F.col("x") * 2)
+
+    df = spark.range(20).select(F.col("id").alias("row_id"), F.col("id").alias("x"), F.lit("train").alias("split"), (F.col("id") % 2).cast("int").alias("is_bad"))
+    out, _ = pipeline.run_plan(Plan, df, "row_id", "is_bad")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.columns == ["row_id", "x", "split", "y", "is_bad"] and all(r["is_bad"] == r["x"] % 2 for r in out.collect())
