@@ -89,3 +89,9 @@ def test_labels_pass_a_plan_without_a_join(spark):
     out, _ = pipeline.run_plan(Plan, df, "row_id", "is_bad")
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.columns == ["row_id", "x", "split", "y", "is_bad"] and all(r["is_bad"] == r["x"] % 2 for r in out.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_mobile_plan_joins_rows_once_a_side(spark):
+    plan = entry.queries()["plan_mobile_money"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3 and plan.count("Join ") == 3
