@@ -95,3 +95,9 @@ def test_labels_pass_a_plan_without_a_join(spark):
 def test_mobile_plan_joins_rows_once_a_side(spark):
     plan = entry.queries()["plan_mobile_money"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 3 and plan.count("Join ") == 3
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_no_aggregate_holds_a_category_of_amounts(spark):
+    plan = entry.queries()["f24_f26_flags"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median" not in plan.replace("c_median", "").replace("ratio_to_category_median", "")
