@@ -1,5 +1,5 @@
 """Counts and sums over the time before each row, exact on ties, with one shuffle for all windows of an entity. They are
-differences of running sums: a row costs the same whatever its windows hold. Largest values and deviations go through windows.
+differences of running sums: a row costs the same whatever its windows hold. Means, largest values and deviations go through windows.
 
 `ties`: "prior" counts rows that come before by (time, row id), "strict" earlier times only, "inclusive" all rows up to
 and at the row's time, itself among them. With `spread`, rows are dealt by entity and stretch of time (the longest
@@ -45,7 +45,7 @@ def velocity(df: DataFrame, key: str, t: str, value: str, row_id: str, windows:
     if any(a != "distinct" for a in aggs):
         by, near = W.partitionBy(*parts), -1 if ties == "strict" else 0
         upto = by.orderBy(t, row_id).rowsBetween(W.unboundedPreceding, -1) if ties == "prior" else by.orderBy(t).rangeBetween(W.unboundedPreceding, near)
-        summed = {"one": F.when(counts, 1), **(addends(v) if {"sum", "avg"} & set(aggs) else {}), **({"known": v.isNotNull().cast("int")} if "avg" in aggs else {})}
+        summed = {"one": F.when(counts, 1), **(addends(v) if "sum" in aggs else {})}
         ends = {"upto": upto} | {f"from_{n}": by.orderBy(t).rangeBetween(W.unboundedPreceding, -w - 1) for n, w in windows.items()}
         run = rows.withColumns({f"v_{x}": c for x, c in summed.items()})
         run = run.withColumns({f"v_{x}_{end}": F.sum(f"v_{x}").over(w) for end, w in ends.items() for x in summed})
@@ -55,7 +55,7 @@ def velocity(df: DataFrame, key: str, t: str, value: str, row_id: str, windows:
             inside = {x: difference(F.col(f"v_{x}_upto"), F.col(f"v_{x}_from_{name}")) for x in summed}
             total = total_of(inside) if "digits" in inside else None
             known = {
-                "count": lambda: inside["one"], "sum": lambda: F.when(inside["one"] > 0, total).otherwise(F.lit(0.0)), "avg": lambda: total / F.when(inside["known"] > 0, inside["known"]),  # noqa: B023
+                "count": lambda: inside["one"], "sum": lambda: F.when(inside["one"] > 0, total).otherwise(F.lit(0.0)), "avg": lambda: F.avg(v).over(frame),  # noqa: B023
                 "max": lambda: F.coalesce(F.max(v).over(frame), F.lit(0.0)), "std": lambda: F.stddev_samp(v).over(frame),  # noqa: B023
             }
             made |= {f"{prefix}_{name}_{a}": known[a]() for a in aggs if a != "distinct"}
